@@ -16,6 +16,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -93,25 +94,15 @@ class Codec:
         self.bytes_of = [b""] * n
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
-        self.pieces: dict[str, bytes] = {}
-        self.memo = text.Memo(self._many)
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) > 400_000:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
-    def _many(self, strings: list[str]) -> list[bytes]:
-        return [b"".join(map(self._piece, self.pattern.findall(s))) for s in strings]
+        self.latin = text.LATIN_PIECES if pattern == public_tokenizers.PATTERN else None
+        self.pieces = text.Pieces(self._merge)
+
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(merge(p.encode(), self.ranks), "<u4").tobytes() for p in pieces]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.memo([t or "" for t in texts])
+        return self.pieces([self.latin(t) if self.latin and text.LATIN(t) else self.pattern.findall(t) for t in (t or "" for t in texts)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -7,6 +7,7 @@ per-word arrays are as long as the batch.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,58 +135,31 @@ class Rolling:
             return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
 
 
-#: Characters on which every tokenizer's notion of "not white space" agrees.
-_SAFE = frozenset(chr(c) for c in range(0x21, 0x250) if c < 0x7F or chr(c).isalpha())
+#: Text of printable ASCII, tabs, line feeds and Latin letters, and its matches of the
+#: byte-level splitting pattern: there every version of Unicode tables agrees.
+LATIN = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*").fullmatch
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
 
 
-class Memo:
-    """Encodes texts by single-space chunks, each distinct chunk once.
+class Pieces:
+    """Packed ids of pieces, each distinct piece encoded once.
 
-    Between two non-space characters a single space always begins a new match of the
-    byte-level splitting patterns, so the ids of a text are the ids of its chunks in a
-    row.  Chunks whose ends are not plainly safe stay joined to their neighbours.
-    ``many`` maps strings to packed ids.  The memory is bounded by ``capacity`` chunks.
+    ``many`` maps pieces to packed ids; at most ``capacity`` short pieces are kept.
     """
 
-    def __init__(self, many, capacity: int = 400_000, longest: int = 64):
+    def __init__(self, many, capacity: int = 700_000, longest: int = 64):
         self.many, self.capacity, self.longest = many, capacity, longest
         self.known: dict[str, bytes] = {}
 
-    def _segments(self, parts: list[str]) -> list[str]:
-        out, current, before = [], parts[0], parts[0]
-        for part in parts[1:]:
-            if before and part and before[-1] in _SAFE and part[0] in _SAFE:
-                out.append(current)
-                current = " " + part
-            else:
-                current += " " + part
-            before = part
-        out.append(current)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, split: list[list[str]]) -> list[bytes]:
+        if len(self.known) > self.capacity:
+            self.known.clear()
         known = self.known
-        if len(known) > self.capacity:
-            known.clear()
-        split = [t.split(" ") for t in texts]
-        fresh: set[str] = set()
-        for parts in split:
-            fresh.update(parts[1:])
-        fresh = [p for p in fresh if p not in known and 0 < len(p) <= self.longest and p[0] in _SAFE and p[-1] in _SAFE]
-        known.update(zip(fresh, self.many([" " + p for p in fresh])))
-        out: list[bytes | None] = []
-        odd: list[tuple[int, list[str]]] = []
-        heads = self.many([p[0] for p in split])
-        for head, parts in zip(heads, split):
-            rest = list(map(known.get, parts[1:]))
-            if None in rest or (rest and (not parts[0] or parts[0][-1] not in _SAFE)):
-                odd.append((len(out), self._segments(parts)))
-                out.append(None)
-            else:
-                out.append(head + b"".join(rest))
-        if odd:
-            plain = [s for _, segments in odd for s in segments if s[:1] != " " or s[1:] not in known]
-            encoded = iter(self.many(plain))
-            for at, segments in odd:
-                out[at] = b"".join(known[s[1:]] if s[:1] == " " and s[1:] in known else next(encoded) for s in segments)
+        fresh = list(set().union(*split).difference(known))
+        found = dict(zip(fresh, self.many(fresh)))
+        long = [p for p in fresh if len(p) > self.longest]
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        for p in long:
+            del known[p]
         return out

@@ -16,7 +16,6 @@ gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,11 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestral.llm import shared, text
 
-#: Text of printable ASCII, line feeds and Latin letters, and its pieces: there every
-#: version of Unicode tables gives the same matches of the byte-level pattern.
-_LATIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]{0,200}").fullmatch
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
-
 SAMPLE = 256
 BLOCK_TOKENS = 1 << 20
 STORE = "part int, block int, before long, n_docs int, n_tokens long, width int, doc_ids array<long>, ids binary, low_bits int, low binary, high binary, samples binary"
@@ -97,28 +91,21 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size() - 1, end or 0) < 1 << 16 else 4
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.pieces: dict[str, bytes] = {}
-        self.memo = text.Memo(self._many)
+        self.pieces = text.Pieces(self._library)
 
     def _library(self, strings: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        lengths = np.cumsum([0, *map(len, encoded)]) * 4
-        ids = np.array([i for e in encoded for i in e.ids], "<u4").tobytes()
-        return [ids[a:b] for a, b in zip(lengths, lengths[1:])]
-
-    def _many(self, strings: list[str]) -> list[bytes]:
-        """Short Latin chunks go piece by piece, so that each distinct piece is encoded once."""
-        pieces = self.pieces
-        if len(pieces) > 400_000:
-            pieces.clear()
-        split = [_PIECES(s) if _LATIN(s) else [s] for s in strings]
-        fresh = list({p for ps in split for p in ps if p not in pieces})
-        found = dict(zip(fresh, self._library(fresh)))
-        pieces.update((k, v) for k, v in found.items() if len(k) <= 64)
-        return [b"".join([pieces.get(p) or found.get(p, b"") for p in ps]) for ps in split]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, encoded)]) * 4
+        ids = np.array([i for e in encoded for i in e], "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        return [ids + self.end for ids in self.memo([t or "" for t in texts])]
+        """Latin texts go piece by piece, each distinct piece once; the rest go whole."""
+        texts = [t or "" for t in texts]
+        latin = [bool(text.LATIN(t)) for t in texts]
+        pieced = iter(self.pieces([text.LATIN_PIECES(t) for t, x in zip(texts, latin) if x]))
+        whole = iter(self._library([t for t, x in zip(texts, latin) if not x]))
+        return [next(pieced if x else whole) + self.end for x in latin]
 
     @classmethod
     def load(cls, path: str, end: int | None) -> Encoder:
