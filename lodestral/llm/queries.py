@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestral.llm import bpe, decontam, shared, simhash, substring, token_store
+from lodestral.llm import bpe, decontam, shared, simhash, substring, token_store, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.load(webp.store(table(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,5 +59,5 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """.replace("\\\\", "\\")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate}
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
