@@ -91,7 +91,7 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features: int = 4000, steps: int = 400, ridge: float = 2e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features: int = 2000, steps: int = 400) -> Model:
     """Learn from at most ``max_docs`` labelled documents; docs and labels are those allowed for learning."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features:
     n = np.bincount(code[use & ~bad], minlength=len(names))
     base = (pick & (toxic == 1)).sum() / max(1, (pick & (toxic == 0)).sum())
     lift = (t + 0.1) / (n + 0.5) / base
-    strength = np.where((t >= 3) & (lift > 3), t * np.log(lift), 0)
+    strength = np.where((t >= 4) & (lift > 4), t * np.log(lift), 0)
     best = np.argsort(-strength, kind="stable")[:max_features]
     best = best[strength[best] > 0]
     index = np.full(len(names), -1)
@@ -127,16 +127,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features:
     starts = np.concatenate(([True], doc[1:] != doc[:-1]))
     bag = np.cumsum(starts) - 1
     y = toxic[starts].astype(float)
-    w, b = np.zeros(len(best)), -4.0
+    w, b = np.log(lift[best]), -6.0  # as if each feature alone told
     m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     for step in range(1, steps + 1):
         z = b + np.bincount(row, weights=w[column], minlength=len(doc))
         total = np.bincount(bag, weights=np.logaddexp(0, z))
         slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), 1.0)
         g = slope[bag] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(column, weights=g[row], minlength=len(best)) / len(y) + ridge * w / max(1, len(best)) ** 0.5, g.sum() / len(y))
+        grad = np.append(np.bincount(column, weights=g[row], minlength=len(best)) / len(y), g.sum() / len(y))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)  # so that vanishing slopes don't move
         w, b = w - move[:-1], b - move[-1]
     return Model(names[best], w, float(b))
 
