@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestral.llm import bpe, decontam, shared, simhash, substring, token_store, toxicity, webp
+from lodestral.llm import bpe, decontam, pll, shared, simhash, substring, token_store, toxicity, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.load(webp.store(table(spark, sf_dir, "documents")))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pll.score(docs, pll.fit(docs))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,5 +71,5 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """.replace("\\\\", "\\")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op5_pseudo_likelihood": op5_pseudo_likelihood, "op6_simhash": op6_simhash, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity}
 ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
