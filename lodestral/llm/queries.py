@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestral.llm import bpe, decontam, pagediff, pll, shared, simhash, substring, token_store, toxicity, webp
+from lodestral.llm import bpe, decontam, licenses, pagediff, pll, shared, simhash, substring, token_store, toxicity, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.col("__n_sentences").alias("n_sentences"), F.col("__n_offending").alias("n_offending"), F.col("__worst").alias("worst_sentence"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -75,5 +79,5 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """.replace("\\\\", "\\")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op5_pseudo_likelihood": op5_pseudo_likelihood, "op6_simhash": op6_simhash, "op7_pages": op7_pages, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity}
-ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op5_pseudo_likelihood": op5_pseudo_likelihood, "op6_simhash": op6_simhash, "op7_pages": op7_pages, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
+ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op10_licenses": licenses.oracle()}
