@@ -159,15 +159,6 @@ def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | No
     return "\n\n".join(x for i, (z, x) in enumerate(page) if z == ARTICLE or not article and z == PLAIN and i not in gone)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text.slices(batches, "html"):
-        pages = [lines(h or "") for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "host", "path")), pa.array([bytes(z for z, _ in p) for p in pages], pa.binary()), pa.array([[x for _, x in p] for p in pages], pa.list_(pa.string()))],
-            names=["page_id", "url", "host", "path", "zones", "lines"],
-        )
-
-
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page with its predecessor of one host, or its successor if it is the first."""
     before = first = None  # before: host and lines; first: a page that waits for its successor
@@ -175,10 +166,10 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def result(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    for batch in batches:
+    for batch in text.slices(batches, "html"):
         rows = []
         for r in batch.to_pylist():
-            page = list(zip(r["zones"], r["lines"]))
+            page = lines(r["html"] or "")
             same = before is not None and before[0] == r["host"]
             if first is not None:
                 rows.append((first[0], first[1], main_text(first[2], page if same else None)))
@@ -200,7 +191,6 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select(
         F.col("page_id").cast("long"), "url", "html", F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^(?:[^:/?#]+://[^/?#]*)?([^?#]*)", 1).alias("path")
     )
-    parsed = shared.arrow(keyed, _parse, "page_id long, url string, host string, path string, zones binary, lines array<string>")
     order = ["host", "path", "url", "page_id"]
-    dealt = shared.stored(parsed, "pages").repartitionByRange(shared.partitions(pages.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = keyed.repartitionByRange(shared.partitions(pages.sparkSession), *order).sortWithinPartitions(*order).drop("path")
     return shared.arrow(dealt, _difference, "page_id long, url string, text string, n_chars long")
