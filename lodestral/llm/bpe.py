@@ -95,7 +95,7 @@ class Codec:
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
         self.latin = text.LATIN_PIECES if pattern == public_tokenizers.PATTERN else None
-        self.pieces = text.Pieces(self._merge)
+        self.pieces = text.Pieces(self._merge, capacity=150_000)
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
         return [np.array(merge(p.encode(), self.ranks), "<u4").tobytes() for p in pieces]

@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK = 2 << 20
-SLICE_BYTES = 4 << 20
+BLOCK = 1 << 19
+SLICE_BYTES = 2 << 20
 
 #: ASCII white space: space and U+0009 to U+000D.
 SPACE = np.zeros(256, dtype=bool)
@@ -144,22 +144,25 @@ LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+|
 class Pieces:
     """Packed ids of pieces, each distinct piece encoded once.
 
-    ``many`` maps pieces to packed ids; at most ``capacity`` short pieces are kept.
+    ``many`` maps pieces to packed ids.  Two generations of at most ``capacity`` pieces
+    are kept; what is still in use moves to the younger.
     """
 
-    def __init__(self, many, capacity: int = 700_000, longest: int = 64):
+    def __init__(self, many, capacity: int = 350_000, longest: int = 64):
         self.many, self.capacity, self.longest = many, capacity, longest
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, split: list[list[str]]) -> list[bytes]:
         if len(self.known) > self.capacity:
-            self.known.clear()
-        known = self.known
-        fresh = list(set().union(*split).difference(known))
-        found = dict(zip(fresh, self.many(fresh)))
-        long = [p for p in fresh if len(p) > self.longest]
-        known.update(found)
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        absent = set().union(*split).difference(known)
+        known.update((p, old[p]) for p in absent if p in old)
+        fresh = [p for p in absent if p not in known]
+        known.update(zip(fresh, self.many(fresh)))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for p in long:
-            del known[p]
+        for p in fresh:
+            if len(p) > self.longest:
+                del known[p]
         return out

@@ -91,6 +91,22 @@ class Model:
         return out
 
 
+def _promising(flat: np.ndarray, row: np.ndarray, pick: np.ndarray, bad: np.ndarray, base: float, bits: int = 22, step: int = 1 << 20) -> np.ndarray:
+    """Feature occurrences worth counting exactly: those that either of two hash tables of counts lets through."""
+    out = np.zeros(len(flat), bool)
+    for shift in (0, bits):
+        tally = np.zeros((2, 1 << bits))
+        spot = lambda a: (flat[a : a + step] >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)  # noqa: B023, E731
+        for a in range(0, len(flat), step):
+            r = row[a : a + step]
+            for k in (0, 1):
+                tally[k] += np.bincount(spot(a)[pick[r] & (bad[r] == k)], minlength=1 << bits)
+        good = (tally[1] >= 4) & ((tally[1] + 0.1) / (tally[0] + 0.5) > 4 * base)
+        for a in range(0, len(flat), step):
+            out[a : a + step] |= good[spot(a)]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features: int = 2000, steps: int = 400) -> Model:
     """Learn from at most ``max_docs`` labelled documents; docs and labels are those allowed for learning."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -99,21 +115,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features:
     table = shared.arrow(rows, _sample_features, "doc_id long, toxic int, content long, features array<long>").toArrow()
     if not table.num_rows or len(np.unique(np.asarray(table.column("toxic")))) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
-    table = table.sort_by([("doc_id", "ascending"), ("content", "ascending")])
     doc, toxic, content = (np.asarray(table.column(c)) for c in ("doc_id", "toxic", "content"))
     lists = table.column("features").combine_chunks()
+    del table
     counts = np.asarray(lists.value_lengths())
     flat = np.asarray(lists.flatten()).view(np.uint64)
     # Choice of features, over different sentences.
     _, one = np.unique(content * 2 + toxic, return_index=True)
     pick = np.zeros(len(doc), bool)
     pick[one] = True
-    use = np.repeat(pick, counts)
-    bad = np.repeat(toxic == 1, counts)
+    base = (pick & (toxic == 1)).sum() / max(1, (pick & (toxic == 0)).sum())
+    row = np.repeat(np.arange(len(doc), dtype=np.int32), counts)
+    maybe = _promising(flat, row, pick, toxic == 1, base)
+    flat, row = flat[maybe], row[maybe]
+    use, bad = pick[row], toxic[row] == 1
     names, code = np.unique(flat, return_inverse=True)
     t = np.bincount(code[use & bad], minlength=len(names))
     n = np.bincount(code[use & ~bad], minlength=len(names))
-    base = (pick & (toxic == 1)).sum() / max(1, (pick & (toxic == 0)).sum())
     lift = (t + 0.1) / (n + 0.5) / base
     strength = np.where((t >= 4) & (lift > 4), t * np.log(lift), 0)
     best = np.argsort(-strength, kind="stable")[:max_features]
@@ -121,11 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features:
     index = np.full(len(names), -1)
     index[best] = np.arange(len(best))
     # Noisy-or over the bags; sentences without a chosen feature share one logit.
-    row = np.repeat(np.arange(len(doc)), counts)
     hit = index[code] >= 0
     row, column = row[hit], index[code][hit]
-    starts = np.concatenate(([True], doc[1:] != doc[:-1]))
-    bag = np.cumsum(starts) - 1
+    _, starts, bag = np.unique(doc, return_index=True, return_inverse=True)
     y = toxic[starts].astype(float)
     w, b = np.log(lift[best]), -6.0  # as if each feature alone told
     m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
