@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: Query keys that a run's URL identity leaves out.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
@@ -117,7 +118,7 @@ def origin(url: Column) -> Column:
     return F.struct(scheme(url).alias("scheme"), host(url).alias("host"), port(url).alias("port"))
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def resolve(base: str | None, value: str | None) -> str | None:
     """Relative reference against a base; no built-in function does this."""
     from urllib.parse import urljoin

@@ -39,7 +39,10 @@ def tsv(kind: str, payload: str) -> str:
         if kind == "item" and len(items) != 1:
             raise ValueError("an item answer has one value")
         if kind == "set":
-            items = list({("" if i is None else str(i)): i for i in reversed(items)}.values())[::-1]
+            first: dict = {}
+            for i in items:
+                first.setdefault("" if i is None else str(i), i)
+            items = list(first.values())
         columns, rows = ["Value" if kind == "item" else "Item"], [[i] for i in items]
     out = io.StringIO()
     writer = csv.writer(out, delimiter="\t", lineterminator="\n", quoting=csv.QUOTE_MINIMAL)

@@ -1,4 +1,592 @@
-"""Registry of queries and their SQL oracles."""
+"""Queries over the test tables, one per operator family, with their SQL oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from lodestral.functions import times, urls, values
+from lodestral.operators import chunking, evaluation, research, retrieval, search, store, sync, synthesis
+from lodestral.sources import html, registry, robots
+from lodestral.streaming import runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+TERMS = "the onthe thereon of"
+#: A small registry for the hosts of the test pages.
+SOURCES = [
+    (0, "alpha", "Alpha", "news", True, ["tionsh.example.net"], ["/en", "/fr"]),
+    (1, "beta", "Beta", "official", True, ["blog.tionble.example.com", "m.tiontion.example.com"], ["/"]),
+    (2, "gamma", "Gamma", "blog", False, ["ththnd.example.net"], ["/"]),
+    (3, "delta", "Delta", "research", True, ["tionsh.example.net", "ththon.example.com"], ["/"]),
+]
+DOMAINS = [("www.tionsh.example.net", "news"), ("blog.tionble.example.com", "blog"), ("ththon.example.com", "research"), ("m.tiontion.example.com", "official")]
+RULES = [("tionsh.example.net", "/en/*", False), ("tionsh.example.net", "/en/1", True), ("tionsh.example.net", "/fr", False), ("tionsh.example.net", "/*?page=2", True), ("blog.tionble.example.com", "/", False), ("blog.tionble.example.com", "/en/*$", True)]
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SOURCES, "ord int, id string, name string, source_type string, enabled boolean, allowed_domains array<string>, allowed_path_prefixes array<string>")
+
+
+def _domains(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DOMAINS, "domain string, source_type string")
+
+
+# ---------------------------------------------------------------- search
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+def _bm25_sql(k: int) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents),
+q AS (SELECT DISTINCT unnest(string_split('{TERMS}', ' ')) AS term),
+n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+p AS (SELECT doc_id, len(t) AS len, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, q),
+df AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM p GROUP BY term)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+FROM p JOIN df USING (term), n WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {k}"""
+
+
+@query(_bm25_sql(10))
+def bm25_topk(spark, d):
+    return search.bm25(_t(spark, d, "documents"), TERMS, 10)
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf, max(length) AS length FROM (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)) GROUP BY doc_id, term")
+def bm25_postings(spark, d):
+    return search.postings(_t(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf", F.col("length").cast("long"))
+
+
+@query(f"SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_tokens, round(avg(len(t)), 6) AS avg_length FROM (SELECT {_TOKENS.format('text')} AS t FROM documents)")
+def bm25_corpus_stats(spark, d):
+    t = _t(spark, d, "documents").select(F.size(search.tokens(F.col("text"))).alias("n"))
+    return t.agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_tokens"), F.round(F.avg("n"), 6).alias("avg_length"))
+
+
+_COS = "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+def _query_vector(spark, d):
+    return list(_t(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"])
+
+
+@query(f"{_COS} ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_cosine(spark, d):
+    return search.vector(_t(spark, d, "embeddings"), _query_vector(spark, d), 10)
+
+
+@query(f"""
+WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_bm25_sql(50)})),
+vec AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_COS} ORDER BY score DESC, vec_id LIMIT 50))
+SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
+def hybrid_rrf(spark, d):
+    lexical = search.bm25(_t(spark, d, "documents"), TERMS, 50)
+    nearest = search.vector(_t(spark, d, "embeddings"), _query_vector(spark, d), 50).withColumnRenamed("vec_id", "doc_id")
+    return search.rrf([lexical, nearest], 10)
+
+
+@query("""
+SELECT count(*) AS chunks, count(e.vec_id) AS reused, count(*) - count(e.vec_id) AS to_embed FROM documents d
+LEFT JOIN (SELECT vec_id, sha256(text) AS h FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 3 <> 0) e ON d.doc_id = e.vec_id AND sha256(d.text) = e.h""")
+def vector_reuse_plan(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), values.content_hash(F.col("text")).alias("content_hash"), values.content_hash(F.col("text")).alias("chunk_hash"))
+    index = _t(spark, d, "embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(docs, "id")
+    plan = search.reuse_plan(docs, index)
+    return plan.agg(F.count("*").alias("chunks"), F.count("vector").alias("reused"), F.count_if(F.col("vector").isNull()).alias("to_embed"))
+
+
+@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings")
+def vector_validation(spark, d):
+    return _t(spark, d, "embeddings").select("vec_id", values.valid_vector(F.col("embedding"), 64).alias("valid"))
+
+
+# ---------------------------------------------------------------- URLs
+
+_Q = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+_NORM = """lower(regexp_extract(url, '^([^/?#]*//[^/?#]*)', 1)) || CASE WHEN rtrim(regexp_extract(url, '^[^/?#]*//[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(url, '^[^/?#]*//[^/?#]*([^?#]*)', 1), '/') END
+|| CASE WHEN len({p}) > 0 THEN '?' || array_to_string(list_sort({p}), '&') ELSE '' END"""
+_PAIRS = f"list_filter(string_split({_Q}, '&'), lambda p: p <> '')"
+_KEPT = f"list_filter(string_split({_Q}, '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))"
+_HOST = "lower(regexp_extract(url, '^[^/?#]*//([^/?#:]*)', 1))"
+
+
+@query(f"SELECT page_id, {_NORM.format(p=_PAIRS)} AS canonical_url, {_NORM.format(p=_KEPT)} AS run_url FROM pages")
+def url_normalize(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.normalize(F.col("url")).alias("canonical_url"), urls.normalize(F.col("url"), urls.TRACKING_KEYS).alias("run_url"))
+
+
+@query(f"SELECT page_id, lower(regexp_extract(url, '^([^:]*):', 1)) AS scheme, {_HOST} AS host, CASE WHEN url LIKE 'https:%' THEN 443 ELSE 80 END AS port FROM pages")
+def url_origin(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.origin(F.col("url")).alias("o")).select("page_id", "o.*")
+
+
+@query(f"SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS domain, lower(regexp_extract(url, '^([^/?#]*//[^/?#]*)', 1)) AS home FROM pages")
+def publisher(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.publisher_domain(F.col("url")).alias("domain"), urls.publisher_home(F.col("url")).alias("home"))
+
+
+_EXTRA = [(-1, " ", "http://x.org/"), (-2, "t", ""), (-3, "t", "mailto:a@b.org"), (-4, "t", "ftp://x.org/f"), (-5, "t", "https://user:pw@x.org/"), (-6, "t", "https://x.org./a")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {u in ('http://x.org/',) or u.startswith('https:')}, {u == 'http://x.org/'})" for i, _, u in _EXTRA) + f") v(page_id, fetchable, strict_http) UNION ALL SELECT page_id, true, true FROM pages")
+def url_predicates(spark, d):
+    extra = spark.createDataFrame([(i, u) for i, _, u in _EXTRA], "page_id long, url string")
+    rows = _t(spark, d, "pages").select("page_id", "url").union(extra)
+    return rows.select("page_id", urls.fetchable(F.col("url")).alias("fetchable"), urls.strict_http(F.col("url")).alias("strict_http"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+_RESULTS = "(SELECT page_id % 5 AS request_id, page_id AS ord, 't' AS title, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"(0, {i}, '{t}', '{u}')" for i, t, u in _EXTRA) + "))"
+_FILTERED = f"""
+(WITH r AS (SELECT *, {_NORM.format(p=_KEPT)} AS n FROM {_RESULTS}),
+a AS (SELECT *, CASE WHEN trim(title) = '' THEN 'empty_title' WHEN trim(url) = '' THEN 'empty_url' WHEN NOT regexp_matches(url, '^https?://[^/?#]') THEN 'invalid_url' END AS e FROM r),
+b AS (SELECT *, CASE WHEN e IS NULL AND row_number() OVER (PARTITION BY request_id, e IS NULL, n ORDER BY ord) > 1 THEN 'duplicate_url' ELSE e END AS f FROM a)
+SELECT request_id, ord, CASE WHEN f IS NULL AND sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY ord) > 20 THEN 'truncated' ELSE f END AS reason FROM b)"""
+
+
+def _results(spark, d):
+    extra = spark.createDataFrame([(0, i, t, u) for i, t, u in _EXTRA], "request_id long, ord long, title string, url string")
+    return _t(spark, d, "pages").select((F.col("page_id") % 5).alias("request_id"), F.col("page_id").alias("ord"), F.lit("t").alias("title"), "url").union(extra)
+
+
+@query(f"SELECT request_id, ord, reason FROM {_FILTERED}")
+def retrieval_filter(spark, d):
+    return retrieval.filter_results(_results(spark, d), 20).select("request_id", "ord", "reason")
+
+
+@query("SELECT request_id, count(*) AS input_count, count(*) FILTER (WHERE reason IS NULL) AS output_count, " + ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS {n}" for r, n in (("empty_title", "dropped_empty_title"), ("empty_url", "dropped_empty_url"), ("invalid_url", "dropped_invalid_url"), ("duplicate_url", "dropped_duplicate_url"), ("truncated", "truncated"))) + f" FROM {_FILTERED} GROUP BY request_id")
+def retrieval_filter_report(spark, d):
+    return retrieval.filter_report(retrieval.filter_results(_results(spark, d), 20))
+
+
+_DOMAIN_VALUES = "(VALUES " + ", ".join(f"('{a.removeprefix('www.')}', '{b}')" for a, b in DOMAINS) + ") v(k, kt)"
+_CLASSIFIED = f"""(SELECT page_id, domain, coalesce(kt, CASE WHEN page_id % 7 = 0 THEN 'social' END, 'unknown') AS source_type,
+CASE WHEN kt IS NOT NULL THEN 'domain' WHEN page_id % 7 = 0 THEN 'provider' ELSE 'unknown' END AS classification_source
+FROM (SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS domain FROM pages) LEFT JOIN {_DOMAIN_VALUES} ON domain = k)"""
+
+
+def _classified(spark, d):
+    return retrieval.classify(_t(spark, d, "pages").select("page_id", "url"), _domains(spark), F.when(F.col("page_id") % 7 == 0, "social"))
+
+
+@query(f"SELECT * FROM {_CLASSIFIED}")
+def source_classification(spark, d):
+    return _classified(spark, d).select("page_id", "domain", "source_type", "classification_source")
+
+
+@query(f"SELECT count(*) AS input_count, count(*) FILTER (WHERE classification_source <> 'unknown') AS recognized_count, count(*) FILTER (WHERE classification_source = 'unknown') AS unknown_count FROM {_CLASSIFIED}")
+def classification_report(spark, d):
+    return retrieval.classification_report(_classified(spark, d))
+
+
+@query(f"SELECT domain, count(*) AS n FROM {_CLASSIFIED} WHERE classification_source = 'unknown' AND domain <> '' GROUP BY domain ORDER BY n DESC, domain LIMIT 20")
+def unknown_domains(spark, d):
+    return evaluation.unknown_domains(_classified(spark, d))
+
+
+@query(f"SELECT classification_source AS value, count(*) AS n FROM {_CLASSIFIED} GROUP BY 1")
+def classification_histogram(spark, d):
+    return evaluation.histogram(_classified(spark, d).select(F.array("classification_source").alias("x")), "x")
+
+
+@query(f"""
+WITH i AS (SELECT DISTINCT page_id % 3 AS run_id, {_NORM.format(p=_KEPT)} AS n FROM pages WHERE page_id % 2 = 0),
+c AS (SELECT page_id % 3 AS run_id, {_NORM.format(p=_KEPT)} AS n FROM pages WHERE page_id % 4 < 2)
+SELECT c.run_id, count(*) AS candidate_count, count(*) FILTER (WHERE i.n IS NULL) AS new_count, count(i.n) AS reused_count FROM c LEFT JOIN i ON c.run_id = i.run_id AND c.n = i.n GROUP BY c.run_id""")
+def result_merge_report(spark, d):
+    pages = _t(spark, d, "pages").select((F.col("page_id") % 3).alias("run_id"), "page_id", "url")
+    index = pages.filter("page_id % 2 = 0").select("run_id", urls.normalize(F.col("url"), urls.TRACKING_KEYS).alias("normalized_url"))
+    return retrieval.merge_report(retrieval.merge_results(pages.filter("page_id % 4 < 2"), index))
+
+
+@query("SELECT run_id, ord FROM (SELECT page_id % 3 AS run_id, page_id AS ord, coalesce(sum(CASE WHEN page_id % 4 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id % 3 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM pages) WHERE used < 4")
+def fetch_budget(spark, d):
+    outcomes = _t(spark, d, "pages").select((F.col("page_id") % 3).alias("run_id"), F.col("page_id").alias("ord"), (F.col("page_id") % 4 > 0).alias("is_new"))
+    return retrieval.fetch_budget(outcomes, 4).select("run_id", "ord")
+
+
+_SRC = "(VALUES " + ", ".join(f"({o}, '{i}', {e}, {dm}, {p})" for o, i, _, _, e, dm, p in SOURCES) + ") s(ord, id, enabled, domains, prefixes)"
+_PATH = "regexp_extract(url, '^[^/?#]*//[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""
+SELECT page_id, id AS source_id FROM pages LEFT JOIN (
+SELECT page_id, id, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM pages JOIN {_SRC} ON enabled AND list_contains(domains, {_HOST})
+AND len(list_filter(prefixes, lambda p: p = '/' OR {_PATH} = p OR starts_with({_PATH}, p || '/'))) > 0) USING (page_id) WHERE coalesce(n, 1) = 1""")
+def registry_scope_match(spark, d):
+    return registry.match(_t(spark, d, "pages").select("page_id", "url"), _sources(spark), ["page_id"]).select("page_id", "source_id")
+
+
+_RX = ", ".join(f"('{h}', '{p}', {a}, '{robots.pattern_regex(p)}')" for h, p, a in RULES)
+_TARGET = "regexp_extract(url, '^[^/?#]*//[^/?#]*([^#]*)', 1)"
+
+
+@query(f"""
+WITH h AS (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, allow DESC) AS n FROM pages
+JOIN (VALUES {_RX}) r(host, pattern, allow, rx) ON {_HOST} = host AND regexp_matches({_TARGET}, rx))
+SELECT page_id, CASE WHEN allow IS NOT NULL THEN CASE WHEN allow THEN 'allowed' ELSE 'disallowed' END WHEN {_HOST} LIKE '%.org' THEN 'disallowed' WHEN {_HOST} LIKE '%.net' OR {_HOST} = 'blog.tionble.example.com' THEN 'allowed' ELSE 'deferred' END AS decision
+FROM pages LEFT JOIN (SELECT * FROM h WHERE n = 1) USING (page_id)""")
+def robots_longest_match(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", "url")
+    table = spark.createDataFrame([(h, p, a, robots.pattern_regex(p)) for h, p, a in RULES], "host string, pattern string, allow boolean, regex string")
+    origins = pages.select(robots.origin_key(F.col("url")).alias("origin"), urls.host(F.col("url")).alias("host")).distinct()
+    host = F.col("host")
+    status = F.when((host == "blog.tionble.example.com") | host.endswith(".net"), 200).when(host.endswith(".org"), 403).otherwise(500)
+    rules = origins.join(table, "host").select("origin", "allow", "pattern", "regex")
+    return robots.decide(pages, origins.select("origin", status.alias("status")), rules, ["page_id"]).select("page_id", "decision")
+
+
+# ---------------------------------------------------------------- store
+
+
+def _snapshot(docs: DataFrame, at: str) -> DataFrame:
+    when = F.lit(at).cast("timestamp")
+    null = lambda t="string": F.lit(None).cast(t)
+    url = F.concat(F.lit("https://x.org/d/"), F.col("doc_id").cast("string"))
+    return docs.select(
+        F.concat(F.lit("id"), F.col("doc_id")).alias("id"), F.col("source").alias("source_id"), url.alias("url"), urls.normalize(url).alias("canonical_url"), F.lit("active").alias("status"), F.col("lang").alias("title"), "text",
+        null().alias("media_type"), null("timestamp").alias("published_at"), when.alias("fetched_at"), null().alias("etag"), null().alias("last_modified"), values.content_hash(F.col("text")).alias("content_hash"), null().alias("failure_reason"),
+        when.alias("created_at"), when.alias("updated_at"),
+    )
+
+
+def _merged(spark, d):
+    docs = _t(spark, d, "documents")
+    old = _snapshot(docs.filter("doc_id % 3 <> 0"), "2024-01-01 00:00:00")
+    new = _snapshot(docs.filter("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit("!"))).withColumn("source", F.when(F.col("doc_id") % 10 == 0, "other").otherwise(F.col("source"))), "2024-02-01 00:00:00")
+    return store.upsert(old, new, "2024-02-01 00:00:00")
+
+
+@query("""
+SELECT 'https://x.org/d/' || doc_id AS canonical_url, CASE WHEN doc_id % 3 = 0 AND doc_id % 10 = 0 THEN 'other' ELSE source END AS source_id,
+CASE WHEN doc_id % 2 = 0 AND NOT (doc_id % 3 <> 0 AND doc_id % 10 = 0 AND source <> 'other') THEN sha256(text || '!') ELSE sha256(text) END AS content_hash,
+CASE WHEN doc_id % 3 <> 0 THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN doc_id % 2 = 0 AND NOT (doc_id % 3 <> 0 AND doc_id % 10 = 0 AND source <> 'other') THEN '2024-02-01' ELSE '2024-01-01' END AS updated
+FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
+def latest_version_upsert(spark, d):
+    snapshot, _ = _merged(spark, d)
+    return snapshot.select("canonical_url", "source_id", "content_hash", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query("SELECT 'https://x.org/d/' || doc_id AS canonical_url, 'other' AS source_id, 'source conflict' AS error FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 10 = 0 AND source <> 'other'")
+def upsert_conflicts(spark, d):
+    return _merged(spark, d)[1]
+
+
+@query("""
+SELECT coalesce(n.page_id, o.page_id) AS page_id, CASE WHEN n.page_id IS NOT NULL THEN n.etag ELSE o.etag END AS etag, length(coalesce(n.html, o.html))::BIGINT AS n_chars
+FROM (SELECT page_id, 'a' || page_id AS etag, html FROM pages WHERE page_id % 3 <> 0) o
+FULL JOIN (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'b' || page_id END AS etag, CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'new' END AS html FROM pages WHERE page_id % 2 = 0) n USING (page_id)""")
+def endpoint_upsert(spark, d):
+    p = _t(spark, d, "pages")
+    url = F.col("page_id").cast("string").alias("url")
+    old = p.filter("page_id % 3 <> 0").select(url, F.concat(F.lit("a"), "page_id").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.encode("html", "UTF-8").alias("content"))
+    new = p.filter("page_id % 2 = 0").select(url, F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("b"), "page_id")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(F.col("page_id") % 5 != 0, F.encode(F.lit("new"), "UTF-8")).alias("content"))
+    out = store.upsert_endpoints(old, new)
+    return out.select(F.col("url").cast("long").alias("page_id"), "etag", F.length(F.decode("content", "UTF-8")).cast("long").alias("n_chars"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_hash_dedupe(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", values.content_hash(F.col("text")).alias("content_hash"))
+    return docs.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE source = 'src3'")
+def status_scan(spark, d):
+    docs = _snapshot(_t(spark, d, "documents"), "2024-01-01").withColumn("status", F.when(F.col("source_id") == "src3", "active").otherwise("inactive"))
+    return store.documents(docs, "active").select(F.substring("id", 3, 20).cast("long").alias("doc_id"), F.col("source_id").alias("source"))
+
+
+_DISCOVERED = "(SELECT page_id, page_id % 2 AS src, url, CASE WHEN page_id % 3 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * page_id END AS published FROM pages UNION ALL SELECT page_id + 1000000, page_id % 2, url || '#x', TIMESTAMP '2025-01-01' FROM pages)"
+
+
+@query(f"""
+SELECT src, n AS normalized_url, min(page_id) AS ord, strftime(arg_min(published, page_id) FILTER (WHERE published IS NOT NULL), '%Y-%m-%d') AS published
+FROM (SELECT *, {_NORM.format(p=_PAIRS)} AS n FROM {_DISCOVERED}) GROUP BY src, n""")
+def discovery_merge(spark, d):
+    from lodestral.sources import discovery
+
+    p = _t(spark, d, "pages").select("page_id", "url")
+    date = F.when(F.col("page_id") % 3 > 0, F.expr("timestamp'2024-01-01' + make_dt_interval(cast(page_id as int))"))
+    first = p.select((F.col("page_id") % 2).alias("src"), "url", F.col("page_id").alias("ord"), date.alias("published_at"))
+    again = p.select((F.col("page_id") % 2).alias("src"), F.concat("url", F.lit("#x")).alias("url"), (F.col("page_id") + 1000000).alias("ord"), F.expr("timestamp'2025-01-01'").alias("published_at"))
+    return discovery.merge(first.union(again), "src").select("src", "normalized_url", "ord", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
+
+
+@query("SELECT event_id, CASE WHEN ts + INTERVAL 1 HOUR * (user_id % 50) <= ts + INTERVAL 24 HOURS THEN 'page' WHEN event_id % 2 = 0 THEN 'discovery' END AS chosen FROM events")
+def published_at_select(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    page = ts + F.expr("make_interval(0, 0, 0, 0, cast(user_id % 50 as int), 0, 0)")
+    found = F.when(F.col("event_id") % 2 == 0, ts - F.expr("INTERVAL 1 DAY"))
+    e = _t(spark, d, "events").select("event_id", page.alias("p"), times.published_at(ts, page, found).alias("x"))
+    return e.select("event_id", F.when(F.col("x") == F.col("p"), "page").when(F.col("x").isNotNull(), "discovery").alias("chosen"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+k AS (SELECT h.doc_id, h.r, sha256(d.text) AS u, row_number() OVER (PARTITION BY sha256(d.text) ORDER BY h.r) AS n FROM (SELECT * FROM h WHERE r <= 200) h JOIN documents d USING (doc_id) WHERE d.source <> 'src1' AND d.doc_id % 7 <> 0)
+SELECT doc_id, row_number() OVER (ORDER BY r) AS rank FROM k WHERE n = 1""")
+def current_chunk_filter(spark, d):
+    docs = _t(spark, d, "documents")
+    hash_ = values.content_hash(F.col("text"))
+    stored = docs.filter("source <> 'src1'").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), hash_.alias("content_hash"), hash_.alias("canonical_url"), F.when(F.col("doc_id") % 7 == 0, "inactive").otherwise("active").alias("status"))
+    top = docs.select("doc_id", "source", "n_chars", hash_.alias("content_hash")).orderBy(F.desc("n_chars"), "doc_id").limit(200)
+    hits = top.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), "content_hash", F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    return search.current_hits(hits, stored).select(F.col("document_id").alias("doc_id"), F.col("rank").cast("long"))
+
+
+# ---------------------------------------------------------------- parsing and chunks
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS solid_chars, true AS bounded FROM documents")
+def paragraph_chunks(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("active").alias("status"))
+    chunks = chunking.chunk_documents(docs)
+    sums = chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("solid_chars"), F.bool_and(F.length("text") <= 1200).alias("bounded"))
+    return docs.select(F.col("id").alias("doc_id")).join(sums, "doc_id", "left").select("doc_id", F.coalesce("solid_chars", F.lit(0)).cast("long").alias("solid_chars"), F.coalesce("bounded", F.lit(True)).alias("bounded"))
+
+
+@query("SELECT doc_id, sha256(text) AS whole, true AS bounded FROM documents")
+def byte_budget_chunks(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    chunks = chunking.byte_chunks(docs, 4096, 10_000)
+    joined = chunks.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("position", "chunk"))).alias("c"), F.bool_and(F.octet_length("chunk") <= 4096).alias("bounded"))
+    return joined.select("doc_id", F.sha2(F.array_join(F.transform("c", lambda x: x["chunk"]), ""), 256).alias("whole"), "bounded")
+
+
+@query()
+def html_extract(spark, d):
+    pages = _t(spark, d, "pages").select("page_id", F.lit("text/html").alias("media_type"), F.encode("html", "UTF-8").alias("content"))
+    return html.parse_documents(pages, "page_id")
+
+
+# ---------------------------------------------------------------- research runs
+
+_STATE = "CASE WHEN toxic = 1 THEN 'unusable' WHEN quality = 1 THEN 'active' ELSE 'shelved' END"
+
+
+def _run_documents(spark, d):
+    state = F.when(F.col("toxic") == 1, "unusable").when(F.col("quality") == 1, "active").otherwise("shelved")
+    return _t(spark, d, "labels").select((F.col("doc_id") % 10).alias("run_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("ord"), state.alias("lifecycle"), (F.col("doc_id") % 4).alias("n_evidence"))
+
+
+@query(f"""
+SELECT doc_id % 10 AS run_id, count(*) AS documents, count(*) FILTER (WHERE s = 'active') AS active, count(*) FILTER (WHERE s = 'shelved') AS shelved, count(*) FILTER (WHERE s = 'unusable') AS unusable,
+sum(doc_id % 4)::BIGINT AS evidence, coalesce(sum(doc_id % 4) FILTER (WHERE s = 'active'), 0)::BIGINT AS active_evidence, coalesce(sum(doc_id % 4) FILTER (WHERE s = 'shelved'), 0)::BIGINT AS shelved_evidence
+FROM (SELECT doc_id, {_STATE} AS s FROM labels) GROUP BY 1""")
+def lifecycle_counts(spark, d):
+    return research.lifecycle_counts(_run_documents(spark, d))
+
+
+@query(f"""
+WITH r AS (SELECT doc_id % 10 AS run_id, count(*) FILTER (WHERE s = 'active') AS a, count(*) FILTER (WHERE s = 'shelved') AS h FROM (SELECT doc_id, {_STATE} AS s FROM labels) GROUP BY 1)
+SELECT run_id, array_to_string(list_filter([CASE WHEN 12 - run_id - 2 > 1 AND 3 - run_id % 4 > 0 THEN 'research' END, CASE WHEN 12 - run_id - 2 > 1 AND a + h > 0 THEN 'curate_evidence' END, CASE WHEN a BETWEEN 1 AND 40 THEN 'finish' END, 'stop'], lambda x: x IS NOT NULL), ',') AS actions FROM r""")
+def available_actions(spark, d):
+    counts = research.lifecycle_counts(_run_documents(spark, d))
+    state = counts.select("run_id", "active", "shelved", F.lit(12).alias("max_steps"), (F.col("run_id") + 2).alias("current_step"), F.lit(3).alias("max_researches"), (F.col("run_id") % 4).alias("researches"), F.lit(40).alias("max_active_documents"))
+    return research.available_actions(research.budgets(state)).select("run_id", F.array_join("actions", ",").alias("actions"))
+
+
+@query("""
+SELECT doc_id % 10 AS run_id, array_to_string(list_sort(list(doc_id) FILTER (WHERE quality = 1 AND doc_id % 3 <> 0)), ',') AS shelve, array_to_string(list_sort(list(doc_id) FILTER (WHERE quality <> 1 AND doc_id % 3 = 0)), ',') AS reactivate FROM labels GROUP BY 1""")
+def curation_diff(spark, d):
+    pick = lambda c: F.collect_list(F.when(c, F.col("doc_id")))
+    runs_ = _t(spark, d, "labels").groupBy((F.col("doc_id") % 10).alias("run_id")).agg(pick(F.col("quality") == 1).alias("active"), pick(F.col("doc_id") % 3 == 0).alias("wanted"))
+    shelve, reactivate, _ = research.curation(F.col("active"), F.col("wanted"))
+    text = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
+    return runs_.select("run_id", text(shelve).alias("shelve"), text(reactivate).alias("reactivate"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event_type, arg_max(event_id, (ts, event_id)) AS last_event_id, count(*) AS steps FROM events GROUP BY user_id")
+def state_latest(spark, d):
+    return research.latest(_t(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "event_id"])
+
+
+_OUTCOME = "CASE event_type WHEN 'click' THEN 'retrieved' WHEN 'error' THEN 'fetch_failure' WHEN 'purchase' THEN 'fetch_success' WHEN 'signup' THEN 'new' ELSE 'selected' END"
+
+
+@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE k = '{k}') AS {k}" for k in ("retrieved", "new", "reused", "selected", "fetch_success", "fetch_failure", "extraction_success", "extraction_failure")) + f" FROM (SELECT user_id, {_OUTCOME} AS k FROM events) GROUP BY user_id")
+def research_history(spark, d):
+    return research.research_history(_t(spark, d, "events").withColumn("kind", F.expr(_OUTCOME)), ["user_id"])
+
+
+@query("""
+WITH e AS (SELECT user_id % 20 AS run_id, event_id % 15 AS document_id, event_id AS step, CASE WHEN event_type IN ('click', 'signup') THEN 'evidence' WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'view' THEN 'shelve' ELSE 'reactivate' END AS event, event_id % 3 AS n FROM events),
+b AS (SELECT run_id, document_id, arg_min(CASE WHEN event = 'evidence' AND n > 0 THEN 'active' ELSE 'unusable' END, step) FILTER (WHERE event IN ('evidence', 'failure')) AS born, min(step) FILTER (WHERE event IN ('evidence', 'failure')) AS born_at,
+arg_max(CASE WHEN event = 'shelve' THEN 'shelved' ELSE 'active' END, step) FILTER (WHERE event IN ('shelve', 'reactivate')) AS moved, max(step) FILTER (WHERE event IN ('shelve', 'reactivate')) AS moved_at FROM e GROUP BY 1, 2)
+SELECT run_id, document_id, CASE WHEN moved IS NOT NULL AND born = 'active' THEN moved ELSE born END AS lifecycle, CASE WHEN moved IS NOT NULL AND born = 'active' THEN moved_at ELSE born_at END AS updated_at_step FROM b""")
+def lifecycle_reducer(spark, d):
+    kind = F.when(F.col("event_type").isin("click", "signup"), "evidence").when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "shelve").otherwise("reactivate")
+    e = _t(spark, d, "events").select((F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 15).alias("document_id"), F.col("event_id").alias("step"), kind.alias("event"), (F.col("event_id") % 3).alias("n_evidence"), F.lit(None).cast("string").alias("reason"))
+    return research.lifecycle(e).select("run_id", "document_id", "lifecycle", "updated_at_step")
+
+
+@query(f"""
+WITH g AS (SELECT doc_id % 10 AS run_id, doc_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS position FROM (SELECT doc_id, {_STATE} AS s FROM labels) JOIN documents USING (doc_id) WHERE s = 'active')
+SELECT run_id, doc_id, 'S' || position AS ref, left(text, 300) AS claim, 1::BIGINT AS n_items FROM g JOIN documents USING (doc_id)""")
+def evidence_groups(spark, d):
+    evidence = _t(spark, d, "documents").select((F.col("doc_id") % 10).alias("run_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("ord"), F.col("text").alias("claim"))
+    groups = synthesis.evidence_groups(evidence, _run_documents(spark, d))
+    return groups.select("run_id", F.col("document_id").alias("doc_id"), "ref", F.col("items")[0]["claim"].alias("claim"), F.size("items").cast("long").alias("n_items"))
+
+
+@query("""
+WITH a AS (SELECT item_id, [item_id % 7 + 1, item_id % 3 + 1, item_id % 7 + 1, 9] AS m FROM benchmark),
+u AS (SELECT item_id, unnest(m) AS p, unnest(range(0, 4)) AS o FROM a), f AS (SELECT item_id, p, min(o) AS o FROM u WHERE p <= 5 GROUP BY 1, 2)
+SELECT item_id AS run_id, p::INTEGER AS position, row_number() OVER (PARTITION BY item_id ORDER BY o) AS nth, item_id * 10 + p AS document_id FROM f""")
+def citation_resolve(spark, d):
+    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("run_id"))
+    n = lambda k: F.format_string("[S%d]", F.col("run_id") % k + 1)
+    answers = b.select("run_id", F.concat(F.lit("x "), n(7), F.lit(" y "), n(3), n(7), F.lit(" [S9] [S0] [S01] z")).alias("answer"))
+    groups = b.select("run_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("position")).withColumn("document_id", F.col("run_id") * 10 + F.col("position"))
+    found = synthesis.resolve_citations(answers, groups)
+    return found.select("run_id", "position", F.row_number().over(W.partitionBy("run_id").orderBy("cite_order")).cast("long").alias("nth"), "document_id")
+
+
+@query("SELECT event_type AS action_type, round(sum(value), 4) AS seconds, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
+def action_durations(spark, d):
+    spans = _t(spark, d, "events").select(F.col("event_type").alias("action_type"), F.col("value").alias("seconds"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))
+    return evaluation.action_durations(spans).withColumn("seconds", F.round("seconds", 4))
+
+
+@query("""
+SELECT user_id, count(*) AS spans, min(event_id) AS first_id, array_to_string(list(event_type ORDER BY ts, event_id)[1:5], ',') AS first_types FROM events GROUP BY user_id""")
+def span_tree_stats(spark, d):
+    e = _t(spark, d, "events").withColumn("nth", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    first = F.collect_list(F.when(F.col("nth") <= 5, F.struct("nth", "event_type")))
+    return e.groupBy("user_id").agg(F.count("*").alias("spans"), F.min("event_id").alias("first_id"), F.array_join(F.transform(F.array_sort(first), lambda x: x["event_type"]), ",").alias("first_types"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE lang IN ('fr', 'en', 'de')) WHERE n <= 5")
+def balanced_sample(spark, d):
+    return evaluation.balanced_sample(_t(spark, d, "documents").withColumn("ord", F.col("doc_id")), "lang", ["fr", "en", "de"], 5).select("doc_id", "lang")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 12")
+def subset_select(spark, d):
+    return evaluation.subset(_t(spark, d, "documents").withColumn("ord", F.col("doc_id")), F.col("lang") == "es", 12).select("doc_id")
+
+
+@query("SELECT 'lang' AS \"column\", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
+def manifest_counts(spark, d):
+    return evaluation.manifest(_t(spark, d, "documents"), ["lang", "source"])
+
+
+@query("SELECT 'missing' AS side, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
+def asset_id_diff(spark, d):
+    return evaluation.id_difference(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id")
+
+
+_CASES = """(SELECT doc_id, toxic = 0 AS done, doc_id % 5 AS active_documents, doc_id % 6 AS active_evidence, doc_id % 3 AS citations, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'a' END AS final_answer, quality, toxic FROM labels)"""
+_PASSED = "(done AND active_documents >= 1 AND active_evidence >= 1 AND citations >= 1 AND trim(final_answer) <> '')"
+
+
+def _cases(spark, d):
+    c = F.col("doc_id")
+    base = _t(spark, d, "labels").select(
+        "doc_id", (F.col("toxic") == 0).alias("done"), (c % 5).alias("active_documents"), (c % 6).alias("active_evidence"), (c % 3).alias("citations"), F.when(c % 11 == 0, " ").otherwise("a").alias("final_answer"), (c % 7).alias("documents"), (c % 2).alias("unusable_documents"),
+        (c % 8).alias("evidence"), (F.col("quality") == 1).alias("preferred_source_type_match"), F.when(F.col("toxic") == 1, "failed").alias("error"), F.when(c % 13 == 0, F.array(F.lit("timeout"))).otherwise(F.array().cast("array<string>")).alias("retrieval_failure_reasons"), (c % 4).alias("curation_actions"),
+        (c % 9).alias("filtered_results"), (c % 9 + 1).alias("classified_results"), (c % 5).alias("recognized_sources"), (c % 5 + 1).alias("unknown_sources"), (c % 10).alias("retrieved_results"), (c % 17 / 4).alias("action_seconds"), F.lit(1).alias("min_documents"), F.lit(1).alias("min_evidence"), F.lit(1).alias("min_citations"),
+    )
+    return evaluation.case_results(base)
+
+
+@query(f"SELECT doc_id, {_PASSED} AS passed_minimums FROM {_CASES}")
+def case_results(spark, d):
+    return _cases(spark, d).select("doc_id", "passed_minimums")
+
+
+_AVERAGED = {"retrieved_results": "doc_id % 10", "filtered_results": "doc_id % 9", "classified_results": "doc_id % 9 + 1", "recognized_sources": "doc_id % 5", "unknown_sources": "doc_id % 5 + 1", "documents": "doc_id % 7", "active_documents": "doc_id % 5", "unusable_documents": "doc_id % 2", "evidence": "doc_id % 8", "active_evidence": "doc_id % 6", "action_seconds": "(doc_id % 17) / 4.0"}
+
+
+@query(
+    f"SELECT count(*) AS case_count, count(*) FILTER (WHERE done) AS completed_count, count(*) FILTER (WHERE {_PASSED}) AS passed_minimums_count, count(*) FILTER (WHERE doc_id % 7 > 0) AS with_documents_count, count(*) FILTER (WHERE doc_id % 5 > 0) AS with_active_documents_count, count(*) FILTER (WHERE doc_id % 2 > 0) AS with_unusable_documents_count, "
+    "count(*) FILTER (WHERE doc_id % 8 > 0) AS with_evidence_count, count(*) FILTER (WHERE doc_id % 6 > 0) AS with_active_evidence_count, count(*) FILTER (WHERE doc_id % 3 > 0) AS with_citations_count, count(*) FILTER (WHERE quality = 1) AS preferred_source_match_count, count(*) FILTER (WHERE toxic = 1) AS error_count, count(*) FILTER (WHERE doc_id % 13 = 0) AS with_retrieval_failures_count, "
+    "sum(doc_id % 4)::BIGINT AS total_curation_actions, sum(doc_id % 9)::BIGINT AS total_filtered_results, sum(doc_id % 9 + 1)::BIGINT AS total_classified_results, sum(doc_id % 5)::BIGINT AS total_recognized_sources, sum(doc_id % 5 + 1)::BIGINT AS total_unknown_sources, "
+    + ", ".join(f"round_even(avg({e}), 2) AS average_{k}" for k, e in _AVERAGED.items())
+    + f", round_even(sum(doc_id % 5) / sum(doc_id % 9 + 1), 4) AS classification_coverage FROM {_CASES}"
+)
+def evaluation_summary(spark, d):
+    return evaluation.summary(_cases(spark, d))
+
+
+@query("SELECT 'timeout' AS value, count(*) AS n FROM labels WHERE doc_id % 13 = 0")
+def failure_histogram(spark, d):
+    return evaluation.histogram(_cases(spark, d), "retrieval_failure_reasons")
+
+
+@query("SELECT user_id, array_to_string(list(event_type ORDER BY o), ',') AS types FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY user_id")
+def ordered_distinct(spark, d):
+    return evaluation.ordered_distinct(_t(spark, d, "events"), "user_id", "event_type", "event_id").select("user_id", F.array_join("values", ",").alias("types"))
+
+
+@query("SELECT role, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')))::BIGINT AS tokens, count(*) AS messages FROM conversations GROUP BY role")
+def llm_token_usage(spark, d):
+    return _t(spark, d, "conversations").groupBy("role").agg(F.sum(values.token_count(F.col("text"))).alias("tokens"), F.count("*").alias("messages"))
+
+
+@query("""
+SELECT source_id, documents, active_dated, failures, g AS is_total FROM (
+SELECT source AS source_id, sum(d)::BIGINT AS documents, sum(a)::BIGINT AS active_dated, sum(f)::BIGINT AS failures, grouping(source)::INTEGER AS g
+FROM (SELECT source, 1 AS d, CASE WHEN doc_id % 3 > 0 AND doc_id % 2 = 0 THEN 1 ELSE 0 END AS a, 0 AS f FROM documents UNION ALL SELECT source, 0, 0, 1 FROM documents WHERE doc_id % 9 = 0) GROUP BY ROLLUP (source))""")
+def sync_summary(spark, d):
+    docs = _t(spark, d, "documents")
+    rows = docs.select(F.col("source").alias("source_id"), F.when(F.col("doc_id") % 3 > 0, "active").otherwise("inactive").alias("status"), F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01")).alias("published_at"))
+    return sync.summary(rows, docs.filter("doc_id % 9 = 0").select(F.col("source").alias("source_id")))
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'deferred' WHEN page_id % 7 = 0 THEN 'disallowed' WHEN page_id % 5 = 0 THEN 'failed' WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 'unchanged' WHEN page_id % 3 = 0 THEN 'missing' WHEN page_id % 13 = 0 THEN 'redirected' ELSE 'active' END AS "case",
+CASE WHEN page_id % 11 = 0 THEN 'keep' WHEN page_id % 7 = 0 THEN 'write' WHEN page_id % 5 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'keep' ELSE 'write' END WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 'keep' ELSE 'write' END AS action FROM pages""")
+def page_decisions(spark, d):
+    c, null = F.col("page_id"), F.lit(None)
+    when = F.lit("2024-01-02").cast("timestamp")
+    pages = _t(spark, d, "pages").select(
+        "page_id", "url", F.when(c % 11 == 0, "deferred").when(c % 7 == 0, "disallowed").otherwise("allowed").alias("robots"), F.when(c % 3 == 0, 304).otherwise(200).alias("status"), F.when(c % 5 == 0, "boom").alias("error"), (c % 13 != 0).alias("in_scope"), F.lit("x").alias("text"), F.lit("t").alias("title"),
+        F.when(c % 2 == 0, "active").alias("existing_status"), null.cast("string").alias("existing_title"), when.alias("fetched_at"), when.alias("published_at"), null.cast("timestamp").alias("discovered_at"), null.cast("timestamp").alias("existing_published_at"),
+    )
+    return sync.decide_pages(pages).select("page_id", "case", "action")
+
+
+@query("SELECT doc_id, '```tsv' || chr(10) || 'Item' || chr(10) || lang || chr(10) || source || chr(10) || '```' AS block FROM documents")
+def tsv_render(spark, d):
+    payload = F.to_json(F.struct(F.array("lang", "source", "lang").alias("items")))
+    return synthesis.render(_t(spark, d, "documents").select("doc_id", F.lit("set").alias("kind"), payload.alias("payload"))).select("doc_id", "block")
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS seconds FROM events GROUP BY 1, 2")
+def stream_span_windows(spark, d):
+    events = runs.read_events(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema)
+    out = runs.drain(runs.span_windows(events, late="3650 days"), "span_windows", "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("seconds", 4).alias("seconds"))
+
+
+@query("SELECT user_id, count(*) AS steps, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
+def stream_run_state(spark, d):
+    events = runs.read_events(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema)
+    out = runs.drain(runs.run_state(events), "run_state", "update")
+    newest = out.groupBy("user_id").agg(F.max_by(F.struct("steps", "last_type"), "steps").alias("s"))
+    return newest.select("user_id", "s.steps", "s.last_type")
