@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from lodestral.functions import urls
+from lodestral.functions.session import checkpoint
 from lodestral.functions.times import published_at
 from lodestral.operators.store import preserve_or_deactivate
 
@@ -53,11 +54,11 @@ def sitemap_levels(start: DataFrame, expand: Callable[[DataFrame], DataFrame], m
     for _ in range(most):
         if level.isEmpty():
             return content, seen.select("source_id", "url")
-        made = expand(level.select("source_id", "url")).checkpoint()  # fetched once
+        made = checkpoint(expand(level.select("source_id", "url")))  # fetched once
         found = made.filter("kind = 'content'").select("source_id", "url")
         content = found if content is None else content.unionByName(found)
         nested = made.filter("kind = 'sitemap'").withColumn("h", urls.host(F.col("url"))).join(hosts, ["source_id", "h"], "left_semi").select("source_id", "url").withColumn("k", key).dropDuplicates(["source_id", "k"])
-        level = nested.join(seen, ["source_id", "k"], "left_anti").checkpoint()
+        level = checkpoint(nested.join(seen, ["source_id", "k"], "left_anti"))
         seen = seen.unionByName(level)
     raise ValueError(f"sitemaps nest deeper than {most} levels")
 
