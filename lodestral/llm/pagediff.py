@@ -3,9 +3,10 @@
 A page is cut into block lines, each in a zone: article (inside article, main or
 role=main), furniture (navigation, headers and footers of the site, sidebars, notices,
 adverts, forms, reader comments) or plain.  Pages are sorted by host and URL path over
-range partitions, so a hot host is spread; each page is aligned with its neighbour on
-the same host (its predecessor; the first of a partition takes its successor) by longest
-common subsequence of lines, and shared lines are deleted.  Furniture never stays.
+range partitions, so a hot host is spread; the last and first page of a partition also
+go to the next and the previous one.  Each page is aligned with its neighbour on the
+same host (its predecessor; the first of a host takes its successor) by longest common
+subsequence of lines, and shared lines are deleted.  Furniture never stays.
 Article lines always stay: neighbours may repeat a passage of their own text, and
 differencing alone would lose it.  If a page has an article, nothing else of it counts.
 
@@ -18,10 +19,11 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -159,9 +161,12 @@ def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | No
     return "\n\n".join(x for i, (z, x) in enumerate(page) if z == ARTICLE or not article and z == PLAIN and i not in gone)
 
 
+BEFORE, OWN, AFTER = range(3)
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page with its predecessor of one host, or its successor if it is the first."""
-    before = first = None  # before: host and lines; first: a page that waits for its successor
+    before = first = None  # before: range, host and lines; first: a page that waits for its successor
 
     def result(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -170,15 +175,16 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             page = lines(r["html"] or "")
-            same = before is not None and before[0] == r["host"]
+            range_, part = divmod(r["place"], 4)
+            same = before is not None and before[0] == (range_, r["host"])
             if first is not None:
                 rows.append((first[0], first[1], main_text(first[2], page if same else None)))
                 first = None
-            if same:
+            if part == OWN and same:
                 rows.append((r["page_id"], r["url"], main_text(page, before[1])))
-            else:
+            elif part == OWN:
                 first = (r["page_id"], r["url"], page)
-            before = (r["host"], page)
+            before = ((range_, r["host"]), page)
         if rows:
             yield result(rows)
     if first is not None:
@@ -191,6 +197,22 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select(
         F.col("page_id").cast("long"), "url", "html", F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^(?:[^:/?#]+://[^/?#]*)?([^?#]*)", 1).alias("path")
     )
-    order = ["host", "path", "url", "page_id"]
-    dealt = keyed.repartitionByRange(shared.partitions(pages.sparkSession), *order).sortWithinPartitions(*order).drop("path")
-    return shared.arrow(dealt, _difference, "page_id long, url string, text string, n_chars long")
+    order = ["host", "path", "key_url", "key_id"]
+    keyed = keyed.withColumn("key_url", url).withColumn("key_id", F.coalesce("page_id", F.lit(-(1 << 63))))
+    n = shared.partitions(pages.sparkSession)
+    key = F.struct(*order)
+    ranges = keyed.select(*order).repartitionByRange(n, *order).groupBy(F.spark_partition_id()).agg(F.min(key).alias("a"), F.max(key).alias("b")).collect()  # one row per range
+    ranges = sorted((tuple(r["a"]), tuple(r["b"])) for r in ranges)
+    starts, ends = [a for a, _ in ranges], [b for _, b in ranges]
+
+    @F.pandas_udf("array<long>")
+    def places(host: pd.Series, path: pd.Series, url: pd.Series, page_id: pd.Series) -> pd.Series:
+        out = []
+        for k in zip(host, path, url, page_id):
+            at = max(0, bisect_right(starts, k) - 1)
+            out.append([4 * at + OWN] + ([4 * (at + 1) + BEFORE] if k == ends[at] and at + 1 < len(starts) else []) + ([4 * (at - 1) + AFTER] if k == starts[at] and at else []))
+        return pd.Series(out)
+
+    shared.ship(pages.sparkSession)
+    dealt = keyed.withColumn("place", F.explode(places(*order))).repartitionByRange(n, F.floor(F.col("place") / 4)).sortWithinPartitions("place", *order)
+    return shared.arrow(dealt.select("page_id", "url", "html", "host", "place"), _difference, "page_id long, url string, text string, n_chars long")
