@@ -187,9 +187,10 @@ def join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _links(budget: int, rows: int = 1 << 15):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         tags, values = np.asarray(table.column("tag")), np.asarray(table.column("fp")).view(np.uint64)
         for tag in np.unique(tags):
             fps = values[tags == tag]
@@ -247,7 +248,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFram
     roots = components(links(classes, budget)).withColumnRenamed("node", "fp")
     named = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # A stored side leaves the last join free to split a hot fingerprint.
+    return prints.join(shared.stored(named.join(ids, "root").select("fp", "component_id"), "fingerprint-components"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Multipliers that part one shingle hash into independent ones.
@@ -299,9 +301,10 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(budget: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         tags, keys, nodes = (np.asarray(table.column(c)) for c in ("tag", "key", "node"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         for tag in np.unique(tags):
@@ -349,4 +352,4 @@ def near_copies(docs: DataFrame, size: int = 3, tables: int = 12, budget: int =
     found = shared.arrow(dealt, _near(budget, share), "a long, b long").distinct()
     roots = components(found)
     named = classes.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
-    return sketches.join(named, "sketch").select("doc_id", "component_id")
+    return sketches.join(shared.stored(named, "sketch-components"), "sketch").select("doc_id", "component_id")
