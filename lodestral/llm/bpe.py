@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -33,47 +34,62 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     size = 1 << max(0, (n - 2).bit_length())
-    tree = [_NONE] * (2 * size)
     get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r << 32 | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-    after = list(range(1, n + 1)) + [n]
-    before = list(range(-1, n))
-
-    def put(i: int, value: int) -> None:
-        i += size
-        if tree[i] == value:
-            return
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-            i >>= 1
-
-    while tree[1] < _NONE:
-        i = tree[1] & 0xFFFFFFFF
+    leaves = [_NONE if (r := get(piece[i : i + 2])) is None else r << 32 | i for i in range(n - 1)]
+    leaves += [_NONE] * (size - n + 1)
+    levels = [leaves]
+    while len(leaves) > 1:
+        leaves = [a if a < b else b for a, b in zip(leaves[::2], leaves[1::2])]
+        levels.append(leaves)
+    tree = [0]
+    for level in reversed(levels):
+        tree += level
+    after, before = list(range(1, n + 2)), list(range(-1, n + 1))
+    while (top := tree[1]) < _NONE:
+        i = top & 0xFFFFFFFF
         j = after[i]
-        k = after[j]
-        after[i] = k
-        if k <= n:
-            before[k] = i
-        if j < n - 1:
-            put(j, _NONE)
+        k = after[i] = after[j]
+        before[k] = i
+        # The merged pair's right leaf goes; the pairs right and left of the merged part are new.
+        place = size + j
+        value = _NONE
+        if j < n - 1 and tree[place] != value:
+            tree[place] = value
+            while place > 1:
+                place >>= 1
+                value, b = tree[2 * place], tree[2 * place + 1]
+                if b < value:
+                    value = b
+                if tree[place] == value:
+                    break
+                tree[place] = value
         r = get(piece[i : after[k]]) if k < n else None
-        put(i, _NONE if r is None else r << 32 | i)
+        value = _NONE if r is None else r << 32 | i
+        place = size + i
+        tree[place] = value
+        while place > 1:
+            place >>= 1
+            value, b = tree[2 * place], tree[2 * place + 1]
+            if b < value:
+                value = b
+            if tree[place] == value:
+                break
+            tree[place] = value
         p = before[i]
         if p >= 0:
             r = get(piece[p:k])
-            put(p, _NONE if r is None else r << 32 | p)
+            value = _NONE if r is None else r << 32 | p
+            place = size + p
+            if tree[place] != value:
+                tree[place] = value
+                while place > 1:
+                    place >>= 1
+                    value, b = tree[2 * place], tree[2 * place + 1]
+                    if b < value:
+                        value = b
+                    if tree[place] == value:
+                        break
+                    tree[place] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -98,7 +114,7 @@ class Codec:
         self.pieces = text.Pieces(self._merge, capacity=150_000)
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(merge(p.encode(), self.ranks), "<u4").tobytes() for p in pieces]
+        return [pack(f"<{len(ids)}I", *ids) for ids in (merge(p.encode(), self.ranks) for p in pieces)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
