@@ -141,6 +141,22 @@ LATIN = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*").fullmatch
 LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
 
 
+class _Places(dict):
+    """Place of each piece in a table of packed ids; a new piece gets the next place."""
+
+    def __init__(self, old: dict[str, bytes]):
+        super().__init__()
+        self.old, self.table, self.fresh = old, [], []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self.table)
+        packed = self.old.get(piece)
+        self.table.append(packed)
+        if packed is None:
+            self.fresh.append(piece)
+        return place
+
+
 class Pieces:
     """Packed ids of pieces, each distinct piece encoded once.
 
@@ -150,19 +166,18 @@ class Pieces:
 
     def __init__(self, many, capacity: int = 350_000, longest: int = 64):
         self.many, self.capacity, self.longest = many, capacity, longest
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Places({})
 
     def __call__(self, split: list[list[str]]) -> list[bytes]:
-        if len(self.known) > self.capacity:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        absent = set().union(*split).difference(known)
-        known.update((p, old[p]) for p in absent if p in old)
-        fresh = [p for p in absent if p not in known]
-        known.update(zip(fresh, self.many(fresh)))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        known = self.known
+        if len(known) > self.capacity:
+            known = self.known = _Places({p: known.table[i] for p, i in known.items()})
+        places = [list(map(known.__getitem__, pieces)) for pieces in split]
+        fresh, known.fresh, table = known.fresh, [], known.table
+        for p, packed in zip(fresh, self.many(fresh)):
+            table[known[p]] = packed
+        out = [b"".join(map(table.__getitem__, at)) for at in places]
         for p in fresh:
             if len(p) > self.longest:
-                del known[p]
+                table[known.pop(p)] = b""
         return out

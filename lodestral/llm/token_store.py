@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +92,12 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size() - 1, end or 0) < 1 << 16 else 4
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.pieces = text.Pieces(self._library)
+        self.pieces = text.Pieces(self._library, capacity=700_000)
 
     def _library(self, strings: list[str]) -> list[bytes]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
         ends = np.cumsum([0, *map(len, encoded)]) * 4
-        ids = np.array([i for e in encoded for i in e], "<u4").tobytes()
+        ids = np.array(list(chain.from_iterable(encoded)), "<u4").tobytes()
         return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
