@@ -80,3 +80,23 @@ def fetch_budget(outcomes: DataFrame, limit: int) -> DataFrame:
     """Outcomes up to the one that reaches ``limit`` new documents; failures and hits are free."""
     before = F.coalesce(F.sum(F.col("is_new").cast("int")).over(W.partitionBy("run_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return outcomes.withColumn("used", before).filter(F.col("used") < limit).drop("used")
+
+
+def extend_index(index: DataFrame, new: DataFrame) -> DataFrame:
+    """The run's URL index with new URLs (run_id, normalized_url, result_id); a known URL raises."""
+    known = new.join(index, ["run_id", "normalized_url"], "left_semi").first()
+    if known:
+        raise ValueError(f"URL already in the index: {known['normalized_url']}")
+    return index.unionByName(new)
+
+
+def documents_to_extract(outcomes: DataFrame, known: DataFrame) -> DataFrame:
+    """Successful fetches, each document once in order, that the run doesn't know yet."""
+    first = outcomes.filter("success").withColumn("n", F.row_number().over(W.partitionBy("run_id", "document_id").orderBy("ord"))).filter("n = 1").drop("n")
+    return first.join(known.select("run_id", "document_id"), ["run_id", "document_id"], "left_anti")
+
+
+def search_metadata(hits: DataFrame, mode: str) -> DataFrame:
+    """Ranked results of a local search with the metadata that tells where they came from."""
+    pairs = (("provider", F.lit("local_corpus")), ("score", F.col("score").cast("string")), ("corpus_document_id", F.col("document_id")), ("corpus_chunk_id", F.col("id")), ("corpus_source_id", F.col("source_id")), ("corpus_content_hash", F.col("content_hash")), ("corpus_search_mode", F.lit(mode)))
+    return hits.withColumn("metadata", F.create_map(*(x for k, v in pairs for x in (F.lit(k), v))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestral.functions import urls
 from lodestral.functions.session import checkpoint
-from lodestral.operators import chunking, embeddings, search, store, sync
+from lodestral.operators import chunking, embeddings, retrieval, search, store, sync
 from lodestral.sources import discovery, fetch, html, registry, robots
 
 #: Options with their environment-like defaults, read from the session by ``option``.
@@ -98,8 +98,28 @@ def search_corpus(index: DataFrame, snapshot: DataFrame, query: str, mode: str =
     ranked = top.join(index, "id").withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
     current = search.current_hits(ranked.select("id", "document_id", "source_id", "content_hash", "rank", "score", "text"), snapshot)
     docs = snapshot.select(F.col("id").alias("document_id"), "title", "url", "published_at")
-    meta = F.create_map(*(x for k, v in (("provider", F.lit("local_corpus")), ("score", F.col("score").cast("string")), ("corpus_document_id", F.col("document_id")), ("corpus_chunk_id", F.col("id")), ("corpus_source_id", F.col("source_id")), ("corpus_content_hash", F.col("content_hash")), ("corpus_search_mode", F.lit(mode))) for x in (F.lit(k), v)))
-    return current.join(docs, "document_id").select("rank", F.coalesce("title", "url").alias("title"), "url", F.col("text").alias("snippet"), "published_at", meta.alias("metadata")).orderBy("rank")
+    current = retrieval.search_metadata(current, mode)
+    return current.join(docs, "document_id").select("rank", F.coalesce("title", "url").alias("title"), "url", F.col("text").alias("snippet"), "published_at", "metadata").orderBy("rank")
+
+
+def write_index(index: DataFrame, path: str, model: str, dimensions: int) -> None:
+    """Index table below path/chunks and its model below path/meta; replaces what is there."""
+    spark = index.sparkSession
+    index.write.mode("overwrite").parquet(f"{path}/chunks")
+    spark.createDataFrame([(model, dimensions)], "model string, dimensions int").write.mode("overwrite").json(f"{path}/meta")
+
+
+def read_index(spark: SparkSession, path: str, model: str, dimensions: int) -> DataFrame:
+    """The index table; another model or number of dimensions raises."""
+    meta = spark.read.schema("model string, dimensions int").json(f"{path}/meta").first()
+    if (meta["model"], meta["dimensions"]) != (model, dimensions):
+        raise ValueError(f"index was made with {meta['model']}, {meta['dimensions']} dimensions")
+    return spark.read.parquet(f"{path}/chunks")
+
+
+def sync_report(documents: DataFrame, failures: DataFrame) -> tuple[DataFrame, int]:
+    """Per-source and total counts, and the exit code: 1 if anything failed."""
+    return sync.summary(documents, failures), int(not failures.isEmpty())
 
 
 def as_json(df: DataFrame) -> list[str]:

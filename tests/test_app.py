@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodestral.operators import agents, store, traces
+from lodestral.operators import agents, retrieval, runtime, store, traces
 from lodestral.plans import app
 from lodestral.sources import fetch
 
@@ -24,7 +24,7 @@ def client(request):
     return {"status": 304} if request.get("if_none_match") and request["if_none_match"] == page.get("etag") else page
 
 
-def test_sync_index_search(spark):
+def test_sync_index_search(spark, tmp_path):
     sources = spark.createDataFrame([(0, "s", "S", "news", True, ["a.com"], ["/"], ["https://a.com/feed"], [])], "ord int, id string, name string, source_type string, enabled boolean, allowed_domains array<string>, allowed_path_prefixes array<string>, feeds array<string>, sitemaps array<string>")
     snapshot = spark.createDataFrame([], store.DOCUMENT)
     state = spark.createDataFrame([], "url string, etag string, last_modified string, content binary")
@@ -38,6 +38,11 @@ def test_sync_index_search(spark):
     assert {r["url"][-1]: r["status"] for r in again.collect()}["1"] == "active"
     index = app.reindex(snapshot, dimensions=16).checkpoint()
     assert index.count() == 1 and app.reindex(snapshot, index, dimensions=16).filter("vector is null").isEmpty()
+    app.write_index(index, str(tmp_path / "index"), "hashing", 16)
+    index = app.read_index(spark, str(tmp_path / "index"), "hashing", 16)
+    with pytest.raises(ValueError):
+        app.read_index(spark, str(tmp_path / "index"), "other", 16)
+    assert app.sync_report(snapshot, failures)[1] == 1 and app.sync_report(snapshot, failures.limit(0))[1] == 0
     for mode in ("bm25", "vector", "hybrid"):
         row = json.loads(app.as_json(app.search_corpus(index, snapshot, "vehicle", mode, 5, dimensions=16))[0])
         assert row["title"] == "One" and row["metadata"]["corpus_search_mode"] == mode and len(row["metadata"]) == 7
@@ -91,3 +96,28 @@ def test_traces(spark):
     assert {r["name"]: (r["status"], r["parent_span_id"]) for r in table.collect()} == {"agent.run": ("error", None), "agent.step": ("ok", "t-000001")}
     assert traces.completed_steps(table).count() == 1 and traces.root_seconds(table).count() == 1
     assert {r["span_id"]: r["depth"] for r in traces.depth(table).collect()} == {"t-000001": 0, "t-000002": 1}
+
+
+def test_runtime(spark):
+    plan = iter(["research", "finish"])
+    execute = runtime.dispatch({"research": lambda a, s: {"type": "research"}, "finish": lambda a, s: {"type": "finish", "answer": "done"}})
+    tracer = traces.Tracer("r")
+    result = runtime.run({"query": "q", "max_steps": 5}, lambda s: {"type": next(plan)}, execute, tracer)
+    assert result.state["final_answer"] == "done" and result.state["current_step"] == 2 and len(result.state["history"]) == 2
+    assert traces.completed_steps(tracer.table(spark)).count() == 2
+    endless = runtime.run({"max_steps": 3}, lambda s: {"type": "research"}, execute, traces.Tracer("e"))
+    assert not endless.state["done"] and endless.state["current_step"] == 3
+    with pytest.raises(runtime.RunError) as e:
+        runtime.run({"max_steps": 3}, lambda s: {"type": "odd"}, execute, traces.Tracer("x"))
+    assert e.value.trace_id == "x"
+
+
+def test_index_and_extraction(spark):
+    index = spark.createDataFrame([(1, "u1", "r1")], "run_id long, normalized_url string, result_id string")
+    new = spark.createDataFrame([(1, "u2", "r2")], index.schema)
+    assert retrieval.extend_index(index, new).count() == 2
+    with pytest.raises(ValueError):
+        retrieval.extend_index(index, index)
+    outcomes = spark.createDataFrame([(1, "a", 0, True), (1, "a", 1, True), (1, "b", 2, False), (1, "c", 3, True)], "run_id long, document_id string, ord int, success boolean")
+    known = spark.createDataFrame([(1, "c")], "run_id long, document_id string")
+    assert [r["document_id"] for r in retrieval.documents_to_extract(outcomes, known).collect()] == ["a"]
