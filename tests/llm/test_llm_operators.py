@@ -1,6 +1,5 @@
 """Each operator against a brute-force version, on fixtures with nulls, ties and odd texts."""
 
-import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -10,7 +9,7 @@ import public_tokenizers as P
 import pytest
 import xxhash
 
-from lodestral.llm import bpe, decontam, licenses, pagediff, pll, simhash, substring, token_store, toxicity, webp
+from lodestral.llm import bpe, decontam, licenses, pagediff, pll, simhash, substring, token_store, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, pos long, spans string, tag int"
 RNG = np.random.default_rng(5)
