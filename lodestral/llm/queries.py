@@ -63,6 +63,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM g),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE n > 1),
+p AS (SELECT doc_id, w[j] AS word, j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+a AS (SELECT p.doc_id, count(r.j) AS n_removed, string_agg(word, ' ' ORDER BY p.j) FILTER (WHERE r.j IS NULL) AS kept FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.j = r.j GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
+#: The article's blocks by patterns; enough for pages built like the test tables'.
+OP7_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(?:h1|p)>') AS parts FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(replace(replace(replace(replace(replace(p, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda p: p <> '') AS parts FROM b)
+SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, CAST(length(array_to_string(parts, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM c
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -80,4 +98,4 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 
 
 QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op5_pseudo_likelihood": op5_pseudo_likelihood, "op6_simhash": op6_simhash, "op7_pages": op7_pages, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
-ORACLES: dict[str, str] = {"op8_decontaminate": OP8_SQL, "op10_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op7_pages": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_licenses": licenses.oracle()}
