@@ -110,15 +110,31 @@ class Codec:
         self.bytes_of = [b""] * n
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
-        self.latin = text.LATIN_PIECES if pattern == public_tokenizers.PATTERN else None
-        self.pieces = text.Pieces(self._merge, capacity=150_000)
+        self.latin = pattern == public_tokenizers.PATTERN
+        self.pieces = text.Pieces(lambda pieces: text.packed([merge(p.encode(), self.ranks) for p in pieces]), capacity=250_000)
 
-    def _merge(self, pieces: list[str]) -> list[bytes]:
-        return [pack(f"<{len(ids)}I", *ids) for ids in (merge(p.encode(), self.ranks) for p in pieces)]
+        self.known: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            found = merge(piece.encode(), self.ranks)
+            ids = pack(f"<{len(found)}I", *found)
+            if len(piece) <= 64:
+                if len(self.known) >= 250_000:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
+
+    def _whole(self, value: str) -> bytes:
+        return b"".join(map(self._piece, self.pattern.findall(value)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        return self.pieces([self.latin(t) if self.latin and text.LATIN(t) else self.pattern.findall(t) for t in (t or "" for t in texts)])
+        """Ids of each text as little-endian unsigned 32-bit integers; of Latin texts each distinct piece is merged once."""
+        texts = [t or "" for t in texts]
+        latin = [self.latin and bool(text.LATIN(t)) for t in texts]
+        pieced = iter(self.pieces([t for t, x in zip(texts, latin) if x]))
+        return [next(pieced) if x else self._whole(t) for t, x in zip(texts, latin)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

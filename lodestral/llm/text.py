@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,49 +136,106 @@ class Rolling:
             return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
 
 
-#: Text of printable ASCII, tabs, line feeds and Latin letters, and its matches of the
-#: byte-level splitting pattern: there every version of Unicode tables agrees.
-LATIN = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*").fullmatch
-LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\s0-9A-Za-zÀ-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall
+#: Text of printable ASCII but the apostrophe, tabs, line feeds and Latin letters: there
+#: every version of Unicode tables gives the same matches of the byte-level pattern, and
+#: none of them is a contraction.
+LATIN = re.compile(r"[\t\n -&(-~À-ÖØ-öø-ÿ]*").fullmatch
 
+_LETTER, _DIGIT, _MARK, _BLANK, _BREAK = range(5)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[[c for c in range(256) if c > 127 or chr(c).isalpha()]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x20] = _BLANK
+_CLASS[[0x09, 0x0A]] = _BREAK
 
-class _Places(dict):
-    """Place of each piece in a table of packed ids; a new piece gets the next place."""
 
-    def __init__(self, old: dict[str, bytes]):
-        super().__init__()
-        self.old, self.table, self.fresh = old, [], []
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of the byte-level splitting pattern in LATIN texts: start, end, first of each text.
 
-    def __missing__(self, piece: str) -> int:
-        place = self[piece] = len(self.table)
-        packed = self.old.get(piece)
-        self.table.append(packed)
-        if packed is None:
-            self.fresh.append(piece)
-        return place
+    Runs of letters, digits or marks, each with one blank before it; of longer white space
+    the last character stands alone unless it is such a blank; white space that ends a
+    text is one match.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    kind = _CLASS[data]
+    white = kind >= _BLANK
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins = np.ones(n, bool)
+    # A character begins a match where its class changes, but for a character after a blank.
+    begins[1:] = np.where(white[1:], ~white[:-1], (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK))
+    begins[:-1] |= white[:-1] & ~white[1:] & ~edge[1:-1]
+    begins[edge[:-1]] = True
+    start = np.flatnonzero(begins)
+    return start, np.append(start[1:], n), np.searchsorted(start, offsets)
+
+
+class _Generation:
+    """Ids of pieces by the pieces' hashes, in one growing array."""
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.place), len(hashes)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while n + m > len(self.begin):
+            self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.length[n : n + m] = lengths
+        self.begin[n : n + m] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.place.update(zip(hashes, range(n, n + m)))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Concatenated ids of some places, and how many each has."""
+        n = self.length[places]
+        return self.flat[np.repeat(self.begin[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 class Pieces:
-    """Packed ids of pieces, each distinct piece encoded once.
+    """Ids of LATIN texts, each distinct piece encoded once.
 
-    ``many`` maps pieces to packed ids.  Two generations of at most ``capacity`` pieces
-    are kept; what is still in use moves to the younger.
+    ``many`` maps pieces to (ids, number of ids of each).  Two generations of about
+    ``capacity`` pieces are kept; what is still in use moves to the younger.
     """
 
-    def __init__(self, many, capacity: int = 350_000, longest: int = 64):
-        self.many, self.capacity, self.longest = many, capacity, longest
-        self.known = _Places({})
-
-    def __call__(self, split: list[list[str]]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.capacity:
-            known = self.known = _Places({p: known.table[i] for p, i in known.items()})
-        places = [list(map(known.__getitem__, pieces)) for pieces in split]
-        fresh, known.fresh, table = known.fresh, [], known.table
-        for p, packed in zip(fresh, self.many(fresh)):
-            table[known[p]] = packed
-        out = [b"".join(map(table.__getitem__, at)) for at in places]
-        for p in fresh:
-            if len(p) > self.longest:
-                table[known.pop(p)] = b""
-        return out
+    def __init__(self, many, capacity: int = 400_000):
+        self.many, self.capacity = many, capacity
+        self.young, self.old = _Generation(), _Generation()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.young.place) > self.capacity or self.young.used > 16 * self.capacity:
+            self.young, self.old = _Generation(), self.young
+        parts = [t.encode() for t in texts]
+        raw = b"".join(parts)
+        offsets = np.cumsum([0, *map(len, parts)])
+        data = np.frombuffer(raw, np.uint8)
+        start, end, first = pieces(data, offsets)
+        if not len(start):
+            return [b""] * len(texts)
+        distinct, at, back = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+        keys, known, older = distinct.tolist(), self.young.place, self.old.place
+        absent = [i for i, k in enumerate(keys) if k not in known]
+        moved = [i for i in absent if keys[i] in older]
+        if moved:
+            self.young.add([keys[i] for i in moved], *self.old.gather(np.array([older[keys[i]] for i in moved])))
+        fresh = [i for i in absent if keys[i] not in known]
+        if fresh:
+            spans = at[fresh]
+            self.young.add([keys[i] for i in fresh], *self.many([raw[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())]))
+        ids, n = self.young.gather(np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[back])
+        bounds = 4 * np.concatenate(([0], np.cumsum(n)))[first]
+        packed = ids.astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def packed(encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """What Pieces wants of ``many``."""
+    return np.fromiter(chain.from_iterable(encoded), np.uint32), np.fromiter(map(len, encoded), np.int64, len(encoded))

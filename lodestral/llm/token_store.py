@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,21 +91,18 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size() - 1, end or 0) < 1 << 16 else 4
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
-        self.pieces = text.Pieces(self._library, capacity=700_000)
+        self.pieces = text.Pieces(lambda strings: text.packed(self._library(strings)))
 
-    def _library(self, strings: list[str]) -> list[bytes]:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        ends = np.cumsum([0, *map(len, encoded)]) * 4
-        ids = np.array(list(chain.from_iterable(encoded)), "<u4").tobytes()
-        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+    def _library(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Latin texts go piece by piece, each distinct piece once; the rest go whole."""
         texts = [t or "" for t in texts]
         latin = [bool(text.LATIN(t)) for t in texts]
-        pieced = iter(self.pieces([text.LATIN_PIECES(t) for t, x in zip(texts, latin) if x]))
+        pieced = iter(self.pieces([t for t, x in zip(texts, latin) if x]))
         whole = iter(self._library([t for t, x in zip(texts, latin) if not x]))
-        return [next(pieced if x else whole) + self.end for x in latin]
+        return [(next(pieced) if x else np.array(next(whole), "<u4").tobytes()) + self.end for x in latin]
 
     @classmethod
     def load(cls, path: str, end: int | None) -> Encoder:
