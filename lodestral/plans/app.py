@@ -30,19 +30,29 @@ def sync_corpus(sources: DataFrame, snapshot: DataFrame, endpoint_state: DataFra
     ends = on.select(F.col("id").alias("source_id"), F.explode(F.concat(F.transform("feeds", lambda u: F.struct(u.alias("url"), F.lit("feed").alias("kind"))), F.transform("sitemaps", lambda u: F.struct(u.alias("url"), F.lit("sitemap").alias("kind"))))).alias("e")).select("source_id", "e.*")
     scope = on.select(F.col("id").alias("source_id"), "allowed_domains", "allowed_path_prefixes")
 
-    def fetched(requests: DataFrame) -> DataFrame:
-        return checkpoint(fetch.response_state(checkpoint(fetch.fetch(fetch.conditional_requests(requests, endpoint_state), client)), endpoint_state))
-
-    state = fetched(ends)
-    responses = ends.join(state, "url").join(scope, "source_id").withColumn("error", F.coalesce("error", F.when(~F.array_contains("allowed_domains", urls.host(F.col("final_url"))), "redirect outside source")))
-    failures = responses.filter("error is not null").select("source_id", "url", F.col("error").alias("reason"))
-    good = responses.filter("error is null")
-    parsed = checkpoint(discovery.parse_endpoints(good.select(F.col("url").alias("endpoint_url"), "kind", "content")))
-    owner = ends.select("source_id", F.col("url").alias("endpoint_url")).distinct()
-    found = parsed.join(owner, "endpoint_url")
-    failures = failures.union(found.filter("error is not null").select("source_id", "endpoint_url", "error"))
-    saved = good.join(found.filter("error is not null").select(F.col("endpoint_url").alias("url")).distinct(), "url", "left_anti").select("url", "etag", "last_modified", "content").dropDuplicates(["url"])
-    pages = discovery.merge(found.filter("error is null and kind = 'content'").select("source_id", "url", "published_at", "ord"), "source_id").join(scope, "source_id")
+    failures = ends.select("source_id", "url", F.lit("").alias("reason")).limit(0)
+    saved = endpoint_state.select("url", "etag", "last_modified", "content").limit(0)
+
+    def discover(level: DataFrame) -> DataFrame:
+        """Fetch and parse endpoints; failures and validators of good ones are kept aside."""
+        nonlocal failures, saved
+        answers = checkpoint(fetch.fetch(fetch.conditional_requests(level, endpoint_state), client))
+        responses = level.join(fetch.response_state(answers, endpoint_state), "url").join(scope, "source_id")
+        responses = responses.withColumn("error", F.coalesce("error", F.when(~F.array_contains("allowed_domains", urls.host(F.col("final_url"))), "redirect outside source")))
+        good = responses.filter("error is null")
+        parsed = discovery.parse_endpoints(good.select(F.col("url").alias("endpoint_url"), "kind", "content").dropDuplicates(["endpoint_url"]))
+        found = checkpoint(parsed.join(level.select("source_id", F.col("url").alias("endpoint_url")).distinct(), "endpoint_url"))
+        bad = found.filter("error is not null")
+        failures = failures.union(responses.filter("error is not null").select("source_id", "url", "error")).union(bad.select("source_id", "endpoint_url", "error"))
+        saved = saved.union(good.join(bad.select(F.col("endpoint_url").alias("url")).distinct(), "url", "left_anti").select("url", "etag", "last_modified", "content").dropDuplicates(["url"]))
+        return found.filter("error is null")
+
+    content = discover(ends.filter("kind = 'feed'")).select("source_id", "url", "published_at", "ord")
+    maps = ends.filter("kind = 'sitemap'").select("source_id", "url")
+    if not maps.isEmpty():
+        listed, _ = sync.sitemap_levels(maps, lambda level: discover(level.withColumn("kind", F.lit("sitemap"))).select("source_id", "kind", "url"))
+        content = content.union(listed.select("source_id", "url", F.lit(None).cast("timestamp"), F.lit(1 << 30)))  # after all feeds
+    pages = discovery.merge(content, "source_id").join(scope, "source_id")
     pages = pages.filter(registry.in_scope(F.col("url"), F.col("allowed_domains"), F.col("allowed_path_prefixes")))
     origins = pages.select(robots.origin_key(F.col("url")).alias("origin"), F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")), F.lit("/robots.txt")).alias("url")).dropDuplicates(["origin"])
     nothing = endpoint_state.limit(0)

@@ -14,6 +14,9 @@ SITE = {
     "https://a.com/n/1": {"status": 200, "etag": "p1", "content_type": "text/html; charset=utf-8", "body": b"<title>One</title><main><p>electric vehicle battery</p><p>second line</p></main>"},
     "https://a.com/n/3": {"status": 200, "content_type": "text/html", "body": b"<main></main>"},
     "https://a.com/n/4": {"status": 503},
+    "https://a.com/map": {"status": 200, "body": b"<sitemapindex><sitemap><loc>/map2</loc></sitemap><sitemap><loc>https://b.com/map</loc></sitemap></sitemapindex>"},
+    "https://a.com/map2": {"status": 200, "body": b"<urlset><url><loc>/n/1</loc></url><url><loc>/n/5</loc></url></urlset>"},
+    "https://a.com/n/5": {"status": 200, "content_type": "text/html", "body": b"<p>from a map</p>"},
 }
 
 
@@ -25,19 +28,19 @@ def client(request):
 
 
 def test_sync_index_search(spark, tmp_path):
-    sources = spark.createDataFrame([(0, "s", "S", "news", True, ["a.com"], ["/"], ["https://a.com/feed"], [])], "ord int, id string, name string, source_type string, enabled boolean, allowed_domains array<string>, allowed_path_prefixes array<string>, feeds array<string>, sitemaps array<string>")
+    sources = spark.createDataFrame([(0, "s", "S", "news", True, ["a.com"], ["/"], ["https://a.com/feed"], ["https://a.com/map"])], "ord int, id string, name string, source_type string, enabled boolean, allowed_domains array<string>, allowed_path_prefixes array<string>, feeds array<string>, sitemaps array<string>")
     snapshot = spark.createDataFrame([], store.DOCUMENT)
     state = spark.createDataFrame([], "url string, etag string, last_modified string, content binary")
     snapshot, state, failures = app.sync_corpus(sources, snapshot, state, client, "bot", datetime(2024, 2, 1))
     snapshot, state = snapshot.checkpoint(), state.checkpoint()
     got = {r["url"][-1]: (r["status"], r["failure_reason"], r["title"]) for r in snapshot.collect()}
-    assert got == {"1": ("active", None, "One"), "2": ("inactive", "robots_disallowed", None), "3": ("inactive", "no_extractable_text", None), "4": ("inactive", "http_status 503", None)}
+    assert got == {"1": ("active", None, "One"), "2": ("inactive", "robots_disallowed", None), "3": ("inactive", "no_extractable_text", None), "4": ("inactive", "http_status 503", None), "5": ("active", None, None)}
     assert sorted(r["reason"] for r in failures.collect()) == ["http_status 503", "no_extractable_text"]
-    assert state.first()["etag"] == "f1"
+    assert {r["url"]: r["etag"] for r in state.collect()}["https://a.com/feed"] == "f1" and state.count() == 3
     again, _, _ = app.sync_corpus(sources, snapshot, state, client, "bot", datetime(2024, 3, 1))
     assert {r["url"][-1]: r["status"] for r in again.collect()}["1"] == "active"
     index = app.reindex(snapshot, dimensions=16).checkpoint()
-    assert index.count() == 1 and app.reindex(snapshot, index, dimensions=16).filter("vector is null").isEmpty()
+    assert index.count() == 2 and app.reindex(snapshot, index, dimensions=16).filter("vector is null").isEmpty()
     app.write_index(index, str(tmp_path / "index"), "hashing", 16)
     index = app.read_index(spark, str(tmp_path / "index"), "hashing", 16)
     with pytest.raises(ValueError):
