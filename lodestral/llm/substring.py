@@ -23,6 +23,7 @@ gives no rows; all columns of the input are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from lodestral.llm import shared, text
 
 ROWS = "kind byte, route long, h long, doc_id long, th long, pos int, n int"
 _NAMES = [c.split()[0] for c in ROWS.split(", ")]
+#: With sources, a removed span also tells the place of an earlier occurrence.
+SOURCES = ", s_doc long, s_th long, s_pos int"
 _LOW = np.uint64((1 << 28) - 1)
 #: Kinds of rows: removed span, path to resolve edge by edge, path to compact.
 GONE, OPEN, PATH = 0, 1, 2
@@ -59,28 +62,33 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _compact(route, h, rank, pos):
-    """Order by content and coordinate: (order, is first of its content, is at the first's coordinate)."""
+    """Order by content and coordinate: (order, is first of its content, is at the first's coordinate, place of the first)."""
     order = np.lexsort((pos, rank, route, h))
     r, x, k, p = route[order], h[order], rank[order], pos[order]
     first = np.ones(len(order), bool)
     first[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
     head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    return order, first, (k == k[head]) & (p == p[head])
+    return order, first, (k == k[head]) & (p == p[head]), head
 
 
-def _batch(kind, route, h, doc, th, pos, n) -> pa.RecordBatch:
+def _batch(kind, route, h, doc, th, pos, n, source=None) -> pa.RecordBatch:
     size = len(pos)
     kinds = np.broadcast_to(np.asarray(kind, np.int8), size)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kinds)), pa.array(route.view(np.int64)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=_NAMES)
+    columns = [pa.array(np.ascontiguousarray(kinds)), pa.array(route.view(np.int64)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))]
+    if source is None:
+        return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(source[0]), pa.array(source[1]), pa.array(source[2].astype(np.int32))], names=[*_NAMES, "s_doc", "s_th", "s_pos"])
 
 
-def _emit(route, h, doc, th, rank, pos, n) -> pa.RecordBatch:
+def _emit(route, h, doc, th, rank, pos, n, sources: bool) -> pa.RecordBatch:
     """A task's own repeats are removed spans already; their first stands for all."""
-    order, first, same = _compact(route, h, rank, pos)
+    order, first, same, head = _compact(route, h, rank, pos)
     keep = first | ~same
+    head = order[head[keep]]
     order, first = order[keep], first[keep]
     spread = text.mix(np.arange(len(order), dtype=np.uint64) ^ h[order])
-    return _batch(np.where(first, PATH, GONE), np.where(first, route[order], spread), np.where(first, h[order], np.uint64(0)), doc[order], th[order], pos[order], n[order])
+    source = (doc[head], th[head], pos[head]) if sources else None
+    return _batch(np.where(first, PATH, GONE), np.where(first, route[order], spread), np.where(first, h[order], np.uint64(0)), doc[order], th[order], pos[order], n[order], source)
 
 
 def _words(batch: pa.RecordBatch):
@@ -89,7 +97,7 @@ def _words(batch: pa.RecordBatch):
     return text.word_hashes(data, start, end), first
 
 
-def _paths(window: int, size: int, hot: frozenset[int]):
+def _paths(window: int, size: int, hot: frozenset[int], sources: bool = False):
     hot_routes = np.array(sorted(hot), np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,28 +128,29 @@ def _paths(window: int, size: int, hot: frozenset[int]):
                 route = np.concatenate((route[~common], text.mix(whole ^ grams[least[each]])))
             h = text.mix(roll(a, a + n + window - 1) ^ (least[a] - a).astype(np.uint64))
             d = owner[a]
-            yield _emit(route, h, doc[d], th[d], rank[d], a - first[d], n)
+            yield _emit(route, h, doc[d], th[d], rank[d], a - first[d], n, sources)
 
     return run
 
 
-def _columns(table: pa.Table) -> list[np.ndarray]:
-    c = [np.asarray(table.column(x)) for x in _NAMES]
-    return [c[0], c[1].view(np.uint64), c[2].view(np.uint64), *c[3:]]
+def _schema(sources: bool) -> pa.Schema:
+    fields = [("kind", pa.int8()), ("route", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())]
+    return pa.schema(fields + [("s_doc", pa.int64()), ("s_th", pa.int64()), ("s_pos", pa.int32())] * sources)
 
 
-def _resolve(branches: bool):
+def _resolve(branches: bool, sources: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=_SCHEMA)
+        table = pa.Table.from_batches(list(batches), schema=_schema(sources))
         if not table.num_rows:
             return
-        kind, route, h, doc, th, pos, n = _columns(table)
+        kind, route, h, doc, th, pos, n, *source = (np.asarray(table.column(x)) for x in table.column_names)
+        route, h = route.view(np.uint64), h.view(np.uint64)
         gone = kind == GONE
         if gone.any():
-            yield _batch(GONE, route[gone] * np.uint64(0), h[gone], doc[gone], th[gone], pos[gone], n[gone])
-        path = ~gone
-        route, h, doc, th, pos, n = (x[path] for x in (route, h, doc, th, pos, n))
-        order = np.lexsort((pos, th, doc, h, route))
+            zero = np.zeros(gone.sum(), np.uint64)
+            yield _batch(GONE, zero, zero, doc[gone], th[gone], pos[gone], n[gone], [x[gone] for x in source] or None)
+        order = np.flatnonzero(~gone)
+        order = order[np.lexsort((pos[order], th[order], doc[order], h[order], route[order]))]
         route, h, doc, th, pos, n = (x[order] for x in (route, h, doc, th, pos, n))
         other = np.ones(len(h), bool)
         other[1:] = route[1:] != route[:-1]
@@ -149,19 +158,16 @@ def _resolve(branches: bool):
         first[1:] |= h[1:] != h[:-1]
         head = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
         later = ~first & ~((doc == doc[head]) & (th == th[head]) & (pos == pos[head]))
-        zero = np.zeros(len(h), np.uint64)
-        yield _batch(GONE, zero[later], zero[later], doc[later], th[later], pos[later], n[later])
+        zero, at = np.zeros(len(h), np.uint64), head[later]
+        yield _batch(GONE, zero[later], zero[later], doc[later], th[later], pos[later], n[later], (doc[at], th[at], pos[at]) if sources else None)
         if branches:
             group = np.cumsum(other) - 1
             many = first & (np.bincount(group, weights=first) > 1)[group] if len(h) else first
-            yield _batch(OPEN, zero[many], zero[many], doc[many], th[many], pos[many], n[many])
+            yield _batch(OPEN, zero[many], zero[many], doc[many], th[many], pos[many], n[many], (doc[many], th[many], pos[many]) if sources else None)
 
     return run
 
 
-_SCHEMA = pa.schema([("kind", pa.int8()), ("route", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
-
-
 def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, position and count of each span of a batch."""
     spans = batch.column("__spans")
@@ -172,7 +178,7 @@ def _spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.asarray(flat.field("pos"), np.int64), np.asarray(flat.field("n"), np.int64)
 
 
-def _edges(window: int):
+def _edges(window: int, sources: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, "__text"):
             hashes, first = _words(batch)
@@ -183,7 +189,7 @@ def _edges(window: int):
             a = first[d] + p
             h = text.Rolling(hashes)(a, a + window)
             route = text.Rolling(text.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))(a, a + window)
-            yield _emit(route, h, doc[d], th[d], rank[d], p, np.ones(len(p), np.int64))
+            yield _emit(route, h, doc[d], th[d], rank[d], p, np.ones(len(p), np.int64), sources)
 
     return run
 
@@ -223,20 +229,92 @@ def _hot(keyed: DataFrame, window: int, size: int, share: float, fraction: float
     return frozenset(r["route"] for r in rows)
 
 
+def _keys(docs: DataFrame) -> list:
+    """doc_id as a long and, only where ids repeat or are null, a hash of the text."""
+    plain = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+    return [F.col("doc_id").cast("long").alias("__doc"), (F.lit(0).cast("long") if plain else F.xxhash64("text")).alias("__th")]
+
+
+def _same():
+    return (F.coalesce(F.col("__doc"), F.lit(-(1 << 63))) == F.col("__d")) & (F.col("__th") == F.col("__t"))
+
+
+def _listed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_list(F.struct(*columns)).alias("__spans"))
+
+
+def _gone(keyed: DataFrame, window: int, size: int, share: float, fraction: float, sources: bool) -> DataFrame:
+    """Rows of the spans to remove."""
+    n, rows = shared.partitions(keyed.sparkSession), ROWS + SOURCES * sources
+    paths = shared.arrow(keyed, _paths(window, size, _hot(keyed, window, size, share, fraction), sources), rows).repartition(n, "route")
+    found = shared.stored(shared.arrow(paths, _resolve(True, sources), rows), "paths")
+    open_ = keyed.join(_listed(found.filter(f"kind = {OPEN}"), "pos", "n").hint("shuffle_hash"), _same()).select("__doc", "__th", "__text", "__spans")
+    edges = shared.arrow(open_, _edges(window, sources), rows).repartition(n, "route")
+    return found.filter(f"kind = {GONE}").union(shared.arrow(edges, _resolve(False, sources), rows))
+
+
 def dedup(docs: DataFrame, window: int = 20, size: int = 6, share: float = 1 / 1000, fraction: float = 0.02) -> DataFrame:
     """All columns of docs (doc_id and text among them), with __kept, __n_words and __n_removed."""
-    n = shared.partitions(docs.sparkSession)
-    plain = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
-    keys = [F.col("doc_id").cast("long").alias("__doc"), (F.lit(0).cast("long") if plain else F.xxhash64("text")).alias("__th")]
-    keyed = docs.select(*keys, F.col("text").alias("__text"))
-    hot = _hot(keyed, window, size, share, fraction)
-    paths = shared.arrow(keyed, _paths(window, size, hot), ROWS).repartition(n, "route")
-    found = shared.stored(shared.arrow(paths, _resolve(True), ROWS), "paths")
-    listed = lambda df: df.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_list(F.struct("pos", "n")).alias("__spans"))
-    same = (F.coalesce(F.col("__doc"), F.lit(-(1 << 63))) == F.col("__d")) & (F.col("__th") == F.col("__t"))
-    open_ = keyed.join(listed(found.filter(f"kind = {OPEN}")).hint("shuffle_hash"), same).select("__doc", "__th", "__text", "__spans")
-    edges = shared.arrow(open_, _edges(window), ROWS).repartition(n, "route")
-    gone = found.filter(f"kind = {GONE}").union(shared.arrow(edges, _resolve(False), ROWS))
-    full = docs.select("*", *keys, F.col("text").alias("__text")).join(listed(gone).hint("shuffle_hash"), same, "left").drop("__doc", "__th", "__d", "__t")
+    keys = _keys(docs)
+    gone = _gone(docs.select(*keys, F.col("text").alias("__text")), window, size, share, fraction, False)
+    full = docs.select("*", *keys, F.col("text").alias("__text")).join(_listed(gone, "pos", "n").hint("shuffle_hash"), _same(), "left").drop("__doc", "__th", "__d", "__t")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return shared.arrow(full, _apply(window, docs.columns), f"{fields}, __kept string, __n_words long, __n_removed long")
+
+
+def _merge_spans(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows in a row whose sources are in a row too make one long span."""
+        for batch in batches:
+            out = []
+            for doc, th, spans in zip(*(batch.column(c).to_pylist() for c in ("__d", "__t", "__spans"))):
+                last = None
+                for s in sorted(spans, key=lambda s: (s["s_doc"], s["s_th"], s["s_pos"] - s["pos"], s["pos"])):
+                    key = (s["s_doc"], s["s_th"], s["s_pos"] - s["pos"])
+                    if last and last[0] == key and s["pos"] <= last[2]:
+                        last[2] = max(last[2], s["pos"] + s["n"])
+                    else:
+                        last = [key, s["pos"], s["pos"] + s["n"]]
+                        out.append((doc, th, last))
+            rows = [(doc, th, a, b - a + window - 1, k[0], k[1], a + k[2]) for doc, th, (k, a, b) in out]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "th", "pos", "n", "s_doc", "s_th", "s_pos"])
+
+    return run
+
+
+def repeats(docs: DataFrame, window: int = 20, size: int = 6, share: float = 1 / 1000, fraction: float = 0.02) -> DataFrame:
+    """Long repeated spans with a source: (doc_id, th, pos, n, s_doc, s_th, s_pos), positions and lengths in words.
+
+    th and s_th are 0 unless ids repeat; a null doc_id shows as the least long.
+    """
+    gone = _gone(docs.select(*_keys(docs), F.col("text").alias("__text")), window, size, share, fraction, True)
+    return shared.arrow(_listed(gone, "pos", "n", "s_doc", "s_th", "s_pos"), _merge_spans(window), "doc_id long, th long, pos int, n int, s_doc long, s_th long, s_pos int")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the words at each asked place."""
+    for batch in text.slices(batches, "__text"):
+        data, offsets = text.strings(batch.column("__text"))
+        start, end, first = text.words(data, offsets)
+        raw = data.tobytes()
+        rows = []
+        for i, spans in enumerate(batch.column("__spans").to_pylist()):
+            for s in spans:
+                a = first[i] + s["pos"]
+                rows.append((s["span"], sha256(b" ".join([raw[x:y] for x, y in zip(start[a : a + s["n"]].tolist(), end[a : a + s["n"]].tolist())])).digest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["span", "digest"])
+
+
+def audit(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans of ``repeats`` whose words differ from those at their source coordinates, or whose source isn't earlier.
+
+    Both coordinates are looked up in the documents themselves; nothing is taken from the
+    hashes that found the spans.  Expected to be empty.
+    """
+    spans = shared.stored(spans.withColumn("span", F.xxhash64("doc_id", "th", "pos", "n", "s_doc", "s_th", "s_pos")), "spans")
+    ends = spans.select("doc_id", "th", "pos", "n", "span").union(spans.select("s_doc", "s_th", "s_pos", "n", "span"))
+    keyed = docs.select(*_keys(docs), F.col("text").alias("__text")).dropDuplicates(["__doc", "__th"])
+    asked = keyed.join(_listed(ends, "pos", "n", "span").hint("shuffle_hash"), _same()).select("__text", "__spans")
+    odd = shared.arrow(asked, _digests, "span long, digest binary").groupBy("span").agg(F.count("*").alias("k"), F.count_distinct("digest").alias("d")).filter("k <> 2 or d <> 1").select("span")
+    late = F.struct("s_doc", "s_th", "s_pos") >= F.struct(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th"), F.col("pos").alias("s_pos"))
+    return spans.join(odd, "span", "left_semi").union(spans.filter(late)).drop("span")

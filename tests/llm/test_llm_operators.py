@@ -108,7 +108,22 @@ def test_substring(docs, rows, share):
     assert got == brute_dedup(rows)
 
 
+def test_repeats(docs, rows):
+    found = substring.repeats(docs, fraction=1.0).cache()
+    texts = {i: words(t) for i, t in rows}
+    covered = defaultdict(set)
+    for r in found.collect():
+        assert texts[r["doc_id"]][r["pos"] : r["pos"] + r["n"]] == texts[r["s_doc"]][r["s_pos"] : r["s_pos"] + r["n"]] and r["n"] >= 20
+        assert (r["s_doc"], r["s_pos"]) < (r["doc_id"], r["pos"])
+        covered[r["doc_id"]] |= set(range(r["pos"], r["pos"] + r["n"]))
+    assert {i: len(covered[i]) for i in texts} == {i: e[1] for i, e in brute_dedup(rows).items()}
+    assert substring.audit(docs, found).isEmpty()
+    wrong = found.limit(1).selectExpr("doc_id", "th", "pos", "n", "s_doc", "s_th", "s_pos + 1 as s_pos")
+    assert substring.audit(docs, wrong).count() == 1
+
+
 def test_substring_odd(none, repeated):
+    assert substring.repeats(none).isEmpty() and substring.audit(repeated, substring.repeats(repeated)).isEmpty()
     assert substring.dedup(none).isEmpty()
     out = substring.dedup(repeated)
     assert out.columns[:6] == repeated.columns
