@@ -95,3 +95,29 @@ def current_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
     joined = hits.join(docs, ["document_id", "source_id", "content_hash"])
     first = joined.withColumn("nth", F.row_number().over(W.partitionBy("canonical_url").orderBy("rank"))).filter("nth = 1").drop("nth")
     return first.withColumn("rank", F.row_number().over(W.orderBy("rank")))  # a top-k list
+
+
+def write_postings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
+    """Inverted index below ``path``: postings in order of (term, key), and corpus statistics.
+
+    Range partitions split the postings of a frequent term, and the order lets a query's
+    term filter skip row groups.
+    """
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lengths = docs.select(F.size(tokens(F.col(text))).alias("n"))
+    lengths.agg(F.count("*").alias("corpus"), F.avg("n").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    made = postings(docs, key, text).select("term", F.col(key).alias("key"), "tf", "length")
+    made.repartitionByRange(n, "term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def bm25_indexed(spark, path: str, query: str, limit: int, key: str = "doc_id") -> DataFrame:
+    """The result of ``bm25`` from a written index: only the query terms' postings are read."""
+    validate(query, limit)
+    terms = sorted({r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()})
+    found = spark.read.parquet(f"{path}/postings").filter(F.col("term").isin(terms))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
+    stats = spark.read.parquet(f"{path}/stats")
+    idf = F.log(1 + (F.col("corpus") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+    scored = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # stats is one row
+    return scored.groupBy(F.col("key").alias(key)).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestral.functions import times, urls, values
+from lodestral.functions.session import checkpoint_dir
 from lodestral.operators import chunking, evaluation, research, retrieval, search, store, sync, synthesis
 from lodestral.sources import html, registry, robots
 from lodestral.streaming import runs
@@ -79,6 +82,13 @@ def bm25_corpus_stats(spark, d):
     return t.agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_tokens"), F.round(F.avg("n"), 6).alias("avg_length"))
 
 
+@query(_bm25_sql(10))
+def bm25_index_topk(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    search.write_postings(_t(spark, d, "documents"), path)
+    return search.bm25_indexed(spark, path, TERMS, 10)
+
+
 _COS = "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 
 

@@ -97,10 +97,14 @@ def test_filter_counts(spark):
     assert report["input_count"] == sum(v for k, v in report.items() if k not in ("request_id", "input_count"))
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "electric vehicle battery"), (2, "apple fruit"), (3, "city news vehicle vehicle")], "doc_id long, text string")
     assert [r["doc_id"] for r in search.bm25(docs, "Vehicle", 5).collect()] == [3, 1]
     assert search.bm25(docs, "?!", 5).isEmpty()
+    search.write_postings(docs, str(tmp_path / "index"))
+    indexed = search.bm25_indexed(spark, str(tmp_path / "index"), "Vehicle news", 5)
+    assert indexed.collect() == search.bm25(docs, "Vehicle news", 5).collect()
+    assert "In(term, [news,vehicle])" in indexed._jdf.queryExecution().toString()
     for bad in ((" ", 1), ("a", 0)):
         with pytest.raises(ValueError):
             search.bm25(docs, *bad)
