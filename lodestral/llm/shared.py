@@ -51,24 +51,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tidy(function):
-    """The same, giving freed memory back when a task ends: workers are kept and would hold it."""
+def trim() -> None:
+    """Give freed memory back to the system."""
+    import ctypes
 
-    def run(batches):
-        import ctypes
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
-        import pyarrow
 
+def _tidy(function):
+    """The same, trimming when a task ends: workers are kept and would hold the memory."""
+
+    def run(batches):
         try:
             yield from function(batches)
         finally:
-            pyarrow.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            trim()
 
     return run
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table of fewer splits than there are cores, dealt over all of them.
+
+    Only for a plain scan; a table of many files or row groups is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if 0 < table.rdd.getNumPartitions() < cores else table
+
+
 def arrow(df: DataFrame, function, schema: str, batch: str = "4m") -> DataFrame:
     """mapInArrow with batches of at most 4 MB (a session setting), so that workers hold little text at a time."""
     ship(df.sparkSession)

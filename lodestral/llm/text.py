@@ -173,15 +173,22 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Generation:
-    """Ids of pieces by the pieces' hashes, in one growing array."""
+    """Ids of pieces by the pieces' hashes: sorted keys, and the ids in one growing array."""
 
     def __init__(self):
-        self.place: dict[int, int] = {}
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def add(self, hashes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.place), len(hashes)
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 if it isn't known."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.places[at], -1)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.keys), len(hashes)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         while n + m > len(self.begin):
@@ -190,7 +197,9 @@ class _Generation:
         self.length[n : n + m] = lengths
         self.begin[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.place.update(zip(hashes, range(n, n + m)))
+        keys, places = np.append(self.keys, hashes), np.append(self.places, np.arange(n, n + m))
+        order = np.argsort(keys, kind="stable")  # two sorted runs
+        self.keys, self.places = keys[order], places[order]
 
     def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids of some places, and how many each has."""
@@ -211,7 +220,7 @@ class Pieces:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.young.place) > self.capacity or self.young.used > 16 * self.capacity:
+        if len(self.young.keys) > self.capacity or self.young.used > 16 * self.capacity:
             self.young, self.old = _Generation(), self.young
         parts = [t.encode() for t in texts]
         raw = b"".join(parts)
@@ -221,16 +230,15 @@ class Pieces:
         if not len(start):
             return [b""] * len(texts)
         distinct, at, back = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys, known, older = distinct.tolist(), self.young.place, self.old.place
-        absent = [i for i, k in enumerate(keys) if k not in known]
-        moved = [i for i in absent if keys[i] in older]
-        if moved:
-            self.young.add([keys[i] for i in moved], *self.old.gather(np.array([older[keys[i]] for i in moved])))
-        fresh = [i for i in absent if keys[i] not in known]
-        if fresh:
+        absent = np.flatnonzero(self.young.find(distinct) < 0)
+        older = self.old.find(distinct[absent])
+        moved, fresh = absent[older >= 0], absent[older < 0]
+        if len(moved):
+            self.young.add(distinct[moved], *self.old.gather(older[older >= 0]))
+        if len(fresh):
             spans = at[fresh]
-            self.young.add([keys[i] for i in fresh], *self.many([raw[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())]))
-        ids, n = self.young.gather(np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[back])
+            self.young.add(distinct[fresh], *self.many([raw[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())]))
+        ids, n = self.young.gather(self.young.find(distinct)[back])
         bounds = 4 * np.concatenate(([0], np.cumsum(n)))[first]
         packed = ids.astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]

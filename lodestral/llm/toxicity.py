@@ -154,7 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features:
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)  # so that vanishing slopes don't move
         w, b = w - move[:-1], b - move[-1]
-    return Model(names[best], w, float(b))
+    model = Model(names[best], w, float(b))
+    del flat, row, names, code, lists
+    shared.trim()
+    return model
 
 
 def _score(model: Model, names: list[str]):
