@@ -19,3 +19,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table of fewer splits than there are cores, dealt over all of them.
+
+    Only for a plain scan in front of work that is heavy per row; a table of many files
+    or row groups is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if 0 < table.rdd.getNumPartitions() < cores else table

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestral.functions import times, urls, values
-from lodestral.functions.session import checkpoint_dir
+from lodestral.functions.session import checkpoint_dir, spread
 from lodestral.operators import chunking, evaluation, research, retrieval, search, store, sync, synthesis
 from lodestral.sources import html, registry, robots
 from lodestral.streaming import runs
@@ -30,6 +30,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table of long texts, over all cores."""
+    return spread(_t(spark, d, name).select(*columns))
+
+
 TERMS = "the onthe thereon of"
 #: A small registry for the hosts of the test pages.
 SOURCES = [
@@ -68,24 +73,24 @@ FROM p JOIN df USING (term), n WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC,
 
 @query(_bm25_sql(10))
 def bm25_topk(spark, d):
-    return search.bm25(_t(spark, d, "documents"), TERMS, 10)
+    return search.bm25(_texts(spark, d, "documents", "doc_id", "text"), TERMS, 10)
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf, max(length) AS length FROM (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)) GROUP BY doc_id, term")
 def bm25_postings(spark, d):
-    return search.postings(_t(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", "tf", F.col("length").cast("long"))
+    return search.postings(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "term", "tf", F.col("length").cast("long"))
 
 
 @query(f"SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_tokens, round(avg(len(t)), 6) AS avg_length FROM (SELECT {_TOKENS.format('text')} AS t FROM documents)")
 def bm25_corpus_stats(spark, d):
-    t = _t(spark, d, "documents").select(F.size(search.tokens(F.col("text"))).alias("n"))
+    t = _texts(spark, d, "documents", "text").select(F.size(search.tokens(F.col("text"))).alias("n"))
     return t.agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_tokens"), F.round(F.avg("n"), 6).alias("avg_length"))
 
 
 @query(_bm25_sql(10))
 def bm25_index_topk(spark, d):
     path = f"{checkpoint_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    search.write_postings(_t(spark, d, "documents"), path)
+    search.write_postings(_texts(spark, d, "documents", "doc_id", "text"), path)
     return search.bm25_indexed(spark, path, TERMS, 10)
 
 
@@ -106,7 +111,7 @@ WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r
 vec AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_COS} ORDER BY score DESC, vec_id LIMIT 50))
 SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
 def hybrid_rrf(spark, d):
-    lexical = search.bm25(_t(spark, d, "documents"), TERMS, 50)
+    lexical = search.bm25(_texts(spark, d, "documents", "doc_id", "text"), TERMS, 50)
     nearest = search.vector(_t(spark, d, "embeddings"), _query_vector(spark, d), 50).withColumnRenamed("vec_id", "doc_id")
     return search.rrf([lexical, nearest], 10)
 
@@ -367,7 +372,7 @@ def current_chunk_filter(spark, d):
 
 @query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS solid_chars, true AS bounded FROM documents")
 def paragraph_chunks(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("active").alias("status"))
+    docs = _texts(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text", F.lit("active").alias("status"))
     chunks = chunking.chunk_documents(docs)
     sums = chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("solid_chars"), F.bool_and(F.length("text") <= 1200).alias("bounded"))
     return docs.select(F.col("id").alias("doc_id")).join(sums, "doc_id", "left").select("doc_id", F.coalesce("solid_chars", F.lit(0)).cast("long").alias("solid_chars"), F.coalesce("bounded", F.lit(True)).alias("bounded"))
@@ -383,7 +388,7 @@ def byte_budget_chunks(spark, d):
 
 @query()
 def html_extract(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", F.lit("text/html").alias("media_type"), F.encode("html", "UTF-8").alias("content"))
+    pages = _texts(spark, d, "pages", "page_id", "html").select("page_id", F.lit("text/html").alias("media_type"), F.encode("html", "UTF-8").alias("content"))
     return html.parse_documents(pages, "page_id")
 
 
