@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document of least doc_id stays; a null doc_id stays.
 
-    Near copies share 0.8 or more of their five-word shingles, which differ in far more
-    than two bits of one fingerprint, so the trie join runs over several slices.
+    Near copies share 0.8 or more of their distinct five-word shingles, which differ in far
+    more than two bits of one fingerprint: slices and bands find them, the shingles decide.
     """
     found = simhash.near_copies(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")

@@ -156,11 +156,12 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def connect(group: np.ndarray, tail: np.ndarray, bits: int, budget: int, near) -> np.ndarray:
+def connect(group: np.ndarray, tail: np.ndarray, bits: int, budget: int, near, links: list | None = None) -> np.ndarray:
     """Components of rows under ``near``, found through the tries: the least row of each.
 
     Neighbours in trie order are tried first, so that a dense group is mostly one
-    component before node pairs are traversed.
+    component before node pairs are traversed.  ``links`` gets near pairs that span the
+    components.
     """
     n = len(group)
     i = np.arange(n)
@@ -168,15 +169,40 @@ def connect(group: np.ndarray, tail: np.ndarray, bits: int, budget: int, near) -
     for gap in (1, 2, 3, 5, 9, 17):
         x = i[:-gap][group[gap:] == group[:-gap]] if gap < n else i[:0]
         x = x[near(x, x + gap)]
+        if links is not None:
+            links.append(tree(root, x, x + gap))
         root = join(root, x, x + gap)
     for x, y in trie_pairs(group, tail, bits, budget, root):
         open_ = root[x] != root[y]
         x, y = x[open_], y[open_]
         close = near(x, y)
+        if links is not None:
+            links.append(tree(root, x[close], y[close]))
         root = join(root, x[close], y[close])
     return root
 
 
+def tree(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that merge components, one after the other."""
+    up: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while r in up:
+            if up[r] in up:
+                up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    at = []
+    apart = np.flatnonzero(root[x] != root[y])
+    for k, a, b in zip(apart.tolist(), root[x[apart]].tolist(), root[y[apart]].tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            up[a] = b
+            at.append(k)
+    return x[at], y[at]
+
+
 def join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Components after more links."""
     if not len(x):
@@ -260,29 +286,142 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _sketches(size: int, tables: int):
-    words64 = tables // 2
+BANDS, ROWS = 24, 4
+_BAND_SEEDS = text.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
+_MASKS = text.mix(np.arange(201, 201 + BANDS * ROWS, dtype=np.uint64))
+_FACTORS = text.mix(np.arange(401, 401 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
+
+
+def _shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
+    data, offsets = text.strings(column)
+    data = _LOWER[data]
+    start, end, first = text.words(data, offsets)
+    roll = text.Rolling(text.word_hashes(data, start, end))
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        at = np.arange(a, a if a == b else max(a + 1, b - size + 1))
+        yield np.unique(roll(at, np.minimum(at + size, b)))
 
+
+def _node(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles, as two signed longs."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8").tolist())
+
+
+def _sketch(shingles: np.ndarray, words64: int) -> bytes:
+    counts = np.zeros((words64, 64), np.int64)
+    for x in range(0, len(shingles), 1 << 15):
+        h = shingles[x : x + (1 << 15)]
+        for k in range(words64):
+            counts[k] += np.unpackbits(text.mix(h ^ _SEEDS[k]).view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles), axis=1, bitorder="little").tobytes()
+
+
+def _minima(shingles: np.ndarray) -> np.ndarray:
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for x in range(0, len(shingles), 1 << 12):
+            np.minimum(out, ((shingles[x : x + (1 << 12), None] ^ _MASKS) * _FACTORS).min(axis=0), out=out)
+    return out
+
+
+def _prints(size: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches):
-            data, offsets = text.strings(batch.column("text"))
-            data = _LOWER[data]
-            start, end, first = text.words(data, offsets)
-            roll = text.Rolling(text.word_hashes(data, start, end))
-            out = np.zeros((batch.num_rows, 8 * words64), np.uint8)
-            for i in range(batch.num_rows):
-                a, b = int(first[i]), int(first[i + 1])
-                if a == b:
-                    continue
-                n = max(1, b - a - size + 1)
-                counts = np.zeros((words64, 64), np.int64)
-                for x in range(0, n, 1 << 15):
-                    at = np.arange(a + x, a + min(n, x + (1 << 15)))
-                    h = roll(at, np.minimum(at + size, b))
-                    for k in range(words64):
-                        counts[k] += np.unpackbits(text.mix(h ^ _SEEDS[k]).view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-                out[i] = np.packbits(2 * counts > n, axis=1, bitorder="little").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "sketch"])
+            nodes, sketches, minima = [], [], []
+            for s in _shingle_sets(batch.column("text"), size):
+                nodes.append(_node(s))
+                sketches.append(_sketch(s, tables // 2))
+                minima.append(_minima(s))
+            bands = np.array(minima).reshape(-1, BANDS, ROWS)
+            keys = np.tile(_BAND_SEEDS, (len(bands), 1))
+            for r in range(ROWS):
+                keys = text.mix(keys ^ bands[:, :, r])
+            columns = [pa.array([x[0] for x in nodes], pa.int64()), pa.array([x[1] for x in nodes], pa.int64()), pa.array(sketches, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "node", "check", "sketch", "keys"])
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.slices(batches):
+            sets = list(_shingle_sets(batch.column("text"), size))
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _alike(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for p, q in zip(batch.column("p"), batch.column("q")):
+                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both / max(1, len(x) + len(y) - both) >= share)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class under the key of every band."""
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), "<i8").reshape(batch.num_rows, BANDS)
+        for t in range(BANDS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column("node"), batch.column("root")], names=["key", "node", "root"])
+
+
+def room_links(sets: list[np.ndarray], root: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """Pairs of sets similar by ``share`` that connect all such pairs of different roots.
+
+    Of two roots one isn't the most frequent, so each set outside it is compared with all
+    sets of other roots at once.
+    """
+    root = np.unique(root, return_inverse=True)[1]
+    n = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    mark, links, done = np.zeros(n.sum() + 1, bool), [], np.zeros(len(n), bool)
+    while True:
+        most = np.bincount(root).argmax()
+        left = np.flatnonzero(~done & (root != most))
+        if not len(left):
+            return links
+        i = int(left[0])
+        done[i] = True
+        others = np.flatnonzero(~(root == root[i]) & (np.minimum(n, n[i]) >= share * np.maximum(n, n[i])) & (n > 0))
+        if not len(others):
+            continue
+        mark[codes[bounds[i] : bounds[i + 1]]] = True
+        size = n[others]
+        starts = np.cumsum(size) - size
+        both = np.add.reduceat(mark[codes[np.repeat(bounds[others] - starts, size) + np.arange(size.sum())]].astype(np.int64), starts)
+        mark[codes[bounds[i] : bounds[i + 1]]] = False
+        for j in others[both / (size + n[i] - both) >= share].tolist():
+            if root[j] != root[i]:
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+
+
+def _rooms(share: float):
+    """Links between different roots under one key, decided by the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        key, node, root = (np.asarray(table.column(c)) for c in ("key", "node", "root"))
+        shingles = table.column("shingles").combine_chunks()
+        order = np.lexsort((node, key))
+        for at in np.split(order, np.flatnonzero(key[order][1:] != key[order][:-1]) + 1):
+            at = at[np.unique(node[at], return_index=True)[1]]
+            found = room_links([np.frombuffer(shingles[k].as_buffer(), np.uint64) for k in at.tolist()], root[at], share)
+            if found:
+                a, b = node[at][np.array(found)].T
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return run
 
@@ -325,31 +464,59 @@ def _near(budget: int, share: float):
                     out[a : a + (1 << 17)] = np.bitwise_count(wide[p] ^ wide[q]).sum(axis=1) <= limit  # noqa: B023
                 return out
 
-            root = connect(keys[at].astype(np.int64), tail, bits, budget, near)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at][linked]), pa.array(nodes[at][root[linked]])], names=["a", "b"])
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            connect(keys[at].astype(np.int64), tail, bits, budget, near, pairs)
+            for x, y in pairs:
+                if len(x):
+                    a, b = nodes[at][x], nodes[at][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return run
 
 
-def near_copies(docs: DataFrame, size: int = 3, tables: int = 12, budget: int = 2, share: float = 0.15) -> DataFrame:
-    """(doc_id, component_id) of near copies well beyond two differing bits.
+def _shingles_of(nodes: DataFrame, known: DataFrame, classes: DataFrame, size: int, name: str) -> DataFrame:
+    """(node, shingles) of distinct nodes, from their texts."""
+    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    return shared.stored(shared.arrow(known.join(wanted, "doc_id", "left_semi"), _sets(size), "node long, shingles binary"), name)
 
-    A sketch is ``tables`` independent 32-bit SimHash slices.  The trie self-join runs on
-    each slice with ``budget`` bits; pairs it finds are linked if at most ``share`` of all
-    bits differ.  Of texts whose five-word shingles are similar by 0.8, three-word slices
-    differ in 12 % of bits on average: one of twelve slices meets with probability 0.98,
-    and 0.15 of the bits is two standard deviations above.  Documents of less than about
-    0.7 are not linked.  Equal sketches are one class.  Documents with null doc_id are
-    left out.
+
+def _verified(pairs: DataFrame, known: DataFrame, classes: DataFrame, size: int, alike: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose distinct shingles are similar by ``alike``, from the texts."""
+    pairs = shared.stored(pairs.distinct(), "slice-pairs")
+    sets = _shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), known, classes, size, "slice-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
+    return shared.stored(shared.arrow(both.select("a", "b", "p", "q"), _alike(alike), "a long, b long"), "slice-links")
+
+
+def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int = 2, share: float = 0.15, alike: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of near copies: components of pairs whose distinct shingles of
+    ``size`` words have a Jaccard similarity of ``alike`` or more.
+
+    Every link is decided by the shingles of both texts.  Candidates come in two rounds.
+    First the trie self-join runs on ``tables`` 32-bit SimHash slices of the distinct
+    shingles with ``budget`` bits, keeping pairs that differ in at most ``share`` of all
+    bits; that joins large groups by few pairs.  Then all classes meet under the keys of
+    24 MinHash bands of four rows; where those under a key aren't all in one component, their
+    shingles meet in one task, which decides all pairs left (keys of the same classes once).
+    Two texts agree in a row with the chance of their similarity, however their
+    differences lie: at 0.8 no band meets with a chance of 0.59 ** 24, 3 in a million.
+    Texts with the same set of shingles are one class, named by 128 bits; so are wordless
+    texts.  Documents with null doc_id are left out.
     """
     spark = docs.sparkSession
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    sketches = shared.stored(shared.arrow(known, _sketches(size, tables), "doc_id long, sketch binary"), "sketches")
-    classes = sketches.groupBy("sketch").agg(F.min("doc_id").alias("node"))
-    dealt = shared.arrow(classes, _deal, "tag int, key int, node long, sketch binary").repartition(shared.partitions(spark), "tag", "key")
-    found = shared.arrow(dealt, _near(budget, share), "a long, b long").distinct()
-    roots = components(found)
-    named = classes.join(roots, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
-    return sketches.join(shared.stored(named, "sketch-components"), "sketch").select("doc_id", "component_id")
+    prints = shared.stored(shared.arrow(known, _prints(size, tables), "doc_id long, node long, check long, sketch binary, keys binary"), "prints")
+    classes = shared.stored(prints.groupBy("node", "check").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("sketch", "keys"))), "classes")
+    dealt = shared.arrow(classes.select("node", "sketch"), _deal, "tag int, key int, node long, sketch binary").repartition(shared.partitions(spark), "tag", "key")
+    links = _verified(shared.arrow(dealt, _near(budget, share), "a long, b long"), known, classes, size, alike)
+    rooted = classes.join(components(links), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"))
+    keys = shared.arrow(shared.stored(rooted, "rooted"), _keys, "key long, node long, root long")
+    members = (F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    open_ = keys.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *members).filter("least <> most").groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    rooms = shared.stored(keys.join(open_, "key", "left_semi"), "rooms")
+    sets = _shingles_of(rooms.select("node").distinct(), known, classes, size, "room-shingles")
+    met = rooms.join(sets, "node").select("key", "node", "root", "shingles").repartition(shared.partitions(spark), "key")
+    links = links.union(shared.stored(shared.arrow(met, _rooms(alike), "a long, b long").distinct(), "room-links"))
+    named = classes.join(components(links), "node", "left").select("node", "check", "least", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "node", "check").join(shared.stored(named.join(ids, "root").select("node", "check", "component_id"), "print-components"), ["node", "check"]).select("doc_id", "component_id")

@@ -268,6 +268,23 @@ def test_near_copies(spark):
     assert got == expected
 
 
+def similar(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_block_edits(spark):
+    rng = np.random.default_rng(4)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 30, n)]
+    rows = []
+    for i in range(40):  # words in one block: appended, or put in place of others
+        w = fresh(300)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + fresh(73) if i % 2 else w[:100] + fresh(28) + w[128:]))]
+    assert all(0.8 <= similar(rows[2 * i][1], rows[2 * i + 1][1]) < 0.83 for i in range(40))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 # op8
 
 
