@@ -10,8 +10,10 @@ Both give pixel arrays of 32-bit ARGB.
 rows are predicted from the row above (their first from the left), so the stored samples
 are differences and the reader inverts the predictor.
 
-Defined cases: a null text is empty; an empty payload is one row of padding; payloads
-beyond one image (16384 x 16384 pixels) raise; rows are independent of one another, so
+Defined cases: a null text is empty; an empty payload is one row of padding; a payload
+that fills no rectangle of at most 16384 x 16384 pixels is padded to the next that does
+(``n_bytes`` keeps the true length), and one beyond ``LIMIT`` is several files in a row
+(``pixels`` takes single images only); rows are independent of one another, so
 repeated rows and null ids change nothing.
 """
 
@@ -431,17 +433,27 @@ def container(payload: bytes) -> bytes:
 
 
 def shape(n_bytes: int, unit: int = 576) -> tuple[int, int]:
-    """Width and height for a multiple of ``unit`` bytes: rows of units, doubled while too tall."""
+    """Width and height for a multiple of ``unit`` bytes: rows of units, doubled while too tall.
+
+    Where that leaves no rectangle, the narrowest of all exact ones counts.
+    """
     per, rows = unit // 4, n_bytes // unit
     k = 1
     while rows // k > 16383 and per * k <= 8191:
         k *= 2
     if rows % k:
         k = max(d for d in range(1, k + 1) if rows % d == 0)
-    if rows // k > 16384 or per * k > 16384:
-        raise ValueError("payload beyond one image")
-    return per * k, rows // k
+    if rows // k <= 16384 and per * k <= 16384:
+        return per * k, rows // k
+    pixels = n_bytes // 4
+    for width in range(max(1, -(-pixels // 16384)), 16385):
+        if pixels % width == 0:
+            return width, pixels // width
+    raise ValueError("no exact image of this payload")
+
 
+#: Bytes of payload in one image, so that its file's length stays in 32 bits.
+LIMIT = 1 << 29
 
 _HEADS: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -501,6 +513,32 @@ def features(pixels: np.ndarray) -> str:
     return f"{width}x{height}|{','.join(map(str, means.tolist()))}|{bits}"
 
 
+def fitting(n_bytes: int, unit: int = 576) -> int:
+    """The least multiple of ``unit`` bytes from ``n_bytes`` on that fills a rectangle."""
+    while True:
+        try:
+            shape(n_bytes, unit)
+            return n_bytes
+        except ValueError:
+            n_bytes += unit
+
+
+def write_payloads(payload: bytes, unit: int = 576, limit: int = LIMIT) -> bytes:
+    """WebP files one after the other, of at most ``limit`` bytes of payload each, padded with 255 to a rectangle."""
+    parts = (payload[a : a + limit // unit * unit] for a in range(0, len(payload), limit // unit * unit))
+    return b"".join(write_payload(x + b"\xff" * (fitting(len(x), unit) - len(x)), unit) for x in parts)
+
+
+def files(media: bytes) -> list[bytes]:
+    """Each file of some that follow one another."""
+    out, at = [], 0
+    while at < len(media):
+        end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        out.append(media[at:end])
+        at = end
+    return out
+
+
 def store(docs: DataFrame, unit: int = 576) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text, padded with 255, as a WebP file."""
 
@@ -510,23 +548,23 @@ def store(docs: DataFrame, unit: int = 576) -> DataFrame:
             raw = data.tobytes()
             media = []
             for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
-                media.append(write_payload(raw[a:b] + b"\xff" * (unit * max(1, -(-(b - a) // unit)) - (b - a)), unit))
+                media.append(write_payloads(raw[a:b] + b"\xff" * (unit * max(1, -(-(b - a) // unit)) - (b - a)), unit))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return shared.arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
-def load(media: DataFrame) -> DataFrame:
-    """Digests and features of the payload decoded from each media file."""
+def load(media: DataFrame, unit: int = 576) -> DataFrame:
+    """Digests and features of the payload decoded from each text's media, without what pads it to a rectangle."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, "media"):
             rows = []
-            for file in batch.column("media").to_pylist():
-                pixels = decode(file)
-                payload = np.ascontiguousarray(pixels, "<u4").tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), features(pixels)))
+            for file, n in zip(batch.column("media").to_pylist(), batch.column("n_bytes").to_pylist()):
+                images = [decode(x) for x in files(file)]
+                payload = b"".join(np.ascontiguousarray(x, "<u4").tobytes() for x in images)[: unit * max(1, -(-n // unit))]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), ";".join(map(features, images))))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=[c.split()[0] for c in schema.split(", ")])

@@ -246,6 +246,25 @@ def test_payload(units):
     assert webp.read_payload(file) == payload and file[:4] == b"RIFF" and len(file) == 8 + int.from_bytes(file[4:8], "little")
 
 
+@pytest.mark.parametrize("rows", [16385, 16411, 2 * 16411])  # with divisors, prime, twice a prime
+def test_long_payload(rows):
+    payload = np.random.default_rng(rows).integers(0, 256, 576 * rows, dtype=np.uint8).tobytes()
+    assert webp.read_payload(webp.write_payloads(payload))[: len(payload)] == payload
+
+
+def test_several_images():
+    payload = np.random.default_rng(1).integers(0, 256, 576 * 50, dtype=np.uint8).tobytes()
+    files = webp.files(webp.write_payloads(payload, limit=576 * 20))
+    assert len(files) == 3 and b"".join(map(webp.read_payload, files)) == payload
+
+
+def test_long_text(spark):
+    text = "x" * (576 * 16411 - 5)  # a prime number of rows
+    r = webp.load(webp.store(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    payload = text.encode() + b"\xff" * 5
+    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+
+
 def test_errors():
     good = webp.write_payload(b"x" * 576)
     for bad in (b"", b"RIFF0000WEBPVP8 " + b"\0" * 8, good[:20] + b"\0" + good[21:], b"JUNK" + good[4:]):
