@@ -285,6 +285,22 @@ def test_near_copies_block_edits(spark):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+def test_near_copies_shared_lines(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 30, n)]
+    line = fresh(10)
+    texts = [" ".join(line * 60 + fresh(100)) for _ in range(20)]  # one line again and again, words of their own
+    for _ in range(20):  # scattered changes, below the bound
+        w = fresh(300)
+        v = list(w)
+        for k in range(7, 300, 25):
+            v[k] = "changed"
+        texts += [" ".join(w), " ".join(v)]
+    assert similar(texts[0], texts[1]) < 0.1 and all(0.6 < similar(texts[i], texts[i + 1]) < 0.75 for i in range(20, 60, 2))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(60)}
+
+
 # op8
 
 
