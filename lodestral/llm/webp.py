@@ -1,20 +1,20 @@
-"""Lossless WebP (VP8L): a decoder of the whole format, and a writer of payload images.
+"""Lossless WebP (VP8L): a decoder of the whole format, and a store of payload images.
 
 The decoder reads prefix codes (simple and normal, with meta codes), back-references and
 the colour cache, and inverts the predictor, cross-colour, subtract-green and palette
-transforms.  An image whose codes all have one length and hold no back-references (as
-those of ``write_payload``) is decoded by array operations; any other pixel by pixel.
-Both give pixel arrays of 32-bit ARGB.
-
-``write_payload`` stores bytes as ARGB samples, row by row: every code has eight bits, and
-rows are predicted from the row above (their first from the left), so the stored samples
-are differences and the reader inverts the predictor.
-
-Defined cases: a null text is empty; an empty payload is one row of padding; a payload
-that fills no rectangle of at most 16384 x 16384 pixels is padded to the next that does
-(``n_bytes`` keeps the true length), and one beyond ``LIMIT`` is several files in a row
-(``pixels`` takes single images only); rows are independent of one another, so
-repeated rows and null ids change nothing.
+transforms, to pixel arrays of 32-bit ARGB.  ``decode_many`` reads one symbol of each of
+many images at a time by array operations, and resolves back-references of all images
+by pointer jumping; images with a colour cache or meta codes, and the last few that are
+longer than the others, are read symbol by symbol.
+
+``store`` keeps each payload as grey samples, one byte a pixel, in files written by
+``webp_write`` (palette or subtract-green, back-references, prefix codes); ``load`` reads
+the stored bytes back through the decoder.
+
+Defined cases: a null text is empty; an empty payload is one row of padding; a payload of
+more than ``ROWS`` rows is several files in a row (``pixels`` takes single images only);
+rows are independent of one another, so repeated rows and null ids change nothing; only
+doc_id and text are read, so no other column can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,20 +23,18 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestral.llm import shared, text
+from lodestral.llm import shared, text, webp_write
 
 # Fixed values of the format.
-CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_MULTIPLIER = 0x1E35A7BD
-_REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8), axis=1, bitorder="little").ravel()
-
 
 def distance_offsets() -> list[tuple[int, int]]:
     """The 120 neighbours of short distance codes, as (columns left, rows up).
@@ -81,35 +79,43 @@ class Bits:
         return 8 * self.at - self.held
 
 
+@lru_cache
+def _reversed(bits: int) -> np.ndarray:
+    """The numbers of so many bits, each with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate((2 * out, 2 * out + 1))
+    return out
+
+
 class Code:
-    """A canonical prefix code as a table over its longest length."""
+    """A canonical prefix code as a table over its longest length: length << 16 | symbol."""
 
     def __init__(self, lengths: tuple[int, ...]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.longest = max((n for n, _ in used), default=0)
+        every = np.array(lengths)
+        used = np.flatnonzero(every)
+        n = every[used]
+        self.single = None
         if len(used) == 1:
-            self.single, self.longest = used[0][1], 0
+            self.single, self.longest = int(used[0]), 0
+            self.table = used.astype(np.int64)
             return
-        if not used or sum(1 << self.longest - n for n, _ in used) != 1 << self.longest:
+        self.longest = int(n.max()) if len(n) else 0
+        spans = 1 << self.longest - n
+        if not len(used) or spans.sum() != 1 << self.longest:
             raise ValueError("incomplete prefix code")
-        self.single = None
-        self.table = [0] * (1 << self.longest)
-        code = last = 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            low = int(f"{code:0{n}b}"[::-1], 2)
-            for i in range(low, 1 << self.longest, 1 << n):
-                self.table[i] = n << 16 | s
-            code += 1
-        shortest = min(n for n, _ in used)
-        self.flat = [s for _, s in sorted(used)] if shortest == self.longest else None
+        order = np.argsort(n, kind="stable")
+        self.table = np.repeat((n << 16 | used)[order], spans[order])[_reversed(self.longest)]
+
+    @cached_property
+    def entries(self) -> list[int]:
+        return self.table.tolist()
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
         bits.need(self.longest)
-        entry = self.table[bits.value & ((1 << self.longest) - 1)]
+        entry = self.entries[bits.value & ((1 << self.longest) - 1)]
         n = entry >> 16
         bits.value >>= n
         bits.held -= n
@@ -131,7 +137,7 @@ def _read_code(bits: Bits, size: int) -> Code:
         return _code(tuple(lengths))
     order = [0] * 19
     for i in range(4 + bits.read(4)):
-        order[CODE_LENGTH_ORDER[i]] = bits.read(3)
+        order[webp_write.CODE_LENGTH_ORDER[i]] = bits.read(3)
     code = _code(tuple(order))
     left = size
     if bits.read(1):
@@ -165,37 +171,20 @@ def _prefixed(symbol: int, bits: Bits) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _flat_pixels(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    """Pixels when the four colour codes have fixed lengths and there are only literals."""
-    widths = [0 if c.single is not None else c.longest for c in codes[:4]]
-    step = sum(widths)
-    first = bits.position
-    data = np.frombuffer(bits.data, np.uint8)[first // 8 : -(-(first + n * step) // 8)]
-    bits.at, bits.value, bits.held = (first + n * step) // 8, 0, 0
-    bits.read((first + n * step) % 8)
-    channels = []
-    if step == 32 and all(w == 8 for w in widths):  # whole bytes, at one bit offset
-        shift = first % 8
-        if shift:
-            wide = np.append(data, np.uint8(0)).astype(np.uint16)
-            data = ((wide[:-1] | wide[1:] << 8) >> shift & 0xFF).astype(np.uint8)
-        values = _REVERSED[data[: 4 * n]].reshape(n, 4)
-        channels = [np.array(c.flat, np.uint32)[values[:, k]] for k, c in enumerate(codes[:4])]
-    else:
-        raw = np.unpackbits(data, bitorder="little")[first % 8 :][: n * step].reshape(n, step)
-        at = 0
-        for c, w in zip(codes, widths):
-            if not w:
-                channels.append(np.full(n, c.single, np.uint32))
-                continue
-            index = raw[:, at : at + w].astype(np.uint32) @ (np.uint32(1) << np.arange(w - 1, -1, -1, dtype=np.uint32))
-            channels.append(np.array(c.flat, np.uint32)[index])
-            at += w
-    g, r, b, a = channels
-    return a << 24 | r << 16 | g << 8 | b
+@dataclass
+class Coded:
+    """An image whose codes are known and whose symbols are still to be read."""
 
+    bits: Bits
+    width: int
+    height: int
+    codes: list[list[Code]]
+    cache_bits: int = 0
+    meta: list[int] | None = None
+    meta_bits: int = 0
 
-def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+
+def _begin(bits: Bits, width: int, height: int, main: bool) -> Coded:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache too large")
@@ -205,13 +194,22 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         across = (width + (1 << meta_bits) - 1) >> meta_bits
         meta = (_image(bits, across, (height + (1 << meta_bits) - 1) >> meta_bits, False) >> 8 & 0xFFFF).tolist()
         groups = max(meta) + 1
-    cache_size = 1 << cache_bits if cache_bits else 0
-    sizes = (256 + 24 + cache_size, 256, 256, 256, 40)
+    sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, s) for s in sizes] for _ in range(groups)]
-    n = width * height
+    return Coded(bits, width, height, codes, cache_bits, meta, meta_bits)
+
+
+def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    return _symbols(_begin(bits, width, height, main))
+
+
+def _symbols(image: Coded) -> np.ndarray:
+    """The pixels, symbol by symbol."""
+    bits, width, meta, meta_bits = image.bits, image.width, image.meta, image.meta_bits
+    n, codes, cache_bits = width * image.height, image.codes, image.cache_bits
+    across = (width + (1 << meta_bits) - 1) >> meta_bits
     one = codes[0]
-    if groups == 1 and not cache_size and all(c.single is not None or c.flat for c in one[:4]) and (one[0].single if one[0].single is not None else max(one[0].flat)) < 256:
-        return _flat_pixels(bits, one, n)
+    cache_size = 1 << cache_bits if cache_bits else 0
     offsets = distance_offsets()
     out = [0] * n
     cache = [0] * cache_size
@@ -313,11 +311,6 @@ def predicted(mode: int, left: int, top: int, right: int, corner: int) -> int:
 
 def _invert_predictor(pixels: np.ndarray, width: int, height: int, size_bits: int, modes: np.ndarray) -> np.ndarray:
     kinds = modes >> 8 & 15
-    if (kinds == 2).all():  # sums down the columns, the first row along itself
-        samples = np.ascontiguousarray(pixels, np.uint32).view(np.uint8).reshape(height, width, 4).copy()
-        samples[0, 0, 3] = (int(samples[0, 0, 3]) + 255) & 255
-        samples[0] = np.cumsum(samples[0], axis=0, dtype=np.uint8)
-        return np.cumsum(samples, axis=0, dtype=np.uint8).reshape(-1, 4).view(np.uint32).ravel()
     across = (width + (1 << size_bits) - 1) >> size_bits
     out, kinds = pixels.tolist(), kinds.tolist()
     for i, value in enumerate(out):
@@ -361,8 +354,8 @@ def _invert_palette(pixels: np.ndarray, width: int, height: int, packed: int, pa
     return table[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """ARGB pixels, height x width, of a lossless WebP file."""
+def _opened(data: bytes) -> tuple[Coded, int, list]:
+    """The main image of a file, the width of the whole, and the transforms to invert."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -395,138 +388,259 @@ def decode(data: bytes) -> np.ndarray:
             packed = 3 if count <= 2 else 2 if count <= 4 else 1 if count <= 16 else 0
             undo.append((_invert_palette, (across, height, packed, palette)))
             across = (across + (1 << packed) - 1) >> packed
-    pixels = _image(bits, across, height, True)
-    for invert, args in reversed(undo):
-        pixels = invert(pixels, *args)
-    return pixels.reshape(height, width)
+    return _begin(bits, across, height, True), width, undo
+
+
+#: Images left of a batch that are read one after the other.
+FEW = 24
+_PREFIX = np.arange(40)
+_EXTRA = np.where(_PREFIX < 4, 0, _PREFIX - 2 >> 1)
+_BASE = np.where(_PREFIX < 4, _PREFIX + 1, (2 + (_PREFIX & 1) << _EXTRA) + 1)
+_NEAR = np.array(distance_offsets())
+
+
+class _Tables:
+    """One of the five codes of many images, as one array."""
+
+    def __init__(self, codes: list[Code]):
+        sizes = [len(c.table) for c in codes]
+        self.base = np.cumsum([0, *sizes[:-1]])
+        self.mask = np.array(sizes, np.uint64) - np.uint64(1)
+        self.all = np.concatenate([c.table for c in codes])
+
+    def keep(self, which: np.ndarray) -> None:
+        self.base, self.mask = self.base[which], self.mask[which]
+
+    def look(self, window: np.ndarray, rows=slice(None)) -> np.ndarray:
+        return self.all[self.base[rows] + (window & self.mask[rows]).view(np.int64)]
+
+
+def _lockstep(images: list[Coded]) -> list[np.ndarray]:
+    """Pixels of images of one code group and no colour cache."""
+    blobs = [i.bits.data for i in images]
+    begin = np.cumsum([0, *(len(b) + 16 for b in blobs[:-1])])
+    raw = b"".join(b + bytes(16) for b in blobs)
+    windows = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)).copy()  # the 64 bits from each byte on
+    last = np.int64(len(windows) - 1)
+    total = np.array([i.width * i.height for i in images])
+    offset = np.cumsum(total) - total
+    places, values, copies = [], [], []  # tokens of all images, by place among all pixels
+
+    def fetch(p: np.ndarray) -> np.ndarray:
+        return windows[np.minimum(p >> 3, last)] >> (p & 7).view(np.uint64)
+
+    live = np.arange(len(images))
+    at = 8 * begin + np.array([i.bits.position for i in images])
+    stop = 8 * (begin + np.array([len(b) for b in blobs]))
+    width = np.array([i.width for i in images])
+    tables = [_Tables([i.codes[0][k] for i in images]) for k in range(5)]
+    coloured = any(i.codes[0][k].longest for i in images for k in (1, 2, 3))
+    still = sum(t.all[t.base] << s for t, s in zip(tables[1:4], (16, 0, 24)))  # where other channels never change
+    done = offset.copy()
+    end = offset + total
+    while len(live) > FEW:
+        e = tables[0].look(fetch(at))
+        at = at + (e >> 16)
+        s = e & 0xFFFF
+        copy = np.flatnonzero(s > 255)
+        moved = done + 1
+        if len(copy):
+            p, k = at[copy], s[copy] - 256
+            extra = _EXTRA[k]
+            length = _BASE[k] + (fetch(p) & (np.uint64(1) << extra.view(np.uint64)) - np.uint64(1)).view(np.int64)
+            p += extra
+            window = fetch(p)
+            e = tables[4].look(window, copy)
+            n, k = e >> 16, e & 0xFFFF
+            extra = _EXTRA[k]
+            distance = _BASE[k] + (window >> n.view(np.uint64) & (np.uint64(1) << extra.view(np.uint64)) - np.uint64(1)).view(np.int64)
+            at[copy] = p + n + extra
+            near = np.flatnonzero(distance <= 120)
+            distance -= 120
+            if len(near):
+                xy = _NEAR[distance[near] + 119]
+                distance[near] = np.maximum(1, xy[:, 0] + xy[:, 1] * width[copy[near]])
+            moved[copy] += length - 1
+            if (distance > done[copy] - offset[live[copy]]).any():
+                raise ValueError("back-reference out of the image")
+            copies.append((done[copy], length, distance))
+            plain = np.flatnonzero(s < 256)
+            place, s = done[plain], s[plain]
+        else:
+            plain, place = slice(None), done
+        value = s << 8
+        if coloured:
+            p = at[plain]
+            for t, shift in zip(tables[1:4], (16, 0, 24)):
+                e = t.look(fetch(p), plain)
+                p = p + (e >> 16)
+                value |= (e & 0xFFFF) << shift
+            at[plain] = p
+        else:
+            value |= still[plain]
+        places.append(place)
+        values.append(value)
+        done = moved
+        over = done >= end
+        if over.any():
+            if (done > end).any() or (at > stop).any():
+                raise ValueError("truncated WebP data")
+            keep = np.flatnonzero(~over)
+            live, at, done, end, stop, width, still = (x[keep] for x in (live, at, done, end, stop, width, still))
+            for t in tables:
+                t.keep(keep)
+    for i, p, d in zip(live.tolist(), at.tolist(), done.tolist()):
+        one, two, three = _follow(images[i], p - 8 * int(begin[i]), d - int(offset[i]))
+        places.append(np.array(one, np.int64) + offset[i])
+        values.append(np.array(two, np.int64))
+        if three:
+            copies.append(tuple(np.array(three).T + np.array([[offset[i]], [0], [0]])))
+    out = np.zeros(int(total.sum()), np.uint32)
+    out[np.concatenate(places)] = np.concatenate(values)
+    del places, values
+    if copies:
+        _resolve(out, *(np.concatenate([c[k] for c in copies]) for k in range(3)))
+    return [out[a : a + n] for a, n in zip(offset.tolist(), total.tolist())]
+
+
+def _follow(image: Coded, at: int, done: int) -> tuple[list[int], list[int], list[tuple[int, int, int]]]:
+    """The rest of one image as literals (place, value) and copies (place, length, distance)."""
+    data, n, width = image.bits.data + bytes(16), image.width * image.height, image.width
+    stop = 8 * len(image.bits.data)
+    green, *others, far = image.codes[0]
+    entries, mask = green.entries, (1 << green.longest) - 1
+    places, values, copies = [], [], []
+    channels = [(c.entries, (1 << c.longest) - 1, s) for c, s in zip(others, (16, 0, 24)) if c.longest]
+    still = sum(c.single << s for c, s in zip(others, (16, 0, 24)) if c.single is not None)
+    far_entries, far_mask = far.entries, (1 << far.longest) - 1
+    extras, bases, near = _EXTRA.tolist(), _BASE.tolist(), _NEAR.tolist()
+    value = held = 0
+    byte = at >> 3
+    if at & 7:
+        value, held, byte = data[byte] >> (at & 7), 8 - (at & 7), byte + 1
+    while done < n:
+        if held < 64:  # the longest token is shorter
+            value |= int.from_bytes(data[byte : byte + 32], "little") << held
+            byte += 32
+            held += 256
+        e = entries[value & mask]
+        size = e >> 16
+        value >>= size
+        held -= size
+        s = e & 0xFFFF
+        if s < 256:
+            s = s << 8 | still
+            for more, m, shift in channels:
+                e = more[value & m]
+                value >>= e >> 16
+                held -= e >> 16
+                s |= (e & 0xFFFF) << shift
+            places.append(done)
+            values.append(s)
+            done += 1
+            continue
+        extra = extras[s - 256]
+        length = bases[s - 256] + (value & (1 << extra) - 1)
+        value >>= extra
+        e = far_entries[value & far_mask]
+        size = e >> 16
+        value >>= size
+        k = extras[e & 0xFFFF]
+        distance = bases[e & 0xFFFF] + (value & (1 << k) - 1)
+        value >>= k
+        held -= extra + size + k
+        if distance > 120:
+            distance -= 120
+        else:
+            x, y = near[distance - 1]
+            distance = max(1, x + y * width)
+        if distance > done or done + length > n:
+            raise ValueError("back-reference out of the image")
+        copies.append((done, length, distance))
+        done += length
+        if 8 * byte - held > stop:
+            raise ValueError("truncated WebP data")
+    if 8 * byte - held > stop:
+        raise ValueError("truncated WebP data")
+    return places, values, copies
+
+
+def _resolve(out: np.ndarray, place: np.ndarray, length: np.ndarray, distance: np.ndarray) -> None:
+    """Fill the copies: pointers to earlier pixels are doubled until all point at literals."""
+    to = np.repeat((place - np.cumsum(length) + length).astype(np.int32), length) + np.arange(length.sum(), dtype=np.int32)
+    pointer = np.arange(len(out), dtype=np.int32)
+    pointer[to] = to - np.repeat(distance.astype(np.int32), length)
+    copied = np.zeros(len(out), bool)
+    copied[to] = True
+    open_ = to
+    while len(open_):
+        next_ = pointer[open_]
+        more = copied[next_]
+        open_ = open_[more]
+        pointer[open_] = pointer[next_[more]]
+    out[to] = out[pointer[to]]
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """ARGB pixels, height x width, of each lossless WebP file."""
+    opened = [_opened(f) for f in files]
+    together = [k for k, (i, _, _) in enumerate(opened) if i.meta is None and not i.cache_bits]
+    together.sort(key=lambda k: len(files[k]))
+    out: list[np.ndarray] = [None] * len(files)
+    for k, flat in zip(together, _lockstep([opened[k][0] for k in together]) if together else ()):
+        out[k] = flat
+    for k, (image, width, undo) in enumerate(opened):
+        flat = _symbols(image) if out[k] is None else out[k]
+        for invert, args in reversed(undo):
+            flat = invert(flat, *args)
+        out[k] = flat.reshape(image.height, width)
+    return out
 
 
-class BitWriter:
-    def __init__(self):
-        self.value, self.size = 0, 0
+def decode(data: bytes) -> np.ndarray:
+    """ARGB pixels, height x width, of one file."""
+    return decode_many([data])[0]
 
-    def put(self, value: int, n: int) -> None:
-        self.value |= value << self.size
-        self.size += n
 
+#: Rows of one image, and bytes of payload that are written or read together.
+ROWS, TOGETHER = 8192, 4 << 20
 
-def _put_flat_codes(out: BitWriter) -> None:
-    """Five codes: eight bits for each of 256 literals four times, one distance symbol."""
-    for size in (280, 256, 256, 256):
-        out.put(0, 1)  # normal code
-        out.put(12 - 4, 4)  # code lengths of 17, 18, 0 ... 8
-        for symbol in CODE_LENGTH_ORDER[:12]:
-            out.put(symbol == 8, 3)  # length 8 alone: it takes no bits
-        out.put(size != 256, 1)
-        if size != 256:
-            out.put(3, 3)  # 8 bits for the number of lengths that follow
-            out.put(256 - 2, 8)
-    out.put(1, 1)  # simple code
-    out.put(0, 1)  # of one symbol
-    out.put(0, 1)
-    out.put(0, 1)
 
+def write_payloads(payloads: list[bytes], unit: int = 576, rows: int = ROWS) -> list[bytes]:
+    """For each payload its files, one after the other: grey images a unit wide."""
+    parts = [(k, p[a : a + unit * rows]) for k, p in enumerate(payloads) for a in range(0, len(p), unit * rows)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for group in _groups(parts, [len(p) for _, p in parts]):
+        for (k, _), file in zip(group, webp_write.write([p for _, p in group], unit)):
+            out[k].append(file)
+    return [b"".join(x) for x in out]
 
-def container(payload: bytes) -> bytes:
-    body = b"VP8L" + struct.pack("<I", len(payload)) + payload + b"\0" * (len(payload) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
 
+def _groups(rows: list, sizes: list[int]) -> Iterator[list]:
+    """Neighbours of about ``TOGETHER`` bytes (one row at least)."""
+    held, size = [], 0
+    for row, n in zip(rows, sizes):
+        if held and size + n > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
 
-def shape(n_bytes: int, unit: int = 576) -> tuple[int, int]:
-    """Width and height for a multiple of ``unit`` bytes: rows of units, doubled while too tall.
 
-    Where that leaves no rectangle, the narrowest of all exact ones counts.
-    """
-    per, rows = unit // 4, n_bytes // unit
-    k = 1
-    while rows // k > 16383 and per * k <= 8191:
-        k *= 2
-    if rows % k:
-        k = max(d for d in range(1, k + 1) if rows % d == 0)
-    if rows // k <= 16384 and per * k <= 16384:
-        return per * k, rows // k
-    pixels = n_bytes // 4
-    for width in range(max(1, -(-pixels // 16384)), 16385):
-        if pixels % width == 0:
-            return width, pixels // width
-    raise ValueError("no exact image of this payload")
-
-
-#: Bytes of payload in one image, so that its file's length stays in 32 bits.
-LIMIT = 1 << 29
-
-_HEADS: dict[tuple[int, int], tuple[int, int]] = {}
-
-
-def _head(width: int, height: int) -> tuple[int, int]:
-    out = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (1, 1), (PREDICTOR, 2), (7, 3), (0, 1)):
-        out.put(value, n)
-    # The predictor image: green code of the one symbol 2, the other codes of the one symbol 0.
-    for symbol in (2, 0, 0, 0, 0):
-        out.put(1, 1)
-        out.put(0, 1)
-        out.put(1 if symbol > 1 else 0, 1)
-        out.put(symbol, 8 if symbol > 1 else 1)
-    out.put(0, 1)  # no more transforms
-    out.put(0, 1)  # no colour cache
-    out.put(0, 1)  # no meta codes
-    _put_flat_codes(out)
-    return out.value, out.size
-
-
-def write_payload(payload: bytes, unit: int = 576) -> bytes:
-    """A WebP file whose pixels' bytes (blue, green, red, alpha) are the payload."""
-    width, height = shape(len(payload), unit)
-    samples = np.frombuffer(payload, np.uint8).reshape(height, width, 4)
-    delta = samples.copy()
-    delta[1:] -= samples[:-1]
-    delta[0, 1:] -= samples[0, :-1]
-    delta[0, 0, 3] = (int(delta[0, 0, 3]) + 1) & 255  # the first pixel is predicted opaque black
-    coded = _REVERSED[delta.reshape(-1, 4)[:, [1, 2, 0, 3]]].ravel()  # green, red, blue, alpha
-    if (width, height) not in _HEADS:
-        if len(_HEADS) > 4096:
-            _HEADS.clear()
-        _HEADS[width, height] = _head(width, height)
-    value, size = _HEADS[width, height]
-    whole, shift = divmod(size, 8)
-    head = value.to_bytes(whole + 1, "little")
-    wide = np.zeros(len(coded) + 1, np.uint16)
-    wide[:-1] = coded.astype(np.uint16) << shift & 0xFF
-    wide[1:] |= coded.astype(np.uint16) >> 8 - shift
-    wide[0] |= head[whole]
-    return container(head[:whole] + wide.astype(np.uint8).tobytes())
-
-
-def read_payload(data: bytes) -> bytes:
-    return np.ascontiguousarray(decode(data), "<u4").tobytes()
+def payload_of(pixels: np.ndarray) -> bytes:
+    """The grey samples."""
+    return pixels.astype(np.uint8).tobytes()
 
 
 def features(pixels: np.ndarray) -> str:
-    """Size, channel means (blue, green, red, alpha; hundredths) and a 64-bit average hash."""
+    """Size, mean of the grey samples (hundredths) and a 64-bit average hash of 64 cells in a row."""
     height, width = pixels.shape
-    samples = np.ascontiguousarray(pixels, np.uint32).view(np.uint8)
-    means = samples.reshape(-1, 4).sum(axis=0, dtype=np.int64) * 100 // (height * width)
-    flat = samples.reshape(-1)
-    cells = np.add.reduceat(flat.astype(np.int64), np.arange(64) * len(flat) // 64)
-    bits = np.packbits(cells * 64 > flat.sum(dtype=np.int64)).tobytes().hex()
-    return f"{width}x{height}|{','.join(map(str, means.tolist()))}|{bits}"
-
-
-def fitting(n_bytes: int, unit: int = 576) -> int:
-    """The least multiple of ``unit`` bytes from ``n_bytes`` on that fills a rectangle."""
-    while True:
-        try:
-            shape(n_bytes, unit)
-            return n_bytes
-        except ValueError:
-            n_bytes += unit
-
-
-def write_payloads(payload: bytes, unit: int = 576, limit: int = LIMIT) -> bytes:
-    """WebP files one after the other, of at most ``limit`` bytes of payload each, padded with 255 to a rectangle."""
-    parts = (payload[a : a + limit // unit * unit] for a in range(0, len(payload), limit // unit * unit))
-    return b"".join(write_payload(x + b"\xff" * (fitting(len(x), unit) - len(x)), unit) for x in parts)
+    flat = pixels.astype(np.uint8).ravel()
+    cells = np.add.reduceat(flat, np.arange(64) * len(flat) // 64, dtype=np.int64)
+    total = int(cells.sum()) if len(flat) >= 64 else int(flat.sum(dtype=np.int64))
+    return f"{width}x{height}|{total * 100 // len(flat)}|{np.packbits(cells * 64 > total).tobytes().hex()}"
 
 
 def files(media: bytes) -> list[bytes]:
@@ -540,44 +654,59 @@ def files(media: bytes) -> list[bytes]:
 
 
 def store(docs: DataFrame, unit: int = 576) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text, padded with 255, as a WebP file."""
+    """(doc_id, n_bytes, media): each whole text, padded with 255, as WebP files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.slices(batches):
+        for batch in text.slices(batches, limit=TOGETHER):
             data, offsets = text.strings(batch.column("text"))
             raw = data.tobytes()
-            media = []
-            for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
-                media.append(write_payloads(raw[a:b] + b"\xff" * (unit * max(1, -(-(b - a) // unit)) - (b - a)), unit))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            payloads = [raw[a:b] + b"\xff" * (unit * max(1, -(-(b - a) // unit)) - (b - a)) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(write_payloads(payloads, unit), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return shared.arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
-def load(media: DataFrame, unit: int = 576) -> DataFrame:
-    """Digests and features of the payload decoded from each text's media, without what pads it to a rectangle."""
+def load(media: DataFrame) -> DataFrame:
+    """Digests and features of the payload decoded from each text's media."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, "media"):
-            rows = []
-            for file, n in zip(batch.column("media").to_pylist(), batch.column("n_bytes").to_pylist()):
-                images = [decode(x) for x in files(file)]
-                payload = b"".join(np.ascontiguousarray(x, "<u4").tobytes() for x in images)[: unit * max(1, -(-n // unit))]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), ";".join(map(features, images))))
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            stored = batch.column("media").to_pylist()
+            parts = [(k, f) for k, m in enumerate(stored) for f in files(m)]
+            digests, sizes, tails, marks = [hashlib.sha256() for _ in stored], [0] * len(stored), [b""] * len(stored), [[] for _ in stored]
+            for group in _groups(parts, [file_pixels(f) for _, f in parts]):
+                for (k, _), image in zip(group, decode_many([f for _, f in group])):
+                    payload = payload_of(image)
+                    digests[k].update(payload)
+                    sizes[k] += len(payload)
+                    tails[k] = (tails[k] + payload[-32:])[-32:]
+                    marks[k].append(features(image))
+            columns = [
+                pa.array(sizes, pa.int64()),
+                pa.array([d.hexdigest() for d in digests]),
+                pa.array([zlib.crc32(t) for t in tails], pa.int64()),
+                pa.array([len(m) for m in stored], pa.int64()),
+                pa.array([hashlib.sha256(m).hexdigest() for m in stored]),
+                pa.array([";".join(m) for m in marks]),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=[c.split()[0] for c in schema.split(", ")])
 
     return shared.arrow(media, run, schema)
 
 
+def file_pixels(data: bytes) -> int:
+    """Pixels of a file of one image chunk, from its head."""
+    head = int.from_bytes(data[21:25], "little")
+    return ((head & 0x3FFF) + 1) * ((head >> 14 & 0x3FFF) + 1)
+
+
 def pixels(media: DataFrame) -> DataFrame:
     """(doc_id, width, height, argb array<int>): the pixel array of each media file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.slices(batches, "media"):
-            images = [decode(x) for x in batch.column("media").to_pylist()]
+            images = decode_many(batch.column("media").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([i.shape[1] for i in images], pa.int32()), pa.array([i.shape[0] for i in images], pa.int32()), pa.array([i.ravel().view(np.int32) for i in images], pa.list_(pa.int32()))],
                 names=["doc_id", "width", "height", "argb"],

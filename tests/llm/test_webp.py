@@ -6,10 +6,10 @@ import zlib
 import numpy as np
 import pytest
 
-from lodestral.llm import webp
+from lodestral.llm import webp, webp_write
 
 
-class Writer(webp.BitWriter):
+class Writer(webp_write.BitWriter):
     def codes(self, lengths):
         """A normal prefix code, its code lengths written with five bits each."""
         if sum(1 for n in lengths if n) == 1:
@@ -24,7 +24,7 @@ class Writer(webp.BitWriter):
         order = [0] * 19
         for n in range(16):
             order[n] = 4
-        for s in webp.CODE_LENGTH_ORDER:
+        for s in webp_write.CODE_LENGTH_ORDER:
             self.put(order[s], 3)
         self.put(0, 1)
         for n in lengths:
@@ -124,7 +124,7 @@ def head(width, height):
 
 
 def finish(w):
-    return webp.container(w.value.to_bytes(-(-w.size // 8), "little"))
+    return webp_write.container(w.value.to_bytes(-(-w.size // 8), "little"))
 
 
 def noisy(width, height, colours, seed=0):
@@ -239,35 +239,127 @@ def test_meta_codes():
     assert webp.decode(finish(w)).ravel().tolist() == pixels
 
 
-@pytest.mark.parametrize("units", [1, 2, 3, 17, 1000, 17000])
-def test_payload(units):
-    payload = np.random.default_rng(units).integers(0, 256, 576 * units, dtype=np.uint8).tobytes()
-    file = webp.write_payload(payload)
-    assert webp.read_payload(file) == payload and file[:4] == b"RIFF" and len(file) == 8 + int.from_bytes(file[4:8], "little")
-
-
-@pytest.mark.parametrize("rows", [16385, 16411, 2 * 16411])  # with divisors, prime, twice a prime
-def test_long_payload(rows):
-    payload = np.random.default_rng(rows).integers(0, 256, 576 * rows, dtype=np.uint8).tobytes()
-    assert webp.read_payload(webp.write_payloads(payload))[: len(payload)] == payload
+def prose(n, words=300, seed=0):
+    rng = np.random.default_rng(seed)
+    known = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäß.,"), int(k))) for k in rng.integers(2, 9, words)]
+    out = " ".join(known[int(k) ** 2 // words] for k in rng.integers(0, words, n // 3)).encode()
+    return out[:n]
+
+
+def padded(raw, unit=576):
+    return raw + b"\xff" * (unit * max(1, -(-len(raw) // unit)) - len(raw))
+
+
+def plain_feature(images):
+    """The feature by loops over samples."""
+    out = []
+    for payload, width in images:
+        n, total = len(payload), sum(payload)
+        cells = [sum(payload[n * k // 64 : n * (k + 1) // 64]) for k in range(64)]
+        out.append(f"{width}x{n // width}|{total * 100 // n}|{sum((c * 64 > total) << 63 - k for k, c in enumerate(cells)):016x}")
+    return ";".join(out)
+
+
+PAYLOADS = [
+    padded(b""),
+    padded(b"a"),
+    padded(b"abc"),
+    padded(b"abcd" * 40),
+    padded(b"0123456789abcde"),
+    padded(b"0123456789abcdef"),
+    padded(bytes(range(256))),
+    padded(b"ab" * 5000),
+    padded(b"x" * 9000),
+    *(padded(prose(n, seed=n)) for n in (100, 575, 576, 577, 3000, 40000)),
+    np.random.default_rng(1).integers(0, 256, 576 * 17, dtype=np.uint8).tobytes(),
+    np.random.default_rng(2).integers(0, 2, 576 * 9, dtype=np.uint8).tobytes(),
+]
+
+
+@pytest.mark.parametrize("few", [0, 24])
+def test_payloads(monkeypatch, few):
+    """Together and each alone, read by array steps and one by one."""
+    monkeypatch.setattr(webp, "FEW", few)
+    files = webp.write_payloads(PAYLOADS)
+    assert [webp.payload_of(x) for x in webp.decode_many(files)] == PAYLOADS
+    assert [webp.write_payloads([p])[0] for p in PAYLOADS] == files
+    for file, payload in zip(files, PAYLOADS):
+        image = webp.decode(file)
+        assert len(file) == 8 + int.from_bytes(file[4:8], "little") and image.shape == (len(payload) // 576, 576) and webp.file_pixels(file) == len(payload)
+        assert webp.features(image) == plain_feature([(payload, 576)])
+        assert (image >> 24 == 255).all() and (image >> 8 & 255 == image & 255).all() and (image >> 16 & 255 == image & 255).all()
+    assert len(files[-3]) < 0.6 * len(PAYLOADS[-3])  # prose becomes smaller
+
+
+def test_symbol_by_symbol():
+    """The general reader agrees with the one by array steps."""
+    for file in webp.write_payloads(PAYLOADS):
+        image, width, undo = webp._opened(file)
+        flat = webp._symbols(image)
+        for invert, args in reversed(undo):
+            flat = invert(flat, *args)
+        assert (flat.reshape(image.height, width) == webp.decode(file)).all()
+
+
+def test_copies():
+    """Tokens tile each image, and what they copy is there."""
+    parts = [np.frombuffer(p, np.uint8) for p in PAYLOADS]
+    first = np.cumsum([0, *map(len, parts)])
+    samples = np.concatenate(parts)
+    at, length, distance = webp_write.copies(samples, first)
+    assert (np.diff(np.append(at, len(samples))) == length).all() and set(first[:-1]) <= set(at)
+    for i, n, d in zip(at.tolist(), length.tolist(), distance.tolist()):
+        if n > 1:
+            begin = first[np.searchsorted(first, i, side="right") - 1]
+            assert i - d >= begin and all(samples[k] == samples[k - d] for k in range(i, i + n))
+
+
+@pytest.mark.parametrize("counts", [[5], [1, 1], [1, 2, 4, 8], [2**k for k in range(30)], [1] * 280, [0, 3, 0, 9, 1]])
+def test_code_lengths(counts):
+    lengths = webp_write.code_lengths(np.array(counts))
+    used = [int(n) for n, c in zip(lengths, counts) if c]
+    assert max(used) <= webp_write.LONGEST and all(n == 0 for n, c in zip(lengths, counts) if not c)
+    assert len(used) == 1 or sum(2.0**-n for n in used) == 1
+
+
+@pytest.mark.parametrize("value", [1, 2, 4, 5, 6, 7, 100, 4096, 1 << 20])
+def test_prefixes(value):
+    symbol, bits, extra = (int(x[0]) for x in webp_write.prefixes(np.array([value])))
+    assert (symbol, bits, extra) == prefix(value)
 
 
 def test_several_images():
     payload = np.random.default_rng(1).integers(0, 256, 576 * 50, dtype=np.uint8).tobytes()
-    files = webp.files(webp.write_payloads(payload, limit=576 * 20))
-    assert len(files) == 3 and b"".join(map(webp.read_payload, files)) == payload
+    files = webp.files(webp.write_payloads([payload], rows=20)[0])
+    assert len(files) == 3 and b"".join(webp.payload_of(x) for x in webp.decode_many(files)) == payload
 
 
 def test_long_text(spark):
-    text = "x" * (576 * 16411 - 5)  # a prime number of rows
+    """A text of several images, 11 MB."""
+    text = prose(11_000_003).decode(errors="ignore")
     r = webp.load(webp.store(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
-    payload = text.encode() + b"\xff" * 5
-    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+    payload = padded(text.encode())
+    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert r["feature"].count(";") == len(payload) // (576 * webp.ROWS)
+
+
+def test_mixed_batch():
+    """Images of every kind in one batch."""
+    pixels = noisy(19, 13, 40)
+    w = head(19, 13)
+    w.put(0, 1)
+    image(w, pixels, 19, cache_bits=4)
+    v = head(19, 13)
+    v.put(0, 1)
+    image(v, pixels, 19)
+    batch = [finish(w), finish(v)] * 20 + webp.write_payloads(PAYLOADS)
+    got = webp.decode_many(batch)
+    assert all(x.ravel().tolist() == pixels for x in got[:40]) and [webp.payload_of(x) for x in got[40:]] == PAYLOADS
 
 
 def test_errors():
-    good = webp.write_payload(b"x" * 576)
-    for bad in (b"", b"RIFF0000WEBPVP8 " + b"\0" * 8, good[:20] + b"\0" + good[21:], b"JUNK" + good[4:]):
+    good = webp.write_payloads([padded(prose(4000))])[0]
+    for bad in (b"", b"RIFF0000WEBPVP8 " + b"\0" * 8, good[:20] + b"\0" + good[21:], b"JUNK" + good[4:], good[:16] + (300).to_bytes(4, "little") + good[20:320]):
         with pytest.raises((ValueError, IndexError)):
             webp.decode(bad)
 
@@ -283,5 +375,6 @@ def test_columns(spark):
         payload = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert webp.load(webp.store(docs.limit(0))).isEmpty()
+    assert all(r["media_sha256"] == hashlib.sha256(webp.write_payloads([padded((t or "").encode())])[0]).hexdigest() and r["feature"] == plain_feature([(padded((t or "").encode()), 576)]) for r in got for i, t in rows if i == r["doc_id"])
     image = webp.pixels(webp.store(docs.filter("doc_id = 1"))).first()
-    assert (image["width"], image["height"], len(image["argb"])) == (144, 1, 144)
+    assert (image["width"], image["height"], len(image["argb"])) == (576, 1, 576)
