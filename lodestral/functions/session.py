@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is named, as in tests."""
+    """The cluster's checkpoint folder; a local one only where none is named and the master is local, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not (sc.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestral-"))
     return named or sc.getCheckpointDir()

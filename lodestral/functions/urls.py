@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 
 _SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+# Fixed value: one label of a host name.
 _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 _WHITE = r"^[\s\u0085   -     　\x1C-\x1F]+|[\s\u0085   -     　\x1C-\x1F]+$"
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lodestral.functions.urls import bare_domain
 from lodestral.functions.values import claims, unfence, without_thoughts
 
 Model = Callable[[list[str]], list[str]]
@@ -96,14 +97,13 @@ def actions(responses: DataFrame, available: DataFrame) -> DataFrame:
     """Parsed policy responses: type, params and ``error`` where they aren't valid now."""
     body = F.from_json(unfence(without_thoughts(F.col("response"))), "type string, rationale string, params struct<query:string,route:string,source_domains:array<string>,active_refs:array<string>>")
     p = responses.select("run_id", body.alias("a")).select("run_id", "a.type", "a.rationale", "a.params").join(available, "run_id", "left")
-    domain = r"^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+$"
     domains = F.coalesce("params.source_domains", F.array().cast("array<string>"))
     error = (
         F.when(F.col("type").isNull(), "invalid action").when(~F.coalesce(F.array_contains("actions", F.col("type")), F.lit(False)), "action not available")
         .when((F.col("type") == "research") & (F.trim(F.coalesce("params.query", F.lit(""))) == ""), "blank query")
         .when((F.col("type") == "research") & ~F.coalesce("params.route", F.lit("web")).isin("web", "local"), "unknown route")
         .when((F.col("params.route") == "local") & (F.size(domains) > 0), "domains need the web route").when(F.size(F.array_distinct(domains)) < F.size(domains), "duplicate domains")
-        .when(F.exists(domains, lambda d: ~d.rlike(domain)), "bad domain")
+        .when(F.exists(domains, lambda d: ~bare_domain(d)), "bad domain")
     )
     return p.select("run_id", "type", "rationale", "params", error.alias("error"))
 

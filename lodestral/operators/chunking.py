@@ -1,99 +1,126 @@
-"""Paragraph chunks for the index and lossless byte-budget chunks for prompts."""
+"""Paragraph chunks for the index and lossless byte-budget chunks for prompts.
+
+Both find places in the text first, as offsets, and then choose the places where chunks
+end by binary search over them.  Nothing is copied before a chunk is cut out, so the
+work grows in proportion to the text.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: The solid part of a line; a line ends at any Unicode line boundary.
+_LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+_STRETCH = re.compile(rf"\S(?:[^{_LINE_ENDS}]*\S)?")
+_SOLID = re.compile(r"\S")
+GAP = "\n\n"
+
 
-def split_long(paragraph: str, limit: int) -> list[str]:
-    """Pieces of at most ``limit`` characters, cut at the last space that fits, else hard."""
-    out = []
-    while len(paragraph) > limit:
-        at = paragraph.rfind(" ", 0, limit + 1)
-        at = at if at > 0 else limit
-        piece, paragraph = paragraph[:at].strip(), paragraph[at:].strip()
-        if piece:
-            out.append(piece)
-    return [*out, paragraph] if paragraph else out
+def _spans(text: str, limit: int) -> Iterator[tuple[int, int]]:
+    """Places of trimmed lines; a line beyond ``limit`` ends at the last space that fits, else after ``limit``."""
+    for line in _STRETCH.finditer(text):
+        here, stop = line.span()
+        while stop - here > limit:
+            space = text.rfind(" ", here + 1, here + limit + 1)
+            there = space if space > here else here + limit
+            solid = there
+            while text[solid - 1].isspace():
+                solid -= 1
+            yield here, solid
+            here = _SOLID.search(text, there).start()
+        yield here, stop
 
 
 def paragraphs(text: str, limit: int = 1200) -> list[str]:
-    """Greedy packing of non-blank lines, joined by a blank line, up to ``limit`` characters."""
+    """Chunks of at most ``limit`` characters: as many neighbouring lines as fit, a blank line between them."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for line in text.splitlines():
-        for piece in split_long(line.strip(), limit):
-            if held and size + 2 + len(piece) > limit:
-                out.append("\n\n".join(held))
-                held, size = [], 0
-            size += len(piece) + (2 if held else 0)
-            held.append(piece)
-    return [*out, "\n\n".join(held)] if held else out
-
-
-_BREAK = re.compile(r"\n[ \t]*\n")
-
-
-def _cut(text: str, limit: int) -> list[str]:
-    """Lossless pieces of at most ``limit`` UTF-8 bytes, cut after white space where there is some."""
-    out = []
-    while len(text.encode()) > limit:
-        head = text.encode()[:limit].decode(errors="ignore")
-        if not head:
-            raise ValueError("limit is below one character")
-        white = max((i for i, c in enumerate(head) if c.isspace()), default=-1)
-        at = white + 1 if white >= 0 else len(head)
-        out.append(text[:at])
-        text = text[at:]
-    return [*out, text] if text else out
+    spans = list(_spans(text, limit))
+    ends = list(accumulate(b - a + len(GAP) for a, b in spans))  # room taken, with a gap after each
+    out, first, used = [], 0, 0
+    while first < len(spans):
+        beyond = bisect_right(ends, used + limit + len(GAP), first)
+        out.append(GAP.join(text[a:b] for a, b in spans[first:beyond]))
+        first, used = beyond, ends[beyond - 1]
+    return out
+
+
+_BREAK = re.compile(rb"\n[ \t]*\n")
+_LAST_SPACE = re.compile(r"\s\S*\Z")
+
+
+def _places(data: bytes, limit: int) -> Iterator[int]:
+    """Where a chunk may end: after blank lines, and inside longer pieces after the last white space that fits."""
+    here = 0
+    for piece in (*(m.end() for m in _BREAK.finditer(data)), len(data)):
+        while piece - here > limit:
+            there = here + limit
+            while data[there] & 0xC0 == 0x80:  # not inside a character
+                there -= 1
+            if there <= here:
+                raise ValueError("limit is below one character")
+            head = data[here:there].decode()
+            if space := _LAST_SPACE.search(head):
+                there = here + len(head[: space.start() + 1].encode())
+            yield there
+            here = there
+        if piece > here:
+            yield piece
+            here = piece
 
 
 def by_bytes(text: str, limit: int) -> list[str]:
-    """Chunks of at most ``limit`` bytes whose concatenation is the text."""
-    pieces, start = [], 0
-    for m in _BREAK.finditer(text):
-        pieces.append(text[start : m.end()])
-        start = m.end()
-    pieces.append(text[start:])
-    out, held, size = [], [], 0
-    for piece in (p for x in pieces for p in _cut(x, limit)):
-        n = len(piece.encode())
-        if held and size + n > limit:
-            out.append("".join(held))
-            held, size = [], 0
-        held.append(piece)
-        size += n
-    return [*out, "".join(held)] if held or not out else out
+    """Chunks of at most ``limit`` UTF-8 bytes whose concatenation is the text; of an empty text one empty chunk."""
+    data = text.encode()
+    places = list(_places(data, limit))
+    out, here = [], 0
+    while here < len(data):
+        there = places[bisect_right(places, here + limit) - 1]
+        out.append(data[here:there].decode())
+        here = there
+    return out or [""]
+
+
+def _exploded(table: DataFrame, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
+    """The other columns with (position, chunk) of each text, batch by batch."""
+    kept = [c for c in table.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in enumerate(batch.column(text)):
+                chunks = cut(value.as_py() or "")
+                same = pa.array([i] * len(chunks), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(same) for c in kept), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.string())], names=[*kept, "position", "chunk"]
+                )
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != text]
+    return table.mapInArrow(run, ", ".join([*fields, "position int", "chunk string"]))
 
 
 def chunk_documents(documents: DataFrame, limit: int = 1200) -> DataFrame:
     """Chunks of active documents: id = document:position, with the document's columns."""
-
-    @F.udf("array<string>", useArrow=True)
-    def pack(text: str | None) -> list[str]:
-        return paragraphs(text or "", limit)
-
-    active = documents.filter("status = 'active'")
     columns = [c for c in ("source_id", "url", "title", "published_at", "content_hash") if c in documents.columns]
-    exploded = active.select(F.col("id").alias("document_id"), *columns, F.posexplode(pack("text")).alias("position", "text"))
-    return exploded.select(F.concat_ws(":", "document_id", "position").alias("id"), "*", F.sha2("text", 256).alias("chunk_hash"))
+    active = documents.filter("status = 'active'").select(F.col("id").alias("document_id"), *columns, "text")
+    chunks = _exploded(active, "text", lambda t: paragraphs(t, limit)).withColumnRenamed("chunk", "text")
+    return chunks.select(F.concat_ws(":", "document_id", "position").alias("id"), "*", F.sha2("text", 256).alias("chunk_hash"))
 
 
-def byte_chunks(documents: DataFrame, limit: int, most: int = 20, key: str = "id") -> DataFrame:
-    """(key, position, chunk, failure): over ``most`` chunks the document fails as a whole."""
+def byte_chunks(documents: DataFrame, limit: int, most: int | None = 20, key: str = "id") -> DataFrame:
+    """(key, position, chunk, failure): over ``most`` chunks (None: no bound) the document fails as a whole."""
 
-    @F.udf("array<string>", useArrow=True)
-    def cut(text: str | None) -> list[str]:
-        return by_bytes(text or "", limit)
+    def cut(text: str) -> list[str]:
+        chunks = by_bytes(text, limit)
+        return chunks if most is None or len(chunks) <= most else [None]
 
-    made = documents.select(key, cut("text").alias("chunks"))
-    failed = F.size("chunks") > most
-    return made.select(key, F.posexplode(F.when(failed, F.array(F.lit(None).cast("string"))).otherwise(F.col("chunks"))).alias("position", "chunk"), F.when(failed, "document_too_large").alias("failure"))
+    made = _exploded(documents.select(key, "text"), "text", cut)
+    return made.select(key, "position", "chunk", F.when(F.col("chunk").isNull(), "document_too_large").alias("failure"))
 
 
 def prompt_budget(max_bytes: int, system: str, user: str) -> int:

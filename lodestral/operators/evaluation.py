@@ -72,10 +72,10 @@ def histogram(results: DataFrame, column: str) -> DataFrame:
     return results.select(F.explode(column).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
-def unknown_domains(classified: DataFrame, limit: int = 20) -> DataFrame:
-    """Domains without a known type, most frequent first."""
+def unknown_domains(classified: DataFrame) -> DataFrame:
+    """All domains without a known type, most frequent first."""
     found = classified.filter("classification_source = 'unknown' and domain <> ''").groupBy("domain").agg(F.count("*").alias("n"))
-    return found.orderBy(F.desc("n"), "domain").limit(limit)
+    return found.orderBy(F.desc("n"), "domain")
 
 
 def ordered_distinct(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

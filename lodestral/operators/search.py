@@ -24,6 +24,11 @@ def validate(query: str, limit: int) -> None:
         raise ValueError("limit must be positive")
 
 
+def _top(scored: DataFrame, key: str, limit: int) -> DataFrame:
+    """The best by score; sums in another order may differ in their last digits, so twelve count, and six are shown."""
+    return scored.orderBy(F.desc(F.round("score", 12)), key).limit(limit).select(key, F.round("score", 6).alias("score"))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): the inverted index as a table."""
     t = docs.select(key, tokens(F.col(text)).alias("t"))
@@ -52,7 +57,7 @@ def bm25(docs: DataFrame, query: str, limit: int, key: str = "doc_id", text: str
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     hit = reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(terms))))
     scored = counted.filter(hit).crossJoin(F.broadcast(stats))  # stats is one row
-    return scored.select(key, F.round(reduce(lambda a, b: a + b, map(part, range(len(terms)))), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return _top(scored.select(key, reduce(lambda a, b: a + b, map(part, range(len(terms)))).alias("score")), key, limit)
 
 
 def _equals(term: str):
@@ -69,14 +74,15 @@ def vector(chunks: DataFrame, query: list[float], limit: int, key: str = "vec_id
     if limit <= 0:
         raise ValueError("limit must be positive")
     q = F.array(*(F.lit(float(x)) for x in query))
-    return chunks.select(key, F.round(cosine(F.col(column), q), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return _top(chunks.select(key, cosine(F.col(column), q).alias("score")), key, limit)
 
 
-def rrf(legs: list[DataFrame], limit: int, key: str = "doc_id", k: int = RRF_K) -> DataFrame:
-    """Sum of 1 / (k + rank) over ranked legs (key, score), each already cut to its depth."""
+def rrf(legs: list[DataFrame], limit: int, key: str = "doc_id", k: int = RRF_K, deep: int = 1000) -> DataFrame:
+    """Sum of 1 / (k + rank) over the first ``deep`` of each ranked leg (key, score)."""
+    legs = [leg.orderBy(F.desc("score"), key).limit(deep) for leg in legs]
     ranked = [leg.select(key, F.row_number().over(W.orderBy(F.desc("score"), key)).alias("rank")) for leg in legs]  # as long as a leg's depth
     fused = reduce(DataFrame.unionByName, ranked).groupBy(key).agg(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias("s"))
-    return fused.select(key, F.round("s", 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return _top(fused.select(key, F.col("s").alias("score")), key, limit)
 
 
 def reuse_plan(chunks: DataFrame, index: DataFrame, by_text: bool = True) -> DataFrame:
@@ -120,4 +126,4 @@ def bm25_indexed(spark, path: str, query: str, limit: int, key: str = "doc_id")
     idf = F.log(1 + (F.col("corpus") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     scored = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # stats is one row
-    return scored.groupBy(F.col("key").alias(key)).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return _top(scored.groupBy(F.col("key").alias(key)).agg(F.sum(part).alias("score")), key, limit)

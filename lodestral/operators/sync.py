@@ -40,27 +40,28 @@ def decide_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_levels(start: DataFrame, expand: Callable[[DataFrame], DataFrame], most: int = 16) -> tuple[DataFrame, DataFrame]:
+def sitemap_levels(start: DataFrame, expand: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(content URLs, all sitemaps): breadth-first over nested sitemaps.
 
     ``expand`` fetches and parses a level (source_id, url) into (source_id, kind, url).
     Children on another host than their source's sitemaps are left out; each sitemap is
-    read once.  A level is one job; ``most`` bounds the depth and raises beyond it.
+    read once, so the walk ends however deep they nest.  A level is one job.
     """
     hosts = start.select("source_id", urls.host(F.col("url")).alias("h")).distinct()
     key = urls.normalize(F.col("url"))
     level = start.select("source_id", "url").withColumn("k", key).dropDuplicates(["source_id", "k"])
-    seen, content = level, None
-    for _ in range(most):
-        if level.isEmpty():
-            return content, seen.select("source_id", "url")
+    seen, content, depth = level, level.select("source_id", "url").limit(0), 0
+    while not level.isEmpty():
+        depth += 1
         made = checkpoint(expand(level.select("source_id", "url")))  # fetched once
         found = made.filter("kind = 'content'").select("source_id", "url")
-        content = found if content is None else content.unionByName(found)
+        content = content.unionByName(found)
         nested = made.filter("kind = 'sitemap'").withColumn("h", urls.host(F.col("url"))).join(hosts, ["source_id", "h"], "left_semi").select("source_id", "url").withColumn("k", key).dropDuplicates(["source_id", "k"])
         level = checkpoint(nested.join(seen, ["source_id", "k"], "left_anti"))
         seen = seen.unionByName(level)
-    raise ValueError(f"sitemaps nest deeper than {most} levels")
+        if depth % 16 == 0:  # keep the plans of long walks short
+            seen, content = checkpoint(seen), checkpoint(content)
+    return content, seen.select("source_id", "url")
 
 
 def summary(documents: DataFrame, failures: DataFrame) -> DataFrame:

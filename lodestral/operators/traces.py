@@ -11,6 +11,8 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestral.functions.session import checkpoint
+
 SPAN = "trace_id string, span_id string, parent_span_id string, name string, started_at timestamp, ended_at timestamp, duration_seconds double, status string, input string, output string, attributes map<string,string>, error struct<error_type:string,message:string>"
 _OPEN: ContextVar[str | None] = ContextVar("open_span", default=None)
 
@@ -57,14 +59,17 @@ def root_seconds(spans: DataFrame, name: str = "agent.run") -> DataFrame:
     return spans.filter((F.col("name") == name) & F.col("parent_span_id").isNull()).select("trace_id", F.col("duration_seconds").alias("total_seconds"))
 
 
-def depth(spans: DataFrame, most: int = 64) -> DataFrame:
-    """(trace_id, span_id, depth) by a bounded walk down from the roots."""
-    level = spans.filter("parent_span_id is null").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    out = level
-    for _ in range(most):
-        kids = spans.select("trace_id", "span_id", "parent_span_id").join(level.select("trace_id", F.col("span_id").alias("parent_span_id"), "depth"), ["trace_id", "parent_span_id"])
-        level = kids.select("trace_id", "span_id", (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError("spans nest too deep")
+def depth(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, depth) of the spans below a root, by pointer doubling.
+
+    Each round doubles how far up a span sees, so the number of jobs is the logarithm of
+    the depth.  Spans whose ancestors are missing or lead in a circle have no depth.
+    """
+    up = checkpoint(spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.when(F.col("parent_span_id").isNotNull(), 1).otherwise(0).alias("depth")))
+    for _ in range(up.count().bit_length() + 1):
+        if up.filter("up is not null").isEmpty():
+            break
+        above = up.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        open_ = up.filter("up is not null").join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        up = checkpoint(up.filter("up is null").unionByName(open_))
+    return up.filter("up is null").select("trace_id", "span_id", "depth")

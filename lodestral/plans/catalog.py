@@ -67,8 +67,8 @@ q AS (SELECT DISTINCT unnest(string_split('{TERMS}', ' ')) AS term),
 n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 p AS (SELECT doc_id, len(t) AS len, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, q),
 df AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM p GROUP BY term)
-SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score
-FROM p JOIN df USING (term), n WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {k}"""
+SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS s
+FROM p JOIN df USING (term), n WHERE tf > 0 GROUP BY doc_id) ORDER BY round(s, 12) DESC, doc_id LIMIT {k}"""
 
 
 @query(_bm25_sql(10))
@@ -94,22 +94,22 @@ def bm25_index_topk(spark, d):
     return search.bm25_indexed(spark, path, TERMS, 10)
 
 
-_COS = "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+_COS = "(SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 
 
 def _query_vector(spark, d):
     return list(_t(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"])
 
 
-@query(f"{_COS} ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"SELECT vec_id, round(s, 6) AS score FROM {_COS} ORDER BY round(s, 12) DESC, vec_id LIMIT 10")
 def vector_topk_cosine(spark, d):
     return search.vector(_t(spark, d, "embeddings"), _query_vector(spark, d), 10)
 
 
 @query(f"""
 WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM ({_bm25_sql(50)})),
-vec AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_COS} ORDER BY score DESC, vec_id LIMIT 50))
-SELECT doc_id, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
+vec AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM (SELECT vec_id, round(s, 6) AS score FROM {_COS} ORDER BY round(s, 12) DESC, vec_id LIMIT 50))
+SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, sum(1.0 / (60 + r)) AS s FROM (SELECT * FROM lex UNION ALL SELECT * FROM vec) GROUP BY doc_id) ORDER BY round(s, 12) DESC, doc_id LIMIT 10""")
 def hybrid_rrf(spark, d):
     lexical = search.bm25(_texts(spark, d, "documents", "doc_id", "text"), TERMS, 50)
     nearest = search.vector(_t(spark, d, "embeddings"), _query_vector(spark, d), 50).withColumnRenamed("vec_id", "doc_id")
@@ -118,10 +118,13 @@ def hybrid_rrf(spark, d):
 
 @query("""
 SELECT count(*) AS chunks, count(e.vec_id) AS reused, count(*) - count(e.vec_id) AS to_embed FROM documents d
-LEFT JOIN (SELECT vec_id, sha256(text) AS h FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 3 <> 0) e ON d.doc_id = e.vec_id AND sha256(d.text) = e.h""")
+LEFT JOIN (SELECT vec_id, sha256(CASE WHEN vec_id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM embeddings JOIN documents ON vec_id = doc_id) e ON d.doc_id = e.vec_id AND sha256(d.text) = e.h""")
 def vector_reuse_plan(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), values.content_hash(F.col("text")).alias("content_hash"), values.content_hash(F.col("text")).alias("chunk_hash"))
-    index = _t(spark, d, "embeddings").filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(docs, "id")
+    """The index holds every vector; those of every third document were made from an older text."""
+    made = lambda text: [values.content_hash(text).alias(c) for c in ("content_hash", "chunk_hash")]
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), *made(F.col("text")))
+    older = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), *made(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    index = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(older, "id")
     plan = search.reuse_plan(docs, index)
     return plan.agg(F.count("*").alias("chunks"), F.count("vector").alias("reused"), F.count_if(F.col("vector").isNull()).alias("to_embed"))
 
@@ -211,7 +214,7 @@ def classification_report(spark, d):
     return retrieval.classification_report(_classified(spark, d))
 
 
-@query(f"SELECT domain, count(*) AS n FROM {_CLASSIFIED} WHERE classification_source = 'unknown' AND domain <> '' GROUP BY domain ORDER BY n DESC, domain LIMIT 20")
+@query(f"SELECT domain, count(*) AS n FROM {_CLASSIFIED} WHERE classification_source = 'unknown' AND domain <> '' GROUP BY domain")
 def unknown_domains(spark, d):
     return evaluation.unknown_domains(_classified(spark, d))
 
@@ -222,13 +225,14 @@ def classification_histogram(spark, d):
 
 
 @query(f"""
-WITH i AS (SELECT DISTINCT page_id % 3 AS run_id, {_NORM.format(p=_KEPT)} AS n FROM pages WHERE page_id % 2 = 0),
-c AS (SELECT page_id % 3 AS run_id, {_NORM.format(p=_KEPT)} AS n FROM pages WHERE page_id % 4 < 2)
+WITH i AS (SELECT DISTINCT page_id % 3 AS run_id, {_NORM.format(p=_KEPT)} AS n FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE url || 'x' END AS url FROM pages)),
+c AS (SELECT page_id % 3 AS run_id, {_NORM.format(p=_KEPT)} AS n FROM pages)
 SELECT c.run_id, count(*) AS candidate_count, count(*) FILTER (WHERE i.n IS NULL) AS new_count, count(i.n) AS reused_count FROM c LEFT JOIN i ON c.run_id = i.run_id AND c.n = i.n GROUP BY c.run_id""")
 def result_merge_report(spark, d):
     pages = _t(spark, d, "pages").select((F.col("page_id") % 3).alias("run_id"), "page_id", "url")
-    index = pages.filter("page_id % 2 = 0").select("run_id", urls.normalize(F.col("url"), urls.TRACKING_KEYS).alias("normalized_url"))
-    return retrieval.merge_report(retrieval.merge_results(pages.filter("page_id % 4 < 2"), index))
+    known = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("x")))  # odd pages are known by another URL
+    index = pages.select("run_id", urls.normalize(known, urls.TRACKING_KEYS).alias("normalized_url"))
+    return retrieval.merge_report(retrieval.merge_results(pages, index))
 
 
 @query("SELECT run_id, ord FROM (SELECT page_id % 3 AS run_id, page_id AS ord, coalesce(sum(CASE WHEN page_id % 4 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id % 3 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM pages) WHERE used < 4")
@@ -271,10 +275,10 @@ def robots_longest_match(spark, d):
 # ---------------------------------------------------------------- store
 
 
-def _snapshot(docs: DataFrame, at: str) -> DataFrame:
+def _snapshot(docs: DataFrame, at: str, folder=None) -> DataFrame:
     when = F.lit(at).cast("timestamp")
     null = lambda t="string": F.lit(None).cast(t)
-    url = F.concat(F.lit("https://x.org/d/"), F.col("doc_id").cast("string"))
+    url = F.concat(F.lit("https://x.org/"), F.lit("d") if folder is None else folder, F.lit("/"), F.col("doc_id").cast("string"))
     return docs.select(
         F.concat(F.lit("id"), F.col("doc_id")).alias("id"), F.col("source").alias("source_id"), url.alias("url"), urls.normalize(url).alias("canonical_url"), F.lit("active").alias("status"), F.col("lang").alias("title"), "text",
         null().alias("media_type"), null("timestamp").alias("published_at"), when.alias("fetched_at"), null().alias("etag"), null().alias("last_modified"), values.content_hash(F.col("text")).alias("content_hash"), null().alias("failure_reason"),
@@ -283,38 +287,44 @@ def _snapshot(docs: DataFrame, at: str) -> DataFrame:
 
 
 def _merged(spark, d):
-    docs = _t(spark, d, "documents")
-    old = _snapshot(docs.filter("doc_id % 3 <> 0"), "2024-01-01 00:00:00")
-    new = _snapshot(docs.filter("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit("!"))).withColumn("source", F.when(F.col("doc_id") % 10 == 0, "other").otherwise(F.col("source"))), "2024-02-01 00:00:00")
+    """Every document is in both states; some lie elsewhere in one of them, and some come from another source."""
+    docs, i = _t(spark, d, "documents"), F.col("doc_id")
+    old = _snapshot(docs, "2024-01-01 00:00:00", F.when(i % 3 == 0, "old").otherwise("d"))
+    new = _snapshot(docs.withColumn("text", F.concat("text", F.lit("!"))).withColumn("source", F.when(i % 10 == 0, "other").otherwise(F.col("source"))), "2024-02-01 00:00:00", F.when(i % 2 == 1, "new").otherwise("d"))
     return store.upsert(old, new, "2024-02-01 00:00:00")
 
 
-@query("""
-SELECT 'https://x.org/d/' || doc_id AS canonical_url, CASE WHEN doc_id % 3 = 0 AND doc_id % 10 = 0 THEN 'other' ELSE source END AS source_id,
-CASE WHEN doc_id % 2 = 0 AND NOT (doc_id % 3 <> 0 AND doc_id % 10 = 0 AND source <> 'other') THEN sha256(text || '!') ELSE sha256(text) END AS content_hash,
-CASE WHEN doc_id % 3 <> 0 THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN doc_id % 2 = 0 AND NOT (doc_id % 3 <> 0 AND doc_id % 10 = 0 AND source <> 'other') THEN '2024-02-01' ELSE '2024-01-01' END AS updated
-FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
+_BOTH = """
+o AS (SELECT 'https://x.org/' || CASE WHEN doc_id % 3 = 0 THEN 'old/' ELSE 'd/' END || doc_id AS u, source, sha256(text) AS h FROM documents),
+n AS (SELECT 'https://x.org/' || CASE WHEN doc_id % 2 = 1 THEN 'new/' ELSE 'd/' END || doc_id AS u, CASE WHEN doc_id % 10 = 0 THEN 'other' ELSE source END AS source, sha256(text || '!') AS h FROM documents),
+j AS (SELECT coalesce(o.u, n.u) AS u, o.u IS NOT NULL AS stored, n.u IS NOT NULL AND (o.u IS NULL OR o.source = n.source) AS taken, o.source AS os, n.source AS ns, o.h AS oh, n.h AS nh FROM o FULL JOIN n ON o.u = n.u)"""
+
+
+@query(f"""
+WITH {_BOTH}
+SELECT u AS canonical_url, coalesce(os, ns) AS source_id, CASE WHEN taken THEN nh ELSE oh END AS content_hash,
+CASE WHEN stored THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN taken THEN '2024-02-01' ELSE '2024-01-01' END AS updated FROM j""")
 def latest_version_upsert(spark, d):
     snapshot, _ = _merged(spark, d)
     return snapshot.select("canonical_url", "source_id", "content_hash", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
-@query("SELECT 'https://x.org/d/' || doc_id AS canonical_url, 'other' AS source_id, 'source conflict' AS error FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 10 = 0 AND source <> 'other'")
+@query(f"WITH {_BOTH} SELECT u AS canonical_url, ns AS source_id, 'source conflict' AS error FROM j WHERE stored AND ns IS NOT NULL AND NOT taken")
 def upsert_conflicts(spark, d):
     return _merged(spark, d)[1]
 
 
 @query("""
-SELECT coalesce(n.page_id, o.page_id) AS page_id, CASE WHEN n.page_id IS NOT NULL THEN n.etag ELSE o.etag END AS etag, length(coalesce(n.html, o.html))::BIGINT AS n_chars
-FROM (SELECT page_id, 'a' || page_id AS etag, html FROM pages WHERE page_id % 3 <> 0) o
-FULL JOIN (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'b' || page_id END AS etag, CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'new' END AS html FROM pages WHERE page_id % 2 = 0) n USING (page_id)""")
+SELECT coalesce(n.url, o.url) AS url, CASE WHEN n.url IS NOT NULL THEN n.etag ELSE o.etag END AS etag, length(coalesce(n.html, o.html))::BIGINT AS n_chars
+FROM (SELECT CASE WHEN page_id % 3 = 0 THEN 'o' ELSE '' END || page_id AS url, 'a' || page_id AS etag, html FROM pages) o
+FULL JOIN (SELECT CASE WHEN page_id % 2 = 1 THEN 'n' ELSE '' END || page_id AS url, CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'b' || page_id END AS etag, CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'new' END AS html FROM pages) n ON o.url = n.url""")
 def endpoint_upsert(spark, d):
-    p = _t(spark, d, "pages")
-    url = F.col("page_id").cast("string").alias("url")
-    old = p.filter("page_id % 3 <> 0").select(url, F.concat(F.lit("a"), "page_id").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.encode("html", "UTF-8").alias("content"))
-    new = p.filter("page_id % 2 = 0").select(url, F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("b"), "page_id")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(F.col("page_id") % 5 != 0, F.encode(F.lit("new"), "UTF-8")).alias("content"))
+    p, i = _t(spark, d, "pages"), F.col("page_id")
+    url = lambda odd, prefix: F.concat(F.when(odd, prefix).otherwise(""), i.cast("string")).alias("url")
+    old = p.select(url(i % 3 == 0, "o"), F.concat(F.lit("a"), "page_id").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.encode("html", "UTF-8").alias("content"))
+    new = p.select(url(i % 2 == 1, "n"), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("b"), "page_id")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(F.col("page_id") % 5 != 0, F.encode(F.lit("new"), "UTF-8")).alias("content"))
     out = store.upsert_endpoints(old, new)
-    return out.select(F.col("url").cast("long").alias("page_id"), "etag", F.length(F.decode("content", "UTF-8")).cast("long").alias("n_chars"))
+    return out.select("url", "etag", F.length(F.decode("content", "UTF-8")).cast("long").alias("n_chars"))
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -370,26 +380,44 @@ def current_chunk_filter(spark, d):
 # ---------------------------------------------------------------- parsing and chunks
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS solid_chars, true AS bounded FROM documents")
+#: Lines, cut at the last space that fits, packed one after the other.
+_PARAGRAPHS = """
+WITH RECURSIVE l AS (SELECT doc_id, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS x FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+c AS (SELECT doc_id, i, 0 AS k, x AS rest, NULL::VARCHAR AS piece FROM l WHERE x <> ''
+  UNION ALL SELECT doc_id, i, k + 1, CASE WHEN length(rest) <= 1200 THEN '' ELSE regexp_replace(substr(rest, cut + 1), '^\\s+', '') END, CASE WHEN length(rest) <= 1200 THEN rest ELSE regexp_replace(left(rest, cut), '\\s+$', '') END
+  FROM (SELECT *, CASE WHEN strpos(reverse(left(rest, 1201)), ' ') BETWEEN 1 AND 1200 THEN 1201 - strpos(reverse(left(rest, 1201)), ' ') ELSE 1200 END AS cut FROM c WHERE rest <> '')),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n, piece, length(piece) AS len FROM c WHERE piece IS NOT NULL),
+k AS (SELECT doc_id, n, 0 AS position, len AS size FROM p WHERE n = 1
+  UNION ALL SELECT p.doc_id, p.n, CASE WHEN size + 2 + len > 1200 THEN position + 1 ELSE position END, CASE WHEN size + 2 + len > 1200 THEN len ELSE size + 2 + len END FROM k JOIN p ON p.doc_id = k.doc_id AND p.n = k.n + 1)
+SELECT doc_id, position, sha256(string_agg(piece, chr(10) || chr(10) ORDER BY n)) AS chunk_hash FROM k JOIN p USING (doc_id, n) GROUP BY doc_id, position"""
+
+
+@query(_PARAGRAPHS)
 def paragraph_chunks(spark, d):
     docs = _texts(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text", F.lit("active").alias("status"))
-    chunks = chunking.chunk_documents(docs)
-    sums = chunks.groupBy(F.col("document_id").alias("doc_id")).agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("solid_chars"), F.bool_and(F.length("text") <= 1200).alias("bounded"))
-    return docs.select(F.col("id").alias("doc_id")).join(sums, "doc_id", "left").select("doc_id", F.coalesce("solid_chars", F.lit(0)).cast("long").alias("solid_chars"), F.coalesce("bounded", F.lit(True)).alias("bounded"))
+    return chunking.chunk_documents(docs).select(F.col("document_id").alias("doc_id"), "position", "chunk_hash")
 
 
 @query("SELECT doc_id, sha256(text) AS whole, true AS bounded FROM documents")
 def byte_budget_chunks(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    chunks = chunking.byte_chunks(docs, 4096, 10_000)
+    docs = _texts(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
+    chunks = chunking.byte_chunks(docs, 4096, None)
     joined = chunks.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("position", "chunk"))).alias("c"), F.bool_and(F.octet_length("chunk") <= 4096).alias("bounded"))
     return joined.select("doc_id", F.sha2(F.array_join(F.transform("c", lambda x: x["chunk"]), ""), 256).alias("whole"), "bounded")
 
 
-@query()
+_ENTITIES = "replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, title, regexp_replace(regexp_replace(x, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '</?[a-z][^>]*>', ' ', 'g') AS x FROM a)
+SELECT page_id, {_FLAT.format(_ENTITIES.format('title'))} AS title, sha256({_FLAT.format(_ENTITIES.format('x'))}) AS words, 'article' AS strategy, NULL AS published_at, NULL AS error FROM b""")
 def html_extract(spark, d):
     pages = _texts(spark, d, "pages", "page_id", "html").select("page_id", F.lit("text/html").alias("media_type"), F.encode("html", "UTF-8").alias("content"))
-    return html.parse_documents(pages, "page_id")
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return html.parse_documents(pages, "page_id").select("page_id", flat(F.col("title")).alias("title"), F.sha2(flat(F.col("text")), 256).alias("words"), "strategy", F.col("published_at").cast("string").alias("published_at"), "error")
 
 
 # ---------------------------------------------------------------- research runs

@@ -9,8 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lodestral.functions import urls
-from lodestral.sources.html import external_datetime
+from lodestral.functions import times, urls
 
 
 class DiscoveryError(ValueError):
@@ -39,19 +38,19 @@ def _child(node: ET.Element, *names: str) -> str | None:
     return None
 
 
-def parse_feed(base: str, content: bytes) -> list[tuple[str, object]]:
-    """(url, date) of Atom entries, or of RSS or RDF items."""
+def parse_feed(base: str, content: bytes) -> list[tuple[str, str | None]]:
+    """(url, date as written) of Atom entries, or of RSS or RDF items."""
     root = _root(content)
     kind, out = _local(root.tag), []
     if kind == "feed":
         for entry in (c for c in root if _local(c.tag) == "entry"):
             links = [c.get("href") for c in entry if _local(c.tag) == "link" and (c.get("rel") or "alternate") == "alternate" and c.get("href")]
             if links:
-                out.append((urljoin(base, links[0].strip()), external_datetime(_child(entry, "published"))))
+                out.append((urljoin(base, links[0].strip()), _child(entry, "published")))
     elif kind in ("rss", "RDF"):
         for item in (n for n in root.iter() if _local(n.tag) == "item"):
             if link := _child(item, "link"):
-                out.append((urljoin(base, link), external_datetime(_child(item, "pubDate", "date"))))
+                out.append((urljoin(base, link), _child(item, "pubDate", "date")))
     else:
         raise DiscoveryError(f"not a feed: {kind}")
     return out
@@ -67,9 +66,6 @@ def parse_sitemap(base: str, content: bytes) -> list[tuple[str, str]]:
     return [(kind, urljoin(base, loc)) for n in root if _local(n.tag) == item and (loc := _child(n, "loc"))]
 
 
-SCHEMA = "endpoint_url string, kind string, url string, published_at timestamp, ord int, error string"
-
-
 def parse_endpoints(endpoints: DataFrame) -> DataFrame:
     """Rows of (endpoint_url, kind feed or sitemap, content); a bad document is one row with error."""
 
@@ -84,11 +80,10 @@ def parse_endpoints(endpoints: DataFrame) -> DataFrame:
                         rows += [(url, k, u, None, i, None) for i, (k, u) in enumerate(parse_sitemap(url, bytes(content)))]
                 except DiscoveryError as e:
                     rows.append((url, kind, None, None, 0, str(e)))
-            out = pd.DataFrame(rows, columns=["endpoint_url", "kind", "url", "published_at", "ord", "error"])
-            out["published_at"] = pd.to_datetime(out["published_at"], utc=True)
-            yield out
+            yield pd.DataFrame(rows, columns=["endpoint_url", "kind", "url", "written", "ord", "error"])
 
-    return endpoints.select("endpoint_url", "kind", "content").mapInPandas(run, SCHEMA)
+    found = endpoints.select("endpoint_url", "kind", "content").mapInPandas(run, "endpoint_url string, kind string, url string, written string, ord int, error string")
+    return found.select("endpoint_url", "kind", "url", times.external(F.col("written")).alias("published_at"), "ord", "error")
 
 
 def merge(discovered: DataFrame, *keys: str) -> DataFrame:

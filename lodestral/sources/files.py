@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -25,19 +27,32 @@ def read_cases(spark: SparkSession, path: str, schema: str, unique: str | None =
     return cases
 
 
+def _masked(data: bytes, secret: str) -> bytes:
+    """Bytes XORed with the SHA-256 digest of the secret, repeated."""
+    raw = np.frombuffer(data, np.uint8)
+    return (raw ^ np.resize(np.frombuffer(hashlib.sha256(secret.encode()).digest(), np.uint8), len(raw))).tobytes()
+
+
 def decrypt(cipher: Column, secret: Column) -> Column:
-    """Base64 text XORed with the SHA-256 digest of the secret, repeated."""
+    """Text of base64 data that is masked by the secret's digest; null for null."""
 
-    @F.udf("string", useArrow=True)
-    def run(data: str | None, key: str | None) -> str | None:
-        if data is None or key is None:
-            return None
-        raw, digest = base64.b64decode(data), hashlib.sha256(key.encode()).digest()
-        return bytes(b ^ digest[i % len(digest)] for i, b in enumerate(raw)).decode()
+    @F.pandas_udf("string")
+    def run(data: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None or k is None else _masked(base64.b64decode(d), k).decode() for d, k in zip(data, key)], dtype=object)
 
     return run(cipher, secret)
 
 
+def encrypt(text: Column, secret: Column) -> Column:
+    """The inverse of ``decrypt``."""
+
+    @F.pandas_udf("string")
+    def run(data: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None or k is None else base64.b64encode(_masked(d.encode(), k)).decode() for d, k in zip(data, key)], dtype=object)
+
+    return run(text, secret)
+
+
 def prepare_questions(raw: DataFrame, secret: str) -> DataFrame:
     """Decrypted questions with lower-case enumerations."""
     return raw.select("id", decrypt(F.col("question"), F.lit(secret)).alias("question"), F.lower("answer_type").alias("answer_type"), F.lower("question_type").alias("question_type"), "topic")

@@ -99,6 +99,8 @@ def test_traces(spark):
     assert {r["name"]: (r["status"], r["parent_span_id"]) for r in table.collect()} == {"agent.run": ("error", None), "agent.step": ("ok", "t-000001")}
     assert traces.completed_steps(table).count() == 1 and traces.root_seconds(table).count() == 1
     assert {r["span_id"]: r["depth"] for r in traces.depth(table).collect()} == {"t-000001": 0, "t-000002": 1}
+    chain = spark.createDataFrame([("t", str(i), str(i - 1) if i else None) for i in range(150)] + [("t", "x", "gone"), ("t", "y", "z"), ("t", "z", "y")], "trace_id string, span_id string, parent_span_id string")
+    assert {r["span_id"]: r["depth"] for r in traces.depth(chain).collect()} == {str(i): i for i in range(150)}
 
 
 def test_runtime(spark):

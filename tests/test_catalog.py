@@ -32,11 +32,6 @@ def test_oracle(spark, data, duck, name):
     assert sorted(repr([_plain(r[c]) for c in order]) for r in df.collect()) == sorted(expected)
 
 
-def test_html_extract(spark, data):
-    rows = catalog.QUERIES["html_extract"](spark, data).collect()
-    assert len(rows) == 50 and {r["strategy"] for r in rows} == {"article"} and all(r["text"] and r["title"] for r in rows)
-
-
 def test_entry(spark):
     import __spark_entry__
 

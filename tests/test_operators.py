@@ -9,8 +9,9 @@ from lodestral.operators import chunking, embeddings, evaluation, research, retr
 
 
 def test_chunking():
-    text = "First paragraph.\nSecond paragraph.\nsupercalifragilisticexpialidocious"
-    assert chunking.paragraphs(text, 20) == ["First paragraph.", "Second paragraph.", "supercalifragilistic", "expialidocious"]
+    text = "One short line.\nAnother of them.\nabcdefghijklmnopqrstuvwxyz"
+    assert chunking.paragraphs(text, 20) == ["One short line.", "Another of them.", "abcdefghijklmnopqrst", "uvwxyz"]
+    assert chunking.paragraphs("aa bb  cc dd", 6) == ["aa bb", "cc dd"] and chunking.paragraphs("aaa bbb", 3) == ["aaa", "bbb"] and chunking.paragraphs("abc  d", 3) == ["abc", "d"]
     assert chunking.paragraphs("a\n\n b \nc", 6) == ["a\n\nb", "c"] and chunking.paragraphs(" \n ") == []
 
 
@@ -89,6 +90,16 @@ def test_sitemap_levels(spark):
     assert sorted(r["url"] for r in seen.collect()) == ["https://a.com/s", "https://a.com/t"]
 
 
+def test_deep_sitemaps(spark):
+    """A chain of twenty levels."""
+
+    def expand(level):
+        return level.select("source_id", F.explode(F.array(F.struct(F.lit("sitemap").alias("kind"), F.concat(F.lit("https://a.com/"), F.least(F.element_at(F.split("url", "/"), -1).cast("int") + 1, F.lit(20)).cast("string")).alias("url")), F.struct(F.lit("content").alias("kind"), F.concat("url", F.lit("/page")).alias("url")))).alias("e")).select("source_id", "e.*")
+
+    content, seen = sync.sitemap_levels(spark.createDataFrame([("x", "https://a.com/1")], "source_id string, url string"), expand)
+    assert content.count() == 20 and seen.count() == 20 and sync.sitemap_levels(content.limit(0), expand)[0].isEmpty()
+
+
 def test_filter_counts(spark):
     rows = spark.createDataFrame([(1, 0, "a", "https://x.org/?utm_source=q"), (1, 1, "a", "https://x.org/"), (1, 2, " ", "https://y.org"), (1, 3, "a", "bad"), (1, 4, "a", "https://z.org"), (1, 5, "a", "https://z.org#f")], "request_id long, ord long, title string, url string")
     got = [r["reason"] for r in retrieval.filter_results(rows, 1).orderBy("ord").collect()]
