@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 _ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
@@ -27,10 +28,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, removed when the application ends."""
+    """A new folder below spark.checkpoint.dir, removed when the application ends; a local one only on a local master."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:  # only outside a cluster, as in tests
+    if not base and not (sc.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not base:  # as in tests
         base = os.path.join(tempfile.gettempdir(), "lodestral-checkpoints")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -47,6 +50,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, *columns) -> DataFrame:
+    """Whole rows as one struct ``row`` beside own columns, so that no name of the input can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *columns)
+
+
+def fields(docs: DataFrame, more: str) -> StructType:
+    """Schema of ``row`` and more columns."""
+    return StructType([StructField("row", docs.schema), *StructType.fromDDL(more).fields])
+
+
+def unwrapped(df: DataFrame, docs: DataFrame, *new: str) -> DataFrame:
+    """The columns of docs and the new ones; a column of docs with the name of a new one gives way to it."""
+    gone = {c.lower() for c in new}
+    return df.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in gone), *new)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,7 +102,7 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if 0 < table.rdd.getNumPartitions() < cores else table
 
 
-def arrow(df: DataFrame, function, schema: str, batch: str = "4m") -> DataFrame:
+def arrow(df: DataFrame, function, schema: str | StructType, batch: str = "4m") -> DataFrame:
     """mapInArrow with batches of at most 4 MB (a session setting), so that workers hold little text at a time."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)

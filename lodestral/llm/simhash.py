@@ -61,13 +61,19 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return shared.arrow(docs.select(F.col("doc_id").cast("long"), "text"), _fingerprints(size), "doc_id long, fp long")
 
 
-def _layout(tag: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Bit ranges of key and tail for one of the nine keys."""
-    block, part = divmod(tag, 3)
-    rest = [bit for i, (a, b) in enumerate(BLOCKS) if i != block for bit in range(a, b)]
-    cut = [round(i * len(rest) / 3) for i in range(4)]
+def _layout(tag: int, blocks=BLOCKS, parts: int = 3) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Bit ranges of key and tail for one of the keys: a block and, with ``parts`` 3, a third of the rest.
+
+    Of at most two differing bits one block of three is free; of the other two blocks,
+    cut in three again, one part is free as well.
+    """
+    block, part = divmod(tag, parts)
+    rest = [bit for i, (a, b) in enumerate(blocks) if i != block for bit in range(a, b)]
     runs = lambda bits: [(min(g), max(g) + 1) for g in _consecutive(bits)]
-    return [BLOCKS[block], *runs(rest[cut[part] : cut[part + 1]])], runs(rest[: cut[part]] + rest[cut[part + 1] :])
+    if parts == 1:
+        return [blocks[block]], runs(rest)
+    cut = [round(i * len(rest) / parts) for i in range(parts + 1)]
+    return [blocks[block], *runs(rest[cut[part] : cut[part + 1]])], runs(rest[: cut[part]] + rest[cut[part + 1] :])
 
 
 def _consecutive(bits: list[int]) -> list[list[int]]:
@@ -280,7 +286,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFram
 
 #: Multipliers that part one shingle hash into independent ones.
 _SEEDS = text.mix(np.arange(1, 17, dtype=np.uint64))
-SLICE = 32
 SLICE_BLOCKS = ((0, 11), (11, 22), (22, 32))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -338,7 +343,7 @@ def _prints(size: int, tables: int):
             for r in range(ROWS):
                 keys = text.mix(keys ^ bands[:, :, r])
             columns = [pa.array([x[0] for x in nodes], pa.int64()), pa.array([x[1] for x in nodes], pa.int64()), pa.array(sketches, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "node", "check", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], names=["doc_id", "th", "node", "check", "sketch", "keys"])
 
     return run
 
@@ -373,16 +378,32 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), batch.column("node"), batch.column("root")], names=["key", "node", "root"])
 
 
+def _prefixes(codes: np.ndarray, bounds: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(code, set) of each set's rarest shingles: two sets similar by ``share`` have one of these in common."""
+    n = np.diff(bounds)
+    owner = np.repeat(np.arange(len(n)), n)
+    rarity = np.bincount(codes)[codes]
+    order = np.lexsort((codes, rarity, owner))
+    place = np.arange(len(codes)) - np.repeat(bounds[:-1], n)
+    use = order[place < np.repeat(n - np.ceil(share * n - 1e-9).astype(np.int64) + 1, n)]
+    use = use[np.argsort(codes[use], kind="stable")]
+    return codes[use], owner[use]
+
+
 def room_links(sets: list[np.ndarray], root: np.ndarray, share: float) -> list[tuple[int, int]]:
     """Pairs of sets similar by ``share`` that connect all such pairs of different roots.
 
-    Of two roots one isn't the most frequent, so each set outside it is compared with all
-    sets of other roots at once.
+    Of two roots one isn't the most frequent, so each set outside it is compared with the
+    sets of other roots that share one of its rarest shingles.
     """
     root = np.unique(root, return_inverse=True)[1]
     n = np.array([len(x) for x in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     bounds = np.concatenate(([0], np.cumsum(n)))
+    code, owner = _prefixes(codes, bounds, share)
+    begin = np.searchsorted(code, np.arange(codes.max() + 2)) if len(codes) else np.zeros(1, np.int64)
+    by_set = np.argsort(owner, kind="stable")
+    first = np.searchsorted(owner[by_set], np.arange(len(sets) + 1))
     mark, links, done = np.zeros(n.sum() + 1, bool), [], np.zeros(len(n), bool)
     while True:
         most = np.bincount(root).argmax()
@@ -391,7 +412,11 @@ def room_links(sets: list[np.ndarray], root: np.ndarray, share: float) -> list[t
             return links
         i = int(left[0])
         done[i] = True
-        others = np.flatnonzero(~(root == root[i]) & (np.minimum(n, n[i]) >= share * np.maximum(n, n[i])) & (n > 0))
+        own = code[by_set[first[i] : first[i + 1]]]
+        if not len(own):
+            continue
+        others = np.unique(np.concatenate([owner[begin[c] : begin[c + 1]] for c in own.tolist()]))
+        others = others[(root[others] != root[i]) & (np.minimum(n[others], n[i]) >= share * np.maximum(n[others], n[i]))]
         if not len(others):
             continue
         mark[codes[bounds[i] : bounds[i + 1]]] = True
@@ -426,19 +451,23 @@ def _rooms(share: float):
     return run
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class under every block of every slice of its sketch."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            slices = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u4").reshape(part.num_rows, -1)
-            for t in range(slices.shape[1]):
-                for k, (a, b) in enumerate(SLICE_BLOCKS):
-                    key = slices[:, t] >> a & ((1 << b - a) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, 3 * t + k, np.int32)), pa.array(key.astype(np.int32)), part.column("node"), part.column("sketch")], names=["tag", "key", "node", "sketch"])
+def _deal(parts: int):
+    """Each class under every key of every slice of its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                slices = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u4").reshape(part.num_rows, -1).astype(np.uint64)
+                for t in range(slices.shape[1]):
+                    for k in range(3 * parts):
+                        key = _take(slices[:, t], _layout(k, SLICE_BLOCKS, parts)[0])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, 3 * parts * t + k, np.int32)), pa.array(key.astype(np.int32)), part.column("node"), part.column("sketch")], names=["tag", "key", "node", "sketch"])
+
+    return run
 
 
-def _near(budget: int, share: float):
+def _near(budget: int, share: float, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -448,9 +477,9 @@ def _near(budget: int, share: float):
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         for tag in np.unique(tags):
             at = np.flatnonzero(tags == tag)
-            t, k = divmod(int(tag), 3)
+            t, k = divmod(int(tag), 3 * parts)
             value = np.ascontiguousarray(sketches[at, 4 * t : 4 * t + 4]).view("<u4").ravel().astype(np.uint64)
-            rest = [r for i, r in enumerate(SLICE_BLOCKS) if i != k]
+            rest = _layout(k, SLICE_BLOCKS, parts)[1]
             tail, bits = _take(value, rest), sum(b - a for a, b in rest)
             order = np.lexsort((tail, keys[at]))
             at, tail = at[order], tail[order]
@@ -476,8 +505,9 @@ def _near(budget: int, share: float):
 
 def _shingles_of(nodes: DataFrame, known: DataFrame, classes: DataFrame, size: int, name: str) -> DataFrame:
     """(node, shingles) of distinct nodes, from their texts."""
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    return shared.stored(shared.arrow(known.join(wanted, "doc_id", "left_semi"), _sets(size), "node long, shingles binary"), name)
+    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least.doc_id").alias("w"), F.col("least.th").alias("wt"))
+    texts = known.join(wanted, known["doc_id"].eqNullSafe(wanted["w"]) & (known["th"] == wanted["wt"]), "left_semi")
+    return shared.stored(shared.arrow(texts.select("text"), _sets(size), "node long, shingles binary"), name)
 
 
 def _verified(pairs: DataFrame, known: DataFrame, classes: DataFrame, size: int, alike: float) -> DataFrame:
@@ -488,27 +518,45 @@ def _verified(pairs: DataFrame, known: DataFrame, classes: DataFrame, size: int,
     return shared.stored(shared.arrow(both.select("a", "b", "p", "q"), _alike(alike), "a long, b long"), "slice-links")
 
 
-def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int = 2, share: float = 0.15, alike: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of near copies: components of pairs whose distinct shingles of
-    ``size`` words have a Jaccard similarity of ``alike`` or more.
-
-    Every link is decided by the shingles of both texts.  Candidates come in two rounds.
-    First the trie self-join runs on ``tables`` 32-bit SimHash slices of the distinct
-    shingles with ``budget`` bits, keeping pairs that differ in at most ``share`` of all
-    bits; that joins large groups by few pairs.  Then all classes meet under the keys of
-    24 MinHash bands of four rows; where those under a key aren't all in one component, their
-    shingles meet in one task, which decides all pairs left (keys of the same classes once).
-    Two texts agree in a row with the chance of their similarity, however their
-    differences lie: at 0.8 no band meets with a chance of 0.59 ** 24, 3 in a million.
-    Texts with the same set of shingles are one class, named by 128 bits; so are wordless
-    texts.  Documents with null doc_id are left out.
+#: Classes beyond which a slice's keys are longer, at three times as many of them.
+MANY = 1 << 22
+
+
+def _keyed(docs: DataFrame) -> list:
+    """What names a row: its id and a hash of its text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")]
+
+
+def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int = 2, share: float = 0.15, alike: float = 0.8, many: int = MANY) -> DataFrame:
+    """(doc_id, th, component_id, first), a row for each row of docs: near copies form a component.
+
+    ``th`` is the XXH64 of the text: rows equal in both are copies of one document, rows
+    of one doc_id with different texts are documents of their own.  The first of a
+    component has the least (doc_id, th), null ids last; component_id is its doc_id.
+
+    Components are those of pairs whose distinct shingles of ``size`` words have a Jaccard
+    similarity of ``alike`` or more; the shingles of both texts decide every link.
+    Candidates come in two rounds.  First the trie self-join runs on ``tables`` 32-bit
+    SimHash slices of the distinct shingles with ``budget`` bits, keeping pairs that
+    differ in at most ``share`` of all bits; that joins large groups by few pairs.  Then
+    all classes meet under the keys of 24 MinHash bands of four rows; where those under a
+    key aren't all in one component, their shingles meet in one task, which decides the
+    pairs that share a rare shingle, as all pairs similar by ``alike`` do (keys of the same
+    classes once).  Two texts agree in a row with the chance of their similarity, however
+    their differences lie: at 0.8 no band meets with a chance of 0.59 ** 24, 3 in a million.
+    Texts with the same set of shingles are one class, named by 128 bits; so are texts
+    without words, null among them.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    prints = shared.stored(shared.arrow(known, _prints(size, tables), "doc_id long, node long, check long, sketch binary, keys binary"), "prints")
-    classes = shared.stored(prints.groupBy("node", "check").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("sketch", "keys"))), "classes")
-    dealt = shared.arrow(classes.select("node", "sketch"), _deal, "tag int, key int, node long, sketch binary").repartition(shared.partitions(spark), "tag", "key")
-    links = _verified(shared.arrow(dealt, _near(budget, share), "a long, b long"), known, classes, size, alike)
+    known = docs.select(*_keyed(docs), "text")
+    prints = shared.stored(shared.arrow(known, _prints(size, tables), "doc_id long, th long, node long, check long, sketch binary, keys binary"), "prints")
+    if not prints.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        known = known.dropDuplicates(["doc_id", "th"])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = shared.stored(prints.groupBy("node", "check").agg(F.min(row).alias("least"), *(F.first(c).alias(c) for c in ("sketch", "keys"))), "classes")
+    parts = 3 if classes.count() > many else 1
+    dealt = shared.arrow(classes.select("node", "sketch"), _deal(parts), "tag int, key int, node long, sketch binary").repartition(shared.partitions(spark), "tag", "key")
+    links = _verified(shared.arrow(dealt, _near(budget, share, parts), "a long, b long"), known, classes, size, alike)
     rooted = classes.join(components(links), "node", "left").select("node", "keys", F.coalesce("root", "node").alias("root"))
     keys = shared.arrow(shared.stored(rooted, "rooted"), _keys, "key long, node long, root long")
     members = (F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -518,5 +566,26 @@ def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int =
     met = rooms.join(sets, "node").select("key", "node", "root", "shingles").repartition(shared.partitions(spark), "key")
     links = links.union(shared.stored(shared.arrow(met, _rooms(alike), "a long, b long").distinct(), "room-links"))
     named = classes.join(components(links), "node", "left").select("node", "check", "least", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node", "check").join(shared.stored(named.join(ids, "root").select("node", "check", "component_id"), "print-components"), ["node", "check"]).select("doc_id", "component_id")
+    firsts = named.groupBy("root").agg(F.min("least").alias("of"))
+    found = prints.select("doc_id", "th", "node", "check").join(shared.stored(named.join(firsts, "root").select("node", "check", "of"), "print-components"), ["node", "check"])
+    return found.select("doc_id", "th", F.col("of.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("th") == F.col("of.th"))).alias("first"))
+
+
+def distinct(docs: DataFrame) -> DataFrame:
+    """One row of each component of near copies, with all columns: that of the least (doc_id, text hash).
+
+    Rows are told apart by id and text, so no text goes because another one has its id;
+    of rows equal in both, one stays.
+    """
+    marks = shared.stored(near_copies(docs), "near-copies")
+    rows = shared.wrapped(docs, *_keyed(docs))
+
+    def among(keys: DataFrame, how: str, table: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("k"), F.col("th").alias("kt")).distinct()
+        return table.join(keys, table["doc_id"].eqNullSafe(keys["k"]) & (table["th"] == keys["kt"]), how)
+
+    left = among(marks.filter("not first"), "left_anti", rows)
+    twice = marks.filter("first").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.isEmpty():
+        left = among(twice, "left_anti", left).union(among(twice, "left_semi", left).dropDuplicates(["doc_id", "th"]))
+    return shared.unwrapped(left, docs)

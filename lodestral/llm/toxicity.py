@@ -160,10 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features:
     return model
 
 
-def _score(model: Model, names: list[str]):
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.slices(batches, "__text"):
-            hashes, word, sentence, owner, _, _, _, _ = sentences(batch.column("__text"))
+        for batch in text.slices(batches):
+            hashes, word, sentence, owner, _, _, _, _ = sentences(batch.column("text"))
             z = model.logits(hashes, sentence[word], len(owner))
             n = batch.num_rows
             total = np.bincount(owner, weights=np.logaddexp(0, z), minlength=n)
@@ -176,7 +176,7 @@ def _score(model: Model, names: list[str]):
             rank[owner[at]] = p[at]
             offending = np.bincount(owner[p >= 0.5], minlength=n)
             new = [pa.array(-np.expm1(-total)), pa.array(np.bincount(owner, minlength=n)), pa.array(offending), pa.array(worst), pa.array(rank)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, *_NEW])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *new], names=["row", *_NEW])
 
     return run
 
@@ -185,9 +185,18 @@ _NEW = ["__score", "__n_sentences", "__n_offending", "__worst", "__worst_score"]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with __score, __n_sentences, __n_offending, __worst (index, -1: none) and __worst_score."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return shared.arrow(docs.withColumn("__text", F.col("text")), _score(model, docs.columns), f"{fields}, __score double, __n_sentences long, __n_offending long, __worst long, __worst_score double")
+    """All columns of docs with __score, __n_sentences, __n_offending, __worst (index, -1: none) and __worst_score.
+
+    Columns of docs with these names give way to the new ones.
+    """
+    schema = shared.fields(docs, "__score double, __n_sentences long, __n_offending long, __worst long, __worst_score double")
+    return shared.unwrapped(shared.arrow(shared.wrapped(docs, F.col("text")), _score(model), schema), docs, *_NEW)
+
+
+def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score below ``least``, with all their columns."""
+    schema = shared.fields(docs, "__score double, __n_sentences long, __n_offending long, __worst long, __worst_score double")
+    return shared.unwrapped(shared.arrow(shared.wrapped(docs, F.col("text")), _score(model), schema).filter(F.col("__score") < least), docs)
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
