@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame.  All but the last return the columns of documents.  ``run`` applies them in a
 row, each result written as Parquet to the shared folder and read again.
+
+Defined cases, for every stage: a null or empty text is a document without words (clean,
+and of several such documents the near-duplicate stage keeps one); null and repeated ids
+are allowed, rows are judged by their texts; texts are read whole, however long; columns
+that documents has besides are kept as they are, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,24 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; learned as in op9, from the labels of other folds."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out()))
-    return toxicity.score(docs, model).filter("__score < 0.5").select(docs.columns)
+    return toxicity.kept(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of least doc_id stays; a null doc_id stays.
+    """Of each component of near copies the row of least (doc_id, text hash) stays, null ids last; of repeated rows one.
 
     Near copies share 0.8 or more of their distinct five-word shingles, which differ in far
     more than two bits of one fingerprint: slices and bands find them, the shingles decide.
+    Rows are told apart by id and text, so texts that share an id are judged each for itself.
     """
-    found = simhash.near_copies(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")
+    return simhash.distinct(docs)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by an earlier 20-word window go; the other words stay, joined by single spaces."""
-    kept = substring.dedup(docs)
-    text = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
-    return kept.select(*(c for c in docs.columns if c not in ("text", "n_chars")), text.alias("text"), F.length(text).cast("long").alias("n_chars")).select(docs.columns)
+    return substring.shortened(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
