@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: The solid part of a line; a line ends at any Unicode line boundary.
-_LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+_LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _STRETCH = re.compile(rf"\S(?:[^{_LINE_ENDS}]*\S)?")
 _SOLID = re.compile(r"\S")
 GAP = "\n\n"
