@@ -1,19 +1,26 @@
 """License scans by MinHash bands over overlapping windows, in DataFrame functions only.
 
-A template of ``L`` words is looked for in windows of ``L + L / 4`` words that start every
-``L / 4`` words, so any passage of ``L`` words lies in one whole window.  Documents are
-scanned once for five-word shingles of any template; windows without one cannot hold a
-template and are left out.  The others are sketched by ``BANDS`` MinHash bands of one row:
-a window that holds 0.8 of a template's shingles is similar to it by 0.55 or more, so the
-chance that no band meets is below 1e-11.  Templates retrieved by a band are verified by
-exact shingle containment.
+A template of ``L`` words is looked for in overlapping windows of a document.  For
+templates of ``LONG`` words or more a window has 2 L words and starts every L / 2, so any
+passage of 1.5 L words lies in one whole window, wherever words were put in between; one
+insertion breaks four shingles, so shorter templates can't have any and still reach the
+threshold, and their windows have 1.25 L words, every L / 4.
+
+Each window is sketched by ``BANDS`` MinHash bands of one row, and a band retrieves the
+templates whose sketch agrees.  A window that holds 0.8 of a template's shingles is
+similar to it by 0.33 or more (long templates: 0.8 t shingles of at most 2 L - 4 + 0.2 t,
+t = L - 4 being those of the template; short ones: 0.4), so the chance that no band meets
+is below 0.67 ** 48, 5 in a thousand million.  Templates retrieved are verified by exact
+shingle containment.  Windows without a single shingle of any template are not sketched:
+their similarity to all of them is zero, and no band could rightly meet.
 
 Templates go to the executors; they are a parameter of at most ``limit`` words.
 
 Defined cases: a null or short text matches nothing; rows that share a doc_id are one
 document in the result of ``scan`` (each text is searched by itself); a null doc_id is
-kept as such; of equal matches the earliest window counts; an empty table gives no rows;
-other columns are ignored.  Templates need at least five words.
+kept as such; of equal matches the earliest window counts; a text may be as long as a row
+can be; an empty table gives no rows; only doc_id and text are read, so no other column
+can clash.  Templates need at least five words.
 """
 
 from __future__ import annotations
@@ -23,23 +30,51 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestral.llm.decontam import words
 
 SIZE = 5
-BANDS = 32
+BANDS = 48
+LONG = 24
 
-#: Public license notices, as they are usually written.
+#: Public license notices and texts, as they are usually written.
 TEMPLATES = {
+    "0bsd": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE',
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-body": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "boost-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "bsd-2-clause-body": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-disclaimer": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+    "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
+    "mit-body": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "mit-notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
 
 
+def grid(n: int) -> tuple[int, int]:
+    """Step and width of the windows for templates of ``n`` words."""
+    step = max(1, n // 2 if n >= LONG else n // 4)
+    return step, n + (2 * step if n >= LONG else step)
+
+
 def _shingle(w: Column, i: Column) -> Column:
     return F.xxhash64(*(F.get(w, i + k) for k in range(SIZE)))
 
@@ -81,8 +116,7 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, share: flo
     base = docs.select("doc_id", F.transform(F.array(words(F.col("text"))), scanned)[0].alias("x")).select("doc_id", "x.w", "x.at").filter("size(at) > 0")
     classes = []
     for n in lengths:
-        step = max(1, n // 4)
-        width = n + step
+        step, width = grid(n)
         # Windows k * step with position p inside, for the first and last such k.
         ks = F.flatten(F.transform("at", _windows(step, width)))
         classes.append(F.transform(F.array_distinct(ks), _cut(n, step, width)))
@@ -119,10 +153,10 @@ def oracle() -> str:
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     return f"""
 WITH t AS (SELECT template, regexp_extract_all({low.format('text')}, {word}) AS w FROM (VALUES {rows}) AS v(template, text)),
-ts AS (SELECT template, len(w) AS n, greatest(1, len(w) // 4) AS step, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM t),
+ts AS (SELECT template, len(w) AS n, CASE WHEN len(w) >= {LONG} THEN len(w) // 2 ELSE greatest(1, len(w) // 4) END AS step, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM t),
 classes AS (SELECT DISTINCT n, step FROM ts),
 d AS (SELECT doc_id, regexp_extract_all({low.format('text')}, {word}) AS w FROM documents),
-win AS (SELECT doc_id, n, k * step AS start, w[k * step + 1:k * step + n + step] AS v FROM (SELECT doc_id, w, n, step, unnest(range(0, len(w) // step + 1)) AS k FROM d, classes WHERE len(w) >= 5)),
+win AS (SELECT doc_id, n, k * step AS start, w[k * step + 1:k * step + n + CASE WHEN n >= {LONG} THEN 2 ELSE 1 END * step] AS v FROM (SELECT doc_id, w, n, step, unnest(range(0, len(w) // step + 1)) AS k FROM d, classes WHERE len(w) >= 5)),
 sh AS (SELECT doc_id, n, start, [array_to_string(v[i:i + 4], ' ') FOR i IN range(1, len(v) - 3)] AS s FROM win WHERE len(v) >= 5),
 m AS (SELECT DISTINCT doc_id, template, start FROM sh JOIN ts USING (n) WHERE len(list_intersect(ts.s, list_distinct(sh.s))) >= 0.8 * len(ts.s)),
 g AS (SELECT doc_id, count(DISTINCT template) AS n_licenses, string_agg(DISTINCT template, ',' ORDER BY template) AS licenses, min(start) AS first_word FROM m GROUP BY doc_id)

@@ -1,23 +1,38 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small network predicts every token from the two tokens on either side, never from the
-token itself; the sum of the conditional log-probabilities scores a document.  Tokens are
-words, hashed to ``CLASSES * MEMBERS`` symbols; a symbol's probability is that of its
-class times that of the member within the class, so two short softmaxes do.
+token itself; the sum of the conditional log-probabilities scores a document.
 
-Training is data-parallel in NumPy: each partition makes one pass of Adagrad steps over
-all tokens of all its documents from the same start, and hands on its parameters; these
-are averaged, weighted by tokens, in groups of ``FAN`` until one row is left.  What is
-gathered so grows with the input, but no task sees more than ``FAN`` parameter vectors.
+The vocabulary is that of the whole corpus: every distinct word with its count, a table
+that grows with the corpus.  The ``SINGLE`` most frequent words are symbols of their own,
+all others fall into clusters by their hash.  The network gives the probability of a
+symbol (of its class, times that of the member within the class, so two short softmaxes
+do), and the vocabulary that of the word within its cluster:
+
+    (count in other documents + ALPHA) / (the same, summed over all words of the cluster)
+
+so a document's own tokens don't vouch for it, and a word that no other document holds
+has a small probability of its own.  Counts of the words most frequent in the corpus, at
+most ``known`` of them, go to every task; those of the others are joined by word.
+
+Training is data-parallel in NumPy and starts from the corpus' own word frequencies.  It
+runs in ``ROUNDS`` rounds, each over a part of the documents: partitions of about ``PART``
+tokens, dealt by a hash of the text and sorted, make one pass of Adagrad steps from the
+same start, and hand on parameters and accumulated gradients, which are averaged, weighted
+by tokens, in groups of ``FAN`` until one row is left.  The number of partitions follows
+from the number of tokens alone, so scores don't depend on cores or input splits.
 
 Defined cases: a null, empty or wordless text has no tokens and scores 0 with perplexity
 null; words at an end of a text see a padding symbol; an empty table trains nothing and
-gives no rows; repeated rows and ties score alike; null ids change nothing.
+gives no rows; repeated rows and ties score alike; a text may be as long as a row can be
+(its symbols lie in one row of two bytes a word); null ids change nothing; only doc_id and
+text are read, so no other column can clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +43,25 @@ from lodestral.llm import shared, text
 
 CLASSES = MEMBERS = 32
 SYMBOLS = CLASSES * MEMBERS
+SINGLE = SYMBOLS // 2
+CLUSTERS = SYMBOLS - SINGLE
+ALPHA = 0.5
 WIDTH, HIDDEN = 8, 16
 STEP = 8192
-FAN = 32
+ROUNDS, PART, FAN = 4, 1 << 21, 32
 #: Shapes of the parameters: embeddings (with padding), hidden layer, class and member layers.
 SHAPES = {"e": (4, SYMBOLS + 1, WIDTH), "w": (4 * WIDTH, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "m": (CLASSES, HIDDEN, MEMBERS), "mb": (CLASSES, MEMBERS)}
 
 
-def start(seed: int = 11) -> dict[str, np.ndarray]:
+def start(counts: np.ndarray | None = None, seed: int = 11) -> dict[str, np.ndarray]:
+    """Parameters before training; with token counts of the symbols, their frequencies are what is predicted first."""
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if k.endswith("b") else rng.normal(0, 0.3 if k == "e" else 0.2, s)).astype(np.float32) for k, s in SHAPES.items()}
+    p = {k: (np.zeros(s) if k.endswith("b") else rng.normal(0, 0.3 if k == "e" else 0.2, s)).astype(np.float32) for k, s in SHAPES.items()}
+    if counts is not None:
+        share = (counts.reshape(CLASSES, MEMBERS) + 0.5) / (counts.sum() + SYMBOLS / 2)
+        p["cb"], p["mb"] = np.log(share.sum(axis=1)).astype(np.float32), np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+        p["c"], p["m"] = 0.05 * p["c"], 0.05 * p["m"]
+    return p
 
 
 def pack(p: dict[str, np.ndarray]) -> bytes:
@@ -53,11 +77,126 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def symbols(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol of each word, its four neighbours, and the word offset of each text."""
-    data, offsets = text.strings(array)
-    begin, end, first = text.words(data, offsets)
-    ids = (text.word_hashes(data, begin, end) % np.uint64(SYMBOLS)).astype(np.int32)
+@dataclass
+class Vocabulary:
+    """Words by hash: the most frequent, those with known counts (sorted, the most frequent among them), and totals of the clusters.
+
+    ``rare`` has (h, n) of the words whose counts aren't known here.
+    """
+
+    single: np.ndarray
+    words: np.ndarray
+    counts: np.ndarray
+    tokens: np.ndarray
+    types: np.ndarray
+    rare: DataFrame | None = None
+
+    def plain(self) -> Vocabulary:
+        return Vocabulary(self.single, self.words, self.counts, self.tokens, self.types)
+
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        out = SINGLE + (hashes >> np.uint64(40)) % np.uint64(CLUSTERS)
+        if len(self.single):
+            order = np.argsort(self.single)
+            at = np.minimum(np.searchsorted(self.single[order], hashes), len(order) - 1)
+            out = np.where(self.single[order][at] == hashes, order[at].astype(np.uint64), out)
+        return out.astype(np.uint16)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Count of each word, -1 if it isn't known here."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.counts[at], -1)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text.slices(batches, limit=4 << 20):
+        data, offsets = text.strings(batch.column("text"))
+        begin, end, _ = text.words(data, offsets)
+        words, n = np.unique(text.word_hashes(data, begin, end), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def vocabulary(docs: DataFrame, known: int = 1 << 20) -> Vocabulary:
+    """Words of all texts with their counts."""
+    table = shared.stored(shared.arrow(docs.select("text"), _counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
+    # The least count such that no more than ``known`` words have it: distinct counts are few.
+    often = sorted((tuple(r) for r in table.groupBy("n").count().collect()), reverse=True)
+    least, held = (often[0][0] + 1 if often else 1), 0
+    for n, words in often:
+        if held + words > known:
+            break
+        least, held = n, held + words
+    top = table.filter(F.col("n") >= least).toArrow()
+    words, counts = (np.asarray(top.column(c).combine_chunks()) for c in ("h", "n"))
+    words = words.view(np.uint64)
+    order = np.lexsort((words, -counts))[:SINGLE]
+    single = words[order]
+    order = np.argsort(words)
+    cluster = (F.shiftrightunsigned("h", 40) % CLUSTERS).cast("int")
+    totals = table.groupBy(cluster.alias("cluster")).agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).collect()
+    tokens, types = np.zeros(CLUSTERS), np.zeros(CLUSTERS)
+    for r in totals:
+        tokens[r["cluster"]], types[r["cluster"]] = r["tokens"], r["types"]
+    out = Vocabulary(single, words[order], counts[order], tokens, types, table.filter(F.col("n") < least))
+    at = (single >> np.uint64(40)).astype(np.int64) % CLUSTERS  # single words are in no cluster
+    np.subtract.at(out.tokens, at, out.known(single).astype(float))
+    np.subtract.at(out.types, at, 1.0)
+    return out
+
+
+def _coded(v: Vocabulary):
+    """Symbols of each text, the sum of its words' log-probabilities within clusters but for rare numerators, and the rare words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text.slices(batches):
+            data, offsets = text.strings(batch.column("text"))
+            begin, end, first = text.words(data, offsets)
+            hashes = text.word_hashes(data, begin, end)
+            n = batch.num_rows
+            owner = np.repeat(np.arange(n), np.diff(first))
+            # One entry for each distinct word of each text.
+            distinct, code = np.unique(hashes, return_inverse=True)
+            kinds, counts = v.symbols(distinct), v.known(distinct)
+            pair, own = np.unique(owner * np.int64(max(1, len(distinct))) + code, return_counts=True)
+            row, word = np.divmod(pair, max(1, len(distinct)))
+            symbol = kinds[word].astype(np.int64)
+            clustered = symbol >= SINGLE
+            row, word, own, cluster = row[clustered], word[clustered], own[clustered], symbol[clustered] - SINGLE
+            spot, back = np.unique(row * CLUSTERS + cluster, return_inverse=True)
+            mine = np.bincount(back, weights=own, minlength=len(spot))[back]
+            room = v.tokens[cluster] - mine + ALPHA * v.types[cluster]
+            common = counts[word] >= 0
+            others = np.where(common, counts[word] - own, 0) + ALPHA
+            value = own * (np.where(common, np.log(others), 0.0) - np.log(room))
+            rare = np.flatnonzero(~common)
+            ends = np.searchsorted(row[rare], np.arange(n + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (distinct[word[rare]].view(np.int64), own[rare].astype(np.int32))]
+            packed = kinds[code].astype("<u2").tobytes() if len(code) else b""
+            pieces = [packed[2 * a : 2 * b] for a, b in zip(first.tolist(), first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), batch.column("doc_id"), batch.column("th"), pa.array(np.diff(first)), pa.array(pieces, pa.binary()), pa.array(np.bincount(row, weights=value, minlength=n).astype(float)), *lists],
+                names=[c.split()[0] for c in CODED.split(", ")],
+            )
+
+    return run
+
+
+CODED = "rid long, doc_id long, th long, n_tokens long, symbols binary, within double, rare array<long>, own array<int>"
+
+
+def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """A stored table of symbols, a row for each row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    return shared.stored(shared.arrow(rows, _coded(v.plain()), CODED), "symbols")
+
+
+def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol of each word of some texts, its four neighbours, and the word offset of each text."""
+    data, offsets = text.strings(column)
+    ids = data.view("<u2").astype(np.int32) if len(data) else np.zeros(0, np.int32)
+    first = offsets // 2
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     around = np.full((len(ids), 4), SYMBOLS, np.int32)
     for k, d in enumerate((-2, -1, 1, 2)):
@@ -132,17 +271,29 @@ def _learn(p, g2, ids, around, rate: float) -> None:
         p[k] -= (rate * g / (np.sqrt(g2[k]) + 1e-6)).astype(np.float32)
 
 
-def _train(rate: float, seed: int):
+_STATE = "part long, n long, params binary, squares binary"
+
+
+def _train(params: bytes, squares: bytes, rate: float):
+    """One pass over a partition; tokens of neighbouring documents share steps."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, seen = start(seed), 0
-        g2 = {k: np.full(s, 1e-8, np.float32) for k, s in SHAPES.items()}
-        for batch in text.slices(batches):
-            ids, around, _ = symbols(batch.column("text"))
-            for a in range(0, len(ids), STEP):
-                _learn(p, g2, ids[a : a + STEP], around[a : a + STEP], rate)
-            seen += len(ids)
+        p, g2, seen = unpack(params), unpack(squares), 0
+        ids, around = np.zeros(0, np.int32), np.zeros((0, 4), np.int32)
+
+        def step(least: int) -> None:
+            nonlocal ids, around
+            while len(ids) >= least and len(ids):
+                _learn(p, g2, ids[:STEP], around[:STEP], rate)
+                ids, around = ids[STEP:], around[STEP:]
+
+        for batch in text.slices(batches, "symbols"):
+            more, near, _ = windows(batch.column("symbols"))
+            ids, around, seen = np.concatenate((ids, more)), np.concatenate((around, near)), seen + len(more)
+            step(STEP)
+        step(1)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([pack(p)], pa.binary())], names=["part", "n", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([pack(p)], pa.binary()), pa.array([pack(g2)], pa.binary())], names=["part", "n", "params", "squares"])
 
     return run
 
@@ -150,36 +301,72 @@ def _train(rate: float, seed: int):
 def _average(table: pa.Table) -> pa.Table:
     table = table.sort_by("part")
     n = np.asarray(table.column("n"), np.float64)
-    total = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) * w for x, w in zip(table.column("params"), n)) / n.sum()
-    return pa.table({"part": pa.array([table.column("group")[0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "params": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+    mean = lambda c: sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) * w for x, w in zip(table.column(c), n)) / n.sum()
+    both = [pa.array([mean(c).astype("<f4").tobytes()], pa.binary()) for c in ("params", "squares")]
+    return pa.table([pa.array([table.column("group")[0].as_py()], pa.int64()), pa.array([int(n.sum())], pa.int64()), *both], names=["part", "n", "params", "squares"])
+
+
+def train(symbols: DataFrame, params: bytes, rate: float = 0.1, part: int = PART, rounds: int = ROUNDS) -> bytes:
+    """Packed parameters learned from every token of a table of ``coded``."""
+    total = symbols.agg(F.sum("n_tokens")).first()[0] or 0
+    tasks = max(1, -(-total // (part * max(1, rounds))))
+    squares = pack({k: np.full(s, 1e-8, np.float32) for k, s in SHAPES.items()})
+    for k in range(rounds if total else 0):
+        own = symbols.filter((F.pmod("th", F.lit(rounds)) == k) & (F.col("n_tokens") > 0)).select("th", "doc_id", "symbols")
+        dealt = own.repartition(tasks, F.shiftright("th", 8)).sortWithinPartitions("th", "doc_id").select("symbols")
+        rows = shared.stored(shared.arrow(dealt, _train(params, squares, rate), _STATE), "parameters")
+        top = rows.agg(F.max("part")).first()[0]
+        if top is None:
+            continue
+        while True:
+            rows = rows.withColumn("group", F.floor(F.col("part") / FAN)).groupBy("group").applyInArrow(_average, _STATE)
+            if top < FAN:
+                break
+            top //= FAN
+        one = rows.first()
+        params, squares = bytes(one["params"]), bytes(one["squares"])
+    return params
+
+
+def symbol_counts(v: Vocabulary) -> np.ndarray:
+    """Tokens of each symbol in the corpus."""
+    out = np.zeros(SYMBOLS)
+    out[: len(v.single)] = v.known(v.single)
+    out[SINGLE:] = v.tokens
+    return out
+
 
+def _log_net(params: bytes, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = unpack(params)
+        for batch in text.slices(batches, "symbols"):
+            ids, around, first = windows(batch.column("symbols"))
+            total = np.concatenate(([0.0], np.cumsum(log_probabilities(p, ids, around))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total[first[1:]] - total[first[:-1]])], names=[*names, "net"])
 
-def fit(docs: DataFrame, rate: float = 0.1, seed: int = 11) -> bytes:
-    """Packed parameters learned from every token of docs."""
-    schema = "part long, n long, params binary"
-    rows = shared.stored(shared.arrow(docs.select("text"), _train(rate, seed), schema), "parameters")
-    top = rows.agg(F.max("part")).first()[0]
-    if top is None:
-        return pack(start(seed))
-    while True:
-        rows = rows.withColumn("group", F.floor(F.col("part") / FAN)).groupBy("group").applyInArrow(_average, schema)
-        if top < FAN:
-            return bytes(rows.first()["params"])
-        top //= FAN
+    return run
 
 
-def score(docs: DataFrame, params: bytes) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, perplexity) of each whole text."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(params)  # of fixed size
+def rare_part(symbols: DataFrame, v: Vocabulary) -> DataFrame:
+    """(rid, value): log numerators of the rare words of each text, from the vocabulary joined by word."""
+    pairs = F.arrays_zip("rare", "own")
+    asked = symbols.filter(F.size("rare") > 0).select("rid", F.explode(pairs).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.own").alias("own"))
+    value = F.col("own") * F.log(F.col("n") - F.col("own") + F.lit(ALPHA))
+    return asked.join(v.rare, "h").groupBy("rid").agg(F.sum(value).alias("value"))
+
+
+def scored(symbols: DataFrame, v: Vocabulary, params: bytes) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, perplexity) of each row of a table of ``coded``."""
+    kept = ["rid", "doc_id", "n_tokens", "within"]
+    net = shared.arrow(symbols.select(*kept, "symbols"), _log_net(params, kept), "rid long, doc_id long, n_tokens long, within double, net double")
+    more = rare_part(symbols, v).withColumnRenamed("rid", "of")
+    log_prob = F.col("net") + F.col("within") + F.coalesce("value", F.lit(0.0))
+    perplexity = F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens")))
+    return net.join(more, F.col("rid") == F.col("of"), "left").select("doc_id", "n_tokens", log_prob.alias("log_prob")).select("*", perplexity.alias("perplexity"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = unpack(model.value)
-        for batch in text.slices(batches):
-            ids, around, first = symbols(batch.column("text"))
-            total = np.concatenate(([0.0], np.cumsum(log_probabilities(p, ids, around))))
-            n, sums = np.diff(first), total[first[1:]] - total[first[:-1]]
-            perplexity = np.exp(-sums / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.where(n > 0, sums, 0.0)), pa.array(perplexity, mask=n == 0)], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
 
-    return shared.arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, log_prob double, perplexity double")
+def score(docs: DataFrame, known: int = 1 << 20, rate: float = 0.1, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, perplexity) of each whole text, by a model learned from all texts; ``rounds`` 0: word frequencies alone."""
+    v = vocabulary(docs, known)
+    symbols = coded(docs, v)
+    return scored(symbols, v, train(symbols, pack(start(symbol_counts(v))), rate, part, rounds))

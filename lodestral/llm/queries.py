@@ -38,8 +38,7 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return pll.score(docs, pll.fit(docs))
+    return pll.score(documents(spark, sf_dir))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

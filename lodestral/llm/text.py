@@ -172,13 +172,37 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, np.append(start[1:], n), np.searchsorted(start, offsets)
 
 
+class _Runs:
+    """Runs of numbers, one after the other in one growing array."""
+
+    def __init__(self, kind):
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.begin, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        m = len(lengths)
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while self.n + m > len(self.begin):
+            self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
+        self.flat[self.used : self.used + len(values)] = values
+        self.length[self.n : self.n + m] = lengths
+        self.begin[self.n : self.n + m] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(values)
+        self.n += m
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Some runs in a row, and the length of each."""
+        n = self.length[places]
+        return self.flat[np.repeat(self.begin[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
 class _Generation:
-    """Ids of pieces by the pieces' hashes: sorted keys, and the ids in one growing array."""
+    """Ids and bytes of pieces by the pieces' hashes: sorted keys, and where each one's runs lie."""
 
     def __init__(self):
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.ids, self.bytes = _Runs(np.uint32), _Runs(np.uint8)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 if it isn't known."""
@@ -187,31 +211,22 @@ class _Generation:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, self.places[at], -1)
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, ids: tuple[np.ndarray, np.ndarray], raw: tuple[np.ndarray, np.ndarray]) -> None:
         n, m = len(self.keys), len(hashes)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        while n + m > len(self.begin):
-            self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.length[n : n + m] = lengths
-        self.begin[n : n + m] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(ids)
+        self.ids.add(*ids)
+        self.bytes.add(*raw)
         keys, places = np.append(self.keys, hashes), np.append(self.places, np.arange(n, n + m))
         order = np.argsort(keys, kind="stable")  # two sorted runs
         self.keys, self.places = keys[order], places[order]
 
-    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Concatenated ids of some places, and how many each has."""
-        n = self.length[places]
-        return self.flat[np.repeat(self.begin[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
-
 
 class Pieces:
     """Ids of LATIN texts, each distinct piece encoded once.
 
-    ``many`` maps pieces to (ids, number of ids of each).  Two generations of about
-    ``capacity`` pieces are kept; what is still in use moves to the younger.
+    ``many`` maps pieces to (ids, number of ids of each).  Pieces are looked up by hash; the
+    bytes of what was found must give the text again, else the text is encoded piece by
+    piece.  Two generations of about ``capacity`` pieces are kept; what is still in use
+    moves to the younger.
     """
 
     def __init__(self, many, capacity: int = 400_000):
@@ -220,7 +235,7 @@ class Pieces:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.young.keys) > self.capacity or self.young.used > 16 * self.capacity:
+        if len(self.young.keys) > self.capacity or self.young.ids.used > 16 * self.capacity:
             self.young, self.old = _Generation(), self.young
         parts = [t.encode() for t in texts]
         raw = b"".join(parts)
@@ -234,14 +249,23 @@ class Pieces:
         older = self.old.find(distinct[absent])
         moved, fresh = absent[older >= 0], absent[older < 0]
         if len(moved):
-            self.young.add(distinct[moved], *self.old.gather(older[older >= 0]))
+            places = older[older >= 0]
+            self.young.add(distinct[moved], self.old.ids.gather(places), self.old.bytes.gather(places))
         if len(fresh):
-            spans = at[fresh]
-            self.young.add(distinct[fresh], *self.many([raw[a:b].decode() for a, b in zip(start[spans].tolist(), end[spans].tolist())]))
-        ids, n = self.young.gather(self.young.find(distinct)[back])
+            spans = [raw[a:b] for a, b in zip(start[at[fresh]].tolist(), end[at[fresh]].tolist())]
+            self.young.add(distinct[fresh], self.many([x.decode() for x in spans]), (np.frombuffer(b"".join(spans), np.uint8), np.array(list(map(len, spans)))))
+        places = self.young.find(distinct)[back]
+        ids, n = self.young.ids.gather(places)
         bounds = 4 * np.concatenate(([0], np.cumsum(n)))[first]
         packed = ids.astype("<u4").tobytes()
-        return [packed[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        out = [packed[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        known, _ = self.young.bytes.gather(places)
+        if len(known) != len(data) or not np.array_equal(known, data):  # two pieces of one hash
+            for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+                same, _ = self.young.bytes.gather(places[a:b])
+                if same.tobytes() != parts[k]:
+                    out[k] = self.many([raw[x:y].decode() for x, y in zip(start[a:b].tolist(), end[a:b].tolist())])[0].astype("<u4").tobytes()
+        return out
 
 
 def packed(encoded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

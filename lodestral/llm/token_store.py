@@ -4,14 +4,17 @@ Ids of all documents lie concatenated in doc_id order.  The store is a Parquet t
 of blocks; a block holds whole documents, their ids as packed little-endian integers
 of the narrowest width, and the document boundaries as an Elias-Fano sequence: the low
 bits of each boundary packed, the high bits in unary, and a 32-bit sample of the unary
-vector for every 256th boundary, so ``select`` needs no 64-bit table.
+vector for every 256th boundary.  ``select`` finds one boundary and ``range`` some in a row
+from the nearest sample, so neither needs a 64-bit table; the reader looks boundaries up
+that way, some thousand documents at a time, and ``document`` reads one of them.
 
 Range partitions keep the global order; a block's place inside its partition is known
 to the one task that writes it, and only one total per partition goes to the driver.
 
 Defined cases: a null text is empty (its only id is the end id); a null doc_id sorts
 first; equal doc_ids lie side by side, ordered by a hash of their text; an empty table
-gives an empty store; other columns are ignored.
+gives an empty store; a text may be as long as a row can be (a block holds it whole); only
+doc_id and text are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from lodestral.llm import shared, text
 
 SAMPLE = 256
 BLOCK_TOKENS = 1 << 20
+#: Documents read at a time.
+READ = 4096
 STORE = "part int, block int, before long, n_docs int, n_tokens long, width int, doc_ids array<long>, ids binary, low_bits int, low binary, high binary, samples binary"
 
 
@@ -48,6 +53,18 @@ class EliasFano:
         high[ones] = 1
         return cls(n, bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
 
+    def range(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: from the sample before the first to the sample after the last."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        samples = np.frombuffer(self.samples, "<u4")
+        skip, beyond = a % SAMPLE, (b - 1) // SAMPLE + 1
+        begin = int(samples[a // SAMPLE])
+        end = int(samples[beyond]) if beyond < len(samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :]
+        ones = begin + np.flatnonzero(bits)[skip : skip + b - a]
+        return (ones - np.arange(a, b)) << self.low_bits | self._lows(a, b)
+
     def _lows(self, a: int, b: int) -> np.ndarray:
         w = self.low_bits
         if not w:
@@ -57,8 +74,7 @@ class EliasFano:
         return bits.reshape(-1, w) @ (np.int64(1) << np.arange(w))
 
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n)) << self.low_bits | self._lows(0, self.n)
+        return self.range(0, self.n)
 
     def select(self, i: int) -> int:
         """Value i: from the nearest sample, count ones byte by byte."""
@@ -161,13 +177,16 @@ def _documents(bases: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bounds = EliasFano(row["n_docs"] + 1, row["low_bits"], row["low"], row["high"], row["samples"]).all()
+                n, places = row["n_docs"], EliasFano(row["n_docs"] + 1, row["low_bits"], row["low"], row["high"], row["samples"])
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
                 base = bases[row["part"]] + row["before"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array([zlib.crc32(ids[a:b]) for a, b in zip(bounds, bounds[1:])], pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for a in range(0, n, READ):  # boundaries are looked up as they are needed
+                    b = min(n, a + READ)
+                    bounds = places.range(a, b + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row["doc_ids"][a:b], pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array([zlib.crc32(ids[x:y]) for x, y in zip(bounds, bounds[1:])], pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     return run
 
@@ -182,3 +201,9 @@ def read(spark, path: str) -> DataFrame:
         total += totals[part]
     blocks = blocks.select("part", "before", "n_docs", "width", "doc_ids", "ids", "low_bits", "low", "high", "samples")
     return shared.arrow(blocks, _documents(bases), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def document(block: dict, i: int) -> np.ndarray:
+    """Ids of the i-th document of a block, a row of the store."""
+    places = EliasFano(block["n_docs"] + 1, block["low_bits"], block["low"], block["high"], block["samples"])
+    return np.frombuffer(block["ids"], f"<u{block['width']}")[places.select(i) : places.select(i + 1)].astype("<u4")

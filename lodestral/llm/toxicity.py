@@ -3,21 +3,30 @@
 A document is a bag of sentences; its score is 1 - prod(1 - p) over the probabilities of
 its sentences.  Only the documents carry labels.  Features of a sentence are hashes of
 its words and of their first four to seven bytes.  Features are chosen by how many
-*different* sentences of toxic and other documents hold them, so copies count once.
-Weights minimise the noisy-or likelihood with Adam in NumPy on the driver, over a sample
-of at most ``max_docs`` labelled documents (in the order of a hash of doc_id, so it
-doesn't depend on partitioning); executors send hashed features of that sample only.
-Every document of the table is scored, whole.
+*different* sentences of toxic and other documents hold them, so copies count once; Spark
+counts them, and at most ``max_features`` of the strongest are kept.  Weights minimise the
+noisy-or likelihood with Adam in NumPy on the driver.
+
+Learning is bounded: the sample holds at most ``max_docs`` labelled documents (in the order
+of a hash of doc_id, so it doesn't depend on partitioning) of at most ``max_bytes`` in all; a
+document that would pass the bound is left out whole.  What reaches the driver are places
+of chosen features only.  Every document of the table is scored, whole.
+
+The settings were chosen by ``cross_validate`` inside the folds that may be learned from;
+labels of the held-out fold took no part.
 
 Defined cases: a null, empty or wordless text has no sentence and scores 0; null labels
 and labels of unknown documents are not used, of several labels of one doc_id the
-greatest holds; null doc_ids are scored but never learned from; with no usable labels of
-both kinds every score is 0; repeated rows are scored alike; other columns are kept.
+greatest holds; texts that share a doc_id are bags of their own, each with its label, and
+repeated rows are one bag; null doc_ids are scored but never learned from; with no usable
+labels of both kinds every score is 0; repeated rows are scored alike; a text may be as
+long as a row can be; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +67,7 @@ def sentences(array: pa.Array):
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each sentence: its document's bag and label, a hash of its words, and its distinct features."""
     for batch in text.slices(batches):
         hashes, word, sentence, owner, _, _, whole, heads = sentences(batch.column("text"))
         if not len(owner):
@@ -70,7 +80,8 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         keep[1:] = (s[1:] != s[:-1]) | (h[1:] != h[:-1])
         s, h = s[keep], h[keep]
         lists = pa.ListArray.from_arrays(np.searchsorted(s, np.arange(len(owner) + 1)).astype(np.int32), pa.array(h.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), batch.column("toxic").take(pa.array(owner)), pa.array(content.view(np.int64)), lists], names=["doc_id", "toxic", "content", "features"])
+        of = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("doc_id", "th", "toxic")), pa.array(content.view(np.int64)), lists], names=["doc_id", "th", "toxic", "content", "features"])
 
 
 class Model:
@@ -91,73 +102,130 @@ class Model:
         return out
 
 
-def _promising(flat: np.ndarray, row: np.ndarray, pick: np.ndarray, bad: np.ndarray, base: float, bits: int = 22, step: int = 1 << 20) -> np.ndarray:
-    """Feature occurrences worth counting exactly: those that either of two hash tables of counts lets through."""
-    out = np.zeros(len(flat), bool)
-    for shift in (0, bits):
-        tally = np.zeros((2, 1 << bits))
-        spot = lambda a: (flat[a : a + step] >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)  # noqa: B023, E731
-        for a in range(0, len(flat), step):
-            r = row[a : a + step]
-            for k in (0, 1):
-                tally[k] += np.bincount(spot(a)[pick[r] & (bad[r] == k)], minlength=1 << bits)
-        good = (tally[1] >= 4) & ((tally[1] + 0.1) / (tally[0] + 0.5) > 4 * base)
-        for a in range(0, len(flat), step):
-            out[a : a + step] |= good[spot(a)]
+def _chosen(docs: DataFrame, known: DataFrame, max_docs: int, max_bytes: int) -> list[tuple]:
+    """(doc_id, th, toxic) of the sample."""
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("size"))
+    rows = rows.join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(max_docs).collect()
+    out, held = [], 0
+    for r in rows:
+        if held + (r["size"] or 0) <= max_bytes:
+            held += r["size"] or 0
+            out.append((r["doc_id"], r["th"], r["toxic"]))
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_features: int = 2000, steps: int = 400) -> Model:
-    """Learn from at most ``max_docs`` labelled documents; docs and labels are those allowed for learning."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = docs.select("doc_id").distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
-    table = shared.arrow(rows, _sample_features, "doc_id long, toxic int, content long, features array<long>").toArrow()
-    if not table.num_rows or len(np.unique(np.asarray(table.column("toxic")))) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
-    doc, toxic, content = (np.asarray(table.column(c)) for c in ("doc_id", "toxic", "content"))
-    lists = table.column("features").combine_chunks()
-    del table
-    counts = np.asarray(lists.value_lengths())
-    flat = np.asarray(lists.flatten()).view(np.uint64)
-    # Choice of features, over different sentences.
-    _, one = np.unique(content * 2 + toxic, return_index=True)
-    pick = np.zeros(len(doc), bool)
-    pick[one] = True
-    base = (pick & (toxic == 1)).sum() / max(1, (pick & (toxic == 0)).sum())
-    row = np.repeat(np.arange(len(doc), dtype=np.int32), counts)
-    maybe = _promising(flat, row, pick, toxic == 1, base)
-    flat, row = flat[maybe], row[maybe]
-    use, bad = pick[row], toxic[row] == 1
-    names, code = np.unique(flat, return_inverse=True)
-    t = np.bincount(code[use & bad], minlength=len(names))
-    n = np.bincount(code[use & ~bad], minlength=len(names))
-    lift = (t + 0.1) / (n + 0.5) / base
-    strength = np.where((t >= 4) & (lift > 4), t * np.log(lift), 0)
-    best = np.argsort(-strength, kind="stable")[:max_features]
-    best = best[strength[best] > 0]
-    index = np.full(len(names), -1)
-    index[best] = np.arange(len(best))
-    # Noisy-or over the bags; sentences without a chosen feature share one logit.
-    hit = index[code] >= 0
-    row, column = row[hit], index[code][hit]
-    _, starts, bag = np.unique(doc, return_index=True, return_inverse=True)
-    y = toxic[starts].astype(float)
-    w, b = np.log(lift[best]), -6.0  # as if each feature alone told
-    m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
-    for step in range(1, steps + 1):
-        z = b + np.bincount(row, weights=w[column], minlength=len(doc))
-        total = np.bincount(bag, weights=np.logaddexp(0, z))
-        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), 1.0)
-        g = slope[bag] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(column, weights=g[row], minlength=len(best)) / len(y), g.sum() / len(y))
+@dataclass
+class Bags:
+    """Sentences of labelled documents by their chosen features.
+
+    ``row`` and ``column`` are the features of sentences that have any, ``bag`` the document
+    of each such sentence, ``plain`` the number of other sentences of each document.
+    """
+
+    row: np.ndarray
+    column: np.ndarray
+    bag: np.ndarray
+    plain: np.ndarray
+    y: np.ndarray
+
+
+@dataclass
+class Settings:
+    """How features are chosen and weights learned."""
+
+    least: int = 4
+    lift: float = 4.0
+    ridge: float = 0.0
+    told: float = 1.0  # share of the log lift that a weight starts with
+    steps: int = 400
+
+
+def learned(bags: Bags, start: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the noisy-or likelihood, by Adam."""
+    w, b = settings.told * start, -6.0
+    n = len(bags.y)
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for step in range(1, settings.steps + 1):
+        z = b + np.bincount(bags.row, weights=w[bags.column], minlength=len(bags.bag))
+        total = np.bincount(bags.bag, weights=np.logaddexp(0, z), minlength=n) + bags.plain * np.logaddexp(0, b)
+        slope = np.where(bags.y == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), 1.0)
+        g = slope[bags.bag] / (1 + np.exp(-z))
+        own = (slope * bags.plain).sum() / (1 + np.exp(-b))
+        grad = np.append(np.bincount(bags.column, weights=g[bags.row], minlength=len(w)) / n + settings.ridge * w, (g.sum() + own) / n)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)  # so that vanishing slopes don't move
         w, b = w - move[:-1], b - move[-1]
-    model = Model(names[best], w, float(b))
-    del flat, row, names, code, lists
-    shared.trim()
-    return model
+    return w, float(b)
+
+
+def _hits(names: np.ndarray):
+    """Places among sorted ``names`` of each sentence's chosen features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("features")
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            flat = np.asarray(lists.flatten()).view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+            hit = np.flatnonzero(names[place] == flat)
+            found = pa.ListArray.from_arrays(np.searchsorted(row[hit], np.arange(batch.num_rows + 1)).astype(np.int32), pa.array(place[hit].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("toxic"), found], names=["doc_id", "th", "toxic", "hits"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_bytes: int = 32 << 20, max_features: int = 2000, settings: Settings = Settings()) -> Model:  # noqa: B008
+    """Learn from a bounded sample of labelled documents; docs and labels are those allowed for learning."""
+    blank = Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    chosen = _chosen(docs, known, max_docs, max_bytes)
+    if len({t for _, _, t in chosen}) < 2:
+        return blank
+    spark = docs.sparkSession
+    keys = F.broadcast(spark.createDataFrame(chosen, "k long, kt long, toxic int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    rows = rows.join(keys, (F.col("doc_id") == F.col("k")) & (F.col("th") == F.col("kt"))).select("doc_id", "th", "toxic", "text").dropDuplicates(["doc_id", "th"])
+    table = shared.stored(shared.arrow(rows, _sample_features, "doc_id long, th long, toxic int, content long, features array<long>"), "sentences")
+    one = table.groupBy("content", "toxic").agg(F.first("features").alias("features"))
+    bad, good = (one.agg(F.count_if(F.col("toxic") == t)).first()[0] for t in (1, 0))
+    if not bad or not good:
+        return blank
+    counts = one.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")).filter(F.col("t") >= settings.least)
+    lift = (F.col("t") + 0.1) / (F.col("n") + 0.5) * F.lit(good / bad)
+    strong = counts.select("f", F.log(lift).alias("start"), (F.col("t") * F.log(lift)).alias("strength")).filter((F.col("strength") > 0) & (F.exp("start") > settings.lift))
+    best = strong.orderBy(F.desc(F.round("strength", 9)), "f").limit(max_features).collect()
+    if not best:
+        return blank
+    names, start = np.array([r["f"] for r in best], np.int64).view(np.uint64), np.array([r["start"] for r in best])
+    order = np.argsort(names)
+    names, start = names[order], start[order]
+    hits = shared.arrow(table.select("doc_id", "th", "toxic", "features"), _hits(names), "doc_id long, th long, toxic int, hits array<int>")
+    per = hits.groupBy("doc_id", "th").agg(F.first("toxic").alias("toxic"), F.count_if(F.size("hits") == 0).alias("plain"), F.collect_list(F.when(F.size("hits") > 0, F.col("hits"))).alias("found"))
+    per = sorted(per.collect(), key=lambda r: (r["doc_id"], r["th"]))
+    lists = [(k, h) for k, r in enumerate(per) for h in sorted(r["found"])]
+    bags = Bags(
+        np.repeat(np.arange(len(lists)), [len(h) for _, h in lists]), np.array([f for _, h in lists for f in h], np.int64), np.array([k for k, _ in lists], np.int64),
+        np.array([r["plain"] for r in per], float), np.array([r["toxic"] for r in per], float),
+    )
+    return Model(names, *learned(bags, start, settings))
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, choices: list[Settings]) -> list[tuple[Settings, float, float]]:
+    """(settings, log loss, accuracy) over the folds 1 to 4, each scored by a model of the other three."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    out = []
+    for settings in choices:
+        loss = right = n = 0.0
+        for k in range(1, 5):
+            inner = (fold > 0) & (fold != k)
+            model = fit(docs.filter(inner), labels.filter(inner), settings=settings)
+            scores = score(docs.filter(fold == k).select("doc_id", "text"), model).join(labels.filter(fold == k).filter("toxic is not null").select("doc_id", "toxic"), "doc_id")
+            p = F.least(F.greatest(F.col("__score"), F.lit(1e-4)), F.lit(1 - 1e-4))
+            r = scores.agg(F.sum(-F.log(F.when(F.col("toxic") > 0, p).otherwise(1 - p))), F.count_if((F.col("__score") >= 0.5) == (F.col("toxic") > 0)), F.count("*")).first()
+            loss, right, n = loss + (r[0] or 0), right + r[1], n + r[2]
+        out.append((settings, loss / max(1, n), right / max(1, n)))
+    return out
 
 
 def _score(model: Model):

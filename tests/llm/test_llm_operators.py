@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestral.llm import bpe, decontam, licenses, pagediff, pll, simhash, substring, token_store, toxicity
 
@@ -75,6 +76,8 @@ def test_elias_fano(n, top):
     v = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
     ef = token_store.EliasFano.of(v)
     assert (ef.all() == v).all() and [ef.select(i) for i in range(n)] == v.tolist()
+    for a, b in np.sort(np.random.default_rng(1).integers(0, n + 1, (20, 2)), axis=1).tolist():
+        assert (ef.range(a, b) == v[a:b]).all()
     with pytest.raises(IndexError):
         ef.select(n)
 
@@ -83,6 +86,11 @@ def test_token_store_odd(spark, none, repeated, tmp_path):
     token_store.write(none, TOKENIZER, str(tmp_path / "n"))
     assert token_store.read(spark, str(tmp_path / "n")).isEmpty()
     token_store.write(repeated, TOKENIZER, str(tmp_path / "r"))
+    from tokenizers import Tokenizer
+
+    for block in spark.read.parquet(str(tmp_path / "r")).collect():
+        for k, i in enumerate(block["doc_ids"]):
+            assert token_store.document(block.asDict(), k).tolist() in ([2], *(Tokenizer.from_file(TOKENIZER).encode(t, add_special_tokens=False).ids + [2] for t in (PASSAGE, PASSAGE + " more"))), i
     got = token_store.read(spark, str(tmp_path / "r")).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, None, 1, 1, 1, 2] and sum(r["n_tokens"] for r in got[:-1]) == got[-1]["start"]
 
@@ -165,24 +173,93 @@ def test_bpe_odd(none, repeated):
 # op5
 
 
-def test_pseudo_likelihood(docs, rows, none, repeated):
-    params = pll.fit(docs)
-    got = {r["doc_id"]: r for r in pll.score(docs, params).collect()}
-    for i, text in rows:
-        assert got[i]["n_tokens"] == len(words(text))
-        if not words(text):
-            assert got[i]["log_prob"] == 0 and got[i]["perplexity"] is None
+def brute_score(texts, v, params):
+    """Log-probability word by word: the network by loops over symbols, words within clusters by counts over the corpus."""
+    from lodestral.llm import text as helpers
+
     p = pll.unpack(params)
+    hash_ = lambda w: int(helpers.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    corpus = [words(t) for t in texts]
+    count = defaultdict(int)
+    for w in (w for doc in corpus for w in doc):
+        count[w] += 1
+    single = {int(h): k for k, h in enumerate(v.single)}
+    symbol = {w: single.get(hash_(w), pll.SINGLE + (hash_(w) >> 40) % pll.CLUSTERS) for w in count}
+    out = []
+    for doc in corpus:
+        ids, total = [symbol[w] for w in doc], 0.0
+        for i, s in enumerate(ids):
+            near = [ids[i + d] if 0 <= i + d < len(ids) else pll.SYMBOLS for d in (-2, -1, 1, 2)]
+            x = np.concatenate([p["e"][k][a] for k, a in enumerate(near)]).astype(float)
+            h = np.tanh(x @ p["w"] + p["b"])
+            c = h @ p["c"] + p["cb"]
+            m = h @ p["m"][s // pll.MEMBERS] + p["mb"][s // pll.MEMBERS]
+            total += c[s // pll.MEMBERS] - np.log(np.exp(c).sum()) + m[s % pll.MEMBERS] - np.log(np.exp(m).sum())
+            if s >= pll.SINGLE:
+                others = {w: n - doc.count(w) for w, n in count.items() if symbol[w] == s}
+                total += np.log(others[doc[i]] + pll.ALPHA) - np.log(sum(n + pll.ALPHA for n in others.values()))
+        out.append(total)
+    return out
+
+
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """Few texts of many words, so that some are single, some in clusters."""
+    rng = np.random.default_rng(17)
+    texts = [" ".join(f"v{int(x * x * 1400)}" for x in rng.random(int(rng.integers(0, 90)))) for _ in range(60)] + [None, "", " ", "lone", "a b"]
+    return texts, spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, rid string")
+
+
+@pytest.mark.parametrize("known", [1 << 20, 600, 0])
+def test_pseudo_likelihood(scattered, known):
+    texts, docs = scattered
+    v = pll.vocabulary(docs, known)
+    assert len(v.single) == min(pll.SINGLE, len(v.words)) and len(v.words) <= known
+    symbols = pll.coded(docs, v)
+    params = pll.train(symbols, pll.pack(pll.start(pll.symbol_counts(v))), part=500)
+    got = {r["doc_id"]: r for r in pll.scored(symbols, v, params).collect()}
+    expected = brute_score(texts, v, params)
+    for i, t in enumerate(texts):
+        assert got[i]["n_tokens"] == len(words(t)) and abs(got[i]["log_prob"] - expected[i]) < 1e-3 * (1 + abs(expected[i]))
+        assert (got[i]["perplexity"] is None) == (not words(t))
+
+
+def test_pseudo_likelihood_stable(scattered, spark):
+    """Scores depend on the texts alone, not on input splits or shuffle partitions."""
+    _, docs = scattered
+    scores = []
+    for splits, shuffle in ((1, 3), (7, 11)):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle))
+        try:
+            scores.append({r["doc_id"]: round(r["log_prob"], 9) for r in pll.score(docs.repartition(splits), part=300).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert scores[0] == scores[1]
+
+
+def test_pseudo_likelihood_learns(spark):
+    """Words that follow from both neighbours become likelier than by their frequency."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'abc'[k % 3]}{x}" for k in range(60) for x in [int(rng.integers(0, 6))]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mean = lambda df: df.agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
+    plain = mean(pll.score(docs, rounds=0))
+    assert abs(plain + np.log(18)) < 0.05 and mean(pll.score(docs, part=3000)) > plain + 0.7
+
+
+def test_pseudo_likelihood_odd(none, repeated, docs):
+    assert pll.score(none).isEmpty()
+    got = pll.score(repeated).collect()
+    assert len(got) == 6 and len({round(r["log_prob"], 6) for r in got if r["doc_id"] == 1 and r["n_tokens"] == 60}) == 1
+    p = pll.start()
     import pyarrow as pa
 
-    ids, around, _ = pll.symbols(pa.array(["a b c d e", "f"]))
-    assert around[0].tolist() == [pll.SYMBOLS, pll.SYMBOLS, ids[1], ids[2]] and around[2].tolist() == [ids[0], ids[1], ids[3], ids[4]] and (around[5] == pll.SYMBOLS).all()
+    ids, around, _ = pll.windows(pa.array([np.array([1, 2, 3, 4, 5], "<u2").tobytes(), np.array([6], "<u2").tobytes(), b""], pa.binary()))
+    assert around[0].tolist() == [pll.SYMBOLS, pll.SYMBOLS, 2, 3] and around[2].tolist() == [1, 2, 4, 5] and (around[5] == pll.SYMBOLS).all()
     for c in range(2):  # probabilities of all symbols add up to one
         every = np.arange(pll.SYMBOLS, dtype=np.int32)
         assert abs(np.exp(pll.log_probabilities(p, every, np.repeat(around[c : c + 1], pll.SYMBOLS, axis=0))).sum() - 1) < 1e-3
-    first = pll.score(docs, pll.pack(pll.start())).agg({"log_prob": "sum"}).first()[0]
-    assert sum(r["log_prob"] for r in got.values()) > first
-    assert pll.fit(none) == pll.pack(pll.start()) and pll.score(none, params).isEmpty() and pll.score(repeated, params).count() == 6
 
 
 def test_pseudo_likelihood_gradient():

@@ -81,3 +81,13 @@ def test_slices():
     assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist() and len(parts) > 1
     data, offsets = text.strings(batch.column(0).slice(1, 3))
     assert bytes(data) == b"a" * 10 + b"b" * 50 and offsets.tolist() == [0, 10, 60, 60]
+
+
+def test_colliding_pieces(monkeypatch):
+    """Pieces of one hash are told apart by their bytes."""
+    real = text.word_hashes
+    monkeypatch.setattr(text, "word_hashes", lambda *a: real(*a) & np.uint64(3))
+    table = text.Pieces(lambda pieces: text.packed([list(p.encode()) for p in pieces]))
+    texts = ["ab cd ef gh ij kl", "ab", "xy zz", "", "ab cd"]
+    for _ in range(2):
+        assert table(texts) == [np.array(list(t.encode()), "<u4").tobytes() for t in texts]
