@@ -391,8 +391,8 @@ def _opened(data: bytes) -> tuple[Coded, int, list]:
     return _begin(bits, across, height, True), width, undo
 
 
-#: Images left of a batch that are read one after the other.
-FEW = 24
+#: Images left of a batch that are read one after the other: by then steps cost more than symbols.
+FEW = 160
 _PREFIX = np.arange(40)
 _EXTRA = np.where(_PREFIX < 4, 0, _PREFIX - 2 >> 1)
 _BASE = np.where(_PREFIX < 4, _PREFIX + 1, (2 + (_PREFIX & 1) << _EXTRA) + 1)
@@ -421,13 +421,12 @@ def _lockstep(images: list[Coded]) -> list[np.ndarray]:
     begin = np.cumsum([0, *(len(b) + 16 for b in blobs[:-1])])
     raw = b"".join(b + bytes(16) for b in blobs)
     windows = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)).copy()  # the 64 bits from each byte on
-    last = np.int64(len(windows) - 1)
     total = np.array([i.width * i.height for i in images])
     offset = np.cumsum(total) - total
     places, values, copies = [], [], []  # tokens of all images, by place among all pixels
 
     def fetch(p: np.ndarray) -> np.ndarray:
-        return windows[np.minimum(p >> 3, last)] >> (p & 7).view(np.uint64)
+        return windows[p >> 3] >> (p & 7).view(np.uint64)
 
     live = np.arange(len(images))
     at = 8 * begin + np.array([i.bits.position for i in images])
@@ -567,6 +566,8 @@ def _follow(image: Coded, at: int, done: int) -> tuple[list[int], list[int], lis
 
 def _resolve(out: np.ndarray, place: np.ndarray, length: np.ndarray, distance: np.ndarray) -> None:
     """Fill the copies: pointers to earlier pixels are doubled until all point at literals."""
+    order = np.argsort(place)
+    place, length, distance = place[order], length[order], distance[order]
     to = np.repeat((place - np.cumsum(length) + length).astype(np.int32), length) + np.arange(length.sum(), dtype=np.int32)
     pointer = np.arange(len(out), dtype=np.int32)
     pointer[to] = to - np.repeat(distance.astype(np.int32), length)
@@ -603,7 +604,7 @@ def decode(data: bytes) -> np.ndarray:
 
 
 #: Rows of one image, and bytes of payload that are written or read together.
-ROWS, TOGETHER = 8192, 4 << 20
+ROWS, TOGETHER = 8192, 8 << 20
 
 
 def write_payloads(payloads: list[bytes], unit: int = 576, rows: int = ROWS) -> list[bytes]:
@@ -671,7 +672,7 @@ def load(media: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text.slices(batches, "media"):
+        for batch in text.slices(batches, "media", TOGETHER):
             stored = batch.column("media").to_pylist()
             parts = [(k, f) for k, m in enumerate(stored) for f in files(m)]
             digests, sizes, tails, marks = [hashlib.sha256() for _ in stored], [0] * len(stored), [b""] * len(stored), [[] for _ in stored]

@@ -2,7 +2,7 @@
 
 Many images are written at once by array operations: their samples lie in one array,
 where sorting (four samples, place) gives each place the nearest earlier one of the same
-samples; runs of one distance are back-references.  Each image has prefix codes of its
+samples; runs of one distance, as far as they go on, are back-references.  Each image has prefix codes of its
 own, of at most ``LONGEST`` bits.  Up to 16 different samples become a palette, with
 several pixels in one; else green is subtracted, which leaves red and blue nothing.
 A predictor, colour transform or colour cache would only add to such images: text has no
@@ -21,6 +21,10 @@ SUBTRACT_GREEN, PALETTE = 2, 3
 GREEN, FAR = 280, 40
 #: Bits of a code; samples of a copy and how far it reaches; copies shorter than WORTH reach NEAR only.
 LONGEST, COPY, REACH, WORTH, NEAR = 12, 4096, (1 << 20) - 120, 6, 512
+#: Samples by which a copy is taken beyond its run.
+FURTHER = 8
+#: Copies that are looked through at a time.
+PIECE = 1 << 18
 
 _REVERSE = np.zeros(1 << LONGEST, np.uint32)
 for _bit in range(LONGEST):
@@ -42,34 +46,61 @@ def container(payload: bytes) -> bytes:
 
 
 def copies(samples: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy tokens over all images: place, length (1: a literal) and distance."""
+    """Greedy tokens over all images: place, length (1: a literal) and distance (0: a literal)."""
     n = len(samples)
-    step = np.ones(n, np.int32)
-    distance = np.zeros(n, np.int32)
+    place = np.arange(n, dtype=np.int32)
+    distance, step = np.zeros(n, np.int32), np.ones(n, np.int32)
     if n > 4:
-        place = np.arange(n - 3, dtype=np.uint64)
-        key = np.ndarray(n - 3, "<u4", samples.tobytes(), strides=(1,)).astype(np.uint64) << np.uint64(32) | place
-        key.sort()
-        place = key.astype(np.uint32).view(np.int32)
-        same = np.flatnonzero(key[1:] >> np.uint64(32) == key[:-1] >> np.uint64(32))
-        here, before = place[same + 1], place[same]
-        del key, place, same
-        image = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-        begin, end = first[:-1].astype(np.int32), first[1:].astype(np.int32)
-        own = image[here]
-        fits = (before >= begin[own]) & (here <= end[own] - 4) & (here - before <= REACH)
-        here = here[fits]
-        distance[here] = here - before[fits]
+        distance = _nearest(samples, first, place)
         last = np.flatnonzero(np.append(distance[1:] != distance[:-1], True)).astype(np.int32)  # the ends of runs of one distance
-        length = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(n, dtype=np.int32) + 4
+        reach = last + 4  # how far the samples of a run agree with those before: four of its last, and what follows
+        far = distance[last]
+        stop = np.repeat(first[1:].astype(np.int32), np.diff(np.searchsorted(last, first)))
+        open_ = np.flatnonzero(far)
+        for _ in range(FURTHER):
+            open_ = open_[reach[open_] < stop[open_]]
+            open_ = open_[samples[reach[open_]] == samples[reach[open_] - far[open_]]]
+            reach[open_] += 1
+        length = np.repeat(reach, np.diff(last, prepend=-1)) - place
         use = (distance > 0) & ((length >= WORTH) | (distance < NEAR))
-        step[use] = np.minimum(length[use], COPY)
-    skip, at, i = step.tolist(), [], 0
-    while i < n:
-        at.append(i)
-        i += skip[i]
-    at = np.array(at, np.int64)
-    return at, step[at].astype(np.int64), distance[at].astype(np.int64)
+        step = np.where(use, np.minimum(length, COPY), 1)
+    # Copies one after the other: the next one is the first that begins where the last has ended, or later.
+    use = step > 1
+    begins = np.flatnonzero(use)
+    after = np.append(0, np.cumsum(use, dtype=np.int32))[begins + step[begins]]
+    chosen, k = [], 0
+    for a in range(0, len(after), PIECE):
+        part = after[a : a + PIECE].tolist()
+        b = a + len(part)
+        while k < b:
+            chosen.append(k)
+            k = part[k - a]
+    begins = begins[np.array(chosen, np.int64)]
+    inside = np.zeros(n + 1, np.int8)
+    inside[begins + 1] += 1
+    inside[begins + step[begins]] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:n], dtype=np.int8) == 0)
+    copied = np.zeros(n, bool)
+    copied[begins] = True
+    copied = copied[at]
+    return at, np.where(copied, step[at], 1).astype(np.int64), np.where(copied, distance[at], 0).astype(np.int64)
+
+
+def _nearest(samples: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How far back the same four samples lie in the same image, 0 if they don't."""
+    n = len(samples)
+    key = np.ndarray(n - 3, "<u4", samples.tobytes(), strides=(1,)).astype(np.uint64) << np.uint64(32) | place[: n - 3].astype(np.uint64)
+    key.sort()
+    value, at = (key >> np.uint64(32)).astype(np.uint32), key.astype(np.uint32).view(np.int32)
+    del key
+    before = np.full(n, -1, np.int32)
+    before[at[1:]] = np.where(value[1:] == value[:-1], at[:-1], -1)
+    sizes = np.diff(first)
+    fits = (before >= np.repeat(first[:-1].astype(np.int32), sizes)) & (place <= np.repeat((first[1:] - 4).astype(np.int32), sizes))
+    distance = (place - before) * fits
+    if n > REACH:
+        distance[distance > REACH] = 0
+    return distance
 
 
 def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
