@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestral.plans import catalog
+from lodestral.plans import more as catalog
 
 
 @pytest.fixture(scope="module")
