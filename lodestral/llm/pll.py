@@ -306,7 +306,7 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("group")[0].as_py()], pa.int64()), pa.array([int(n.sum())], pa.int64()), *both], names=["part", "n", "params", "squares"])
 
 
-def train(symbols: DataFrame, params: bytes, rate: float = 0.1, part: int = PART, rounds: int = ROUNDS) -> bytes:
+def train(symbols: DataFrame, params: bytes, rate: float = 0.3, part: int = PART, rounds: int = ROUNDS) -> bytes:
     """Packed parameters learned from every token of a table of ``coded``."""
     total = symbols.agg(F.sum("n_tokens")).first()[0] or 0
     tasks = max(1, -(-total // (part * max(1, rounds))))
@@ -365,7 +365,7 @@ def scored(symbols: DataFrame, v: Vocabulary, params: bytes) -> DataFrame:
     return net.join(more, F.col("rid") == F.col("of"), "left").select("doc_id", "n_tokens", log_prob.alias("log_prob")).select("*", perplexity.alias("perplexity"))
 
 
-def score(docs: DataFrame, known: int = 1 << 20, rate: float = 0.1, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, known: int = 1 << 20, rate: float = 0.3, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of each whole text, by a model learned from all texts; ``rounds`` 0: word frequencies alone."""
     v = vocabulary(docs, known)
     symbols = coded(docs, v)

@@ -133,9 +133,9 @@ class Bags:
 class Settings:
     """How features are chosen and weights learned."""
 
-    least: int = 4
+    least: int = 8
     lift: float = 4.0
-    ridge: float = 0.0
+    ridge: float = 1e-4
     told: float = 1.0  # share of the log lift that a weight starts with
     steps: int = 400
 
