@@ -241,11 +241,11 @@ def test_pseudo_likelihood_stable(scattered, spark):
 def test_pseudo_likelihood_learns(spark):
     """Words that follow from both neighbours become likelier than by their frequency."""
     rng = np.random.default_rng(2)
-    texts = [" ".join(f"{'abc'[k % 3]}{x}" for k in range(60) for x in [int(rng.integers(0, 6))]) for _ in range(400)]
+    texts = [" ".join(f"{'abc'[k % 3]}{x}" for k in range(60) for x in [int(rng.integers(0, 6))]) for _ in range(4000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     mean = lambda df: df.agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
     plain = mean(pll.score(docs, rounds=0))
-    assert abs(plain + np.log(18)) < 0.05 and mean(pll.score(docs, part=3000)) > plain + 0.7
+    assert abs(plain + np.log(18)) < 0.05 and mean(pll.score(docs, part=30_000)) > plain + 0.9
 
 
 def test_pseudo_likelihood_odd(none, repeated, docs):
