@@ -95,8 +95,9 @@ def reuse_plan(chunks: DataFrame, index: DataFrame, by_text: bool = True) -> Dat
     return chunks.join(index.select(*keys, "vector").dropDuplicates(keys), keys, "left")
 
 
-def current_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ranked hits whose document is active, of the same source and hash; first per URL, ranked anew."""
+def current_hits(hits: DataFrame, documents: DataFrame, deep: int = 1000) -> DataFrame:
+    """Of the first ``deep`` ranked hits those whose document is active, of the same source and hash; first per URL, ranked anew."""
+    hits = hits.orderBy("rank").limit(deep)
     docs = documents.filter("status = 'active'").select(F.col("id").alias("document_id"), "source_id", "content_hash", "canonical_url")
     joined = hits.join(docs, ["document_id", "source_id", "content_hash"])
     first = joined.withColumn("nth", F.row_number().over(W.partitionBy("canonical_url").orderBy("rank"))).filter("nth = 1").drop("nth")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -161,6 +161,6 @@ def sync_report(documents: DataFrame, failures: DataFrame) -> tuple[DataFrame, i
     return sync.summary(documents, failures), int(not failures.isEmpty())
 
 
-def as_json(df: DataFrame) -> list[str]:
-    """JSON lines of a small result."""
-    return [r[0] for r in df.select(F.to_json(F.struct("*"))).collect()]
+def as_json(df: DataFrame) -> Iterator[str]:
+    """JSON lines of a result, partition by partition."""
+    return (r[0] for r in df.select(F.to_json(F.struct("*"))).toLocalIterator())

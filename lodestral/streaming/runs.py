@@ -16,20 +16,66 @@ def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-def upsert_batches(stream: DataFrame, target: str, checkpoint: str):
-    """Latest-version upsert of each micro-batch; a version folder per batch, so a repeated batch writes the same."""
+def _manifest(spark: SparkSession, target: str, batch_id: int) -> dict[int, int]:
+    """Version of each bucket after a batch; empty before the first."""
+    if batch_id < 0:
+        return {}
+    return dict(spark.read.schema("bucket int, version long").parquet(f"{target}/manifests/{batch_id}").collect())  # as many rows as buckets
+
+
+def _buckets(spark: SparkSession, target: str, versions: dict[int, int]) -> DataFrame:
+    paths = [f"{target}/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(store.DOCUMENT).parquet(*paths) if paths else spark.createDataFrame([], store.DOCUMENT)
+
+
+def upserted(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
+    """The snapshot after a batch of ``upsert_batches``."""
+    return _buckets(spark, target, _manifest(spark, target, batch_id))
+
+
+def upsert_batches(stream: DataFrame, target: str, checkpoint: str, buckets: int = 64, keep: int = 2):
+    """Latest-version upsert of each micro-batch, one row per canonical URL.
+
+    Documents lie in buckets by a hash of their canonical URL.  A batch writes the buckets
+    it touches as a new version and then a manifest, which tells the version of every
+    bucket; a batch that is repeated after a failure writes the same.  Versions that the
+    last ``keep`` manifests don't name are removed.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = store.read_snapshot(spark, f"{target}/version={batch_id - 1}") if batch_id else spark.createDataFrame([], store.DOCUMENT)
-        newest = W.partitionBy("canonical_url").orderBy(F.col("fetched_at").desc(), "url")
-        new = batch.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
-        snapshot, _ = store.upsert(old, new, batch.agg(F.max("fetched_at")).first()[0])
-        snapshot.write.mode("overwrite").partitionBy("status").parquet(f"{target}/version={batch_id}")
+        batch = batch.persist()  # read for its latest time, its buckets and its rows
+        try:
+            newest = W.partitionBy("canonical_url").orderBy(F.col("fetched_at").desc(), "url")
+            new = batch.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
+            bucket = F.pmod(F.xxhash64("canonical_url"), F.lit(buckets)).cast("int")
+            touched = {r[0] for r in new.select(bucket).distinct().collect()}  # as many as there are buckets
+            before = _manifest(spark, target, batch_id - 1)
+            if touched:
+                old = _buckets(spark, target, {b: v for b, v in before.items() if b in touched})
+                snapshot, _ = store.upsert(old, new, batch.agg(F.max("fetched_at")).first()[0])
+                snapshot.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={batch_id}")
+            after = before | {b: batch_id for b in touched}
+            spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifests/{batch_id}")
+            _clean(spark, target, batch_id, keep)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _clean(spark: SparkSession, target: str, batch_id: int, keep: int) -> None:
+    """Remove the manifest that has just become too old, and the buckets that only it names."""
+    gone = batch_id - keep
+    if gone < 0:
+        return
+    old, next_ = _manifest(spark, target, gone), _manifest(spark, target, gone + 1)
+    paths = [f"{target}/version={v}/bucket={b}" for b, v in old.items() if next_.get(b) != v]
+    for path in [*paths, f"{target}/manifests/{gone}"]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def span_windows(events: DataFrame, length: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Count and seconds by event type and tumbling window; later data than ``late`` is dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -47,7 +47,7 @@ def test_sync_index_search(spark, tmp_path):
         app.read_index(spark, str(tmp_path / "index"), "other", 16)
     assert app.sync_report(snapshot, failures)[1] == 1 and app.sync_report(snapshot, failures.limit(0))[1] == 0
     for mode in ("bm25", "vector", "hybrid"):
-        row = json.loads(app.as_json(app.search_corpus(index, snapshot, "vehicle", mode, 5, dimensions=16))[0])
+        row = json.loads(next(app.as_json(app.search_corpus(index, snapshot, "vehicle", mode, 5, dimensions=16))))
         assert row["title"] == "One" and row["metadata"]["corpus_search_mode"] == mode and len(row["metadata"]) == 7
     with pytest.raises(ValueError):
         app.search_corpus(index, snapshot, "x", "odd")

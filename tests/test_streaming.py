@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from lodestral.operators import store
 from lodestral.streaming import runs
 
 
@@ -28,5 +27,24 @@ def test_upsert_batches(spark, tmp_path):
     stream = runs.read_events(spark, str(tmp_path / "in"), rows.schema, 100)
     query = runs.upsert_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = store.read_snapshot(spark, str(tmp_path / "out/version=0"))
+    got = runs.upserted(spark, str(tmp_path / "out"), 0)
     assert sorted((r["canonical_url"][-1], r["text"]) for r in got.collect()) == [("0", "4"), ("1", "5"), ("2", "2"), ("3", "3")]
+
+
+def test_upsert_versions(spark, tmp_path):
+    """Four batches over few buckets give what one upsert after the other gives; old versions go."""
+    rows = spark.range(24).select(
+        F.lit(None).cast("string").alias("id"), F.lit("s").alias("source_id"), *(F.concat(F.lit("https://a.com/"), F.col("id") % 7).alias(c) for c in ("url", "canonical_url")), F.lit("active").alias("status"),
+        *(F.lit(None).cast("string").alias(c) for c in ("title", "media_type", "etag", "last_modified", "content_hash", "failure_reason")), F.col("id").cast("string").alias("text"), F.lit(None).cast("timestamp").alias("published_at"),
+        F.timestamp_seconds(F.col("id")).alias("fetched_at"),
+    )
+    parts = [rows.filter(F.col("text").cast("int").between(6 * i, 6 * i + 5)).coalesce(1) for i in range(4)]
+    for part in parts:
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runs.read_events(spark, str(tmp_path / "in"), rows.schema, 1)
+    runs.upsert_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), buckets=3).trigger(availableNow=True).start().awaitTermination()
+    got = {r["canonical_url"][-1]: (r["text"], r["created_at"].second) for r in runs.upserted(spark, str(tmp_path / "out"), 3).collect()}
+    assert {k: t for k, (t, _) in got.items()} == {str(i % 7): str(i) for i in range(24)} and max(s for _, s in got.values()) <= 11
+    assert sorted(p.name for p in (tmp_path / "out/manifests").iterdir()) == ["2", "3"]
+    named = {tuple(r) for k in (2, 3) for r in spark.read.parquet(str(tmp_path / f"out/manifests/{k}")).collect()}
+    assert {(int(b.name[7:]), int(b.parent.name[8:])) for b in (tmp_path / "out").glob("version=*/bucket=*")} == named
