@@ -17,7 +17,7 @@ most ``known`` of them, go to every task; those of the others are joined by word
 
 Training is data-parallel in NumPy and starts from the corpus' own word frequencies.  It
 runs in ``ROUNDS`` rounds, each over a part of the documents: partitions of about ``PART``
-tokens, dealt by a hash of the text and sorted, make one pass of Adagrad steps from the
+tokens, dealt by a hash of id and text and sorted, make one pass of Adagrad steps from the
 same start, and hand on parameters and accumulated gradients, which are averaged, weighted
 by tokens, in groups of ``FAN`` until one row is left.  The number of partitions follows
 from the number of tokens alone, so scores don't depend on cores or input splits.
@@ -312,8 +312,8 @@ def train(symbols: DataFrame, params: bytes, rate: float = 0.3, part: int = PART
     tasks = max(1, -(-total // (part * max(1, rounds))))
     squares = pack({k: np.full(s, 1e-8, np.float32) for k, s in SHAPES.items()})
     for k in range(rounds if total else 0):
-        own = symbols.filter((F.pmod("th", F.lit(rounds)) == k) & (F.col("n_tokens") > 0)).select("th", "doc_id", "symbols")
-        dealt = own.repartition(tasks, F.shiftright("th", 8)).sortWithinPartitions("th", "doc_id").select("symbols")
+        own = symbols.filter("n_tokens > 0").select("th", "doc_id", "symbols", F.xxhash64("th", "doc_id").alias("deal")).filter(F.pmod("deal", F.lit(rounds)) == k)
+        dealt = own.repartition(tasks, F.shiftright("deal", 8)).sortWithinPartitions("deal", "th", "doc_id").select("symbols")
         rows = shared.stored(shared.arrow(dealt, _train(params, squares, rate), _STATE), "parameters")
         top = rows.agg(F.max("part")).first()[0]
         if top is None:

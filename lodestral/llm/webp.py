@@ -637,8 +637,12 @@ def payload_of(pixels: np.ndarray) -> bytes:
 
 def features(pixels: np.ndarray) -> str:
     """Size, mean of the grey samples (hundredths) and a 64-bit average hash of 64 cells in a row."""
-    height, width = pixels.shape
-    flat = pixels.astype(np.uint8).ravel()
+    return _feature(pixels.astype(np.uint8))
+
+
+def _feature(samples: np.ndarray) -> str:
+    height, width = samples.shape
+    flat = samples.ravel()
     cells = np.add.reduceat(flat, np.arange(64) * len(flat) // 64, dtype=np.int64)
     total = int(cells.sum()) if len(flat) >= 64 else int(flat.sum(dtype=np.int64))
     return f"{width}x{height}|{total * 100 // len(flat)}|{np.packbits(cells * 64 > total).tobytes().hex()}"
@@ -678,11 +682,12 @@ def load(media: DataFrame) -> DataFrame:
             digests, sizes, tails, marks = [hashlib.sha256() for _ in stored], [0] * len(stored), [b""] * len(stored), [[] for _ in stored]
             for group in _groups(parts, [file_pixels(f) for _, f in parts]):
                 for (k, _), image in zip(group, decode_many([f for _, f in group])):
-                    payload = payload_of(image)
+                    samples = image.astype(np.uint8)
+                    payload = samples.tobytes()
                     digests[k].update(payload)
                     sizes[k] += len(payload)
                     tails[k] = (tails[k] + payload[-32:])[-32:]
-                    marks[k].append(features(image))
+                    marks[k].append(_feature(samples))
             columns = [
                 pa.array(sizes, pa.int64()),
                 pa.array([d.hexdigest() for d in digests]),

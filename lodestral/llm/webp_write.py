@@ -19,8 +19,8 @@ import numpy as np
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 SUBTRACT_GREEN, PALETTE = 2, 3
 GREEN, FAR = 280, 40
-#: Bits of a code; samples of a copy and how far it reaches; copies shorter than WORTH reach NEAR only.
-LONGEST, COPY, REACH, WORTH, NEAR = 12, 4096, (1 << 20) - 120, 6, 512
+#: Bits of a code; samples of a copy and how far it reaches.
+LONGEST, COPY, REACH = 12, 4096, (1 << 20) - 120
 #: Samples by which a copy is taken beyond its run.
 FURTHER = 8
 #: Copies that are looked through at a time.
@@ -62,8 +62,7 @@ def copies(samples: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
             open_ = open_[samples[reach[open_]] == samples[reach[open_] - far[open_]]]
             reach[open_] += 1
         length = np.repeat(reach, np.diff(last, prepend=-1)) - place
-        use = (distance > 0) & ((length >= WORTH) | (distance < NEAR))
-        step = np.where(use, np.minimum(length, COPY), 1)
+        step = np.where(distance > 0, np.minimum(length, COPY), 1)
     # Copies one after the other: the next one is the first that begins where the last has ended, or later.
     use = step > 1
     begins = np.flatnonzero(use)
