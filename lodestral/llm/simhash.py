@@ -518,6 +518,28 @@ def _verified(pairs: DataFrame, known: DataFrame, classes: DataFrame, size: int,
     return shared.stored(shared.arrow(both.select("a", "b", "p", "q"), _alike(alike), "a long, b long"), "slice-links")
 
 
+#: Classes of one task where those under a key are compared.
+ROOM = 1024
+
+
+def _seated(rooms: DataFrame, room: int) -> DataFrame:
+    """(room, node, root): those under a key in blocks of about ``room``, so that any two of different roots share one.
+
+    Where one root has all but ``room`` of a key's classes, these are dealt out and the
+    others sit in every block; else each block holds two of the parts of the key.
+    """
+    by_root = rooms.groupBy("key", "root").agg(F.count("*").alias("n"))
+    large = by_root.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", "n").alias("top")).filter(F.col("all") > room)
+    cell = lambda n: F.pmod(F.xxhash64("node"), n)
+    parts, grid = F.ceil(F.col("most") / room), F.ceil(F.col("all") / room)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pairs = F.transform(every(grid), lambda c: F.least(c, cell(grid)) * grid + F.greatest(c, cell(grid)))
+    few = F.col("all") - F.col("most") <= room
+    blocks = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).when(few & (F.col("root") == F.col("top")), F.array(cell(parts))).when(few, every(parts)).otherwise(pairs)
+    seated = rooms.join(large, F.col("key") == F.col("k"), "left").select("key", "node", "root", F.explode(blocks).alias("block"))
+    return seated.select(F.xxhash64("key", "block").alias("key"), "node", "root")
+
+
 #: Classes beyond which a slice's keys are longer, at three times as many of them.
 MANY = 1 << 22
 
@@ -527,7 +549,7 @@ def _keyed(docs: DataFrame) -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")]
 
 
-def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int = 2, share: float = 0.15, alike: float = 0.8, many: int = MANY) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int = 2, share: float = 0.15, alike: float = 0.8, many: int = MANY, room: int = ROOM) -> DataFrame:
     """(doc_id, th, component_id, first), a row for each row of docs: near copies form a component.
 
     ``th`` is the XXH64 of the text: rows equal in both are copies of one document, rows
@@ -542,7 +564,7 @@ def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int =
     all classes meet under the keys of 24 MinHash bands of four rows; where those under a
     key aren't all in one component, their shingles meet in one task, which decides the
     pairs that share a rare shingle, as all pairs similar by ``alike`` do (keys of the same
-    classes once).  Two texts agree in a row with the chance of their similarity, however
+    classes once; a key of more than ``room`` classes is split over several tasks).  Two texts agree in a row with the chance of their similarity, however
     their differences lie: at 0.8 no band meets with a chance of 0.59 ** 24, 3 in a million.
     Texts with the same set of shingles are one class, named by 128 bits; so are texts
     without words, null among them.  An empty table gives no rows.
@@ -563,7 +585,7 @@ def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int =
     open_ = keys.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), *members).filter("least <> most").groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key")).select("key")
     rooms = shared.stored(keys.join(open_, "key", "left_semi"), "rooms")
     sets = _shingles_of(rooms.select("node").distinct(), known, classes, size, "room-shingles")
-    met = rooms.join(sets, "node").select("key", "node", "root", "shingles").repartition(shared.partitions(spark), "key")
+    met = _seated(rooms, room).join(sets, "node").select("key", "node", "root", "shingles").repartition(shared.partitions(spark), "key")
     links = links.union(shared.stored(shared.arrow(met, _rooms(alike), "a long, b long").distinct(), "room-links"))
     named = classes.join(components(links), "node", "left").select("node", "check", "least", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("least").alias("of"))

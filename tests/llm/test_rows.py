@@ -81,6 +81,42 @@ def test_longer_keys(spark, many):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i - i % 2 for i in range(120)}
 
 
+@pytest.mark.parametrize("room", [1, 5, 40])
+def test_split_rooms(spark, room):
+    """Keys of many classes, with and without one large component, are split without losing a pair."""
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [f"t{x}" for x in rng.integers(0, 1 << 30, n)]
+    base, rows = fresh(100), []
+    for k in range(40):  # one large component, others beside it that share most of its shingles
+        w = list(base)
+        for at in rng.integers(0, 100, 1 + (k % 8)):
+            w[at] = f"x{k}"
+        rows.append(" ".join(w))
+    for k in range(30):
+        rows.append(" ".join(base[:70] + fresh(30)))
+    rows = [(i, i, t) for i, t in enumerate(rows)]
+    got = simhash.near_copies(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"), room=room)
+    kept = {r["component_id"] for r in got.collect()}
+    assert kept == {i for i, _, _ in brute_distinct(rows)}
+
+
+def test_seats(spark):
+    """Any two classes of different roots under a key share a block."""
+    rooms = [(1, k, 0 if k < 30 else k) for k in range(36)] + [(2, 100 + k, k % 9) for k in range(40)] + [(3, 300 + k, k) for k in range(4)]
+    seated = simhash._seated(spark.createDataFrame(rooms, "key long, node long, root long"), 8).collect()
+    blocks = {}
+    for r in seated:
+        blocks.setdefault(r["node"], set()).add(r["key"])
+    for a, i, p in rooms:
+        for b, j, q in rooms:
+            if a == b and p != q:
+                assert blocks[i] & blocks[j]
+    sizes = {}
+    for r in seated:
+        sizes[r["key"]] = sizes.get(r["key"], 0) + 1
+    assert max(sizes.values()) <= 30 and sum(len(b) for i, b in blocks.items() if i < 30) == 30
+
+
 def test_layouts():
     """Some key of two numbers agrees whenever they differ in two bits at most."""
     rng = np.random.default_rng(2)
