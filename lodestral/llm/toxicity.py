@@ -135,7 +135,7 @@ class Settings:
 
     least: int = 8
     lift: float = 4.0
-    ridge: float = 1e-4
+    ridge: float = 0.0
     told: float = 1.0  # share of the log lift that a weight starts with
     steps: int = 400
 
