@@ -498,7 +498,7 @@ def _lockstep(images: list[Coded]) -> list[np.ndarray]:
     out[np.concatenate(places)] = np.concatenate(values)
     del places, values
     if copies:
-        _resolve(out, *(np.concatenate([c[k] for c in copies]) for k in range(3)))
+        _resolve(out, np.append(offset, len(out)), *(np.concatenate([c[k] for c in copies]) for k in range(3)))
     return [out[a : a + n] for a, n in zip(offset.tolist(), total.tolist())]
 
 
@@ -564,22 +564,26 @@ def _follow(image: Coded, at: int, done: int) -> tuple[list[int], list[int], lis
     return places, values, copies
 
 
-def _resolve(out: np.ndarray, place: np.ndarray, length: np.ndarray, distance: np.ndarray) -> None:
-    """Fill the copies: pointers to earlier pixels are doubled until all point at literals."""
+def _resolve(out: np.ndarray, first: np.ndarray, place: np.ndarray, length: np.ndarray, distance: np.ndarray) -> None:
+    """Fill the copies of some images: pointers to earlier pixels are doubled until all point at literals."""
     order = np.argsort(place)
-    place, length, distance = place[order], length[order], distance[order]
-    to = np.repeat((place - np.cumsum(length) + length).astype(np.int32), length) + np.arange(length.sum(), dtype=np.int32)
-    pointer = np.arange(len(out), dtype=np.int32)
-    pointer[to] = to - np.repeat(distance.astype(np.int32), length)
-    copied = np.zeros(len(out), bool)
-    copied[to] = True
-    open_ = to
-    while len(open_):
-        next_ = pointer[open_]
-        more = copied[next_]
-        open_ = open_[more]
-        pointer[open_] = pointer[next_[more]]
-    out[to] = out[pointer[to]]
+    place, length, distance = place[order], length[order], distance[order].astype(np.int32)
+    for a, b in webp_write.blocks(first):
+        begin, end = int(first[a]), int(first[b])
+        own = slice(*np.searchsorted(place, (begin, end)))
+        n, pixels = length[own], out[begin:end]
+        to = np.repeat((place[own] - begin - np.cumsum(n) + n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+        pointer = np.arange(end - begin, dtype=np.int32)
+        pointer[to] = to - np.repeat(distance[own], n)
+        copied = np.zeros(end - begin, bool)
+        copied[to] = True
+        open_ = to
+        while len(open_):
+            next_ = pointer[open_]
+            more = copied[next_]
+            open_ = open_[more]
+            pointer[open_] = pointer[next_[more]]
+        pixels[to] = pixels[pointer[to]]
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:

@@ -23,8 +23,8 @@ GREEN, FAR = 280, 40
 LONGEST, COPY, REACH = 12, 4096, (1 << 20) - 120
 #: Samples by which a copy is taken beyond its run.
 FURTHER = 8
-#: Copies that are looked through at a time.
-PIECE = 1 << 18
+#: Copies that are looked through, and samples that are worked on, at a time.
+PIECE, BLOCK = 1 << 18, 1 << 17
 
 _REVERSE = np.zeros(1 << LONGEST, np.uint32)
 for _bit in range(LONGEST):
@@ -45,6 +45,13 @@ def container(payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
 
 
+def blocks(first: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbouring images of about ``BLOCK`` samples together, so that arrays over them stay in a cache."""
+    cuts = np.flatnonzero(np.diff(first[:-1] // BLOCK)) + 1
+    edges = [0, *cuts.tolist(), len(first) - 1]
+    return list(zip(edges, edges[1:]))
+
+
 def copies(samples: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy tokens over all images: place, length (1: a literal) and distance (0: a literal)."""
     n = len(samples)
@@ -277,7 +284,11 @@ def write(payloads: list[bytes], unit: int = 576) -> list[bytes]:
     prepared = [_prepared(p, unit) for p in payloads]
     first = np.cumsum([0, *(len(s) for s, _ in prepared)])
     samples = np.concatenate([s for s, _ in prepared])
-    at, length, distance = copies(samples, first)
+    tokens = []
+    for a, b in blocks(first):
+        at, length, distance = copies(samples[first[a] : first[b]], first[a : b + 1] - first[a])
+        tokens.append((at + first[a], length, distance))
+    at, length, distance = (np.concatenate([t[k] for t in tokens]) for k in range(3))
     image = np.searchsorted(first, at, side="right") - 1
     n = len(prepared)
     symbol = samples[at].astype(np.int64)
