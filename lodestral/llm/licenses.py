@@ -155,7 +155,8 @@ def oracle() -> str:
 WITH t AS (SELECT template, regexp_extract_all({low.format('text')}, {word}) AS w FROM (VALUES {rows}) AS v(template, text)),
 ts AS (SELECT template, len(w) AS n, CASE WHEN len(w) >= {LONG} THEN len(w) // 2 ELSE greatest(1, len(w) // 4) END AS step, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM t),
 classes AS (SELECT DISTINCT n, step FROM ts),
-d AS (SELECT doc_id, regexp_extract_all({low.format('text')}, {word}) AS w FROM documents),
+d AS (SELECT * FROM (SELECT doc_id, regexp_extract_all({low.format('text')}, {word}) AS w FROM documents)
+  WHERE len(list_intersect([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)], (SELECT flatten(list(s)) FROM ts))) > 0),
 win AS (SELECT doc_id, n, k * step AS start, w[k * step + 1:k * step + n + CASE WHEN n >= {LONG} THEN 2 ELSE 1 END * step] AS v FROM (SELECT doc_id, w, n, step, unnest(range(0, len(w) // step + 1)) AS k FROM d, classes WHERE len(w) >= 5)),
 sh AS (SELECT doc_id, n, start, [array_to_string(v[i:i + 4], ' ') FOR i IN range(1, len(v) - 3)] AS s FROM win WHERE len(v) >= 5),
 m AS (SELECT DISTINCT doc_id, template, start FROM sh JOIN ts USING (n) WHERE len(list_intersect(ts.s, list_distinct(sh.s))) >= 0.8 * len(ts.s)),
