@@ -158,8 +158,8 @@ def learned(bags: Bags, start: np.ndarray, settings: Settings) -> tuple[np.ndarr
     return w, float(b)
 
 
-def _hits(names: np.ndarray):
-    """Places among sorted ``names`` of each sentence's chosen features."""
+def _hits(names: np.ndarray, kept: list[str]):
+    """Places among sorted ``names`` of each sentence's features, beside the columns ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +170,40 @@ def _hits(names: np.ndarray):
             place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
             hit = np.flatnonzero(names[place] == flat)
             found = pa.ListArray.from_arrays(np.searchsorted(row[hit], np.arange(batch.num_rows + 1)).astype(np.int32), pa.array(place[hit].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("toxic"), found], names=["doc_id", "th", "toxic", "hits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], names=[*kept, "hits"])
 
     return run
 
 
+def _strongest(table: DataFrame, settings: Settings, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, sorted; their log lifts): the strongest by counts over different sentences.
+
+    Features of toxic sentences are counted first; of the other sentences only features
+    that enough toxic ones have are counted at all.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    bad = shared.stored(table.filter("toxic = 1").groupBy("content").agg(F.first("features").alias("features")), "toxic-sentences")
+    often = bad.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("t")).filter(F.col("t") >= settings.least).toArrow()
+    if not often.num_rows:
+        return none
+    names, t = (np.asarray(often.column(c).combine_chunks()) for c in ("f", "t"))
+    order = np.argsort(names.view(np.uint64))
+    names, t = names.view(np.uint64)[order], t[order]
+    good = shared.arrow(table.filter("toxic = 0").select("content", "features"), _hits(names, ["content"]), "content long, hits array<int>")
+    good = shared.stored(good.groupBy("content").agg(F.first("hits").alias("hits")), "other-sentences")
+    n = np.zeros(len(names))
+    for place, count in good.select(F.explode("hits").alias("k")).groupBy("k").count().collect():  # at most one row a name
+        n[place] = count
+    sentences_of = bad.count(), good.count()
+    if not all(sentences_of):
+        return none
+    lift = (t + 0.1) / (n + 0.5) * sentences_of[1] / sentences_of[0]
+    strength = np.where(lift > max(1.0, settings.lift), t * np.log(lift), 0)
+    best = np.lexsort((names, -np.round(strength, 9)))[:most]
+    best = np.sort(best[strength[best] > 0])
+    return names[best], np.log(lift[best])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_bytes: int = 32 << 20, max_features: int = 2000, settings: Settings = Settings()) -> Model:  # noqa: B008
     """Learn from a bounded sample of labelled documents; docs and labels are those allowed for learning."""
     blank = Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
@@ -187,20 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_bytes: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = rows.join(keys, (F.col("doc_id") == F.col("k")) & (F.col("th") == F.col("kt"))).select("doc_id", "th", "toxic", "text").dropDuplicates(["doc_id", "th"])
     table = shared.stored(shared.arrow(rows, _sample_features, "doc_id long, th long, toxic int, content long, features array<long>"), "sentences")
-    one = table.groupBy("content", "toxic").agg(F.first("features").alias("features"))
-    bad, good = (one.agg(F.count_if(F.col("toxic") == t)).first()[0] for t in (1, 0))
-    if not bad or not good:
-        return blank
-    counts = one.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")).filter(F.col("t") >= settings.least)
-    lift = (F.col("t") + 0.1) / (F.col("n") + 0.5) * F.lit(good / bad)
-    strong = counts.select("f", F.log(lift).alias("start"), (F.col("t") * F.log(lift)).alias("strength")).filter((F.col("strength") > 0) & (F.exp("start") > settings.lift))
-    best = strong.orderBy(F.desc(F.round("strength", 9)), "f").limit(max_features).collect()
-    if not best:
+    names, start = _strongest(table, settings, max_features)
+    if not len(names):
         return blank
-    names, start = np.array([r["f"] for r in best], np.int64).view(np.uint64), np.array([r["start"] for r in best])
-    order = np.argsort(names)
-    names, start = names[order], start[order]
-    hits = shared.arrow(table.select("doc_id", "th", "toxic", "features"), _hits(names), "doc_id long, th long, toxic int, hits array<int>")
+    bag = ["doc_id", "th", "toxic"]
+    hits = shared.arrow(table.select(*bag, "features"), _hits(names, bag), "doc_id long, th long, toxic int, hits array<int>")
     per = hits.groupBy("doc_id", "th").agg(F.first("toxic").alias("toxic"), F.count_if(F.size("hits") == 0).alias("plain"), F.collect_list(F.when(F.size("hits") > 0, F.col("hits"))).alias("found"))
     per = sorted(per.collect(), key=lambda r: (r["doc_id"], r["th"]))
     lists = [(k, h) for k, r in enumerate(per) for h in sorted(r["found"])]
