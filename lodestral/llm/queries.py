@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestral.llm import alignment, bpe, decontam, licenses, pagediff, pll, shared, simhash, substring, token_store, toxicity, webp
+from lodestral.llm import alignment, bpe, decontam, licenses, pagediff, pll, shared, simhash, substring, suffix_dedup, token_store, toxicity, webp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
@@ -104,5 +109,5 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """.replace("\\\\", "\\")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op5_pseudo_likelihood": op5_pseudo_likelihood, "op6_simhash": op6_simhash, "op7_pages": op7_pages, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment}
+QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op5_pseudo_likelihood": op5_pseudo_likelihood, "op6_simhash": op6_simhash, "op7_pages": op7_pages, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment, "op12_suffix_array": op12_suffix_array}
 ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op7_pages": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_licenses": licenses.oracle()}
