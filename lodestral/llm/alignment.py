@@ -27,7 +27,6 @@ read, so no other column can clash.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -40,6 +39,8 @@ from lodestral.llm.token_store import Encoder
 
 _LABELS = np.frombuffer(b".ab|", np.uint8)
 _GROUP = re.compile(rb"[^|]*\|")
+#: Links of a group whose pairs are counted rather than listed.
+LARGE = 1024
 
 
 def _byte_of() -> dict[str, int]:
@@ -49,20 +50,33 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def groups(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, size: int) -> Iterator[tuple[int, list[int], list[int]]]:
-    """(last byte, ids of A, ids of B) of each group of a run of ``size`` bytes; ends are exclusive."""
+def groups(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End, number of A tokens and number of B tokens of each group of ``size`` bytes; ends are exclusive."""
     labels = np.zeros(size, np.uint8)
     labels[a_ends - 1] |= 1
     labels[b_ends - 1] |= 2
-    raw, a, b, i, j = _LABELS[labels].tobytes(), a.tolist(), b.tolist(), 0, 0
-    for m in _GROUP.finditer(raw):
-        if (n := m.end() - m.start()) == 1:
-            x, y = i + 1, j + 1
-        else:
-            span = m.group()
-            x, y = i + span.count(b"a") + 1, j + span.count(b"b") + 1
-        yield m.end() - 1, a[i:x], b[j:y]
-        i, j = x, y
+    spans = _GROUP.findall(_LABELS[labels].tobytes())
+    ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
+    if not len(ends):
+        return ends, ends, ends
+    starts = np.append(0, ends[:-1])
+    return ends, *(np.add.reduceat(labels >> k & 1, starts, dtype=np.int64) for k in (0, 1))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a << 32 | b), how often each is linked, and the group of each; of large groups each pair comes once."""
+    first_a, first_b, links = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b, n_a * n_b
+    small = np.flatnonzero(links <= LARGE)
+    group = np.repeat(small, links[small])
+    k = np.arange(len(group)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
+    pairs = a[first_a[group] + k // n_b[group]] << 32 | b[first_b[group] + k % n_b[group]]
+    parts = [(pairs, np.ones(len(pairs), np.int64), group)]
+    for g in np.flatnonzero(links > LARGE):
+        (x, p), (y, q) = (np.unique(i[f[g] : f[g] + n[g]], return_counts=True) for i, f, n in ((a, first_a, n_a), (b, first_b, n_b)))
+        parts.append(((x[:, None] << 32 | y).ravel(), (p[:, None] * q).ravel(), np.full(len(x) * len(y), g)))
+    pairs, weights, group = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(group, kind="stable")
+    return pairs[order], weights[order], group[order]
 
 
 class _Found:
@@ -70,42 +84,32 @@ class _Found:
 
     def __init__(self, aligner: Aligner, strings: list[bytes], a: list[list[int]], b: list[list[int]]):
         n = len(strings)
-        flat_a, of_a = text.packed(a)
-        flat_b, of_b = text.packed(b)
-        size = np.fromiter(map(len, strings), np.int64, n)
-        length_a, length_b = aligner.length_a[flat_a], aligner.length_b[flat_b]
-        unit = np.arange(n)
-        owner_a, owner_b = np.repeat(unit, of_a), np.repeat(unit, of_b)
-        same = (np.bincount(owner_a, length_a, n) == size) & (np.bincount(owner_b, length_b, n) == size)
-        raw_a, raw_b = aligner.bytes_a, aligner.bytes_b
-        self.good = np.array([bool(ok) and s == b"".join([raw_a[i] for i in x]) == b"".join([raw_b[i] for i in y]) for ok, s, x, y in zip(same, strings, a, b)], bool)
-        self.n_a, self.n_b = np.where(self.good, of_a, 0), np.where(self.good, of_b, 0)
-        self.n_groups, self.n_links = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.lines, self.pairs, self.weights, self.of = [[] for _ in range(n)], [], [], []
-        keep_a, keep_b = self.good[owner_a], self.good[owner_b]
-        ends = np.cumsum(np.where(self.good, size, 0))
-        k = 0
-        bounds = ends.tolist()
-        for last, x, y in groups(flat_a[keep_a], np.cumsum(length_a[keep_a]), flat_b[keep_b], np.cumsum(length_b[keep_b]), int(ends[-1]) if n else 0):
-            while last >= bounds[k]:
-                k += 1
-            self.lines[k].append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            self.n_groups[k] += 1
-            self.n_links[k] += len(x) * len(y)
-            if len(x) * len(y) <= 16:
-                self.pairs += [i << 32 | j for i in x for j in y]
-                more = len(x) * len(y)
-                self.weights += [1] * more
-            else:
-                left, right = Counter(x), Counter(y)
-                self.pairs += [i << 32 | j for i in left for j in right]
-                self.weights += [p * q for p in left.values() for q in right.values()]
-                more = len(left) * len(right)
-            self.of += [k] * more
-        self.of_pairs = np.bincount(np.array(self.of, np.int64), minlength=n)
-        self.pairs, self.weights = np.array(self.pairs, np.int64), np.array(self.weights, np.int64)
+        sides = [text.packed(a), text.packed(b)]
+        size, raw = np.fromiter(map(len, strings), np.int64, n), b"".join(strings)
+        lengths = [table[flat] for table, (flat, _) in zip((aligner.length_a, aligner.length_b), sides)]
+        owners = [np.repeat(np.arange(n), of) for _, of in sides]
+        self.good = np.all([np.bincount(o, w, n) == size for o, w in zip(owners, lengths)], axis=0)
+        tables = aligner.bytes_a, aligner.bytes_b
+        if not self.good.all() or any(b"".join([t[i] for i in flat.tolist()]) != raw for t, (flat, _) in zip(tables, sides)):
+            self.good = np.array([all(b"".join([t[i] for i in x]) == s for t, x in zip(tables, ids)) for s, ids in zip(strings, zip(a, b))], bool)
+        (flat_a, ends_a), (flat_b, ends_b) = ((flat[self.good[o]].astype(np.int64), np.cumsum(w[self.good[o]])) for (flat, _), o, w in zip(sides, owners, lengths))
+        bounds = np.cumsum(np.where(self.good, size, 0))
+        ends, n_a, n_b = groups(ends_a, ends_b, int(bounds[-1]) if n else 0)
+        unit = np.searchsorted(bounds, ends)
+        self.n_a, self.n_b, self.n_groups, self.n_links = (np.bincount(unit, w, n).astype(np.int64) for w in (n_a, n_b, None, n_a * n_b))
+        self.pairs, self.weights, of = _pairs(flat_a, flat_b, n_a, n_b)
+        self.of_pairs = np.bincount(unit[of], minlength=n)
+        # Each group's ids of A and then those of B, and what stands behind each id.
+        written, last_a, last_b = np.zeros(len(flat_a) + len(flat_b), np.int64), np.cumsum(n_a) - 1, np.cumsum(n_b) - 1
+        place_a = np.arange(len(flat_a)) + np.repeat(last_b + 1 - n_b, n_a)
+        place_b = np.arange(len(flat_b)) + np.repeat(last_a + 1, n_b)
+        written[place_a], written[place_b] = flat_a * 3, flat_b * 3
+        written[place_a[last_a]] += 1
+        written[place_b[last_b]] += 2
+        per_unit = np.cumsum(self.n_a + self.n_b).tolist()
+        names = [aligner.names[i] for i in written.tolist()]
         #: Each group is followed by a semicolon.
-        self.lines = ["".join(f"{g};" for g in line).encode() for line in self.lines]
+        self.lines = ["".join(names[x:y]).encode() for x, y in zip([0, *per_unit], per_unit)]
 
 
 class _Units:
@@ -161,6 +165,7 @@ class Aligner:
             piece = b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else b"" if b.is_control(i) or b.is_unknown(i) else piece.replace("▁", " ").encode())
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.names = [f"{i}{end}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for end in ",|;"]
         self.apart = not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
         self.young, self.old = _Units(), _Units()
 
