@@ -47,7 +47,9 @@ SINGLE = SYMBOLS // 2
 CLUSTERS = SYMBOLS - SINGLE
 ALPHA = 0.5
 WIDTH, HIDDEN = 8, 16
-STEP = 8192
+STEP, SCORE = 8192, 1 << 14
+#: Logarithms of rare words are summed as whole numbers of this fraction, so that no order changes the sum.
+UNIT = 1 << 32
 ROUNDS, PART, FAN = 4, 1 << 21, 32
 #: Shapes of the parameters: embeddings (with padding), hidden layer, class and member layers.
 SHAPES = {"e": (4, SYMBOLS + 1, WIDTH), "w": (4 * WIDTH, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "m": (CLASSES, HIDDEN, MEMBERS), "mb": (CLASSES, MEMBERS)}
@@ -233,15 +235,43 @@ def _forward(p, ids, around):
     return order, bounds, ctx, x, h, pc, _softmax(pm)
 
 
+def _weighted(bias: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """bias + weights.T @ x, columns of x by themselves: sums run in a fixed order, whatever the number of columns."""
+    out = np.repeat(bias[:, None], x.shape[1], axis=1)
+    for row, part in zip(weights, x):
+        out += row[:, None] * part
+    return out
+
+
+def _log_of(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-softmax of each column at the chosen row."""
+    logits -= np.maximum.reduce(logits, axis=0)
+    powers = np.exp(logits)
+    total = powers[0].copy()
+    for row in powers[1:]:
+        total += row
+    return logits[chosen, np.arange(len(chosen))] - np.log(total)
+
+
 def log_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Of each token, by steps that treat every token alone: what else is scored with it doesn't change a bit."""
     out = np.empty(len(ids))
-    for a in range(0, len(ids), STEP):
-        part = ids[a : a + STEP]
-        order, _, _, _, _, pc, pm = _forward(p, part, around[a : a + STEP])
-        row = np.arange(len(part))
-        s = part[order]
-        found = np.log(np.maximum(pc[row, s // MEMBERS], 1e-30)) + np.log(np.maximum(pm[row, s % MEMBERS], 1e-30))
-        out[a : a + STEP][order] = found
+    near = [p["e"][k] @ p["w"][k * WIDTH : (k + 1) * WIDTH] for k in range(4)]
+    for a in range(0, len(ids), SCORE):
+        part, ctx = ids[a : a + SCORE], around[a : a + SCORE]
+        order = np.argsort(part // MEMBERS, kind="stable")
+        s, ctx = part[order], ctx[order]
+        bounds = np.searchsorted(s // MEMBERS, np.arange(CLASSES + 1))
+        z = p["b"] + near[0][ctx[:, 0]]
+        for k in (1, 2, 3):
+            z += near[k][ctx[:, k]]
+        h = np.ascontiguousarray(np.tanh(z).T)
+        found = _log_of(_weighted(p["cb"], p["c"], h), s // MEMBERS).astype(float)
+        for c in range(CLASSES):
+            x, y = bounds[c], bounds[c + 1]
+            if y > x:
+                found[x:y] += _log_of(_weighted(p["mb"][c], p["m"][c], np.ascontiguousarray(h[:, x:y])), s[x:y] % MEMBERS)
+        out[a : a + SCORE][order] = found
     return out
 
 
@@ -341,8 +371,10 @@ def _log_net(params: bytes, names: list[str]):
         p = unpack(params)
         for batch in text.slices(batches, "symbols"):
             ids, around, first = windows(batch.column("symbols"))
-            total = np.concatenate(([0.0], np.cumsum(log_probabilities(p, ids, around))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total[first[1:]] - total[first[:-1]])], names=[*names, "net"])
+            net, full = np.zeros(batch.num_rows), np.flatnonzero(np.diff(first))
+            if len(full):  # each text is summed by itself
+                net[full] = np.add.reduceat(log_probabilities(p, ids, around), first[full])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(net)], names=[*names, "net"])
 
     return run
 
@@ -351,8 +383,8 @@ def rare_part(symbols: DataFrame, v: Vocabulary) -> DataFrame:
     """(rid, value): log numerators of the rare words of each text, from the vocabulary joined by word."""
     pairs = F.arrays_zip("rare", "own")
     asked = symbols.filter(F.size("rare") > 0).select("rid", F.explode(pairs).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.own").alias("own"))
-    value = F.col("own") * F.log(F.col("n") - F.col("own") + F.lit(ALPHA))
-    return asked.join(v.rare, "h").groupBy("rid").agg(F.sum(value).alias("value"))
+    value = F.col("own") * F.round(F.log(F.col("n") - F.col("own") + F.lit(ALPHA)) * UNIT).cast("long")
+    return asked.join(v.rare, "h").groupBy("rid").agg((F.sum(value) / UNIT).alias("value"))
 
 
 def scored(symbols: DataFrame, v: Vocabulary, params: bytes) -> DataFrame:

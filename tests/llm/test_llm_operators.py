@@ -501,3 +501,13 @@ def test_lcs():
     for _ in range(200):
         a, b = (list(rng.choice(list("abcd"), rng.integers(0, 12))) for _ in range(2))
         assert len(pagediff.shared_lines(a, b)) == brute_lcs(a, b)
+
+
+def test_pseudo_likelihood_bits(scattered, spark):
+    """Copies of a text score alike to the last bit, whatever else is in their batches."""
+    texts, docs = scattered
+    again = docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text", "rid").repartition(9)
+    scores = {}
+    for r in pll.score(docs.union(again).repartition(5), known=20, part=300).collect():
+        scores.setdefault(r["doc_id"] % 100_000, set()).add(r["log_prob"])
+    assert len(scores) == docs.count() and all(len(x) == 1 for x in scores.values())
