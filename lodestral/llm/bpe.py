@@ -7,7 +7,7 @@ leftmost pair of least rank.  A merge updates three leaves in logarithmic time.
 
 Defined cases: a null text is empty and has no ids; texts are encoded whole, special
 tokens' strings are ordinary text; rows are independent, so repeated rows, ties, null
-ids and extra columns change nothing.
+ids and extra columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ class Codec:
             found = merge(piece.encode(), self.ranks)
             ids = pack(f"<{len(found)}I", *found)
             if len(piece) <= 64:
-                if len(self.known) >= 250_000:
+                if len(self.known) >= 1 << 16:
                     self.known.clear()
                 self.known[piece] = ids
         return ids
@@ -167,3 +167,15 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([codec.decode(x or b"") for x in ids.to_pylist()], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return shared.arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded): ``encode`` and ``decode`` in one pass, by one worker with one set of tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.load(ranks, pattern)
+        for batch in text.slices(batches):
+            ids = codec.encode(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return shared.arrow(docs.select("doc_id", "text"), run, "doc_id long, ids binary, decoded binary")

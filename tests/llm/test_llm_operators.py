@@ -511,3 +511,11 @@ def test_pseudo_likelihood_bits(scattered, spark):
     for r in pll.score(docs.union(again).repartition(5), known=20, part=300).collect():
         scores.setdefault(r["doc_id"] % 100_000, set()).add(r["log_prob"])
     assert len(scores) == docs.count() and all(len(x) == 1 for x in scores.values())
+
+
+def test_bpe_round_trip(docs, none):
+    """One pass gives what encoding and then decoding gives."""
+    ranks, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    rows = lambda df: sorted((r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["ids"]), bytes(r["decoded"])) for r in df.collect())
+    assert rows(bpe.round_trip(docs, ranks, pattern)) == rows(bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern))
+    assert bpe.round_trip(none, ranks, pattern).collect() == []
