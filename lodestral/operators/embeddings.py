@@ -27,17 +27,30 @@ def hashing_embedder(dimensions: int = 64) -> Callable[[list[str]], list[list[fl
     return embed
 
 
-def embed(text: Column, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = 10) -> Column:
-    """Vectors of a text column, ``batch`` texts a call; a wrong vector raises."""
+def in_order(answer: list, n: int) -> list[list[float]]:
+    """Vectors of ``n`` texts; items that carry an ``index`` are put in its order, which must have no gap."""
+    if answer and all(isinstance(item, dict) for item in answer):
+        answer = sorted(answer, key=lambda item: item["index"])
+        if [item["index"] for item in answer] != list(range(n)):
+            raise ValueError("indices of the answer differ from those of the texts")
+        return [item["embedding"] for item in answer]
+    if len(answer) != n:
+        raise ValueError("embedding count differs from text count")
+    return answer
+
+
+def embed(text: Column, embedder: Callable[[list[str]], list], dimensions: int, batch: int = 10) -> Column:
+    """Vectors of a text column, ``batch`` texts a call; a wrong vector raises.
+
+    An embedder gives vectors in the texts' order, or {"index", "embedding"} items in any.
+    """
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts, out = part.tolist(), []
             for a in range(0, len(texts), batch):
-                made = embedder(texts[a : a + batch])
-                if len(made) != len(texts[a : a + batch]):
-                    raise ValueError("embedding count differs from text count")
+                made = in_order(embedder(texts[a : a + batch]), len(texts[a : a + batch]))
                 for v in made:
                     if len(v) != dimensions or not np.isfinite(v).all() or not np.any(v):
                         raise ValueError("invalid embedding")

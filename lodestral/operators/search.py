@@ -77,10 +77,9 @@ def vector(chunks: DataFrame, query: list[float], limit: int, key: str = "vec_id
     return _top(chunks.select(key, cosine(F.col(column), q).alias("score")), key, limit)
 
 
-def rrf(legs: list[DataFrame], limit: int, key: str = "doc_id", k: int = RRF_K, deep: int = 1000) -> DataFrame:
-    """Sum of 1 / (k + rank) over the first ``deep`` of each ranked leg (key, score)."""
-    legs = [leg.orderBy(F.desc("score"), key).limit(deep) for leg in legs]
-    ranked = [leg.select(key, F.row_number().over(W.orderBy(F.desc("score"), key)).alias("rank")) for leg in legs]  # as long as a leg's depth
+def rrf(legs: list[DataFrame], limit: int, key: str = "doc_id", k: int = RRF_K) -> DataFrame:
+    """Sum of 1 / (k + rank) over ranked legs (key, score), each of them a top-k list."""
+    ranked = [leg.select(key, F.row_number().over(W.orderBy(F.desc("score"), key)).alias("rank")) for leg in legs]  # a top-k list
     fused = reduce(DataFrame.unionByName, ranked).groupBy(key).agg(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias("s"))
     return _top(fused.select(key, F.col("s").alias("score")), key, limit)
 
@@ -95,9 +94,8 @@ def reuse_plan(chunks: DataFrame, index: DataFrame, by_text: bool = True) -> Dat
     return chunks.join(index.select(*keys, "vector").dropDuplicates(keys), keys, "left")
 
 
-def current_hits(hits: DataFrame, documents: DataFrame, deep: int = 1000) -> DataFrame:
-    """Of the first ``deep`` ranked hits those whose document is active, of the same source and hash; first per URL, ranked anew."""
-    hits = hits.orderBy("rank").limit(deep)
+def current_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of a top-k list of ranked hits those whose document is active, of the same source and hash; first per URL, ranked anew."""
     docs = documents.filter("status = 'active'").select(F.col("id").alias("document_id"), "source_id", "content_hash", "canonical_url")
     joined = hits.join(docs, ["document_id", "source_id", "content_hash"])
     first = joined.withColumn("nth", F.row_number().over(W.partitionBy("canonical_url").orderBy("rank"))).filter("nth = 1").drop("nth")

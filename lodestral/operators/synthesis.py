@@ -6,6 +6,7 @@ import csv
 import io
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestral.functions.values import citations, preview
@@ -27,38 +28,57 @@ def resolve_citations(answers: DataFrame, groups: DataFrame) -> DataFrame:
     return mentioned.join(groups.select("run_id", "position", "document_id"), ["run_id", "position"])
 
 
+#: Keys of the JSON object that an answer of each kind consists of; no others may be there.
+SHAPES = {"item": {"value"}, "set": {"items"}, "list": {"items"}, "table": {"columns", "rows"}}
+
+
+def _cell(value) -> str:
+    """A scalar as text: strings trimmed and not blank, numbers and truth values as Python writes them."""
+    if isinstance(value, str) and (value := value.strip()) or isinstance(value, bool | int | float):
+        return str(value)
+    raise ValueError(f"not a scalar: {value!r}")
+
+
+def _list(value) -> list:
+    if not isinstance(value, list) or not value:
+        raise ValueError("not a list of one or more")
+    return value
+
+
 def tsv(kind: str, payload: str) -> str:
-    """A fenced block for an answer of kind item, set, list or table; ValueError if it doesn't fit."""
+    """A fenced block for an answer of kind item, set, list or table; ValueError if it doesn't fit.
+
+    An item is one scalar, a set or list one or more of them (a set keeps the first of equal
+    texts).  A table has columns with different names and rows as wide as these, whose
+    cells may be null.
+    """
     data = json.loads(payload)
+    if not isinstance(data, dict) or data.keys() != SHAPES[kind]:
+        raise ValueError(f"not the keys of {kind}")
     if kind == "table":
-        columns, rows = data["columns"], data["rows"]
-        if not columns or any(not str(c).strip() for c in columns) or len(set(columns)) != len(columns) or any(len(r) != len(columns) for r in rows):
-            raise ValueError("bad table")
+        names = [_cell(c) if isinstance(c, str) else _cell(None) for c in _list(data["columns"])]
+        lines = [["" if c is None else _cell(c) for c in _row] if isinstance(_row, list) else _list(None) for _row in _list(data["rows"])]
+        if len(set(names)) < len(names) or {len(line) for line in lines} != {len(names)}:
+            raise ValueError("columns repeat or rows differ in width")
     else:
-        items = data["items"] if isinstance(data, dict) else data
-        if kind == "item" and len(items) != 1:
-            raise ValueError("an item answer has one value")
-        if kind == "set":
-            first: dict = {}
-            for i in items:
-                first.setdefault("" if i is None else str(i), i)
-            items = list(first.values())
-        columns, rows = ["Value" if kind == "item" else "Item"], [[i] for i in items]
+        cells = [_cell(data["value"])] if kind == "item" else [_cell(i) for i in _list(data["items"])]
+        names, lines = ["Value" if kind == "item" else "Item"], [[c] for c in (dict.fromkeys(cells) if kind == "set" else cells)]
     out = io.StringIO()
-    writer = csv.writer(out, delimiter="\t", lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
-    writer.writerow(columns)
-    writer.writerows([["" if c is None else c for c in r] for r in rows])
+    csv.writer(out, delimiter="\t", lineterminator="\n").writerows([names, *lines])
     return f"```tsv\n{out.getvalue()}```"
 
 
 def render(answers: DataFrame) -> DataFrame:
-    """Adds ``block`` and ``error`` to (kind, payload)."""
-
-    @F.udf("struct<block:string,error:string>", useArrow=True)
-    def make(kind: str, payload: str):
-        try:
-            return {"block": tsv(kind, payload), "error": None}
-        except (ValueError, KeyError, TypeError) as e:
-            return {"block": None, "error": str(e)}
+    """Adds ``block`` and ``error`` to (kind, payload); an answer that doesn't fit its kind has an error."""
+
+    @F.pandas_udf("block string, error string")
+    def make(kind: pd.Series, payload: pd.Series) -> pd.DataFrame:
+        def one(k: str | None, p: str | None) -> tuple[str | None, str | None]:
+            try:
+                return tsv(k, p), None
+            except (ValueError, KeyError, TypeError, RecursionError):
+                return None, "invalid answer"
+
+        return pd.DataFrame([one(k, p) for k, p in zip(kind, payload)], columns=["block", "error"], dtype=object)
 
     return answers.withColumn("r", make("kind", "payload")).select(*answers.columns, "r.block", "r.error")

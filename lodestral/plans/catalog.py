@@ -611,10 +611,41 @@ def page_decisions(spark, d):
     return sync.decide_pages(pages).select("page_id", "case", "action")
 
 
-@query("SELECT doc_id, '```tsv' || chr(10) || 'Item' || chr(10) || lang || chr(10) || source || chr(10) || '```' AS block FROM documents")
+_TSV = "'```tsv' || chr(10) || {} || chr(10) || '```'"
+_QUOTED = "CASE WHEN regexp_matches({0}, '[\t\n\r\"]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+_TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 12 >= 8 OR doc_id % 12 < 4 AND {_TRIMMED} = '' THEN NULL
+WHEN doc_id % 4 = 0 THEN {_TSV.format("'Value' || chr(10) || " + _QUOTED.format(_TRIMMED))}
+WHEN doc_id % 4 = 1 THEN {_TSV.format("'Item' || chr(10) || " + _QUOTED.format(_TRIMMED) + " || chr(10) || '7' || chr(10) || 'True' || CASE WHEN source <> " + _TRIMMED + " THEN chr(10) || source ELSE '' END")}
+WHEN doc_id % 4 = 2 THEN {_TSV.format("'Item' || chr(10) || source || chr(10) || source || chr(10) || doc_id")}
+ELSE {_TSV.format("'a' || chr(9) || 'b' || chr(10) || lang || chr(9) || chr(10) || doc_id || chr(9) || 'False'")} END AS block,
+CASE WHEN doc_id % 12 >= 8 OR doc_id % 12 < 4 AND {_TRIMMED} = '' THEN 'invalid answer' END AS error
+FROM (SELECT doc_id, coalesce(lang, 'x') AS lang, source, CASE WHEN doc_id % 4 > 1 THEN 'x' ELSE coalesce(text, '') END AS text FROM documents)""")
 def tsv_render(spark, d):
-    payload = F.to_json(F.struct(F.array("lang", "source", "lang").alias("items")))
-    return synthesis.render(_t(spark, d, "documents").select("doc_id", F.lit("set").alias("kind"), payload.alias("payload"))).select("doc_id", "block")
+    """Answers of all four kinds from whole texts; the last third breaks one rule of its kind each."""
+    i, text, lang = F.col("doc_id"), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("x"))
+    say = lambda s: F.to_json(F.struct(s.alias("s"))).substr(F.lit(6), F.length(F.to_json(F.struct(s.alias("s")))) - 6)  # a JSON string
+    joined = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    good = (
+        joined('{"value": ', say(text), "}"),
+        joined('{"items": [', say(text), ", 7, true, ", say(F.col("source")), ", 7]}"),
+        joined('{"items": [', say(F.col("source")), ", ", say(F.col("source")), ", ", i.cast("string"), "]}"),
+        joined('{"columns": [" a", "b"], "rows": [[', say(lang), ", null], [", i.cast("string"), ", false]]}"),
+    )
+    bad = (
+        ('{"value": null}', '{"value": "x", "more": 1}', '["x"]', '{"value": " "}'),
+        ('{"items": []}', '{"items": "abc"}', '["a"]', '{"items": ["a", " "]}'),
+        ('{"items": [null]}', '{"items": [["a"]]}', "no json", '{"value": "a"}'),
+        ('{"columns": ["a", "a "], "rows": [[1, 2]]}', '{"columns": ["a"], "rows": [[1, 2]]}', '{"columns": ["a"], "rows": []}', '{"columns": ["a"], "rows": [[""]]}'),
+    )
+    of = lambda choices, k: F.element_at(F.array(*(c if not isinstance(c, str) else F.lit(c) for c in choices)), (k + 1).cast("int"))
+    wrong = of([of(b, F.floor(i / 12) % 4) for b in bad], i % 4)
+    payload = F.when(i % 12 >= 8, wrong).otherwise(of(good, i % 4))
+    kind = of(("item", "set", "list", "table"), i % 4)
+    return synthesis.render(_t(spark, d, "documents").select("doc_id", kind.alias("kind"), payload.alias("payload"))).select("doc_id", "block", "error")
 
 
 # ---------------------------------------------------------------- streams

@@ -335,10 +335,11 @@ def local_search(spark, d):
     return hits.select(F.col("rank").cast("long").alias("rank"), "title", "url", F.sha2("snippet", 256).alias("snippet_hash"), F.col("metadata")["corpus_search_mode"].alias("mode"), F.col("metadata")["corpus_chunk_id"].alias("chunk"))
 
 
-def _sizes(texts: list[str]) -> list[list[float]]:
-    """Vectors by rule, ten texts a call at most."""
+def _sizes(texts: list[str]) -> list[dict]:
+    """Vectors by rule, ten texts a call at most, in an order of their own."""
     assert len(texts) <= 10
-    return [[float(len(t)), float(len(t.split(" "))), 1.0] for t in texts]
+    items = [{"index": k, "embedding": [float(len(t)), float(len(t.split(" "))), 1.0]} for k, t in enumerate(texts)]
+    return sorted(items, key=lambda item: item["embedding"])
 
 
 @query("SELECT item_id, length(text)::DOUBLE AS a, len(string_split(text, ' '))::DOUBLE AS b, 1.0::DOUBLE AS c FROM benchmark")

@@ -151,13 +151,32 @@ def test_curation_errors(spark):
     assert {(r["document_id"], r["error"]) for r in research.curation_errors(requests, docs, most).collect()} == {("c", "illegal transition"), (None, "too many active documents")}
 
 
-def test_tsv():
-    assert synthesis.tsv("set", '["a", "b", "a", null]') == "```tsv\nItem\na\nb\n\"\"\n```"
-    assert synthesis.tsv("item", '["x\\ty"]') == '```tsv\nValue\n"x\ty"\n```'
-    assert synthesis.tsv("table", '{"columns": ["a", "b"], "rows": [[1, null]]}') == "```tsv\na\tb\n1\t\n```"
-    for bad in (("item", "[1, 2]"), ("table", '{"columns": ["a", "a"], "rows": []}'), ("table", '{"columns": ["a"], "rows": [[1, 2]]}')):
+def test_tsv(spark):
+    assert synthesis.tsv("item", '{"value": " x "}') == "```tsv\nValue\nx\n```"
+    assert synthesis.tsv("item", '{"value": 1.5}') == "```tsv\nValue\n1.5\n```"
+    assert synthesis.tsv("set", '{"items": ["a", 1, "a", "1", true]}') == "```tsv\nItem\na\n1\nTrue\n```"
+    assert synthesis.tsv("list", '{"items": ["a\\tb", "a\\tb", "say \\"x\\""]}') == '```tsv\nItem\n"a\tb"\n"a\tb"\n"say ""x"""\n```'
+    assert synthesis.tsv("table", '{"columns": ["a", " b "], "rows": [[1, null]]}') == "```tsv\na\tb\n1\t\n```"
+    bad = {
+        "item": ("[1]", "{}", '{"value": null}', '{"value": [1]}', '{"value": " "}', '{"value": 1, "x": 2}', '{"items": [1]}', "1", "no"),
+        "set": ('["a"]', '{"items": []}', '{"items": "abc"}', '{"items": [null]}', '{"items": [""]}', '{"items": [{}]}', '{"value": 1}'),
+        "table": ('{"columns": [], "rows": [[]]}', '{"columns": ["a"], "rows": []}', '{"columns": ["a", "a "], "rows": [[1, 2]]}', '{"columns": ["a"], "rows": [[1, 2]]}', '{"columns": [" "], "rows": [[1]]}', '{"columns": [1], "rows": [[1]]}', '{"columns": ["a"], "rows": [[""]]}', '{"columns": ["a"], "rows": [1]}'),
+    }
+    rows = [(k, p) for k, v in bad.items() for p in v] + [("list", p) for p in bad["set"]] + [("odd", "{}"), ("item", None), (None, "{}")]
+    for kind, payload in rows[:-3]:
         with pytest.raises(ValueError):
-            synthesis.tsv(*bad)
+            synthesis.tsv(kind, payload)
+    got = synthesis.render(spark.createDataFrame([*rows, ("item", '{"value": false}')], "kind string, payload string")).collect()
+    assert [r["error"] for r in got] == ["invalid answer"] * len(rows) + [None] and got[-1]["block"] == "```tsv\nValue\nFalse\n```"
+
+
+def test_embeddings_in_order():
+    items = [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]
+    assert embeddings.in_order(items, 2) == [[1.0], [2.0]] and embeddings.in_order([[3.0]], 1) == [[3.0]]
+    for bad, n in ((items, 3), ([items[0]], 1), ([items[0], items[0]], 2), ([[1.0]], 2)):
+        with pytest.raises(ValueError):
+            embeddings.in_order(bad, n)
+
 
 
 def test_balanced_sample_short(spark):
