@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestral.functions import urls
+from lodestral.functions.session import checkpoint
 
 
 def filter_results(results: DataFrame, max_results: int = 10, ignored: Iterable[str] = urls.TRACKING_KEYS, require_title: bool = True, require_url: bool = True) -> DataFrame:
@@ -82,6 +83,65 @@ def fetch_budget(outcomes: DataFrame, limit: int) -> DataFrame:
     return outcomes.withColumn("used", before).filter(F.col("used") < limit).drop("used")
 
 
+def next_wave(left: DataFrame, known: DataFrame, used: DataFrame, limit: int) -> DataFrame:
+    """Of candidates (run_id, ord, normalized_url) those that a run has to look at next; adds ``document`` (null: to fetch).
+
+    ``known`` (run_id, normalized_url, document) are the run's documents and ``used`` (run_id,
+    used) how many of them are new.  A run fetches as many as it still needs, in order; known
+    ones in between cost nothing.
+    """
+    joined = left.join(known.select("run_id", "normalized_url", "document"), ["run_id", "normalized_url"], "left").join(used, "run_id", "left")
+    ahead = F.coalesce(F.sum(F.col("document").isNull().cast("int")).over(W.partitionBy("run_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return joined.withColumn("ahead", ahead).filter(F.col("ahead") < F.lit(limit) - F.coalesce("used", F.lit(0))).drop("ahead", "used")
+
+
+def fetch_in_waves(candidates: DataFrame, known: DataFrame, limit: int, get: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Outcomes of candidates (run_id, ord, url, normalized_url) until each run has ``limit`` new documents.
+
+    ``get`` fetches rows (run_id, ord, url) and gives (run_id, ord, final_url, text, origin,
+    reason, attempts), reason null for a document.  Documents join the run's index by their
+    own normalised URL, so what redirects to a known page, or has the URL of one found
+    before it, is that document and not a new one.  Between two waves only the number of
+    runs that go on reaches the driver; a run takes ``limit`` waves at least and as many as it
+    has candidates at most.
+
+    Outcomes: run_id, ord, url, document (normalised URL), is_new, origin, reason, attempts
+    (0: no request was needed), text.
+    """
+    known = checkpoint(known.select("run_id", "normalized_url", F.col("normalized_url").alias("document")))
+    left, done = checkpoint(candidates.select("run_id", "ord", "url", "normalized_url")), None
+    used = left.select("run_id", F.lit(0).cast("long").alias("used")).limit(0)
+    while True:
+        wave = checkpoint(next_wave(left, known, used, limit))
+        if wave.isEmpty():
+            break
+        got = checkpoint(get(wave.filter("document is null").select("run_id", "ord", "url")))
+        answers = wave.filter("document is null").select("run_id", "ord", "url", "normalized_url").join(got, ["run_id", "ord"])
+        target = urls.normalize(F.coalesce("final_url", "url"), urls.TRACKING_KEYS)
+        answers = answers.withColumn("target", F.when(F.col("reason").isNull(), target))
+        # Of a wave's documents with one URL the first counts; a later candidate of that URL needs no request.
+        found = answers.filter("target is not null").groupBy("run_id", F.col("target").alias("normalized_url")).agg(F.min("ord").alias("first"))
+        fresh = found.join(known.select("run_id", "normalized_url"), ["run_id", "normalized_url"], "left_anti")
+        met = answers.join(fresh.select("run_id", "normalized_url", F.col("first").alias("met")), ["run_id", "normalized_url"], "left")
+        before = F.coalesce(F.col("met") < F.col("ord"), F.lit(False))
+        own = met.join(fresh.select(F.col("run_id").alias("r"), F.col("normalized_url").alias("t"), "first"), (F.col("run_id") == F.col("r")) & (F.col("target") == F.col("t")), "left")
+        none = F.lit(None).cast("string")
+        fetched = own.select(
+            "run_id", "ord", "url", F.when(before, F.col("normalized_url")).otherwise(F.col("target")).alias("document"), (~before & F.coalesce(F.col("first") == F.col("ord"), F.lit(False))).alias("is_new"),
+            F.when(before, "known").otherwise(F.col("origin")).alias("origin"), F.when(~before, F.col("reason")).alias("reason"), F.when(before, 0).otherwise(F.col("attempts")).alias("attempts"), F.when(~before, F.col("text")).alias("text"),
+        )
+        hits = wave.filter("document is not null").select("run_id", "ord", "url", "document", F.lit(False).alias("is_new"), F.lit("known").alias("origin"), none.alias("reason"), F.lit(0).alias("attempts"), none.alias("text"))
+        made = checkpoint(fetched.unionByName(hits))
+        done = made if done is None else checkpoint(done.unionByName(made))
+        known = checkpoint(known.unionByName(made.filter("is_new").select("run_id", F.col("document").alias("normalized_url"), "document")))
+        used = done.groupBy("run_id").agg(F.sum(F.col("is_new").cast("long")).alias("used"))
+        left = checkpoint(left.join(wave.select("run_id", "ord"), ["run_id", "ord"], "left_anti"))
+    return done if done is not None else candidates.sparkSession.createDataFrame([], f"run_id {candidates.schema['run_id'].dataType.simpleString()}, {OUTCOME}")
+
+
+OUTCOME = "ord long, url string, document string, is_new boolean, origin string, reason string, attempts int, text string"
+
+
 def extend_index(index: DataFrame, new: DataFrame) -> DataFrame:
     """The run's URL index with new URLs (run_id, normalized_url, result_id); a known URL raises."""
     known = new.join(index, ["run_id", "normalized_url"], "left_semi").first()

@@ -112,33 +112,44 @@ def search_corpus(index: DataFrame, snapshot: DataFrame, query: str, mode: str =
     return current.join(docs, "document_id").select("rank", F.coalesce("title", "url").alias("title"), "url", F.col("text").alias("snippet"), "published_at", "metadata").orderBy("rank")
 
 
-def research_round(results: DataFrame, index: DataFrame, snapshot: DataFrame, client: Callable[[dict], dict], model: Callable[[list[str]], list[str]], max_results: int = 10, limit: int = 4, delay: float = 0.1) -> DataFrame:
-    """One research step for each request: (run_id, ord, url, origin, lifecycle, n_evidence, reason).
-
-    Results (request_id, ord, title, url) are filtered and merged with the run's URL index;
-    new ones come from the store where it holds them, else they are fetched and parsed.
-    Attempts count up to the one that gives the ``limit``-th document; each of these documents
-    goes to the model, whose evidence makes it active, or unusable without any.
+def documents_or_pages(snapshot: DataFrame, client: Callable[[dict], dict], delay: float = 0.1) -> Callable[[DataFrame], DataFrame]:
+    """``get`` of ``retrieval.fetch_in_waves``: active stored documents, else pages fetched and parsed; a URL is fetched once a wave."""
+
+    def get(asked: DataFrame) -> DataFrame:
+        hits, misses = fetch.documents_or_fetch(asked.withColumn("title", F.lit(None).cast("string")), snapshot)
+        none = misses.select("url", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("binary").alias("content")).limit(0)
+        answers = checkpoint(fetch.fetch(fetch.conditional_requests(misses, none), client, delay=delay))
+        parsed = html.parse_documents(answers.filter("status between 200 and 299").select("url", fetch.media_type(F.col("content_type")).alias("media_type"), F.coalesce("body", F.lit(b"")).alias("content")), "url")
+        failed = F.when(F.col("transport_error").isNotNull(), "transport").when(~F.col("status").between(200, 299), F.concat(F.lit("http_status "), F.col("status").cast("string")))
+        pages = misses.select("run_id", "ord", "url").join(answers.select("url", "final_url", failed.alias("failed"), F.col("attempt_count").alias("attempts")), "url").join(parsed.select("url", "text", "error"), "url", "left")
+        pages = pages.select("run_id", "ord", "final_url", "text", F.coalesce("failed", "error").alias("reason"), "attempts").withColumn("origin", F.when(F.col("reason").isNull(), "web"))
+        stored = hits.select("run_id", "ord", F.col("url").alias("final_url"), "text", F.lit(None).cast("string").alias("reason"), F.lit(1).alias("attempts"), F.lit("stored").alias("origin"))
+        return pages.unionByName(stored)
+
+    return get
+
+
+def research_round(results: DataFrame, index: DataFrame, snapshot: DataFrame, client: Callable[[dict], dict], model: Callable[[list[str]], list[str]], max_results: int = 10, limit: int = 4, delay: float = 0.1, documents: DataFrame | None = None) -> DataFrame:
+    """One research step for each request: (run_id, ord, url, document, origin, attempts, lifecycle, n_evidence, reason).
+
+    Results (request_id, ord, title, url) are filtered and merged with the run's URL index.
+    New ones are looked up among the run's ``documents`` (run_id, normalized_url), then in the
+    store, and else fetched, in waves that never ask for more than the budget still needs.
+    Each of the ``limit`` new documents goes to the model, whose evidence makes it active, or
+    unusable without any.
     """
     kept = retrieval.filter_results(results, max_results).filter("reason is null").withColumnRenamed("request_id", "run_id").drop("reason", "normalized_url")
     new = checkpoint(retrieval.merge_results(kept, index).filter("is_new").drop("is_new"))
-    hits, misses = fetch.documents_or_fetch(new, snapshot)
-    none = misses.select("url", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("binary").alias("content")).limit(0)
-    answers = checkpoint(fetch.fetch(fetch.conditional_requests(misses, none), client, delay=delay))
-    parsed = html.parse_documents(answers.filter("status between 200 and 299").select("url", fetch.media_type(F.col("content_type")).alias("media_type"), F.coalesce("body", F.lit(b"")).alias("content")), "url")
-    failed = F.when(F.col("transport_error").isNotNull(), "transport").when(~F.col("status").between(200, 299), F.concat(F.lit("http_status "), F.col("status").cast("string")))
-    fetched = misses.select("run_id", "ord", "url").join(answers.select("url", failed.alias("failed")), "url").join(parsed.select("url", "text", "error"), "url", "left")
-    fetched = fetched.select("run_id", "ord", "url", "text", F.coalesce("failed", "error").alias("reason")).withColumn("origin", F.when(F.col("reason").isNull(), "web"))
-    stored = hits.select("run_id", "ord", "url", "text", F.lit(None).cast("string").alias("reason"), F.lit("stored").alias("origin"))
-    tried = checkpoint(retrieval.fetch_budget(fetched.unionByName(stored).withColumn("is_new", F.col("origin").isNotNull()), limit))
+    known = new.select("run_id", "normalized_url").limit(0) if documents is None else documents
+    tried = retrieval.fetch_in_waves(new, known, limit, documents_or_pages(snapshot, client, delay))
     key = F.concat_ws(":", "run_id", "ord")
-    asked = tried.filter("origin is not null").select(key.alias("document_id"), F.lit(0).alias("position"), agents.generate(F.col("text"), model).alias("r"))
+    asked = tried.filter("is_new").select(key.alias("document_id"), F.lit(0).alias("position"), agents.generate(F.col("text"), model).alias("r"))
     found, bad = agents.evidence(checkpoint(asked).select("document_id", "position", "r.response", "r.error"))
     counts = found.groupBy("document_id").agg(F.count("*").alias("n"))
     out = tried.withColumn("document_id", key).join(counts, "document_id", "left").join(bad.withColumnRenamed("reason", "bad"), "document_id", "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
-    state = F.when(F.col("origin").isNotNull(), F.when(n > 0, "active").otherwise("unusable"))
-    return out.select("run_id", "ord", "url", "origin", state.alias("lifecycle"), n.alias("n_evidence"), F.coalesce("reason", "bad").alias("reason"))
+    state = F.when(F.col("is_new"), F.when(n > 0, "active").otherwise("unusable"))
+    return out.select("run_id", "ord", "url", "document", "origin", "attempts", state.alias("lifecycle"), n.alias("n_evidence"), F.coalesce("reason", "bad").alias("reason"))
 
 
 def write_index(index: DataFrame, path: str, model: str, dimensions: int) -> None:

@@ -492,7 +492,8 @@ def _shop(request: dict) -> dict:
     n = int(request["url"].rsplit("/", 1)[-1])
     if n % 7 == 3:
         return {"status": 404}
-    return {"status": 200, "content_type": "text/html", "body": f"<main><p>{'plain' if n % 5 == 1 else 'fact'} {n}</p></main>".encode()}
+    moved = {"final_url": f"https://shop.test/moved/{n % 2}"} if n % 4 == 1 else {}
+    return {"status": 200, "content_type": "text/html", "body": f"<main><p>{'plain' if n % 5 == 1 else 'fact'} {n}</p></main>".encode()} | moved
 
 
 def _extractor(prompts: list[str]) -> list[str]:
@@ -501,19 +502,24 @@ def _extractor(prompts: list[str]) -> list[str]:
 
 
 _ROUND = """
-WITH r AS (SELECT page_id % 5 AS run_id, page_id, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS n, CASE WHEN page_id % 2 = 0 THEN 'stored' WHEN page_id % 7 = 3 THEN NULL ELSE 'web' END AS origin FROM pages),
-k AS (SELECT *, coalesce(sum(CASE WHEN origin IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r WHERE n <= 12)
-SELECT run_id, page_id, origin, CASE WHEN origin IS NULL THEN NULL WHEN origin = 'web' AND page_id % 5 = 1 THEN 'unusable' ELSE 'active' END AS lifecycle, CASE WHEN origin IS NULL THEN 0 WHEN origin = 'web' AND page_id % 5 = 1 THEN 0 ELSE 1 END AS n_evidence,
-CASE WHEN origin IS NULL THEN 'http_status 404' END AS reason FROM k WHERE used < 6"""
+WITH r AS (SELECT page_id % 5 AS run_id, page_id, 'https://shop.test/' || page_id AS u, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS n FROM pages),
+f AS (SELECT *, CASE WHEN page_id % 6 = 0 THEN 'known' WHEN page_id % 2 = 0 THEN 'stored' WHEN page_id % 7 = 3 THEN NULL ELSE 'web' END AS origin FROM r WHERE n <= 12),
+g AS (SELECT *, CASE WHEN origin = 'web' AND page_id % 4 = 1 THEN 'https://shop.test/moved/1' WHEN origin IS NOT NULL THEN u END AS document FROM f),
+h AS (SELECT *, origin IN ('stored', 'web') AND row_number() OVER (PARTITION BY run_id, document ORDER BY page_id) = 1 AS is_new FROM g),
+k AS (SELECT *, coalesce(sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM h)
+SELECT run_id, page_id, document, origin, CASE WHEN origin = 'known' THEN 0 ELSE 1 END AS attempts, CASE WHEN NOT coalesce(is_new, false) THEN NULL WHEN origin = 'web' AND page_id % 5 = 1 THEN 'unusable' ELSE 'active' END AS lifecycle,
+CASE WHEN NOT coalesce(is_new, false) OR origin = 'web' AND page_id % 5 = 1 THEN 0 ELSE 1 END AS n_evidence, CASE WHEN origin IS NULL THEN 'http_status 404' END AS reason FROM k WHERE used < 4"""
 
 
 @query(_ROUND)
 def research_round(spark, d):
-    """A whole research step: filter, merge, stored or fetched documents, budget, extraction, lifecycle."""
+    """A whole research step: filter, merge, known, stored or fetched documents in waves, redirects, extraction, lifecycle."""
     pages = _t(spark, d, "pages")
     url = F.concat(F.lit("https://shop.test/"), F.col("page_id"))
-    results = pages.select((F.col("page_id") % 5).alias("request_id"), F.col("page_id").alias("ord"), F.lit("t").alias("title"), url.alias("url"))
+    run = F.col("page_id") % 5
+    results = pages.select(run.alias("request_id"), F.col("page_id").alias("ord"), F.lit("t").alias("title"), url.alias("url"))
     snapshot = pages.select(F.concat(F.lit("d"), "page_id").alias("id"), url.alias("url"), urls.normalize(url).alias("canonical_url"), F.when(F.col("page_id") % 2 == 0, "active").otherwise("inactive").alias("status"), F.lit("s").alias("title"), F.lit("known fact").alias("text"), F.lit(None).cast("timestamp").alias("published_at"))
     index = spark.createDataFrame([], "run_id long, normalized_url string")
-    found = app.research_round(results, index, snapshot, _shop, _extractor, max_results=12, limit=6, delay=0)
-    return found.select("run_id", F.col("ord").alias("page_id"), "origin", "lifecycle", F.col("n_evidence").cast("int").alias("n_evidence"), "reason")
+    held = pages.select(run.alias("run_id"), F.when(F.col("page_id") % 6 == 0, urls.normalize(url)).otherwise(F.concat(F.lit("https://other.test/"), "page_id")).alias("normalized_url"))
+    found = app.research_round(results, index, snapshot, _shop, _extractor, max_results=12, limit=4, delay=0, documents=held)
+    return found.select("run_id", F.col("ord").alias("page_id"), "document", "origin", "attempts", "lifecycle", F.col("n_evidence").cast("int").alias("n_evidence"), "reason")

@@ -126,3 +126,44 @@ def test_index_and_extraction(spark):
     outcomes = spark.createDataFrame([(1, "a", 0, True), (1, "a", 1, True), (1, "b", 2, False), (1, "c", 3, True)], "run_id long, document_id string, ord int, success boolean")
     known = spark.createDataFrame([(1, "c")], "run_id long, document_id string")
     assert [r["document_id"] for r in retrieval.documents_to_extract(outcomes, known).collect()] == ["a"]
+
+
+def _site(request):
+    """Records each request in a folder; /r/k redirects to /p/(k // 10), /bad is missing."""
+    import re
+    import uuid
+    from pathlib import Path
+
+    where, path = re.fullmatch(r"https://site\.test/log(.*?)/(r/\d+|p/\d+|bad/\d+)", request["url"]).groups()
+    Path(where, uuid.uuid4().hex).write_text(path)
+    kind, k = path.split("/")
+    if kind == "bad":
+        return {"status": 404}
+    final = {"final_url": f"https://site.test/log{where}/p/{int(k) // 10}"} if kind == "r" else {}
+    return {"status": 200, "content_type": "text/html", "body": f"<p>page {path}</p>".encode()} | final
+
+
+def test_waves(spark, tmp_path):
+    """No request beyond the budget; pages that are reached twice count once."""
+    base = f"https://site.test/log{tmp_path}"
+    plans = {
+        1: ["p/1", "bad/1", "r/20", "r/21", "p/3", "p/4", "p/5"],  # r/20 and r/21 are the page p/2
+        2: ["bad/1", "bad/2", "bad/3"],
+        3: ["p/7", "p/8", "p/9", "p/10", "p/11"],  # p/8 is known already
+        4: ["r/10", "p/1", "p/6", "p/12", "p/13"],  # p/1 is found by r/10 before its turn, or in its wave
+    }
+    rows = [(run, k, f"{base}/{p}", f"{base}/{p}") for run, plan in plans.items() for k, p in enumerate(plan)]
+    candidates = spark.createDataFrame(rows, "run_id long, ord long, url string, normalized_url string")
+    known = spark.createDataFrame([(3, f"{base}/p/8")], "run_id long, normalized_url string")
+    nothing = spark.createDataFrame([], store.DOCUMENT)
+    got = retrieval.fetch_in_waves(candidates, known, 3, app.documents_or_pages(nothing, _site, 0)).collect()
+    table = {(r["run_id"], r["url"].removeprefix(f"{base}/")): (r["document"] and r["document"].removeprefix(f"{base}/"), r["is_new"], r["attempts"], r["reason"]) for r in got}
+    assert [p for p in plans[1] if (1, p) in table] == plans[1][:5] and table[1, "r/20"] == ("p/2", True, 1, None) and table[1, "r/21"] == ("p/2", False, 1, None)
+    assert all(table[2, p] == (None, False, 1, "http_status 404") for p in plans[2])
+    assert [p for p in plans[3] if (3, p) in table] == plans[3][:4] and table[3, "p/8"] == ("p/8", False, 0, None)
+    assert [p for p in plans[4] if (4, p) in table] == plans[4][:4] and table[4, "p/1"] == ("p/1", False, 0, None)
+    assert {run: sum(v[1] for (r, _), v in table.items() if r == run) for run in plans} == {1: 3, 2: 0, 3: 3, 4: 3}
+    # One request for each attempt, of which runs may share some; p/1 of run 4 was asked for in the same wave.
+    asked = sorted(p.read_text() for p in tmp_path.iterdir())
+    assert not {"p/5", "p/13", "p/11", "p/8"} & set(asked) and len(asked) <= sum(v[2] for v in table.values()) + 1
+    assert retrieval.fetch_in_waves(candidates.limit(0), known, 3, app.documents_or_pages(nothing, _site, 0)).collect() == []
