@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from lodestral.functions import urls
 from lodestral.functions.session import checkpoint
-from lodestral.operators import agents, chunking, embeddings, retrieval, search, store, sync
+from lodestral.operators import agents, chunking, embeddings, inverted, retrieval, search, store, sync
 from lodestral.sources import discovery, fetch, html, registry, robots
 
 #: Options with their environment-like defaults, read from the session by ``option``.
@@ -86,19 +86,22 @@ def sync_corpus(sources: DataFrame, snapshot: DataFrame, endpoint_state: DataFra
 
 def reindex(snapshot: DataFrame, index: DataFrame | None = None, embedder=None, dimensions: int = 64, limit: int = 1200) -> DataFrame:
     """Chunks of active documents with vectors; unchanged chunks keep those of the old index."""
-    chunks = chunking.chunk_documents(snapshot, limit)
+    chunks = checkpoint(chunking.chunk_documents(snapshot, limit))  # read for reused and for new vectors
     plan = chunks.withColumn("vector", F.lit(None).cast("array<float>")) if index is None else search.reuse_plan(chunks, index)
     make = embeddings.embed(F.col("text"), embedder or embeddings.hashing_embedder(dimensions), dimensions)
     reused = plan.filter("vector is not null")
     return reused.unionByName(plan.filter("vector is null").withColumn("vector", make))
 
 
-def search_corpus(index: DataFrame, snapshot: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, embedder=None, dimensions: int = 64) -> DataFrame:
-    """Ranked current chunks with title, url, snippet and metadata."""
+def search_corpus(index: DataFrame, snapshot: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, embedder=None, dimensions: int = 64, terms: str | None = None) -> DataFrame:
+    """Ranked current chunks with title, url, snippet and metadata.
+
+    ``terms`` is the folder of the index' full-text tables (``write_index``); without it texts are scanned.
+    """
     search.validate(query, limit)
     legs = []
     if mode in ("bm25", "hybrid"):
-        legs.append(search.bm25(index, query, limit, "id", "text"))
+        legs.append(search.bm25(index, query, limit, "id", "text") if terms is None else inverted.bm25(index.sparkSession, terms, query, limit, "id"))
     if mode in ("vector", "hybrid"):
         vector = (embedder or embeddings.hashing_embedder(dimensions))([query])[0]
         legs.append(search.vector(index, vector, limit, "id", "vector"))
@@ -153,9 +156,11 @@ def research_round(results: DataFrame, index: DataFrame, snapshot: DataFrame, cl
 
 
 def write_index(index: DataFrame, path: str, model: str, dimensions: int) -> None:
-    """Index table below path/chunks and its model below path/meta; replaces what is there."""
+    """Index table below path/chunks and its model below path/meta, which replace what is there, and full-text tables
+    below path/terms, which are brought up to the chunks."""
     spark = index.sparkSession
     index.write.mode("overwrite").parquet(f"{path}/chunks")
+    inverted.add(spark.read.parquet(f"{path}/chunks"), f"{path}/terms", "id", "text", complete=True)
     spark.createDataFrame([(model, dimensions)], "model string, dimensions int").write.mode("overwrite").json(f"{path}/meta")
 
 

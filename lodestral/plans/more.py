@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestral.functions import times, urls, values
 from lodestral.functions.session import checkpoint, checkpoint_dir
-from lodestral.operators import agents, chunking, embeddings, evaluation, research, retrieval, runtime, search, store, sync, traces
+from lodestral.operators import agents, chunking, embeddings, evaluation, inverted, research, retrieval, runtime, search, store, sync, traces
 from lodestral.plans import app
 from lodestral.plans.catalog import _STATE, _TOKENS, ORACLES, QUERIES, TERMS, _snapshot, _t, query  # noqa: F401
 from lodestral.sources import discovery, fetch, files, html, registry
@@ -331,10 +331,42 @@ def local_search(spark, d):
     app.write_index(app.reindex(snapshot, dimensions=8), path, "hashing", 8)
     index = app.read_index(spark, path, "hashing", 8)
     assert app.reindex(snapshot, index, dimensions=8).filter("vector is null").isEmpty()
-    hits = app.search_corpus(index, snapshot, TERMS, "bm25", 8, dimensions=8)
+    hits = app.search_corpus(index, snapshot, TERMS, "bm25", 8, dimensions=8, terms=f"{path}/terms")
     return hits.select(F.col("rank").cast("long").alias("rank"), "title", "url", F.sha2("snippet", 256).alias("snippet_hash"), F.col("metadata")["corpus_search_mode"].alias("mode"), F.col("metadata")["corpus_chunk_id"].alias("chunk"))
 
 
+def _indexed(spark, d) -> str:
+    """An index of the documents that was made of older ones: some had other texts, some were not there, some are gone."""
+    docs, i, path = _t(spark, d, "documents").select("doc_id", "text"), F.col("doc_id"), _folder(spark, "inverted")
+    older = docs.select(F.when(i % 4 == 0, i + 10_000_000).otherwise(i).alias("doc_id"), F.when(i % 3 == 0, F.concat(F.lit("older words of the "), "text")).otherwise(F.col("text")).alias("text"))
+    inverted.add(older, path, complete=True)
+    inverted.add(docs, path, complete=True)
+    return path
+
+
+@query(ORACLES["bm25_postings"])
+def index_after_changes(spark, d):
+    """Postings of a full-text index after an update of new, changed and missing documents: those of a rebuild."""
+    found = inverted.postings(spark, _indexed(spark, d))
+    return found.select(F.col("key").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf"), F.col("length").cast("long").alias("length"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS term FROM t)
+SELECT term, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM t) AS corpus, (SELECT sum(len(t))::BIGINT FROM t) AS tokens FROM e GROUP BY term""")
+def index_counts_by_differences(spark, d):
+    """Documents of each term, documents and tokens in all: sums of what each batch changed."""
+    path = _indexed(spark, d)
+    facts = spark.read.parquet(f"{path}/statistics").agg(F.max_by("corpus", "batch").alias("corpus"), F.max_by("tokens", "batch").alias("tokens"))
+    df = spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+    return df.crossJoin(F.broadcast(facts))  # one row
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_block_topk(spark, d):
+    """The best documents from the index of blocks, after changes: those of a scan of all texts."""
+    return inverted.bm25(spark, _indexed(spark, d), TERMS, 10)
+
+
 def _sizes(texts: list[str]) -> list[dict]:
     """Vectors by rule, ten texts a call at most, in an order of their own."""
     assert len(texts) <= 10
