@@ -14,7 +14,7 @@ from lodestral.functions import times, urls, values
 from lodestral.functions.session import checkpoint, checkpoint_dir
 from lodestral.operators import agents, chunking, embeddings, evaluation, inverted, research, retrieval, runtime, search, store, sync, traces
 from lodestral.plans import app
-from lodestral.plans.catalog import _STATE, _TOKENS, ORACLES, QUERIES, TERMS, _snapshot, _t, query  # noqa: F401
+from lodestral.plans.catalog import _HOST, _PARAGRAPHS, _STATE, _TOKENS, ORACLES, QUERIES, TERMS, _snapshot, _t, query  # noqa: F401
 from lodestral.sources import discovery, fetch, files, html, registry
 
 
@@ -29,29 +29,44 @@ def _values(names: str, rows: list[tuple]) -> str:
 
 # ---------------------------------------------------------------- registry and files
 
-_REGISTRY = [
-    {"id": "farm", "name": "Farm", "source_type": "news", "allowed_domains": [" Farm.test "], "feeds": ["https://farm.test/feed"], "sitemaps": ["https://farm.test/map"]},
-    {"id": "sea", "name": "Sea", "source_type": "official", "enabled": False, "allowed_domains": ["sea.test", "www.shore.test"], "allowed_path_prefixes": ["/en", "/de"], "feeds": [], "sitemaps": []},
-]
-_BROKEN = [
-    ("Bad Id", "news", ["a.test"], ["/"], [], "bad id"), ("type", "rumour", ["b.test"], ["/"], [], "bad source type"), ("none", "news", [], ["/"], [], "no domain"), ("dom", "news", ["nodots"], ["/"], [], "bad domain"),
-    ("long", "news", ["x" * 64 + ".test"], ["/"], [], "bad domain"), ("path", "news", ["c.test"], ["x"], [], "bad path prefix"), ("out", "news", ["d.test"], ["/"], ["https://e.test/f"], "endpoint outside domains"),
-    ("frag", "news", ["f.test"], ["/"], ["https://f.test/f#x"], "endpoint with fragment"), ("dup", "news", ["g.test"], ["/", "/"], [], "duplicate entries"), ("own", "news", ["h.test"], ["/"], [], None), ("ours", "news", ["www.h.test"], ["/"], [], "domain of two sources"),
-]
+_HOSTS = f"(SELECT DISTINCT {_HOST} AS h FROM pages)"
 
 
-@query(_values("ord, id, source_type, enabled, domains, prefixes, endpoints", [(0, "farm", "news", True, "farm.test", "/", 2), (1, "sea", "official", False, "sea.test,www.shore.test", "/en,/de", 0)]))
+def _hosts(spark, d) -> DataFrame:
+    return _t(spark, d, "pages").select(urls.host(F.col("url")).alias("h")).distinct()
+
+
+@query(f"""SELECT (row_number() OVER (ORDER BY replace(h, '.', '-')) - 1)::INTEGER AS ord, replace(h, '.', '-') AS id, CASE WHEN length(h) % 2 = 0 THEN 'news' ELSE 'blog' END AS source_type, length(h) % 3 > 0 AS enabled,
+h || ',x' || h AS domains, CASE WHEN length(h) % 4 = 0 THEN '/en,/fr' ELSE '/' END AS prefixes, CASE WHEN length(h) % 5 = 0 THEN 0 ELSE 2 END AS endpoints FROM {_HOSTS}""")
 def registry_load(spark, d):
+    """A registry of the pages' hosts as its JSON file, read with defaults and checked by its rules."""
+    h, n = F.col("h"), F.length("h")
+    ends = lambda what: F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("https://"), h, F.lit(f"/{what}"))))
+    source = F.struct(
+        F.replace(h, F.lit("."), F.lit("-")).alias("id"), h.alias("name"), F.when(n % 2 == 0, "news").otherwise("blog").alias("source_type"), F.when(n % 3 == 0, False).alias("enabled"),
+        F.array(F.concat(F.lit(" "), F.upper(h)), F.concat(F.lit("x"), h)).alias("allowed_domains"), F.when(n % 4 == 0, F.array(F.lit("/en"), F.lit("/fr"))).alias("allowed_path_prefixes"), ends("feed").alias("feeds"), ends("map").alias("sitemaps"),
+    )
     path = _folder(spark, "registry")
-    spark.createDataFrame([(json.dumps({"schema_version": 2, "sources": _REGISTRY}),)], "value string").coalesce(1).write.text(path)
+    whole = _hosts(spark, d).agg(F.sort_array(F.collect_list(source)).alias("sources"))  # one file, as registries are
+    whole.select(F.to_json(F.struct(F.lit(2).alias("schema_version"), "sources"))).coalesce(1).write.text(path)
     found = registry.load(spark, path)
     return found.select("ord", "id", "source_type", "enabled", F.array_join("allowed_domains", ",").alias("domains"), F.array_join("allowed_path_prefixes", ",").alias("prefixes"), (F.size("feeds") + F.size("sitemaps")).alias("endpoints"))
 
 
-@query(_values("id, rule", [(r[0], r[5]) for r in _BROKEN if r[5]]))
+@query(f"""SELECT CASE WHEN k = 0 THEN 'Bad ' || h ELSE h END AS id, ['bad id', 'bad source type', 'no domain', 'bad domain', 'bad path prefix', 'endpoint outside domains', 'endpoint with fragment', 'duplicate entries', 'domain of two sources'][k + 1] AS rule
+FROM (SELECT replace(h, '.', '-') AS h, length(h) % 10 AS k FROM {_HOSTS}) WHERE k < 9""")
 def registry_violations(spark, d):
-    rows = spark.createDataFrame([(k, r[0], r[0], r[1], True, r[2], r[3], r[4], []) for k, r in enumerate(_BROKEN)], f"ord int, {registry.SOURCE}")
-    return registry.violations(registry.with_defaults(rows))
+    """Sources of the pages' hosts, nine of ten of which break one rule each."""
+    h, k = F.col("h"), F.length("h") % 10
+    id_, none = F.replace(h, F.lit("."), F.lit("-")), F.array().cast("array<string>")
+    url = lambda host, tail: F.array(F.concat(F.lit("https://"), host, F.lit(tail)))
+    own = _hosts(spark, d).select(
+        F.when(k == 0, F.concat(F.lit("Bad "), id_)).otherwise(id_).alias("id"), h.alias("name"), F.when(k == 1, "rumour").otherwise("news").alias("source_type"), F.lit(True).alias("enabled"),
+        F.when(k == 2, none).when(k == 3, F.array(F.replace(h, F.lit("."), F.lit("")))).otherwise(F.array(h)).alias("allowed_domains"), F.when(k == 4, F.array(F.lit("x"))).when(k == 7, F.array(F.lit("/"), F.lit("/"))).otherwise(F.array(F.lit("/"))).alias("allowed_path_prefixes"),
+        F.when(k == 5, url(F.lit("else.test"), "/f")).when(k == 6, url(h, "/f#x")).otherwise(none).alias("feeds"), none.alias("sitemaps"), k.alias("k"),
+    )
+    twin = own.filter("k = 8").withColumn("id", F.concat("id", F.lit("-twin"))).withColumn("allowed_domains", F.array(F.concat(F.lit("www."), "name")))
+    return registry.violations(registry.with_defaults(own.union(twin)))
 
 
 @query("SELECT item_id, sha256(text) AS text_hash FROM benchmark")
@@ -92,9 +107,12 @@ def prediction_export(spark, d):
     return spark.read.schema("n long, id long").json(path).select("id", "n")
 
 
-@query(_values("name, value", [("embedding_dimensions", "64"), ("embedding_model", "hashing"), ("max_chunk_chars", "1200"), ("retrieval_routes", "local,web"), ("search_limit", "10")]))
+@query(f"SELECT doc_id, count(*) AS chunks, 'hashing' AS model, 64 AS dimensions FROM ({_PARAGRAPHS}) GROUP BY doc_id")
 def options(spark, d):
-    return spark.createDataFrame([(n, app.option(spark, n)) for n in sorted(app.DEFAULTS)], "name string, value string")
+    """Chunks of each document by the session's options, which have their defaults here."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("active").alias("status"))
+    chunks = chunking.chunk_documents(docs, int(app.option(spark, "max_chunk_chars"))).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("chunks"))
+    return chunks.select("*", F.lit(app.option(spark, "embedding_model")).alias("model"), F.lit(int(app.option(spark, "embedding_dimensions"))).alias("dimensions"))
 
 
 # ---------------------------------------------------------------- values
@@ -237,9 +255,19 @@ def web_search(spark, d):
     return fetch.parse_search(rows).select(F.col("request_id").alias("page_id"), "rank", "url", "score", "error")
 
 
-@query(_values("payload", [('{"query": "q", "max_results": 5, "country": "de", "include_domains": ["a.test"]}',)]))
+@query("""SELECT conv_id, turn, sha256(text) AS query_hash, 1 + turn % 10 AS max_results, CASE WHEN conv_id % 2 = 0 THEN 'de' END AS country, CASE WHEN conv_id % 3 = 0 THEN 'week' END AS time_range,
+CASE WHEN conv_id % 4 = 0 THEN role || '.test,x.test' END AS domains, 2 + (conv_id % 2 = 0)::BIGINT + (conv_id % 3 = 0)::BIGINT + (conv_id % 4 = 0)::BIGINT AS fields FROM conversations""")
 def search_request(spark, d):
-    return spark.createDataFrame([(fetch.search_payload("q", 5, "de", None, ["a.test"]),)], "payload string")
+    """Web-search requests for every turn of the conversations: what isn't asked for is left out."""
+    i = F.col("conv_id")
+    domains = F.when(i % 4 == 0, F.array(F.concat("role", F.lit(".test")), F.lit("x.test")))
+    made = fetch.search_requests(F.col("text"), 1 + F.col("turn") % 10, F.when(i % 2 == 0, "de"), F.when(i % 3 == 0, "week"), domains)
+    p = lambda path: F.get_json_object("payload", f"$.{path}")
+    asked = _t(spark, d, "conversations").select("conv_id", "turn", made.alias("payload"))
+    return asked.select(
+        "conv_id", "turn", F.sha2(p("query"), 256).alias("query_hash"), p("max_results").cast("long").alias("max_results"), p("country").alias("country"), p("time_range").alias("time_range"),
+        F.array_join(F.from_json(p("include_domains"), "array<string>"), ",").alias("domains"), F.size(F.json_object_keys("payload")).cast("long").alias("fields"),
+    )
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fetch' ELSE 'stored' END AS route, CASE WHEN doc_id % 3 > 0 THEN coalesce(lang, 'asked') ELSE 'asked' END AS title FROM documents")
@@ -255,57 +283,72 @@ def document_source(spark, d):
 # ---------------------------------------------------------------- corpus
 
 
-def _chain(level: DataFrame) -> DataFrame:
-    """Each sitemap k lists sitemap k + 1, itself, one on another host and a page."""
-    k = F.element_at(F.split("url", "/"), -1).cast("int")
-    entry = lambda kind, url: F.struct(F.lit(kind).alias("kind"), url.alias("url"))
-    listed = F.array(entry("sitemap", F.concat(F.lit("https://a.test/"), F.least(k + 1, F.lit(25)).cast("string"))), entry("sitemap", F.col("url")), entry("sitemap", F.lit("https://b.test/1")), entry("content", F.concat(F.lit("https://a.test/page/"), k.cast("string"))))
-    return level.select("source_id", F.explode(listed).alias("e")).select("source_id", "e.*")
-
-
-@query("SELECT 'content' AS kind, 'https://a.test/page/' || i AS url FROM range(1, 26) t(i) UNION ALL SELECT 'sitemap', 'https://a.test/' || i FROM range(1, 26) t(i)")
+@query("SELECT 'content' AS kind, url FROM pages UNION ALL SELECT 'sitemap', 'https://maps.test/' || page_id FROM pages")
 def sitemap_walk(spark, d):
-    """Sitemaps nested 25 levels deep, with circles and children of another host."""
-    content, seen = sync.sitemap_levels(spark.createDataFrame([("s", "https://a.test/1")], "source_id string, url string"), _chain)
+    """Nested sitemaps of all pages: each lists a page, two sitemaps below it, itself and one of another host."""
+    name = lambda k: F.concat(F.lit("https://maps.test/"), k.cast("string"))
+    entry = lambda kind, url: F.struct(F.lit(kind).alias("kind"), url.alias("url"))
+    k, n = F.col("page_id"), _t(spark, d, "pages").count()
+    below = [entry("sitemap", name(F.when(2 * k + j < n, 2 * k + j).otherwise(k))) for j in (1, 2)]
+    listed = F.explode(F.array(entry("content", F.col("url")), *below, entry("sitemap", F.lit("https://else.test/1")), entry("sitemap", name(k))))
+    links = _t(spark, d, "pages").select(name(k).alias("map"), listed.alias("e"))
+    expand = lambda level: level.join(links, F.col("url") == F.col("map")).select("source_id", "e.*")
+    content, seen = sync.sitemap_levels(spark.createDataFrame([("s", "https://maps.test/0")], "source_id string, url string"), expand)
     return content.select(F.lit("content").alias("kind"), "url").union(seen.select(F.lit("sitemap"), "url"))
 
 
 def _farm(request: dict) -> dict:
-    """The web site of ``corpus_sync``."""
+    """The web site of ``corpus_sync``: saved feeds and pages that were not modified, new, moved and broken ones."""
     path = request["url"].removeprefix("https://farm.test")
     if path == "/robots.txt":
         return {"status": 200, "body": b"User-agent: *\nDisallow: /n/1\n"}
-    if path == "/feed":
-        items = "".join(f"<item><link>/n/{k}</link><pubDate>Fri, {1 + k % 28:02d} Mar 2024 00:00:00 GMT</pubDate></item>" for k in range(40)) + "<item><link>https://else.test/n/1</link></item><item><link>/out/1</link></item>"
-        return {"status": 200, "etag": "f", "body": f"<rss><channel>{items}</channel></rss>".encode()}
-    if path == "/map":
-        return {"status": 200, "body": b"<sitemapindex><sitemap><loc>/map2</loc></sitemap><sitemap><loc>https://else.test/map</loc></sitemap></sitemapindex>"}
-    if path == "/map2":
-        return {"status": 200, "body": ("<urlset>" + "".join(f"<url><loc>/n/{k}</loc></url>" for k in range(30, 60)) + "</urlset>").encode()}
+    if path.startswith("/feed/"):
+        return {"status": 304} if request["if_none_match"] == "f" else {"status": 500}
     k = int(path.rsplit("/", 1)[-1])
     match k % 7:
         case 3:
-            return {"status": 503}
+            return {"status": 404}
         case 4:
             return {"status": 200, "content_type": "image/png", "body": b"x"}
         case 5:
             return {"status": 200, "content_type": "text/html", "body": b"<main></main>"}
         case 6:
             return {"status": 200, "final_url": "https://else.test/", "content_type": "text/html", "body": b"<p>moved</p>"}
+    if request["if_none_match"] == f"e{k}":
+        return {"status": 304}
     return {"status": 200, "content_type": "text/html; charset=utf-8", "etag": f"e{k}", "body": f"<title>T{k}</title><main><p>body {k}</p></main>".encode()}
 
 
-@query("""SELECT 'https://farm.test/n/' || k AS url, CASE WHEN k = 1 OR k BETWEEN 10 AND 19 THEN 'inactive' WHEN k % 7 >= 3 THEN 'inactive' ELSE 'active' END AS status,
-CASE WHEN k = 1 OR k BETWEEN 10 AND 19 THEN 'robots_disallowed' ELSE CASE k % 7 WHEN 3 THEN 'http_status 503' WHEN 4 THEN 'unsupported_media_type' WHEN 5 THEN 'no_extractable_text' WHEN 6 THEN 'redirect_outside_source_scope' END END AS reason,
-CASE WHEN k <> 1 AND k NOT BETWEEN 10 AND 19 AND k % 7 < 3 THEN 'T' || k END AS title, CASE WHEN k <> 1 AND k NOT BETWEEN 10 AND 19 AND k % 7 < 3 THEN sha256('body ' || k) END AS content_hash,
-CASE WHEN k < 40 AND k <> 1 AND k NOT BETWEEN 10 AND 19 AND k % 7 < 3 THEN '2024-03-' || lpad((1 + k % 28)::VARCHAR, 2, '0') END AS published FROM range(60) t(k)""")
+_SYNC = """
+WITH p AS (SELECT page_id AS k, page_id::VARCHAR LIKE '1%' AS barred, page_id % 7 AS m, page_id % 3 = 0 AS stored, sha256(html) AS old FROM pages),
+c AS (SELECT *, CASE WHEN barred THEN 'barred' WHEN m IN (3, 4, 5) AND stored THEN 'kept' WHEN m IN (3, 4, 5) THEN 'failed' WHEN m = 6 THEN 'moved' WHEN stored AND k % 2 = 0 THEN 'kept' ELSE 'read' END AS what FROM p)
+SELECT 'https://farm.test/n/' || k AS url, CASE WHEN what IN ('kept', 'read') THEN 'active' ELSE 'inactive' END AS status,
+CASE what WHEN 'barred' THEN 'robots_disallowed' WHEN 'moved' THEN 'redirect_outside_source_scope' WHEN 'failed' THEN CASE m WHEN 3 THEN 'http_status 404' WHEN 4 THEN 'unsupported_media_type' ELSE 'no_extractable_text' END END AS reason,
+CASE what WHEN 'kept' THEN 'Old ' || k WHEN 'read' THEN 'T' || k END AS title, CASE what WHEN 'kept' THEN old WHEN 'read' THEN sha256('body ' || k) END AS content_hash,
+CASE what WHEN 'kept' THEN '2023-05-01' WHEN 'read' THEN '2024-03-' || lpad((1 + k % 28)::VARCHAR, 2, '0') END AS published, CASE WHEN stored THEN '2023-06-01' ELSE '2024-04-01' END AS created FROM c"""
+
+
+@query(_SYNC)
 def corpus_sync(spark, d):
-    """One pass over a source: feed, sitemaps, scope, robots, fetch, parse, decide, upsert."""
-    row = (0, "farm", "Farm", "news", True, ["farm.test"], ["/n"], ["https://farm.test/feed"], ["https://farm.test/map"])
-    sources = spark.createDataFrame([row], "ord int, id string, name string, source_type string, enabled boolean, allowed_domains array<string>, allowed_path_prefixes array<string>, feeds array<string>, sitemaps array<string>")
-    state = spark.createDataFrame([], "url string, etag string, last_modified string, content binary")
-    snapshot, _, _ = app.sync_corpus(sources, spark.createDataFrame([], store.DOCUMENT), state, _farm, "bot", "2024-04-01 00:00:00")
-    return snapshot.select("url", "status", F.col("failure_reason").alias("reason"), "title", "content_hash", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
+    """One pass over a source whose corpus holds a third of the pages: saved feeds, robots, 304, moves, failures, upsert."""
+    k, pages = F.col("page_id"), _t(spark, d, "pages")
+    url = F.concat(F.lit("https://farm.test/n/"), k)
+    item = F.concat(F.lit("<item><link>/n/"), k, F.lit("</link><pubDate>Fri, "), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit(" Mar 2024 00:00:00 GMT</pubDate></item>"))
+    feeds = pages.groupBy(F.concat(F.lit("https://farm.test/feed/"), F.floor(k / 100)).alias("url")).agg(F.concat_ws("", F.collect_list(item)).alias("items"))
+    state = feeds.select("url", F.lit("f").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.encode(F.concat(F.lit("<rss><channel>"), "items", F.lit("<item><link>https://else.test/n/2</link></item><item><link>/out/1</link></item></channel></rss>")), "UTF-8").alias("content"))
+    text = lambda c: F.lit(c).alias
+    sources = feeds.agg(F.sort_array(F.collect_list("url")).alias("feeds")).select(
+        F.lit(0).alias("ord"), text("farm")("id"), text("Farm")("name"), text("news")("source_type"), F.lit(True).alias("enabled"), F.array(F.lit("farm.test")).alias("allowed_domains"), F.array(F.lit("/n")).alias("allowed_path_prefixes"), "feeds", F.array().cast("array<string>").alias("sitemaps"),
+    )
+    at = lambda when: F.lit(when).cast("timestamp")
+    stored = pages.filter(k % 3 == 0).select(
+        F.concat(F.lit("id"), k).alias("id"), text("farm")("source_id"), url.alias("url"), urls.normalize(url).alias("canonical_url"), text("active")("status"), F.concat(F.lit("Old "), k).alias("title"), F.col("html").alias("text"), text("text/html")("media_type"),
+        at("2023-05-01").alias("published_at"), at("2023-06-01").alias("fetched_at"), F.when(k % 2 == 0, F.concat(F.lit("e"), k)).alias("etag"), F.lit(None).cast("string").alias("last_modified"), values.content_hash(F.col("html")).alias("content_hash"), F.lit(None).cast("string").alias("failure_reason"),
+        at("2023-06-01").alias("created_at"), at("2023-06-01").alias("updated_at"),
+    )
+    snapshot, _, _ = app.sync_corpus(sources, stored, state, _farm, "bot", "2024-04-01 00:00:00")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return snapshot.select("url", "status", F.col("failure_reason").alias("reason"), "title", "content_hash", day("published_at").alias("published"), day("created_at").alias("created"))
 
 
 _BENCH_BM25 = f"""
@@ -499,15 +542,32 @@ def span_reports(spark, d):
     return steps.union(roots).union(ends.select("user_id", F.lit("stop"), evaluation.stop_reason()))
 
 
-@query(_values("step, action, observation, spans", [(0, "research", "research", 8), (1, "finish", "done", 8)]))
+_LOOP = """
+WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, n, unnest(range(least(n, 3))) AS step FROM c)
+SELECT conv_id, step::INTEGER AS step, CASE WHEN step = n - 1 THEN 'finish' ELSE 'research' END AS action, CASE WHEN step = n - 1 THEN 'answer of ' || n ELSE 'role ' || (SELECT min(role) FROM conversations t WHERE t.conv_id = s.conv_id AND t.turn = s.step) END AS answer,
+CASE WHEN n <= 3 THEN 'finished' ELSE 'max_steps' END AS stop, (1 + 3 * least(n, 3))::BIGINT AS spans FROM s"""
+
+
+@query(_LOOP)
 def run_loop(spark, d):
-    """A whole run by rule: policy, dispatcher, reducer and spans."""
-    tracer = traces.Tracer("q")
-    plan = ("research", "finish", "stop")
-    execute = runtime.dispatch({"research": lambda a, s: {"type": "research", "answer": "research"}, "finish": lambda a, s: {"type": "finish", "answer": "done"}})
-    state = runtime.run({"query": "q", "max_steps": 5}, lambda s: {"type": plan[s["current_step"]]}, execute, tracer).state
-    n = tracer.table(spark).count() + 1  # the run, and three spans a step
-    return spark.createDataFrame([(h["step_index"], h["action"]["type"], h["observation"]["answer"], n) for h in state["history"]], "step int, action string, observation string, spans int")
+    """Runs of all conversations side by side: a turn is a step, the last one finishes; three steps at most."""
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), "turn", "role")
+    runs = turns.groupBy("run_id").agg(F.count("*").alias("n"))
+    policy = lambda states: states.join(runs, "run_id").select("run_id", F.when(F.col("step") == F.col("n") - 1, "finish").otherwise("research").alias("type"), F.lit("{}").alias("params"))
+
+    def research(actions):
+        at = (F.col("r") == F.col("run_id")) & (F.col("turn") == F.col("step"))
+        said = actions.join(turns.withColumnRenamed("run_id", "r"), at).groupBy("run_id").agg(F.min("role").alias("role"))
+        return said.select("run_id", F.lit("research").alias("type"), F.concat(F.lit("role "), "role").alias("answer"))
+
+    def finish(actions):
+        return actions.join(runs, "run_id").select("run_id", F.lit("finish").alias("type"), F.concat(F.lit("answer of "), "n").alias("answer"))
+
+    states, history, spans = runtime.run_all(runs.select("run_id"), policy, {"research": research, "finish": finish}, 3)
+    held = spans.groupBy("run_id").agg(F.count("*").alias("spans"))
+    stop = F.when(F.col("done"), "finished").otherwise("max_steps")
+    return history.join(states.select("run_id", stop.alias("stop")), "run_id").join(held, "run_id").select(F.col("run_id").alias("conv_id"), "step", F.col("type").alias("action"), "answer", "stop", "spans")
 
 
 @query("SELECT conv_id, sha256('Question: q' || conv_id || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[S' || (turn + 1) || ']' || chr(10) || '- ' || role || chr(10) || '- ' || text, chr(10) || chr(10) ORDER BY turn)) AS prompt_hash FROM conversations GROUP BY conv_id")

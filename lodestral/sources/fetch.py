@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestral.functions import urls
 from lodestral.functions.values import media_type
@@ -88,6 +88,12 @@ def search_payload(query: str, max_results: int = 10, region: str | None = None,
     return json.dumps({k: v for k, v in given.items() if v is not None})
 
 
+def search_requests(query: Column, max_results: Column, region: Column, time_range: Column, source_domains: Column) -> Column:
+    """``search_payload`` of every row; what is null is left out."""
+    fields = {"query": query, "max_results": max_results, "country": region, "time_range": time_range, "include_domains": source_domains}
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
+
+
 def parse_search(responses: DataFrame) -> DataFrame:
     """(request_id, rank, title, url, content, score) of JSON responses; gaps in rank stay.
 
