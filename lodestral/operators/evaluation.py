@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lodestral.functions.session import checkpoint
 from lodestral.functions.values import ratio
 
 
@@ -84,5 +85,21 @@ def ordered_distinct(rows: DataFrame, key: str, value: str, order: str) -> DataF
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", value))), lambda x: x[value]).alias("values"))
 
 
+def source_stats(state: DataFrame, results: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(run_id, domains, source_types, preferred_source_type_match) of each run's search results.
+
+    ``state`` (run_id, result_id, ord) are the ids a run holds and ``results`` (result_id,
+    domain, source_type) the stored results; ids without a stored result, and results without
+    a source, say nothing.  Domains and types come in order of first appearance; blank domains
+    are left out.  ``preferred`` (run_id, source_types) names the runs.
+    """
+    held = checkpoint(state.join(results.filter("source_type is not null"), "result_id").select("run_id", "ord", "domain", "source_type"))
+    domains = ordered_distinct(held.filter("domain <> ''"), "run_id", "domain", "ord").withColumnRenamed("values", "domains")
+    types = ordered_distinct(held, "run_id", "source_type", "ord").withColumnRenamed("values", "types")
+    none = F.array().cast("array<string>")
+    every = preferred.select("run_id", "source_types").join(domains, "run_id", "left").join(types, "run_id", "left")
+    return every.select("run_id", F.coalesce("domains", none).alias("domains"), F.coalesce("types", none).alias("source_types"), F.arrays_overlap("source_types", F.coalesce("types", none)).alias("preferred_source_type_match"))
+
+
 def stop_reason(action: str = "last_action", done: str = "done"):
     return F.when(F.col(action) == "finish", "finished").when(F.col(action) == "stop", "stopped").when(~F.col(done), "max_steps").otherwise("error")

@@ -177,6 +177,11 @@ def sync_report(documents: DataFrame, failures: DataFrame) -> tuple[DataFrame, i
     return sync.summary(documents, failures), int(not failures.isEmpty())
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """(value): each row as a JSON object."""
+    return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def as_json(df: DataFrame) -> Iterator[str]:
     """JSON lines of a result, partition by partition."""
-    return (r[0] for r in df.select(F.to_json(F.struct("*"))).toLocalIterator())
+    return (r[0] for r in json_lines(df).toLocalIterator())

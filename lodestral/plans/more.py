@@ -16,6 +16,7 @@ from lodestral.operators import agents, chunking, embeddings, evaluation, invert
 from lodestral.plans import app
 from lodestral.plans.catalog import _HOST, _PARAGRAPHS, _STATE, _TOKENS, ORACLES, QUERIES, TERMS, _snapshot, _t, query  # noqa: F401
 from lodestral.sources import discovery, fetch, files, html, registry
+from lodestral.streaming import runs
 
 
 def _folder(spark, name: str) -> str:
@@ -615,3 +616,105 @@ def research_round(spark, d):
     held = pages.select(run.alias("run_id"), F.when(F.col("page_id") % 6 == 0, urls.normalize(url)).otherwise(F.concat(F.lit("https://other.test/"), "page_id")).alias("normalized_url"))
     found = app.research_round(results, index, snapshot, _shop, _extractor, max_results=12, limit=4, delay=0, documents=held)
     return found.select("run_id", F.col("ord").alias("page_id"), "document", "origin", "attempts", "lifecycle", F.col("n_evidence").cast("int").alias("n_evidence"), "reason")
+
+
+# ---------------------------------------------------------------- reports, traces, streams
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, lpad(event_id::VARCHAR, 12, '0')) AS place, event_type AS name, round(value, 4) AS seconds FROM events WHERE user_id = 8")
+def trace_scan(spark, d):
+    """Spans of all traces in a sink of JSON lines; those of one trace in order of start and id."""
+    e = _t(spark, d, "events")
+    spans = e.select(F.col("user_id").cast("string").alias("trace_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("span_id"), F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("started_at"), F.col("value").alias("duration_seconds"))
+    path = _folder(spark, "spans")
+    files.write_lines(spans, path)
+    found = files.trace(spark.read.schema("trace_id string, span_id string, name string, started_at timestamp, duration_seconds double").json(path), "8")
+    place = F.row_number().over(W.orderBy("started_at", "span_id"))  # one trace
+    return found.select(F.col("span_id").cast("long").alias("event_id"), place.cast("long").alias("place"), "name", F.round("duration_seconds", 4).alias("seconds"))
+
+
+@query("""SELECT source_id, documents, active_dated, failures, is_total, 1 AS exit_code FROM (
+SELECT source AS source_id, sum(d)::BIGINT AS documents, sum(a)::BIGINT AS active_dated, sum(f)::BIGINT AS failures, grouping(source)::INTEGER AS is_total
+FROM (SELECT coalesce(source, '-') AS source, 1 AS d, CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END AS a, 0 AS f FROM documents UNION ALL SELECT coalesce(source, '-'), 0, 0, 1 FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) GROUP BY ROLLUP (source))""")
+def sync_report_lines(spark, d):
+    """The report of a sync as JSON lines with its exit code."""
+    docs = _t(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit("-")))
+    stored = docs.select(F.col("source").alias("source_id"), F.lit("active").alias("status"), F.when(F.col("n_chars") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("published_at"))
+    failures = docs.join(_t(spark, d, "labels").filter("toxic = 1"), "doc_id").select(F.col("source").alias("source_id"))
+    report, code = app.sync_report(stored, failures)
+    item = F.from_json("value", "source_id string, documents long, active_dated long, failures long, is_total int").alias("r")
+    return app.json_lines(report).select(item).select("r.*", F.lit(code).alias("exit_code"))
+
+
+@query(f"""
+WITH s AS (SELECT page_id % 7 AS run_id, page_id, CASE WHEN page_id % 13 = 0 THEN '' ELSE {_HOST} END AS domain, CASE length({_HOST}) % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'blog' WHEN 2 THEN 'official' END AS source_type FROM pages),
+h AS (SELECT * FROM s WHERE page_id % 5 > 0 AND source_type IS NOT NULL),
+d AS (SELECT run_id, array_to_string(list(domain ORDER BY o), ',') AS domains FROM (SELECT run_id, domain, min(page_id) AS o FROM h WHERE domain <> '' GROUP BY ALL) GROUP BY run_id),
+t AS (SELECT run_id, array_to_string(list(source_type ORDER BY o), ',') AS source_types, bool_or(source_type = CASE WHEN run_id % 2 = 0 THEN 'news' ELSE 'social' END) AS fits FROM (SELECT run_id, source_type, min(page_id) AS o FROM h GROUP BY ALL) GROUP BY run_id)
+SELECT r.run_id, coalesce(domains, '') AS domains, coalesce(source_types, '') AS source_types, coalesce(fits, false) AS preferred FROM (SELECT DISTINCT page_id % 7 AS run_id FROM pages) r LEFT JOIN d USING (run_id) LEFT JOIN t USING (run_id)""")
+def source_stats(spark, d):
+    """Domains and types of the search results that each run holds; a fifth of the ids have no stored result."""
+    p, i, h = _t(spark, d, "pages"), F.col("page_id"), urls.host(F.col("url"))
+    state = p.select((i % 7).alias("run_id"), i.alias("result_id"), i.alias("ord"))
+    results = p.filter(i % 5 > 0).select(i.alias("result_id"), F.when(i % 13 == 0, "").otherwise(h).alias("domain"), F.element_at(F.array(F.lit("news"), F.lit("blog"), F.lit("official"), F.lit(None)), F.length(h) % 4 + 1).alias("source_type"))
+    preferred = p.select((i % 7).alias("run_id")).distinct().select("run_id", F.array(F.when(F.col("run_id") % 2 == 0, "news").otherwise("social"), F.lit("aggregator")).alias("source_types"))
+    found = evaluation.source_stats(state, results, preferred)
+    return found.select("run_id", F.array_join("domains", ",").alias("domains"), F.array_join("source_types", ",").alias("source_types"), F.col("preferred_source_type_match").alias("preferred"))
+
+
+_SAID = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''))"
+
+
+@query(f"SELECT role, sum({_SAID})::BIGINT AS prompt_tokens, count(*) * 2 AS completion_tokens, sum({_SAID})::BIGINT + count(*) * 2 AS total_tokens, count(*) AS calls FROM conversations GROUP BY role")
+def model_usage(spark, d):
+    """Tokens of calls to a model that says the same to every prompt, by role."""
+    calls = checkpoint(_t(spark, d, "conversations").select("role", agents.generate(F.col("text"), agents.fake_model("two words")).alias("r")))
+    return agents.usage(calls.select("role", "r.*"), "role")
+
+
+@query("SELECT conv_id, turn, CASE WHEN text LIKE '%a%' THEN 'a claim' END AS claim, CASE WHEN text LIKE '%a%' THEN NULL ELSE 'invalid_schema' END AS reason FROM conversations")
+def fake_extraction(spark, d):
+    """A smoke run of extraction with models that say the same to every prompt: a claim, or an answer of no use."""
+    c = _t(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("document_id"), "text", F.col("text").contains("a").alias("good"))
+    say = lambda rows, answer: rows.select("document_id", F.lit(0).alias("position"), agents.generate(F.col("text"), agents.fake_model(answer)).alias("r")).select("document_id", "position", "r.response", "r.error")
+    answers = checkpoint(say(c.filter("good"), '[{"claim": "a claim"}]').union(say(c.filter("not good"), '{"a": 1}')))
+    found, bad = agents.evidence(answers)
+    return c.join(found.select("document_id", "claim"), "document_id", "left").join(bad.select("document_id", "reason"), "document_id", "left").select("conv_id", "turn", "claim", "reason")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    """Sessions of users with gaps of half an hour, from a stream of events."""
+    events = runs.read_events(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema)
+    out = runs.drain(runs.sessions(events, late="3650 days"), f"sessions_{uuid.uuid4().hex}", "complete")
+    return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
+
+
+@query("SELECT DISTINCT 'https://x.org/' || event_type || '/' || user_id % 20 AS normalized_url FROM events")
+def stream_first_seen(spark, d):
+    """URLs that a stream of discoveries names for the first time within the watermark, once for all their forms."""
+    events = runs.read_events(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema, 1000)
+    url = F.concat(F.lit("HTTPS://X.org/"), "event_type", F.lit("/"), (F.col("user_id") % 20).cast("string"), F.when(F.col("event_id") % 2 == 0, "/#top").otherwise(""))
+    seen = events.select(url.alias("url"), F.col("ts").cast("timestamp").alias("seen_at"))
+    return runs.drain(runs.first_seen(seen, "3650 days"), f"first_seen_{uuid.uuid4().hex}").select("normalized_url")
+
+
+@query("""SELECT 'https://x.org/' || doc_id // 2 AS canonical_url, arg_max(source, doc_id) AS source_id, sha256(arg_max(text, doc_id)) AS content_hash, max(doc_id) AS version FROM (SELECT doc_id, 's' AS source, text FROM documents) GROUP BY 1""")
+def stream_upsert(spark, d):
+    """Documents as a stream of fetched versions, two for each URL: the later one of each is stored."""
+    docs = runs.read_events(spark, f"{d}/documents.parque[t]", _t(spark, d, "documents").schema, 1000)
+    i, null = F.col("doc_id"), lambda t="string": F.lit(None).cast(t)
+    url = F.concat(F.lit("https://x.org/"), F.floor(i / 2))
+    rows = docs.select(
+        null().alias("id"), F.lit("s").alias("source_id"), url.alias("url"), url.alias("canonical_url"), F.lit("active").alias("status"), i.cast("string").alias("title"), "text", null().alias("media_type"), null("timestamp").alias("published_at"),
+        F.timestamp_seconds(i).alias("fetched_at"), null().alias("etag"), null().alias("last_modified"), values.content_hash(F.col("text")).alias("content_hash"), null().alias("failure_reason"),
+    )
+    path = _folder(spark, "stream-upsert")
+    query = runs.upsert_batches(rows, f"{path}/store", f"{path}/checkpoint", 8).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress["numInputRows"] else query.lastProgress["batchId"] - 1
+    found = runs.upserted(spark, f"{path}/store", last)
+    return found.select("canonical_url", "source_id", "content_hash", F.col("title").cast("long").alias("version"))
