@@ -77,6 +77,22 @@ def case_lines(spark, d):
     return files.read_cases(spark, path, "item_id long, text string", "item_id").select("item_id", F.sha2("text", 256).alias("text_hash"))
 
 
+@query("SELECT conv_id, turn, conv_id % 3 AS part, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn)::BIGINT AS number, row_number() OVER (ORDER BY conv_id % 3, conv_id, turn) - 1 AS ord FROM conversations")
+def line_numbers(spark, d):
+    """Lines of three files, read in byte ranges of a few kilobytes, with their numbers in the file and in all."""
+    path, part = _folder(spark, "lines"), F.col("conv_id") % 3
+    c = _t(spark, d, "conversations").select(F.to_json(F.struct("conv_id", "turn", "text")).alias("value"), part.alias("part"), "conv_id", "turn")
+    c.repartitionByRange(3, "part").sortWithinPartitions("part", "conv_id", "turn").select("value", "part").write.partitionBy("part").text(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = checkpoint(files.numbered_lines(spark, f"{path}/*"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    case = F.from_json("line", "conv_id long, turn long").alias("c")
+    return found.select(case, "number", "ord").select("c.*", (F.col("c.conv_id") % 3).alias("part"), "number", "ord")
+
+
 @query("SELECT item_id AS id, sha256(text) AS question_hash, CASE WHEN item_id % 2 = 0 THEN 'item' ELSE 'set' END AS answer_type, 'open' AS question_type, item_id % 3 AS topic FROM benchmark")
 def prepared_questions(spark, d):
     """Encrypted questions decrypted, written as JSON lines and read again."""

@@ -182,3 +182,24 @@ def test_artifacts(spark):
     assert [r["id"] for r in files.list_artifacts(more, "doc").collect()] == ["1", "2"] and files.get_artifact(more, "other", "1").isEmpty()
     with pytest.raises(ValueError):
         files.put_artifacts(store, store)
+
+
+def test_numbered_lines(spark, tmp_path):
+    """Files cut into many ranges: numbers, order and errors are those of a reader line by line."""
+    texts = {"a.jsonl": "".join(f'{{"id": {k}}}\r\n' if k % 7 else "\n" for k in range(900)), "b.jsonl": '\n{"id": 5000}\n\n{"id": 5001}', "c.jsonl": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        read = files.numbered_lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() >= 4 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted((r["ord"], r["file"].rsplit("/", 1)[-1], r["number"], r["line"]) for r in read.collect())
+        expected = [(name, k, line) for name, text in texts.items() for k, line in enumerate(text.replace("\r\n", "\n").split("\n")[: None if text and not text.endswith("\n") else -1], 1)]
+        assert got == [(o, *row) for o, row in enumerate(expected)]
+        assert [r["id"] for r in files.read_cases(spark, str(tmp_path), "id int", "id").orderBy("ord").collect()] == [k for k in range(900) if k % 7] + [5000, 5001]
+        (tmp_path / "b.jsonl").write_text('{"id": 1}\n\nbroken\n{"id": ')
+        with pytest.raises(ValueError, match=r"b\.jsonl:3: invalid case"):
+            files.read_cases(spark, str(tmp_path), "id int")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
