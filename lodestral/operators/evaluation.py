@@ -85,6 +85,19 @@ def ordered_distinct(rows: DataFrame, key: str, value: str, order: str) -> DataF
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", value))), lambda x: x[value]).alias("values"))
 
 
+def sketches(rows: DataFrame, run: str, value: str, lg_k: int = 12) -> DataFrame:
+    """(run, sketch) of the distinct values of each run: a few kilobytes each that can be stored and merged later."""
+    return rows.groupBy(run).agg(F.hll_sketch_agg(value, lg_k).alias("sketch"))
+
+
+def merged_estimate(stored: DataFrame, *keys: str) -> DataFrame:
+    """(keys, estimate) of distinct values over all runs of a key, from their stored sketches alone.
+
+    The standard error is about 1.04 / sqrt(2 ** lg_k) of the count, 1.6 % for the default.
+    """
+    return stored.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def source_stats(state: DataFrame, results: DataFrame, preferred: DataFrame) -> DataFrame:
     """(run_id, domains, source_types, preferred_source_type_match) of each run's search results.
 

@@ -15,7 +15,7 @@ from lodestral.functions.session import checkpoint, checkpoint_dir
 from lodestral.operators import agents, chunking, embeddings, evaluation, inverted, research, retrieval, runtime, search, store, sync, traces
 from lodestral.plans import app
 from lodestral.plans.catalog import _HOST, _PARAGRAPHS, _STATE, _TOKENS, ORACLES, QUERIES, TERMS, _snapshot, _t, query  # noqa: F401
-from lodestral.sources import discovery, fetch, files, html, registry
+from lodestral.sources import discovery, fetch, files, html, registry, robots
 from lodestral.streaming import runs
 
 
@@ -734,3 +734,46 @@ def stream_upsert(spark, d):
     last = query.lastProgress["batchId"] if query.lastProgress["numInputRows"] else query.lastProgress["batchId"] - 1
     found = runs.upserted(spark, f"{path}/store", last)
     return found.select("canonical_url", "source_id", "content_hash", F.col("title").cast("long").alias("version"))
+
+
+@query(ORACLES["lifecycle_reducer"])
+def stream_lifecycle(spark, d):
+    """Document lifecycle and curation as keyed state of a stream: what the batch reducer gives."""
+    events = runs.read_events(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema, 1000)
+    kind = F.when(F.col("event_type").isin("click", "signup"), "evidence").when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "shelve").otherwise("reactivate")
+    outcomes = events.select((F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 15).alias("document_id"), F.col("event_id").alias("step"), kind.alias("event"), (F.col("event_id") % 3).alias("n_evidence"), F.lit(None).cast("string").alias("reason"), F.col("ts").cast("timestamp").alias("ts"))
+    with runs.rocksdb(spark):
+        out = runs.drain(runs.lifecycle(outcomes, "3650 days"), f"lifecycle_{uuid.uuid4().hex}", "update")
+    newest = out.groupBy("run_id", "document_id").agg(F.max_by(F.struct("lifecycle", "updated_at_step"), "version").alias("s"))
+    return newest.select("run_id", "document_id", "s.lifecycle", "s.updated_at_step")
+
+
+@query("""SELECT user_id % 6 AS run_id, count(DISTINCT source) AS sources, count(DISTINCT doc_id) AS documents, true AS near FROM (SELECT d.doc_id, d.source, d.doc_id % 30 AS user_id FROM documents d) GROUP BY 1""")
+def merged_sketches(spark, d):
+    """Distinct documents of groups of runs: exact counts, and whether the estimate of the runs' merged sketches is within three standard errors."""
+    docs = _t(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 30).alias("run"))
+    stored = checkpoint(evaluation.sketches(docs, "run", "doc_id"))
+    estimate = evaluation.merged_estimate(stored.withColumn("run_id", F.col("run") % 6), "run_id")
+    exact = docs.groupBy((F.col("run") % 6).alias("run_id")).agg(F.count_distinct("source").alias("sources"), F.count_distinct("doc_id").alias("documents"))
+    near = F.abs(F.col("estimate") - F.col("documents")) <= 1 + 3 * 1.04 / 64 * F.col("documents")
+    return exact.join(estimate, "run_id").select("run_id", "sources", "documents", near.alias("near"))
+
+
+_ONE_HOST = "(SELECT page_id, regexp_extract(url, '^[^/?#]*//[^/?#]*([^#]*)', 1) AS t FROM pages)"
+_MANY = f"""(SELECT page_id % 5 > 1 AS allow, CASE page_id % 5 WHEN 0 THEN t WHEN 1 THEN left(t, 5) || '*' || right(t, 2) WHEN 2 THEN left(t, 6) WHEN 3 THEN t || '$' ELSE left(t, 4) || '*=' END AS pattern FROM {_ONE_HOST})"""
+
+
+@query(f"""
+WITH r AS (SELECT DISTINCT allow, pattern, string_split(CASE WHEN pattern LIKE '%$' THEN left(pattern, length(pattern) - 1) ELSE pattern END, '*') AS p, pattern LIKE '%$' AS closed FROM {_MANY}),
+h AS (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, allow DESC) AS n FROM {_ONE_HOST} JOIN r ON starts_with(t, p[1]) AND CASE WHEN len(p) = 1 THEN NOT closed OR t = p[1] ELSE contains(substr(t, length(p[1]) + 1), p[2]) END)
+SELECT page_id, CASE WHEN coalesce(allow, true) THEN 'allowed' ELSE 'disallowed' END AS decision FROM pages LEFT JOIN (SELECT * FROM h WHERE n = 1) USING (page_id)""")
+def robots_many_rules(spark, d):
+    """All pages on one host, each of which gave that host a rule: plain, open, closed or with a star."""
+    t = F.regexp_extract("url", "^[^/?#]*//[^/?#]*([^#]*)", 1)
+    pages, k = _t(spark, d, "pages").select("page_id", t.alias("t")), F.col("page_id") % 5
+    one = pages.select("page_id", F.concat(F.lit("https://one.test"), "t").alias("url"))
+    pattern = F.when(k == 0, F.col("t")).when(k == 1, F.concat(F.left("t", F.lit(5)), F.lit("*"), F.right("t", F.lit(2)))).when(k == 2, F.left("t", F.lit(6))).when(k == 3, F.concat("t", F.lit("$"))).otherwise(F.concat(F.left("t", F.lit(4)), F.lit("*=")))
+    lines = pages.select(F.concat(F.when(k > 1, "Allow: ").otherwise("Disallow: "), pattern).alias("line")).distinct()
+    body = lines.agg(F.concat_ws("\n", F.lit("User-agent: *"), F.concat_ws("\n", F.collect_list("line"))).alias("body"))  # a host has one file
+    site = body.select(F.lit("https://one.test:443").alias("origin"), F.lit(200).alias("status"), "body")
+    return robots.decide(one, site, robots.rules(site, "bot"), ["page_id"]).select("page_id", "decision")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestral.functions import urls
@@ -45,9 +46,9 @@ def pattern_regex(pattern: str) -> str:
 def rules(robots: DataFrame, agent: str) -> DataFrame:
     """(origin, allow, pattern, regex) of the 2xx robots files (origin, status, body)."""
 
-    @F.udf("array<struct<allow:boolean,pattern:string,regex:string>>", useArrow=True)
-    def parse(body: str | None):
-        return [{"allow": a, "pattern": p, "regex": pattern_regex(p)} for a, p in parse_rules(body or "", agent)]
+    @F.pandas_udf("array<struct<allow:boolean,pattern:string,regex:string>>")
+    def parse(bodies: pd.Series) -> pd.Series:
+        return pd.Series([[{"allow": a, "pattern": p, "regex": pattern_regex(p)} for a, p in parse_rules(b or "", agent)] for b in bodies], dtype=object)
 
     good = robots.filter("status BETWEEN 200 AND 299")
     return good.select("origin", F.explode(parse("body")).alias("r")).select("origin", "r.*")
@@ -62,12 +63,32 @@ def origin_key(url):
     return F.concat(urls.scheme(url), F.lit("://"), urls.host(url), F.lit(":"), F.coalesce(urls.port(url).cast("string"), F.lit("")))
 
 
+def literal(pattern):
+    """What a path must begin with for a pattern to match: the pattern up to its first * or closing $."""
+    return F.regexp_replace(F.regexp_extract(pattern, r"^[^*]*", 0), r"\$$", "")
+
+
+def matches(rows: DataFrame, rule_table: DataFrame, key: list[str]) -> DataFrame:
+    """(key, allow, pattern) of the rules that hold for rows of (key, origin, target).
+
+    Rules are found by their literal beginnings: a target is looked up once for each length
+    that the beginnings of its origin have, so a host with thousands of rules costs as many
+    lookups as there are lengths.  Only what begins alike is matched by expression.
+    """
+    heads = rule_table.select("origin", "allow", "pattern", "regex", literal(F.col("pattern")).alias("head"))
+    lengths = heads.groupBy("origin").agg(F.collect_set(F.length("head")).alias("lengths"))  # as many as a path has characters
+    fit = F.filter("lengths", lambda n: n <= F.length("target"))
+    asked = rows.join(lengths, "origin").select(*key, "origin", "target", F.explode(fit).alias("n")).withColumn("head", F.col("target").substr(F.lit(1), F.col("n")))
+    plain = F.col("pattern") == F.col("head")
+    return asked.join(heads, ["origin", "head"]).filter(plain | F.regexp_like("target", F.col("regex"))).select(*key, "allow", "pattern")
+
+
 def decide(rows: DataFrame, robots: DataFrame, rule_table: DataFrame, key: list[str]) -> DataFrame:
     """Adds ``decision`` to (key, url): the longest matching rule, allow on ties."""
     base = rows.withColumn("origin", origin_key(F.col("url")))
     target = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^#]*)", 1)
     target = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
-    hits = base.select(*key, "origin", target.alias("target")).join(rule_table, "origin").filter(F.regexp_like("target", F.col("regex")))
+    hits = matches(base.select(*key, "origin", target.alias("target")), rule_table, key)
     best = hits.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(F.length("pattern").desc(), F.col("allow").desc()))).filter("n = 1").select(*key, "allow")
     joined = base.join(robots.select("origin", "status").dropDuplicates(["origin"]), "origin", "left").join(best, key, "left")
     ok = F.col("status").between(200, 299)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestral.functions import urls
 from lodestral.operators import store
@@ -113,6 +115,92 @@ def run_state(events: DataFrame) -> DataFrame:
     return timed.groupBy("user_id").applyInPandasWithState(update, STATE, "steps long, last_type string, last_ts long, last_id long", "update", "NoTimeout")
 
 
+LIFECYCLE = "run_id long, document_id long, lifecycle string, reason string, updated_at_step long, version long"
+
+
+class Lifecycle(StatefulProcessor):
+    """Lifecycle of each run's documents: a map by document, kept until the run has been silent for ``silent_ms`` of event time.
+
+    An entry holds the first extraction and the last curation that were seen, by step, so that
+    the order in which events arrive doesn't matter.
+    """
+
+    def __init__(self, silent_ms: int):
+        self.silent_ms = silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        entry = "born_step long, born string, born_reason string, moved_step long, moved string, moved_reason string, version long"
+        self.documents = handle.getMapState("documents", "document_id long", entry)
+        self.until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        touched, latest = set(), 0
+        for part in rows:
+            latest = max(latest, int(part["ts"].max().value // 1_000_000))
+            for r in part.sort_values("step").itertuples():
+                born_step, born, born_reason, moved_step, moved, moved_reason, version = self._entry(r.document_id)
+                if r.event in ("evidence", "failure") and (born_step is None or r.step < born_step):
+                    born_step, born, born_reason = r.step, "active" if r.event == "evidence" and r.n_evidence > 0 else "unusable", r.reason
+                elif r.event in ("shelve", "reactivate") and (moved_step is None or r.step > moved_step):
+                    moved_step, moved, moved_reason = r.step, "shelved" if r.event == "shelve" else "active", r.reason
+                self.documents.updateValue((int(r.document_id),), (born_step, born, born_reason, moved_step, moved, moved_reason, version + 1))
+                touched.add(int(r.document_id))
+        self._wait(latest)
+        out = [self._row(key[0], d) for d in sorted(touched)]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in LIFECYCLE.split(", ")]).astype({"updated_at_step": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The run has been silent: its state goes, nothing more is said."""
+        self.documents.clear()
+        self.until.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+    def _entry(self, document_id) -> tuple:
+        at = (int(document_id),)
+        return tuple(self.documents.getValue(at)) if self.documents.containsKey(at) else (None, None, None, None, None, None, 0)
+
+    def _wait(self, latest: int) -> None:
+        old = self.until.get()[0] if self.until.exists() else None
+        new = latest + self.silent_ms
+        if old is None or new > old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+            self.until.update((new,))
+
+    def _row(self, run, document_id: int) -> tuple:
+        born_step, born, born_reason, moved_step, moved, moved_reason, version = self._entry(document_id)
+        if moved is not None and born == "active":
+            return run, document_id, moved, moved_reason, moved_step, version
+        return run, document_id, born, born_reason, born_step, version
+
+
+def lifecycle(outcomes: DataFrame, late: str = "1 day", silent_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Changes of ``operators.research.lifecycle`` from a stream of (run_id, document_id, step, event, n_evidence, reason, ts).
+
+    One row for each document that a batch touches; the row of the highest ``version`` holds.
+    Needs the RocksDB state store (``rocksdb``).
+    """
+    timed = outcomes.withWatermark("ts", late)
+    return timed.groupBy("run_id").transformWithStateInPandas(Lifecycle(silent_ms), LIFECYCLE, "Update", "EventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there now; the rows it gave, from an in-memory table (for small results)."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

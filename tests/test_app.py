@@ -167,3 +167,20 @@ def test_waves(spark, tmp_path):
     asked = sorted(p.read_text() for p in tmp_path.iterdir())
     assert not {"p/5", "p/13", "p/11", "p/8"} & set(asked) and len(asked) <= sum(v[2] for v in table.values()) + 1
     assert retrieval.fetch_in_waves(candidates.limit(0), known, 3, app.documents_or_pages(nothing, _site, 0)).collect() == []
+
+
+def test_runs_side_by_side(spark):
+    """Actions without an executor or with an odd observation stop the runs; endless ones end by their steps."""
+    states = spark.range(3).withColumnRenamed("id", "run_id")
+    always = lambda kind: lambda s: s.select("run_id", F.lit(kind).alias("type"), F.lit("{}").alias("params"))
+    say = lambda kind: lambda a: a.select("run_id", F.lit(kind).alias("type"), F.lit("x").alias("answer"))
+    ended, history, spans = runtime.run_all(states, always("research"), {"research": say("research")}, 2)
+    assert {(r["step"], r["done"], r["answer"]) for r in ended.collect()} == {(2, False, None)} and history.count() == 6 and spans.count() == 3 * 7
+    ended, history, spans = runtime.run_all(states, always("finish"), {"finish": say("finish")}, 5)
+    assert {(r["step"], r["done"], r["answer"]) for r in ended.collect()} == {(1, True, "x")} and history.count() == 3
+    assert traces.depth(spans.select(F.lit("t").alias("trace_id"), "span_id", F.col("parent").alias("parent_span_id"))).agg(F.max("depth")).first()[0] == 2
+    for executors in ({}, {"research": say("finish")}, {"research": lambda a: say("research")(a).limit(1)}):
+        with pytest.raises(ValueError):
+            runtime.run_all(states, always("research"), executors, 2)
+    none, history, _ = runtime.run_all(states.limit(0), always("research"), {"research": say("research")}, 2)
+    assert none.count() == history.count() == 0

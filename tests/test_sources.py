@@ -203,3 +203,15 @@ def test_numbered_lines(spark, tmp_path):
             files.read_cases(spark, str(tmp_path), "id int")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_robot_rules_by_beginnings(spark):
+    """Looking rules up by their literal beginnings finds what matching every rule finds."""
+    patterns = ["/", "/a", "/a/b", "/a/*b", "/*", "*", "*.html$", "/a$", "/a/b$", "/x*y*z$", "/$", "/a*", "/a?b=*", "/é", "/a.b"]
+    targets = ["/", "/a", "/a/", "/a/b", "/a/b/c", "/a/xb", "/q.html", "/q.html?x", "/x1y2z", "/x1y2zz", "/a?b=1", "/éx", "/acb"]
+    rows = spark.createDataFrame([(k, "o", t) for k, t in enumerate(targets)] + [(99, "none", "/a")], "id int, origin string, target string")
+    table = spark.createDataFrame([("o", k % 2 == 0, p, robots.pattern_regex(p)) for k, p in enumerate(patterns)], "origin string, allow boolean, pattern string, regex string")
+    found = {(r["id"], r["pattern"]) for r in robots.matches(rows, table, ["id"]).collect()}
+    import re
+
+    assert found == {(k, p) for k, t in enumerate(targets) for p in patterns if re.search(robots.pattern_regex(p), t)}

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lodestral.operators import research
 from lodestral.streaming import runs
 
 
@@ -48,3 +49,41 @@ def test_upsert_versions(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out/manifests").iterdir()) == ["2", "3"]
     named = {tuple(r) for k in (2, 3) for r in spark.read.parquet(str(tmp_path / f"out/manifests/{k}")).collect()}
     assert {(int(b.name[7:]), int(b.parent.name[8:])) for b in (tmp_path / "out").glob("version=*/bucket=*")} == named
+
+
+def _outcomes(spark, rows):
+    return spark.createDataFrame(rows, "run_id long, document_id long, step long, event string, n_evidence long, reason string, at string").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+
+
+def test_lifecycle_in_batches(spark, data, tmp_path):
+    """Events in any order over many batches give what the batch reducer gives over all of them."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    kind = F.element_at(F.array(*map(F.lit, ("evidence", "failure", "shelve", "reactivate"))), (F.col("event_id") % 4 + 1).cast("int"))
+    table = events.select((F.col("user_id") % 5).alias("run_id"), (F.col("event_id") % 9).alias("document_id"), (F.col("event_id") * 7919 % 10007).alias("step"), kind.alias("event"), (F.col("event_id") % 3).alias("n_evidence"), F.concat(F.lit("r"), "event_id").alias("reason"), F.col("ts").cast("timestamp").alias("ts"))
+    for k in range(3):
+        table.filter(F.col("step") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runs.read_events(spark, str(tmp_path / "in"), table.schema)
+    with runs.rocksdb(spark):
+        out = runs.drain(runs.lifecycle(stream, "3650 days", 3650 * 86_400_000), "lifecycle_test", "update", str(tmp_path / "cp"))
+    newest = out.groupBy("run_id", "document_id").agg(F.max_by(F.struct("lifecycle", "reason", "updated_at_step"), "version").alias("s")).select("run_id", "document_id", "s.*")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(newest) == rows(research.lifecycle(table)) and out.count() > newest.count()
+
+
+def test_lifecycle_expires(spark, tmp_path):
+    """A run that stays silent beyond its time is forgotten; one that goes on keeps its documents."""
+    parts = [
+        [(1, 7, 5, "evidence", 1, "a", "2024-01-01 00:00:00"), (2, 7, 5, "evidence", 1, "a", "2024-01-01 00:00:00")],
+        [(2, 8, 6, "failure", 0, "b", "2024-01-01 12:00:00")],
+        [(3, 1, 1, "failure", 0, "c", "2024-01-02 06:00:00")],
+        [(3, 1, 2, "failure", 0, "c", "2024-01-02 06:00:00")],  # the watermark has moved on: run 1 goes
+        [(1, 7, 9, "shelve", 0, "d", "2024-01-02 06:00:00"), (2, 7, 9, "shelve", 0, "d", "2024-01-02 06:00:00")],
+    ]
+    for part in parts:
+        _outcomes(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runs.read_events(spark, str(tmp_path / "in"), _outcomes(spark, []).schema)
+    with runs.rocksdb(spark):
+        out = runs.drain(runs.lifecycle(stream, "1 second", 86_400_000), "lifecycle_expires", "update", str(tmp_path / "cp"))
+    last = {r["run_id"]: (r["lifecycle"], r["version"]) for r in out.filter("document_id = 7 and updated_at_step = 9 or document_id = 7 and lifecycle is null").collect()}
+    assert last == {1: (None, 1), 2: ("shelved", 2)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
