@@ -4,7 +4,7 @@ A document is a bag of sentences; its score is 1 - prod(1 - p) over the probabil
 its sentences.  Only the documents carry labels.  Features of a sentence are hashes of
 its words and of their first four to seven bytes.  Features are chosen by how many
 *different* sentences of toxic and other documents hold them, so copies count once; Spark
-counts them, and at most ``max_features`` of the strongest are kept.  Weights minimise the
+counts them, and all that enough toxic sentences have, often enough, are kept.  Weights minimise the
 noisy-or likelihood with Adam in NumPy on the driver.
 
 Learning is bounded: the sample holds at most ``max_docs`` labelled documents (in the order
@@ -175,7 +175,7 @@ def _hits(names: np.ndarray, kept: list[str]):
     return run
 
 
-def _strongest(table: DataFrame, settings: Settings, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _strongest(table: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(features, sorted; their log lifts): the strongest by counts over different sentences.
 
     Features of toxic sentences are counted first; of the other sentences only features
@@ -199,12 +199,11 @@ def _strongest(table: DataFrame, settings: Settings, most: int) -> tuple[np.ndar
         return none
     lift = (t + 0.1) / (n + 0.5) * sentences_of[1] / sentences_of[0]
     strength = np.where(lift > max(1.0, settings.lift), t * np.log(lift), 0)
-    best = np.lexsort((names, -np.round(strength, 9)))[:most]
-    best = np.sort(best[strength[best] > 0])
+    best = np.flatnonzero(strength > 0)
     return names[best], np.log(lift[best])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_bytes: int = 32 << 20, max_features: int = 2000, settings: Settings = Settings()) -> Model:  # noqa: B008
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_bytes: int = 32 << 20, settings: Settings = Settings()) -> Model:  # noqa: B008
     """Learn from a bounded sample of labelled documents; docs and labels are those allowed for learning."""
     blank = Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -216,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_bytes: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = rows.join(keys, (F.col("doc_id") == F.col("k")) & (F.col("th") == F.col("kt"))).select("doc_id", "th", "toxic", "text").dropDuplicates(["doc_id", "th"])
     table = shared.stored(shared.arrow(rows, _sample_features, "doc_id long, th long, toxic int, content long, features array<long>"), "sentences")
-    names, start = _strongest(table, settings, max_features)
+    names, start = _strongest(table, settings)
     if not len(names):
         return blank
     bag = ["doc_id", "th", "toxic"]
