@@ -42,10 +42,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    ``few`` is for tables of few or short rows: a file for every fourth shuffle partition, but
+    four for each core at least, so that no stage has fewer tasks than it could use.
+    """
     spark = df.sparkSession
     path = folder(spark, name)
+    if few:
+        df = df.coalesce(max(partitions(spark) // 4, 4 * spark.sparkContext.defaultParallelism))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -258,7 +258,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large-star and small-star contraction; every round is a stored table.
     """
-    now = shared.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name)
+    now = shared.stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), name, few=True)
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -270,7 +270,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").filter("hi <> lo").distinct()
-        now = shared.stored(small, name)
+        now = shared.stored(small, name, few=True)
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFram
     named = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # A stored side leaves the last join free to split a hot fingerprint.
-    return prints.join(shared.stored(named.join(ids, "root").select("fp", "component_id"), "fingerprint-components"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(shared.stored(named.join(ids, "root").select("fp", "component_id"), "fingerprint-components", few=True), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Multipliers that part one shingle hash into independent ones.
@@ -512,10 +512,10 @@ def _shingles_of(nodes: DataFrame, known: DataFrame, classes: DataFrame, size: i
 
 def _verified(pairs: DataFrame, known: DataFrame, classes: DataFrame, size: int, alike: float) -> DataFrame:
     """The pairs (a, b) of nodes whose distinct shingles are similar by ``alike``, from the texts."""
-    pairs = shared.stored(pairs.distinct(), "slice-pairs")
+    pairs = shared.stored(pairs.distinct(), "slice-pairs", few=True)
     sets = _shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), known, classes, size, "slice-shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
-    return shared.stored(shared.arrow(both.select("a", "b", "p", "q"), _alike(alike), "a long, b long"), "slice-links")
+    return shared.stored(shared.arrow(both.select("a", "b", "p", "q"), _alike(alike), "a long, b long"), "slice-links", few=True)
 
 
 #: Classes of one task where those under a key are compared.
@@ -586,10 +586,10 @@ def near_copies(docs: DataFrame, size: int = 5, tables: int = 12, budget: int =
     rooms = shared.stored(keys.join(open_, "key", "left_semi"), "rooms")
     sets = _shingles_of(rooms.select("node").distinct(), known, classes, size, "room-shingles")
     met = _seated(rooms, room).join(sets, "node").select("key", "node", "root", "shingles").repartition(shared.partitions(spark), "key")
-    links = links.union(shared.stored(shared.arrow(met, _rooms(alike), "a long, b long").distinct(), "room-links"))
+    links = links.union(shared.stored(shared.arrow(met, _rooms(alike), "a long, b long").distinct(), "room-links", few=True))
     named = classes.join(components(links), "node", "left").select("node", "check", "least", F.coalesce("root", "node").alias("root"))
     firsts = named.groupBy("root").agg(F.min("least").alias("of"))
-    found = prints.select("doc_id", "th", "node", "check").join(shared.stored(named.join(firsts, "root").select("node", "check", "of"), "print-components"), ["node", "check"])
+    found = prints.select("doc_id", "th", "node", "check").join(shared.stored(named.join(firsts, "root").select("node", "check", "of"), "print-components", few=True), ["node", "check"])
     return found.select("doc_id", "th", F.col("of.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("th") == F.col("of.th"))).alias("first"))
 
 
@@ -599,7 +599,7 @@ def distinct(docs: DataFrame) -> DataFrame:
     Rows are told apart by id and text, so no text goes because another one has its id;
     of rows equal in both, one stays.
     """
-    marks = shared.stored(near_copies(docs), "near-copies")
+    marks = shared.stored(near_copies(docs), "near-copies", few=True)
     rows = shared.wrapped(docs, *_keyed(docs))
 
     def among(keys: DataFrame, how: str, table: DataFrame) -> DataFrame:

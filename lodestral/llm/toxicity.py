@@ -182,7 +182,7 @@ def _strongest(table: DataFrame, settings: Settings) -> tuple[np.ndarray, np.nda
     that enough toxic ones have are counted at all.
     """
     none = np.zeros(0, np.uint64), np.zeros(0)
-    bad = shared.stored(table.filter("toxic = 1").groupBy("content").agg(F.first("features").alias("features")), "toxic-sentences")
+    bad = shared.stored(table.filter("toxic = 1").groupBy("content").agg(F.first("features").alias("features")), "toxic-sentences", few=True)
     often = bad.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("t")).filter(F.col("t") >= settings.least).toArrow()
     if not often.num_rows:
         return none
@@ -190,7 +190,7 @@ def _strongest(table: DataFrame, settings: Settings) -> tuple[np.ndarray, np.nda
     order = np.argsort(names.view(np.uint64))
     names, t = names.view(np.uint64)[order], t[order]
     good = shared.arrow(table.filter("toxic = 0").select("content", "features"), _hits(names, ["content"]), "content long, hits array<int>")
-    good = shared.stored(good.groupBy("content").agg(F.first("hits").alias("hits")), "other-sentences")
+    good = shared.stored(good.groupBy("content").agg(F.first("hits").alias("hits")), "other-sentences", few=True)
     n = np.zeros(len(names))
     for place, count in good.select(F.explode("hits").alias("k")).groupBy("k").count().collect():  # at most one row a name
         n[place] = count
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, max_bytes: int
     keys = F.broadcast(spark.createDataFrame(chosen, "k long, kt long, toxic int"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = rows.join(keys, (F.col("doc_id") == F.col("k")) & (F.col("th") == F.col("kt"))).select("doc_id", "th", "toxic", "text").dropDuplicates(["doc_id", "th"])
-    table = shared.stored(shared.arrow(rows, _sample_features, "doc_id long, th long, toxic int, content long, features array<long>"), "sentences")
+    table = shared.stored(shared.arrow(rows, _sample_features, "doc_id long, th long, toxic int, content long, features array<long>"), "sentences", few=True)
     names, start = _strongest(table, settings)
     if not len(names):
         return blank
