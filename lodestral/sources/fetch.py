@@ -1,14 +1,15 @@
 """HTTP and search connectors with an injected client.
 
 A client is a function of one request dict that returns a response dict; it is shipped to
-the executors.  Rows of one origin share a partition, where up to ``concurrency`` threads
-work, so a host sees bounded load.  Results should be stored before they are used twice:
+the executors.  Rows of one host lie in one task, or in a few that share its load between
+them, so a host sees bounded load.  Results should be stored before they are used twice:
 a retried task fetches again.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -44,16 +45,58 @@ def with_retry(client: Callable[[dict], dict], request: dict, attempts: int = 2,
     return out
 
 
-def fetch(requests: DataFrame, client: Callable[[dict], dict], concurrency: int = 4, attempts: int = 2, delay: float = 0.1, tasks: int | None = None) -> DataFrame:
-    """Responses of (url, if_none_match, if_modified_since)."""
+class _Share:
+    """A task's share of one host's load: so many requests in flight, and so many a second from a token bucket."""
+
+    def __init__(self, flights: int, rate: float | None):
+        self.room, self.rate, self.lock = threading.Semaphore(flights), rate, threading.Lock()
+        self.tokens, self.at = float(flights), time.monotonic()
+
+    def __enter__(self) -> None:
+        self.room.acquire()
+        if self.rate is None:
+            return
+        with self.lock:  # a token that isn't there yet is waited for
+            now = time.monotonic()
+            self.tokens = min(self.tokens + (now - self.at) * self.rate, 1.0 + self.rate) - 1
+            self.at, wait = now, max(0.0, -self.tokens / self.rate)
+        time.sleep(wait)
+
+    def __exit__(self, *_) -> None:
+        self.room.release()
+
+
+def fetch(requests: DataFrame, client: Callable[[dict], dict], concurrency: int = 4, attempts: int = 2, delay: float = 0.1, tasks: int | None = None, host_tasks: int = 1, rate: float | None = None) -> DataFrame:
+    """Responses of (url, if_none_match, if_modified_since).
+
+    A host sees ``concurrency`` requests at a time at most, and ``rate`` a second where one is
+    given.  Its URLs go to ``host_tasks`` tasks (no more than ``concurrency``), each of which
+    has an equal share of both, so a host with many URLs is spread without more load on it.
+    Shares belong to a slice of a host's URLs, wherever slices meet in one task.
+    """
     n = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = requests.select("url", "if_none_match", "if_modified_since", urls.netloc(F.col("url")).alias("o")).repartition(n, "o").drop("o")
+    slices = max(1, min(host_tasks, concurrency))
+    flights, pace = concurrency // slices, None if rate is None else rate / slices
+    host = urls.netloc(F.col("url"))
+    dealt = requests.select("url", "if_none_match", "if_modified_since", F.concat_ws("#", host, F.pmod(F.xxhash64("url"), F.lit(slices))).alias("slice")).repartition(n, "slice")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shares: dict[str, _Share] = {}
+
+        def one(r: dict) -> dict:
+            def asked(request: dict) -> dict:
+                with shares[r["slice"]]:
+                    return client(request)
+
+            request = {k: r[k] for k in ("url", "if_none_match", "if_modified_since")}
+            return {"url": r["url"], "final_url": r["url"]} | with_retry(asked, request, attempts, delay)
+
         with ThreadPoolExecutor(concurrency) as pool:
             for part in parts:
                 rows = part.astype(object).where(part.notna(), None).to_dict("records")
-                answers = pool.map(lambda r: {"url": r["url"], "final_url": r["url"]} | with_retry(client, r, attempts, delay), rows)
+                for r in rows:
+                    shares.setdefault(r["slice"], _Share(flights, pace))
+                answers = pool.map(one, rows)
                 yield pd.DataFrame([{k: a.get(k) for k in _NAMES} for a in answers], columns=_NAMES).astype({"status": "Int32", "attempt_count": "Int32"})
 
     return dealt.mapInPandas(run, RESPONSE)

@@ -215,3 +215,41 @@ def test_robot_rules_by_beginnings(spark):
     import re
 
     assert found == {(k, p) for k, t in enumerate(targets) for p in patterns if re.search(robots.pattern_regex(p), t)}
+
+
+def _timed(request):
+    """Notes when a request ran, and in which task."""
+    import time
+    import uuid
+    from pathlib import Path
+
+    from pyspark import TaskContext
+
+    where = request["url"].split("#")[1]
+    began = time.time()
+    time.sleep(0.03)
+    Path(where, uuid.uuid4().hex).write_text(f"{began} {time.time()} {request['url'].split('/')[2]} {TaskContext.get().partitionId()}")
+    return {"status": 200}
+
+
+def _load(folder, host):
+    """Most requests in flight, tasks, and requests a second of a host."""
+    rows = [(float(a), float(b), p) for a, b, h, p in (f.read_text().split() for f in folder.iterdir()) if h == host]
+    edges = sorted([(a, 1) for a, _, _ in rows] + [(b, -1) for _, b, _ in rows], key=lambda e: (e[0], e[1]))
+    most = now = 0
+    for _, e in edges:
+        most = max(most, now := now + e)
+    return most, len({p for _, _, p in rows}), len(rows) / max(1e-9, max(b for _, b, _ in rows) - min(a for a, _, _ in rows))
+
+
+@pytest.mark.parametrize(("host_tasks", "rate"), [(1, None), (4, None), (4, 20.0)])
+def test_hot_host(spark, tmp_path, host_tasks, rate):
+    """Requests of one host in many tasks: no more at a time, and no more a second, than in one."""
+    table = [(f"https://{'hot.test' if k % 8 else 'cold.test'}/{k}#{tmp_path}", None, None) for k in range(96)]
+    requests = spark.createDataFrame(table, "url string, if_none_match string, if_modified_since string")
+    got = fetch.fetch(requests, _timed, tasks=16, host_tasks=host_tasks, rate=rate).collect()
+    assert len(got) == 96 and all(r["status"] == 200 and r["attempt_count"] == 1 for r in got)
+    most, tasks, pace = _load(tmp_path, "hot.test")
+    assert most <= 4 and (tasks == 1 if host_tasks == 1 else 2 <= tasks <= 4)
+    if rate:
+        assert pace <= rate * 1.6  # buckets start with a few tokens
