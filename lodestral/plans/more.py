@@ -16,7 +16,8 @@ from lodestral.operators import agents, chunking, embeddings, evaluation, invert
 from lodestral.plans import app
 from lodestral.plans.catalog import _HOST, _PARAGRAPHS, _STATE, _TOKENS, ORACLES, QUERIES, TERMS, _snapshot, _t, query  # noqa: F401
 from lodestral.sources import discovery, fetch, files, html, registry, robots
-from lodestral.streaming import runs
+from lodestral.sources import web_search as search_source
+from lodestral.streaming import endpoints, runs
 
 
 def _folder(spark, name: str) -> str:
@@ -777,3 +778,59 @@ def robots_many_rules(spark, d):
     body = lines.agg(F.concat_ws("\n", F.lit("User-agent: *"), F.concat_ws("\n", F.collect_list("line"))).alias("body"))  # a host has one file
     site = body.select(F.lit("https://one.test:443").alias("origin"), F.lit(200).alias("status"), "body")
     return robots.decide(one, site, robots.rules(site, "bot"), ["page_id"]).select("page_id", "decision")
+
+
+def _feeds(version: int):
+    """Feeds whose hosts' names say how long they stay as they are; every fifth is missing."""
+
+    def client(request: dict) -> dict:
+        n = len(request["url"].split("/")[2])
+        etag = f"v{version if n % 3 == 0 else 0}"
+        if n % 5 == 0:
+            return {"status": 404}
+        if request["if_none_match"] == etag:
+            return {"status": 304}
+        return {"status": 200, "etag": etag, "body": f"{request['url']} {etag}".encode()}
+
+    return client
+
+
+@query(f"""
+SELECT 'https://' || h || '/feed' AS url, CASE WHEN length(h) % 5 = 0 THEN NULL WHEN length(h) % 3 = 0 THEN 'v0,v1' ELSE 'v0' END AS versions, CASE WHEN length(h) % 5 = 0 THEN 'http_status 404' END AS error, 1 + (length(h) % 5 > 0 AND length(h) % 3 = 0)::BIGINT AS reads,
+CASE WHEN length(h) % 5 = 0 THEN NULL WHEN length(h) % 3 = 0 THEN 'v1' ELSE 'v0' END AS last FROM {_HOSTS}""")
+def stream_endpoints(spark, d):
+    """Feeds of the pages' hosts as a stream, started three times from one checkpoint: only changed ones are read again."""
+    feeds = sorted(r[0] for r in _hosts(spark, d).select(F.concat(F.lit("https://"), "h", F.lit("/feed"))).collect())  # a registry's list
+    path, name = _folder(spark, "endpoints"), f"endpoints_{uuid.uuid4().hex}"
+    for version in (0, 1, 1):
+        stream = endpoints.stream(spark, _feeds(version), feeds, name)
+        stream.writeStream.format("parquet").option("path", f"{path}/read").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema(endpoints.SCHEMA).parquet(f"{path}/read")
+    return read.groupBy("url").agg(F.nullif(F.array_join(F.array_sort(F.collect_list("etag")), ","), F.lit("")).alias("versions"), F.max("error").alias("error"), F.count("*").alias("reads"), F.max(F.split_part(F.decode("content", "UTF-8"), F.lit(" "), F.lit(2))).alias("last"))
+
+
+def _engine(request: dict) -> dict:
+    """Says in each result what it was asked; items without a url, and answers of no use for every fourth query."""
+    asked = json.loads(request["body"])
+    k = int(asked["query"].split()[-1])
+    if k % 4 == 3:
+        return {"status": 200, "body": b"[]"}
+    results = [{"title": f"t{r}", "url": f"https://s.test/{k}/{r}", "content": request["body"], "score": r / 4} | ({"url": None} if r == 2 else {}) for r in range(1, 9)]
+    return {"status": 200, "body": json.dumps({"results": results}).encode()}
+
+
+@query("""
+SELECT item_id, domain, rank, 'https://s.test/' || item_id || '/' || rank AS url, 3 AS max_results, 'de' AS country, domain AS domains, rank / 4.0 AS score, NULL AS error FROM benchmark, (VALUES ('a.test'), ('b.test')) d(domain), (VALUES (1), (3)) r(rank) WHERE item_id % 4 <> 3
+UNION ALL SELECT item_id, domain, NULL, NULL, NULL, NULL, NULL, NULL, 'invalid_response' FROM benchmark, (VALUES ('a.test'), ('b.test')) d(domain) WHERE item_id % 4 = 3""")
+def search_pushdown(spark, d):
+    """Searches for the benchmark's items as a table: query, country, domains and limit of the filters are what the requests say."""
+    name = f"web_search_{uuid.uuid4().hex}"
+    spark.dataSource.register(search_source.source(_engine, name))
+    items = [f"item {r[0]}" for r in _t(spark, d, "benchmark").select("item_id").collect()]  # searches that a user asks for
+    with search_source.pushdown(spark):
+        asked = lambda: spark.read.format(name).load().filter(F.col("query").isin(items) & (F.col("country") == "de") & F.col("domain").isin("a.test", "b.test"))
+        found = checkpoint(asked().filter("rank <= 3 and error is null").union(asked().filter("error is not null")))
+    said = lambda path: F.get_json_object("content", f"$.{path}")
+    return found.select(
+        F.split_part("query", F.lit(" "), F.lit(2)).cast("long").alias("item_id"), "domain", "rank", "url", said("max_results").cast("int").alias("max_results"), said("country").alias("country"), said("include_domains[0]").alias("domains"), "score", "error",
+    )

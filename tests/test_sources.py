@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodestral.sources import discovery, fetch, files, html, registry, robots
+from lodestral.sources import discovery, fetch, files, html, registry, robots, web_search
 
 
 def test_html_strategies():
@@ -253,3 +253,27 @@ def test_hot_host(spark, tmp_path, host_tasks, rate):
     assert most <= 4 and (tasks == 1 if host_tasks == 1 else 2 <= tasks <= 4)
     if rate:
         assert pace <= rate * 1.6  # buckets start with a few tokens
+
+
+def test_search_pushdown(spark):
+    """Filters are pushed and not applied again; what can't be pushed stays with Spark."""
+    reader = web_search._Reader(None)
+    left = list(reader.pushFilters([web_search.In(("query",), ("b", "a")), web_search.EqualTo(("country",), "de"), web_search.EqualTo(("country",), "fr"), web_search.LessThan(("rank",), 4), web_search.EqualTo(("title",), "x"), web_search.EqualTo(("domain",), "d.test")]))
+    assert [(f.attribute, f.value) for f in left] == [(("country",), "fr"), (("title",), "x")]
+    assert (reader.queries, reader.domains, reader.most, reader.fixed) == (["a", "b"], ["d.test"], 3, {"country": "de"})
+
+    def client(request):
+        import json
+
+        asked = json.loads(request["body"])
+        items = [{"title": "t", "url": f"https://s.test/{k}", "content": request["body"]} for k in range(20)]
+        return {"status": 503} if asked["query"] == "down" else {"status": 200, "body": json.dumps({"results": items}).encode()}
+
+    spark.dataSource.register(web_search.source(client, "web_search_test"))
+    with web_search.pushdown(spark):
+        got = spark.read.format("web_search_test").load().filter("query = 'q' and country = 'de' and rank <= 2 and url like '%1'")
+        rows = got.collect()
+        assert [(r["rank"], r["url"], r["content"]) for r in rows] == [(2, "https://s.test/1", '{"query": "q", "max_results": 2, "country": "de"}')]
+        assert [r["error"] for r in spark.read.format("web_search_test").load().filter("query = 'down'").collect()] == ["http_status 503"]
+        with pytest.raises(Exception, match="needs a filter on query"):
+            spark.read.format("web_search_test").load().collect()

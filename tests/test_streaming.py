@@ -87,3 +87,29 @@ def test_lifecycle_expires(spark, tmp_path):
     last = {r["run_id"]: (r["lifecycle"], r["version"]) for r in out.filter("document_id = 7 and updated_at_step = 9 or document_id = 7 and lifecycle is null").collect()}
     assert last == {1: (None, 1), 2: ("shelved", 2)}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_endpoints(spark, tmp_path):
+    """A restart from the checkpoint reads nothing that is unchanged; failures are told once."""
+    from lodestral.sources.fetch import TransportError
+    from lodestral.streaming import endpoints
+
+    def site(state):
+        def client(request):
+            tag = state.get(request["url"])
+            if tag is None:
+                raise TransportError("down")
+            return {"status": 304} if request["if_none_match"] == tag else {"status": 200, "etag": tag, "body": tag.encode()}
+
+        return client
+
+    def read(state, name="endpoints_test"):
+        got = []
+        stream = endpoints.stream(spark, site(state), ["a", "b", "c"], name)
+        keep = lambda batch, _: got.extend((r["url"], r["etag"], r["error"]) for r in batch.collect())
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(got, key=repr)
+
+    assert read({"a": "1", "b": "1"}) == [("a", "1", None), ("b", "1", None), ("c", None, "transport")]
+    assert read({"a": "1", "b": "1"}) == []
+    assert read({"a": "1", "b": "2", "c": "1"}) == [("b", "2", None), ("c", "1", None)]
