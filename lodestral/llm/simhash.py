@@ -11,7 +11,10 @@ star contractions over tables, written to the shared folder each round.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other;
 null doc_ids take part but give no component id unless all ids of it are null; rows with
-the same doc_id count as documents of their own; an empty table gives no rows.
+the same doc_id count as documents of their own, and of ties and repeated rows each has its
+row and the same component; a text may be as long as a row can be (its shingles are counted
+in blocks); an empty table gives no rows.  ``near_duplicates`` reads doc_id and text alone and
+``distinct`` keeps whole rows as structs, so no other column can clash.
 """
 
 from __future__ import annotations

@@ -273,3 +273,14 @@ def test_large_benchmark_agrees(spark):
     assert few == more and len(few) == len(rows)
     plain = brute_contamination([(k, t) for k, (_, t) in enumerate(rows)], [(i, t) for i, t in items if i is not None])
     assert sorted(v[2] for v in plain.values()) == sorted(list(r["items"]) for r in decontam.annotate(docs, bench).collect())
+
+
+def test_benchmark_beyond_the_limit(spark):
+    """A benchmark of more than 50,000 beginnings, at the default limit."""
+    items = spark.range(4300).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda k: F.concat(F.lit("w"), F.lower(F.hex(F.xxhash64(F.col("id"), k))))), " ").alias("text"))
+    items = items.union(spark.createDataFrame([(9001, PASSAGE), (9002, "yes")], "item_id long, text string"))
+    some = [r["text"] for r in items.filter("item_id % 1000 = 7").collect()]
+    rows = [(k, f"before it {t} and after") for k, t in enumerate(some)] + [(10, " ".join(some[0].split()[5:15])), (11, PASSAGE + " yes"), (12, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in decontam.annotate(docs, items).collect()}
+    assert got == {**{k: (26, [str(1000 * k + 7)]) for k in range(len(some))}, 10: (0, []), 11: (len(PASSAGE.split()) + 1, ["9001", "9002"]), 12: (0, [])}
