@@ -1,11 +1,12 @@
-"""URL identity as Column functions (JVM only)."""
+"""URL identity as Column functions (in the JVM, but for ``resolve``)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 #: Query keys that a run's URL identity leaves out.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
@@ -119,14 +120,20 @@ def origin(url: Column) -> Column:
     return F.struct(scheme(url).alias("scheme"), host(url).alias("host"), port(url).alias("port"))
 
 
-@F.udf(StringType(), useArrow=True)
-def resolve(base: str | None, value: str | None) -> str | None:
-    """Relative reference against a base; no built-in function does this."""
-    from urllib.parse import urljoin
-
+def _joined(base: str | None, value: str | None) -> str | None:
     if base is None or value is None:
         return None
     try:
         return urljoin(base, value.strip())
     except ValueError:
         return None
+
+
+def resolve(base: Column, value: Column) -> Column:
+    """Relative reference against a base, batch by batch; no built-in function does this."""
+
+    @F.pandas_udf("string")
+    def run(bases: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([_joined(b, v) for b, v in zip(bases, values)], dtype=object)
+
+    return run(base, value)

@@ -31,11 +31,11 @@ def sync_corpus(sources: DataFrame, snapshot: DataFrame, endpoint_state: DataFra
     scope = on.select(F.col("id").alias("source_id"), "allowed_domains", "allowed_path_prefixes")
 
     failures = ends.select("source_id", "url", F.lit("").alias("reason")).limit(0)
-    saved = endpoint_state.select("url", "etag", "last_modified", "content").limit(0)
+    saved, depth = endpoint_state.select("url", "etag", "last_modified", "content").limit(0), 0
 
     def discover(level: DataFrame) -> DataFrame:
         """Fetch and parse endpoints; failures and validators of good ones are kept aside."""
-        nonlocal failures, saved
+        nonlocal failures, saved, depth
         answers = checkpoint(fetch.fetch(fetch.conditional_requests(level, endpoint_state), client))
         responses = level.join(fetch.response_state(answers, endpoint_state), "url").join(scope, "source_id")
         responses = responses.withColumn("error", F.coalesce("error", F.when(~F.array_contains("allowed_domains", urls.host(F.col("final_url"))), "redirect outside source")))
@@ -45,6 +45,9 @@ def sync_corpus(sources: DataFrame, snapshot: DataFrame, endpoint_state: DataFra
         bad = found.filter("error is not null")
         failures = failures.union(responses.filter("error is not null").select("source_id", "url", "error")).union(bad.select("source_id", "endpoint_url", "error"))
         saved = saved.union(good.join(bad.select(F.col("endpoint_url").alias("url")).distinct(), "url", "left_anti").select("url", "etag", "last_modified", "content").dropDuplicates(["url"]))
+        depth += 1
+        if depth % 8 == 0:  # keep the plans of deep sitemaps short
+            failures, saved = checkpoint(failures), checkpoint(saved)
         return found.filter("error is null")
 
     content = discover(ends.filter("kind = 'feed'")).select("source_id", "url", "published_at", "ord")
