@@ -136,10 +136,9 @@ class Rolling:
             return mix((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
 
 
-#: Text of printable ASCII but the apostrophe, tabs, line feeds and Latin letters: there
-#: every version of Unicode tables gives the same matches of the byte-level pattern, and
-#: none of them is a contraction.
-LATIN = re.compile(r"[\t\n -&(-~À-ÖØ-öø-ÿ]*").fullmatch
+#: Text of printable ASCII, tabs, line feeds and Latin letters: there every version of
+#: Unicode tables gives the same matches of the byte-level pattern.
+LATIN = re.compile(r"[\t\n -~À-ÖØ-öø-ÿ]*").fullmatch
 
 _LETTER, _DIGIT, _MARK, _BLANK, _BREAK = range(5)
 _CLASS = np.full(256, _MARK, np.uint8)
@@ -147,6 +146,8 @@ _CLASS[[c for c in range(256) if c > 127 or chr(c).isalpha()]] = _LETTER
 _CLASS[0x30:0x3A] = _DIGIT
 _CLASS[0x20] = _BLANK
 _CLASS[[0x09, 0x0A]] = _BREAK
+#: Letters of contractions.
+_ONE, _TWO = [ord(c) for c in "stmd"], [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +155,8 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     Runs of letters, digits or marks, each with one blank before it; of longer white space
     the last character stands alone unless it is such a blank; white space that ends a
-    text is one match.
+    text is one match.  An apostrophe that begins a match and a contraction is one with its
+    letters ('s 't 'm 'd 're 've 'll).
     """
     n = len(data)
     if not n:
@@ -168,6 +170,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begins[1:] = np.where(white[1:], ~white[:-1], (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK))
     begins[:-1] |= white[:-1] & ~white[1:] & ~edge[1:-1]
     begins[edge[:-1]] = True
+    mark = np.flatnonzero(begins & (data == 0x27))
+    if len(mark):
+        inside = lambda k: (mark + k < n) & ~edge[np.minimum(mark + k, n)]
+        one, two = (np.where(inside(k), data[np.minimum(mark + k, n - 1)], 0) for k in (1, 2))
+        short = inside(1) & np.isin(one, _ONE)
+        long = inside(1) & inside(2) & np.isin(one.astype(np.int64) << 8 | two, _TWO)
+        begins[mark[short | long] + 1] = begins[mark[long] + 2] = False
+        after = np.append(mark[short] + 2, mark[long] + 3)
+        begins[after[after < n]] = True
     start = np.flatnonzero(begins)
     return start, np.append(start[1:], n), np.searchsorted(start, offsets)
 
