@@ -52,8 +52,8 @@ def batches(spark: SparkSession, path: str) -> int:
 
 
 def _latest(documents: DataFrame) -> DataFrame:
-    """The newest version of each key, removed ones too."""
-    version = F.struct("batch", "content_hash", "length", "terms", "removed")
+    """(key, batch, content_hash, length, removed): the newest version of each key, removed ones too."""
+    version = F.struct("batch", "content_hash", "length", "removed")
     return documents.groupBy("key").agg(F.max_by(version, "batch").alias("v")).select("key", "v.*")
 
 
@@ -63,30 +63,36 @@ def _write(df: DataFrame, path: str, name: str, batch: int) -> None:
 
 
 def changes(docs: DataFrame, known: DataFrame, complete: bool) -> DataFrame:
-    """(key, text, content_hash, removed, was, old_length, old_terms) of new, changed and, if docs are ``complete``, missing documents.
+    """(key, content_hash, removed, was, old_length) of new, changed and, if docs are ``complete``, missing documents.
 
-    ``was`` is the batch of the version that becomes void.  Of rows with one key that of the
-    least hash counts; a null text is an empty one.
+    Only hashes are exchanged here, no texts.  ``was`` is the batch of the version that becomes
+    void.  Of rows with one key that of the least hash counts.
     """
-    text = F.coalesce("text", F.lit(""))
-    new = docs.filter("key is not null").select("key", text.alias("text"), content_hash(text).alias("content_hash"))
-    new = new.groupBy("key").agg(F.min_by(F.struct("text", "content_hash"), "content_hash").alias("n"))
-    old = _latest(known).filter("not removed").select(F.col("key").alias("old_key"), F.struct("batch", "content_hash", "length", "terms").alias("o"))
+    new = docs.groupBy("key").agg(F.min("content_hash").alias("content_hash"))
+    old = _latest(known).filter("not removed").select(F.col("key").alias("old_key"), F.struct("batch", "content_hash", "length").alias("o"))
     both = new.join(old, F.col("key") == F.col("old_key"), "full_outer" if complete else "left")
-    changed = F.col("o").isNull() | F.col("n").isNull() | (F.col("n.content_hash") != F.col("o.content_hash"))
-    return both.filter(changed).select(
-        F.coalesce("key", "old_key").alias("key"), "n.text", "n.content_hash", F.col("n").isNull().alias("removed"), F.col("o.batch").alias("was"), F.col("o.length").alias("old_length"), F.col("o.terms").alias("old_terms"),
-    )
+    changed = F.col("o").isNull() | F.col("content_hash").isNull() | (F.col("content_hash") != F.col("o.content_hash"))
+    return both.filter(changed).select(F.coalesce("key", "old_key").alias("key"), "content_hash", F.col("content_hash").isNull().alias("removed"), F.col("o.batch").alias("was"), F.col("o.length").alias("old_length"))
 
 
 def add(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", complete: bool = False) -> dict[str, int]:
-    """Bring the index up to docs; counts of what was written.  Without changes nothing is."""
+    """Bring the index up to docs; counts of what was written.  Without changes nothing is.
+
+    A null text is an empty one; rows without a key are left out.  Texts and terms of changed
+    documents alone are joined to what has changed, which Spark broadcasts while it is small.
+    """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     batch = batches(spark, path) + 1
     known = _documents(spark, path, kind, batch)
-    found = changes(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), known, complete)
-    split = found.withColumn("t", tokens(F.col("text"))).drop("text").withColumn("length", F.greatest(F.size("t"), F.lit(0)))
-    split = checkpoint(split.withColumn("terms", F.array_distinct("t")))  # read several times below, tokenised once
+    docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumn("content_hash", content_hash(F.col("text")))
+    found = checkpoint(changes(docs, known, complete))
+    fresh = docs.join(found.filter("not removed").select("key", "content_hash"), ["key", "content_hash"]).dropDuplicates(["key"])  # equal hashes, equal texts
+    split = fresh.select("key", tokens(F.col("text")).alias("t"))
+    before = known.select(F.col("key").alias("k"), F.col("batch").alias("b"), F.col("terms").alias("old_terms"))
+    told = found.join(before, (F.col("key") == F.col("k")) & (F.col("was") == F.col("b")), "left").drop("k", "b")
+    # Read several times below, tokenised once.
+    split = checkpoint(told.join(split, "key", "left").withColumns({"length": F.greatest(F.size("t"), F.lit(0)), "terms": F.array_distinct("t")}))
     now = split.filter("not removed")
     counts = split.agg(
         F.count_if(~F.col("removed") & F.col("was").isNull()).alias("new"), F.count_if(~F.col("removed") & F.col("was").isNotNull()).alias("changed"), F.count_if("removed").alias("removed"),
@@ -103,8 +109,8 @@ def add(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", com
     minus = split.filter("was is not null").select(F.explode("old_terms").alias("term"), F.lit(-1).alias("df"))
     _write(plus.union(minus).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").sortWithinPartitions("term"), path, "terms", batch)
     _write(split.filter("was is not null").select("key", "was"), path, "replaced", batch)
-    before = _statistics(spark, path, batch).agg(F.coalesce(F.max_by("corpus", "batch"), F.lit(0)).alias("corpus"), F.coalesce(F.max_by("tokens", "batch"), F.lit(0)).alias("tokens"))
-    after = before.select((F.col("corpus") + counts["new"] - counts["removed"]).alias("corpus"), (F.col("tokens") + counts["added"] - counts["gone"]).alias("tokens"))
+    last = _statistics(spark, path, batch).agg(F.coalesce(F.max_by("corpus", "batch"), F.lit(0)).alias("corpus"), F.coalesce(F.max_by("tokens", "batch"), F.lit(0)).alias("tokens"))
+    after = last.select((F.col("corpus") + counts["new"] - counts["removed"]).alias("corpus"), (F.col("tokens") + counts["added"] - counts["gone"]).alias("tokens"))
     _write(after, path, "statistics", batch)
     _write(split.select("key", "content_hash", "length", "terms", "removed"), path, "documents", batch)
     return done
@@ -150,7 +156,8 @@ def postings(spark: SparkSession, path: str) -> DataFrame:
 def merge(spark: SparkSession, path: str, to: str) -> None:
     """The same index as one batch of a new folder, from the postings alone; no text is read."""
     kind, below = key_type(spark, path), batches(spark, path) + 1
-    live = _latest(_documents(spark, path, kind, below)).filter("not removed")
+    known = _documents(spark, path, kind, below)
+    live = _latest(known).filter("not removed").join(known.select("key", "batch", "terms"), ["key", "batch"])
     each = _valid(_postings(spark, path, kind, below), _replaced(spark, path, kind, below))
     dealt = max(1, live.count() // AREA)
     area = F.concat_ws("-", F.floor(F.log2(F.col("length") + 1) * CLASSES), F.pmod(F.xxhash64("key"), F.lit(dealt)))
