@@ -51,7 +51,10 @@ def versions(spark: SparkSession, out: str, below: int | None = None) -> DataFra
 
 def parsed(pages: DataFrame, ignored: Iterable[str], buckets: int) -> DataFrame:
     """Pages as rows of the store, but for ``change``."""
-    rows = pages.select("page_id", "url", F.struct("page_id", "url").alias("page"), F.lit("text/html").alias("media_type"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    rows = pages.select(
+        "page_id", "url", F.struct("page_id", "url").alias("page"), F.lit("text/html").alias("media_type"),
+        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content")
+    )
     text = html.parse_documents(rows, "page").select("page.*", "title", "text", "published_at", "error")
     canonical = F.when(urls.fetchable(F.col("url")), urls.normalize(F.col("url"), ignored))
     made = text.withColumn("canonical_url", canonical).withColumn("error", F.when(F.col("canonical_url").isNull(), "invalid_url").otherwise(F.col("error")))
@@ -64,7 +67,9 @@ def parsed(pages: DataFrame, ignored: Iterable[str], buckets: int) -> DataFrame:
 
 def compared(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``change``: new, changed or unchanged against the newest stored version; unchanged rows lose their text."""
-    newest = stored.filter("canonical_url is not null").groupBy(F.col("canonical_url").alias("known")).agg(F.max_by("content_hash", F.struct("page_id", "content_hash")).alias("known_hash"))
+    newest = stored.filter("canonical_url is not null").groupBy(F.col("canonical_url").alias("known")).agg(
+        F.max_by("content_hash", F.struct("page_id", "content_hash")).alias("known_hash")
+    )
     change = F.when(F.col("canonical_url").isNull(), "invalid").when(F.col("known").isNull(), "new").when(F.col("known_hash") == F.col("content_hash"), "unchanged").otherwise("changed")
     marked = rows.join(newest, F.col("canonical_url") == F.col("known"), "left").withColumn("change", change)
     return marked.withColumn("text", F.when(F.col("change") != "unchanged", F.col("text"))).select(*(c.split()[0] for c in VERSIONS.split(", ")), "bucket")

@@ -9,7 +9,10 @@ from lodestral.functions.urls import strip
 _OFFSET = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)$"
 _MAIL = r"(?i)^(?:[a-z]{3},?\s+)?(\d{1,2}\s+[a-z]{3}\s+\d{4}\s+\d{2}:\d{2}(?::\d{2})?)\s+([+-]\d{4}|[A-Z]{1,3})$"
 # Zone names of mail dates.
-ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+ZONES = {
+    "GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600",
+    "PST": "-0800", "PDT": "-0700"
+}
 
 
 def external(c: Column) -> Column:
@@ -23,7 +26,10 @@ def external(c: Column) -> Column:
     zone = F.when(zone == "-0000", None).when(zone.rlike("^[+-]"), zone).otherwise(F.get(F.array(F.element_at(named, F.upper(zone))), F.lit(0)))
     mail = F.when(
         (clock != "") & zone.isNotNull(),
-        F.coalesce(F.try_to_timestamp(F.concat_ws(" ", clock, zone), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.concat_ws(" ", clock, zone), F.lit("d MMM yyyy HH:mm Z"))),
+        F.coalesce(
+            F.try_to_timestamp(F.concat_ws(" ", clock, zone), F.lit("d MMM yyyy HH:mm:ss Z")),
+            F.try_to_timestamp(F.concat_ws(" ", clock, zone), F.lit("d MMM yyyy HH:mm Z"))
+        ),
     )
     found = F.coalesce(iso, day, mail)
     return F.when(F.year(found).between(1, 9999), found)

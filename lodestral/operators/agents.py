@@ -39,14 +39,22 @@ def generate(prompt: Column, model: Model, attempts: int = 2) -> Column:
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
             answers = out if out is not None else [None] * len(prompts)
-            yield pd.DataFrame({"response": answers, "error": error, "attempts": tried, "prompt_tokens": [len(p.split()) for p in prompts], "completion_tokens": [len((a or "").split()) for a in answers]})
+            yield pd.DataFrame(
+                {
+                    "response": answers, "error": error, "attempts": tried, "prompt_tokens": [len(p.split()) for p in prompts],
+                    "completion_tokens": [len((a or "").split()) for a in answers]
+                }
+            )
 
     return run(prompt)
 
 
 def usage(calls: DataFrame, *keys: str) -> DataFrame:
     total = F.col("prompt_tokens") + F.col("completion_tokens")
-    return calls.groupBy(*keys).agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum(total).alias("total_tokens"), F.count("*").alias("calls"))
+    return calls.groupBy(*keys).agg(
+        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum(total).alias("total_tokens"),
+        F.count("*").alias("calls")
+    )
 
 
 def _string(v: Column, path: str) -> Column:
@@ -58,7 +66,9 @@ def _number(v: Column, path: str) -> Column:
     """A JSON number, or a boolean as 0 or 1; anything else is null."""
     found = F.try_variant_get(v, path, "variant")
     kind = F.schema_of_variant(found)
-    return F.when(kind == "BOOLEAN", F.try_variant_get(found, "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(found, "$", "double"))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(found, "$", "boolean").cast("double")).when(
+        kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(found, "$", "double")
+    )
 
 
 def evidence(responses: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -69,9 +79,17 @@ def evidence(responses: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]
     """
     found = claims(F.col("response"))
     items = F.slice(F.try_variant_get(found, "$", "array<variant>"), 1, most)
-    parsed = responses.select("document_id", "position", items.alias("items"), F.when(F.col("error").isNotNull(), "llm_error").when(F.try_parse_json(unfence(F.col("response"))).isNull(), "invalid_json").when(items.isNull(), "invalid_schema").alias("bad"))
+    parsed = responses.select(
+        "document_id", "position", items.alias("items"),
+        F.when(F.col("error").isNotNull(), "llm_error").when(
+            F.try_parse_json(unfence(F.col("response"))).isNull(), "invalid_json"
+        ).when(items.isNull(), "invalid_schema").alias("bad")
+    )
     rows = parsed.select("document_id", "position", "bad", F.posexplode_outer("items").alias("nth", "item"))
-    rows = rows.select("document_id", "position", "nth", _string(F.col("item"), "$.claim").alias("claim"), _string(F.col("item"), "$.supporting_text").alias("supporting_text"), _number(F.col("item"), "$.confidence").alias("confidence"), "bad")
+    rows = rows.select(
+        "document_id", "position", "nth", _string(F.col("item"), "$.claim").alias("claim"),
+        _string(F.col("item"), "$.supporting_text").alias("supporting_text"), _number(F.col("item"), "$.confidence").alias("confidence"), "bad"
+    )
     rows = rows.withColumn("bad", F.coalesce("bad", F.when(F.col("nth").isNotNull() & F.col("claim").isNull(), "invalid_schema")))
     failures = rows.filter("bad is not null").groupBy("document_id").agg(F.min_by("bad", F.struct("position", F.coalesce("nth", F.lit(-1)))).alias("reason"))
     good = rows.filter("nth is not null").join(failures, "document_id", "left_anti").drop("bad")
@@ -95,14 +113,19 @@ def number_candidates(results: DataFrame) -> DataFrame:
 
 def actions(responses: DataFrame, available: DataFrame) -> DataFrame:
     """Parsed policy responses: type, params and ``error`` where they aren't valid now."""
-    body = F.from_json(unfence(without_thoughts(F.col("response"))), "type string, rationale string, params struct<query:string,route:string,source_domains:array<string>,active_refs:array<string>>")
+    body = F.from_json(
+        unfence(without_thoughts(F.col("response"))),
+        "type string, rationale string, params struct<query:string,route:string,source_domains:array<string>,active_refs:array<string>>"
+    )
     p = responses.select("run_id", body.alias("a")).select("run_id", "a.type", "a.rationale", "a.params").join(available, "run_id", "left")
     domains = F.coalesce("params.source_domains", F.array().cast("array<string>"))
     error = (
         F.when(F.col("type").isNull(), "invalid action").when(~F.coalesce(F.array_contains("actions", F.col("type")), F.lit(False)), "action not available")
         .when((F.col("type") == "research") & (F.trim(F.coalesce("params.query", F.lit(""))) == ""), "blank query")
         .when((F.col("type") == "research") & ~F.coalesce("params.route", F.lit("web")).isin("web", "local"), "unknown route")
-        .when((F.col("params.route") == "local") & (F.size(domains) > 0), "domains need the web route").when(F.size(F.array_distinct(domains)) < F.size(domains), "duplicate domains")
+        .when(
+            (F.col("params.route") == "local") & (F.size(domains) > 0), "domains need the web route"
+        ).when(F.size(F.array_distinct(domains)) < F.size(domains), "duplicate domains")
         .when(F.exists(domains, lambda d: ~bare_domain(d)), "bad domain")
     )
     return p.select("run_id", "type", "rationale", "params", error.alias("error"))

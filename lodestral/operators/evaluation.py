@@ -60,10 +60,18 @@ def summary(results: DataFrame) -> DataFrame:
         "with_unusable_documents_count": F.col("unusable_documents") > 0, "with_evidence_count": F.col("evidence") > 0, "with_active_evidence_count": F.col("active_evidence") > 0, "with_citations_count": F.col("citations") > 0,
         "preferred_source_match_count": F.col("preferred_source_type_match"), "error_count": F.col("error").isNotNull(), "with_retrieval_failures_count": F.size("retrieval_failure_reasons") > 0,
     }
-    totals = {"total_curation_actions": "curation_actions", "total_filtered_results": "filtered_results", "total_classified_results": "classified_results", "total_recognized_sources": "recognized_sources", "total_unknown_sources": "unknown_sources"}
-    averaged = ("retrieved_results", "filtered_results", "classified_results", "recognized_sources", "unknown_sources", "documents", "active_documents", "unusable_documents", "evidence", "active_evidence", "action_seconds")
+    totals = {
+        "total_curation_actions": "curation_actions", "total_filtered_results": "filtered_results", "total_classified_results": "classified_results",
+        "total_recognized_sources": "recognized_sources", "total_unknown_sources": "unknown_sources"
+    }
+    averaged = (
+        "retrieved_results", "filtered_results", "classified_results", "recognized_sources", "unknown_sources", "documents", "active_documents",
+        "unusable_documents", "evidence", "active_evidence", "action_seconds"
+    )
     one = results.agg(
-        F.count("*").alias("case_count"), *(F.count_if(c).alias(k) for k, c in counted.items()), *(F.sum(c).alias(k) for k, c in totals.items()), *(F.bround(F.avg(c), 2).alias(f"average_{c}") for c in averaged),
+        F.count("*").alias("case_count"), *(F.count_if(c).alias(k) for k, c in counted.items()), *(F.sum(c).alias(k) for k, c in totals.items()), *(
+            F.bround(F.avg(c), 2).alias(f"average_{c}") for c in averaged
+        ),
     )
     return one.withColumn("classification_coverage", ratio(F.col("total_recognized_sources"), F.col("total_classified_results")))
 
@@ -111,7 +119,10 @@ def source_stats(state: DataFrame, results: DataFrame, preferred: DataFrame) ->
     types = ordered_distinct(held, "run_id", "source_type", "ord").withColumnRenamed("values", "types")
     none = F.array().cast("array<string>")
     every = preferred.select("run_id", "source_types").join(domains, "run_id", "left").join(types, "run_id", "left")
-    return every.select("run_id", F.coalesce("domains", none).alias("domains"), F.coalesce("types", none).alias("source_types"), F.arrays_overlap("source_types", F.coalesce("types", none)).alias("preferred_source_type_match"))
+    return every.select(
+        "run_id", F.coalesce("domains", none).alias("domains"), F.coalesce("types", none).alias("source_types"),
+        F.arrays_overlap("source_types", F.coalesce("types", none)).alias("preferred_source_type_match")
+    )
 
 
 def stop_reason(action: str = "last_action", done: str = "done"):

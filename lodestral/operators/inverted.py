@@ -72,7 +72,10 @@ def changes(docs: DataFrame, known: DataFrame, complete: bool) -> DataFrame:
     old = _latest(known).filter("not removed").select(F.col("key").alias("old_key"), F.struct("batch", "content_hash", "length").alias("o"))
     both = new.join(old, F.col("key") == F.col("old_key"), "full_outer" if complete else "left")
     changed = F.col("o").isNull() | F.col("content_hash").isNull() | (F.col("content_hash") != F.col("o.content_hash"))
-    return both.filter(changed).select(F.coalesce("key", "old_key").alias("key"), "content_hash", F.col("content_hash").isNull().alias("removed"), F.col("o.batch").alias("was"), F.col("o.length").alias("old_length"))
+    return both.filter(changed).select(
+        F.coalesce("key", "old_key").alias("key"), "content_hash", F.col("content_hash").isNull().alias("removed"), F.col("o.batch").alias("was"),
+        F.col("o.length").alias("old_length")
+    )
 
 
 def add(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", complete: bool = False) -> dict[str, int]:
@@ -124,7 +127,9 @@ def _blocks(each: DataFrame) -> DataFrame:
     """Blocks of (key, length, area, term, tf), ordered by term inside each file so that a term's rows lie in few row groups."""
     items = F.array_sort(F.collect_list(F.struct("key", "tf", "length")))
     made = each.groupBy("term", "area").agg(items.alias("i"), F.max("tf").alias("most"), F.min("length").alias("least"))
-    return made.select("term", "area", *(F.col("i").getField(c).alias(n) for c, n in (("key", "keys"), ("tf", "tfs"), ("length", "lengths"))), "most", "least").sortWithinPartitions("term", "area")
+    return made.select(
+        "term", "area", *(F.col("i").getField(c).alias(n) for c, n in (("key", "keys"), ("tf", "tfs"), ("length", "lengths"))), "most", "least"
+    ).sortWithinPartitions("term", "area")
 
 
 def _postings(spark: SparkSession, path: str, key: str, below: int) -> DataFrame:
@@ -134,7 +139,9 @@ def _postings(spark: SparkSession, path: str, key: str, below: int) -> DataFrame
 def _valid(blocks: DataFrame, replaced: DataFrame) -> DataFrame:
     """(key, term, tf, length, area, batch) of blocks, without void versions."""
     item = F.explode(F.arrays_zip("keys", "tfs", "lengths")).alias("i")
-    each = blocks.select("term", "area", "batch", item).select(F.col("i.keys").alias("key"), "term", F.col("i.tfs").alias("tf"), F.col("i.lengths").alias("length"), "area", "batch")
+    each = blocks.select("term", "area", "batch", item).select(
+        F.col("i.keys").alias("key"), "term", F.col("i.tfs").alias("tf"), F.col("i.lengths").alias("length"), "area", "batch"
+    )
     void = replaced.select(F.col("key").alias("void"), "was")
     return each.join(void, (F.col("key") == F.col("void")) & (F.col("batch") == F.col("was")), "left_anti")
 
@@ -184,7 +191,9 @@ class Search:
         df = _table(spark, path, "terms", "term string, df long", below).filter(asked).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         facts = _statistics(spark, path, below).agg(F.max_by("corpus", "batch").alias("corpus"), F.max_by("tokens", "batch").alias("tokens"))
         # A row for each word of the query.
-        weights = df.crossJoin(F.broadcast(facts)).select("term", F.log(1 + (F.col("corpus") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("tokens") / F.col("corpus")).alias("avgdl"))
+        weights = df.crossJoin(F.broadcast(facts)).select(
+            "term", F.log(1 + (F.col("corpus") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("tokens") / F.col("corpus")).alias("avgdl")
+        )
         rows = [tuple(r) for r in weights.collect()]
         weights = spark.createDataFrame(rows, "term string, idf double, avgdl double")
         void = _replaced(spark, path, kind, below)

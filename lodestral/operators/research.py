@@ -21,7 +21,11 @@ def lifecycle(outcomes: DataFrame) -> DataFrame:
         F.max_by(F.struct(moved.alias("state"), F.col("reason"), F.col("step")), F.when(moved.isNotNull(), F.col("step"))).alias("m"),
     )
     use = F.col("m.state").isNotNull() & (F.col("b.state") == "active")
-    return g.select("run_id", "document_id", F.when(use, F.col("m.state")).otherwise(F.col("b.state")).alias("lifecycle"), F.when(use, F.col("m.reason")).otherwise(F.col("b.reason")).alias("reason"), F.when(use, F.col("m.step")).otherwise(F.col("b.step")).alias("updated_at_step"))
+    return g.select(
+        "run_id", "document_id", F.when(use, F.col("m.state")).otherwise(F.col("b.state")).alias("lifecycle"),
+        F.when(use, F.col("m.reason")).otherwise(F.col("b.reason")).alias("reason"),
+        F.when(use, F.col("m.step")).otherwise(F.col("b.step")).alias("updated_at_step")
+    )
 
 
 def lifecycle_counts(documents: DataFrame) -> DataFrame:
@@ -47,7 +51,10 @@ def available_actions(budget: DataFrame) -> DataFrame:
     more = F.col("remaining_steps") > 1
     return budget.select(
         "run_id",
-        F.concat(some(more & (F.col("remaining_researches") > 0), "research"), some(more & F.col("curatable"), "curate_evidence"), some(F.col("finishable"), "finish"), F.array(F.lit("stop"))).alias("actions"),
+        F.concat(
+            some(more & (F.col("remaining_researches") > 0), "research"), some(more & F.col("curatable"), "curate_evidence"),
+            some(F.col("finishable"), "finish"), F.array(F.lit("stop"))
+        ).alias("actions"),
     )
 
 
@@ -71,7 +78,9 @@ def curation_errors(requests: DataFrame, documents: DataFrame, max_active: DataF
 def latest(history: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Last action and number of actions of each run."""
     at = F.struct(*order)
-    return history.groupBy(key).agg(F.max_by(F.struct(*columns), at).alias("last"), F.count("*").alias("steps")).select(key, *(F.col(f"last.{c}").alias(f"last_{c}") for c in columns), "steps")
+    return history.groupBy(key).agg(
+        F.max_by(F.struct(*columns), at).alias("last"), F.count("*").alias("steps")
+    ).select(key, *(F.col(f"last.{c}").alias(f"last_{c}") for c in columns), "steps")
 
 
 def research_history(outcomes: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,14 +91,18 @@ def research_history(outcomes: DataFrame, keys: list[str]) -> DataFrame:
 
 def research_refs(links: DataFrame) -> DataFrame:
     """(run_id, document_id, refs): unique research references R1..Rn in order."""
-    return links.groupBy("run_id", "document_id").agg(F.transform(F.array_sort(F.collect_set("research_index")), lambda i: F.concat(F.lit("R"), i.cast("string"))).alias("research_refs"))
+    return links.groupBy("run_id", "document_id").agg(
+        F.transform(F.array_sort(F.collect_set("research_index")), lambda i: F.concat(F.lit("R"), i.cast("string"))).alias("research_refs")
+    )
 
 
 def context(documents: DataFrame, evidence: DataFrame, max_evidence: int = 10, max_claim: int = 300) -> DataFrame:
     """Documents with a lifecycle, numbered D1..Dn, with their first evidence and previews."""
     numbered = documents.filter("lifecycle is not null").withColumn("ref", F.concat(F.lit("D"), F.row_number().over(W.partitionBy("run_id").orderBy("ord")).cast("string")))
     first = evidence.withColumn("nth", F.row_number().over(W.partitionBy("run_id", "document_id").orderBy("ord"))).filter(F.col("nth") <= max_evidence)
-    listed = first.groupBy("run_id", "document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "evidence_id", preview(F.col("claim"), max_claim).alias("claim")))).alias("evidence"))
+    listed = first.groupBy("run_id", "document_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "evidence_id", preview(F.col("claim"), max_claim).alias("claim")))).alias("evidence")
+    )
     return numbered.join(listed, ["run_id", "document_id"], "left")
 
 

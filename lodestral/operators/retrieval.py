@@ -50,7 +50,10 @@ def classify(results: DataFrame, domains: DataFrame, provider_type: Column | Non
 
 
 def classification_report(classified: DataFrame) -> DataFrame:
-    return classified.agg(F.count("*").alias("input_count"), F.count_if(F.col("classification_source") != "unknown").alias("recognized_count"), F.count_if(F.col("classification_source") == "unknown").alias("unknown_count"))
+    return classified.agg(
+        F.count("*").alias("input_count"), F.count_if(F.col("classification_source") != "unknown").alias("recognized_count"),
+        F.count_if(F.col("classification_source") == "unknown").alias("unknown_count")
+    )
 
 
 def merge_results(new: DataFrame, index: DataFrame, ignored: Iterable[str] = urls.TRACKING_KEYS) -> DataFrame:
@@ -124,13 +127,21 @@ def fetch_in_waves(candidates: DataFrame, known: DataFrame, limit: int, get: Cal
         fresh = found.join(known.select("run_id", "normalized_url"), ["run_id", "normalized_url"], "left_anti")
         met = answers.join(fresh.select("run_id", "normalized_url", F.col("first").alias("met")), ["run_id", "normalized_url"], "left")
         before = F.coalesce(F.col("met") < F.col("ord"), F.lit(False))
-        own = met.join(fresh.select(F.col("run_id").alias("r"), F.col("normalized_url").alias("t"), "first"), (F.col("run_id") == F.col("r")) & (F.col("target") == F.col("t")), "left")
+        own = met.join(
+            fresh.select(F.col("run_id").alias("r"), F.col("normalized_url").alias("t"), "first"),
+            (F.col("run_id") == F.col("r")) & (F.col("target") == F.col("t")), "left"
+        )
         none = F.lit(None).cast("string")
         fetched = own.select(
-            "run_id", "ord", "url", F.when(before, F.col("normalized_url")).otherwise(F.col("target")).alias("document"), (~before & F.coalesce(F.col("first") == F.col("ord"), F.lit(False))).alias("is_new"),
+            "run_id", "ord", "url", F.when(before, F.col("normalized_url")).otherwise(F.col("target")).alias("document"), (
+                ~before & F.coalesce(F.col("first") == F.col("ord"), F.lit(False))
+            ).alias("is_new"),
             F.when(before, "known").otherwise(F.col("origin")).alias("origin"), F.when(~before, F.col("reason")).alias("reason"), F.when(before, 0).otherwise(F.col("attempts")).alias("attempts"), F.when(~before, F.col("text")).alias("text"),
         )
-        hits = wave.filter("document is not null").select("run_id", "ord", "url", "document", F.lit(False).alias("is_new"), F.lit("known").alias("origin"), none.alias("reason"), F.lit(0).alias("attempts"), none.alias("text"))
+        hits = wave.filter("document is not null").select(
+            "run_id", "ord", "url", "document", F.lit(False).alias("is_new"), F.lit("known").alias("origin"), none.alias("reason"), F.lit(0).alias("attempts"),
+            none.alias("text")
+        )
         made = checkpoint(fetched.unionByName(hits))
         done = made if done is None else checkpoint(done.unionByName(made))
         known = checkpoint(known.unionByName(made.filter("is_new").select("run_id", F.col("document").alias("normalized_url"), "document")))
@@ -158,5 +169,9 @@ def documents_to_extract(outcomes: DataFrame, known: DataFrame) -> DataFrame:
 
 def search_metadata(hits: DataFrame, mode: str) -> DataFrame:
     """Ranked results of a local search with the metadata that tells where they came from."""
-    pairs = (("provider", F.lit("local_corpus")), ("score", F.col("score").cast("string")), ("corpus_document_id", F.col("document_id")), ("corpus_chunk_id", F.col("id")), ("corpus_source_id", F.col("source_id")), ("corpus_content_hash", F.col("content_hash")), ("corpus_search_mode", F.lit(mode)))
+    pairs = (
+        ("provider", F.lit("local_corpus")), ("score", F.col("score").cast("string")), ("corpus_document_id", F.col("document_id")),
+        ("corpus_chunk_id", F.col("id")), ("corpus_source_id", F.col("source_id")), ("corpus_content_hash", F.col("content_hash")),
+        ("corpus_search_mode", F.lit(mode))
+    )
     return hits.withColumn("metadata", F.create_map(*(x for k, v in pairs for x in (F.lit(k), v))))

@@ -48,7 +48,9 @@ def reduce(state: dict, action: dict, observation: dict) -> dict:
     """A new state: history grows, the step counts up, finish and stop end the run."""
     done = action["type"] in ("finish", "stop")
     return state | {
-        "history": [*state["history"], {"step_index": state["current_step"], "action": action, "observation": observation}], "current_step": state["current_step"] + 1, "last_action": action, "done": done,
+        "history": [
+            *state["history"], {"step_index": state["current_step"], "action": action, "observation": observation}
+        ], "current_step": state["current_step"] + 1, "last_action": action, "done": done,
         "final_answer": observation.get("answer") if action["type"] == "finish" else state.get("final_answer"),
     }
 
@@ -76,7 +78,9 @@ def run(state: dict, policy: Callable[[dict], dict], execute: Callable[[dict, di
 STEP_SPANS = ("agent.policy.select", "agent.action.execute", "agent.step")
 
 
-def run_all(runs: DataFrame, policy: Callable[[DataFrame], DataFrame], executors: dict[str, Callable[[DataFrame], DataFrame]], max_steps: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_all(
+    runs: DataFrame, policy: Callable[[DataFrame], DataFrame], executors: dict[str, Callable[[DataFrame], DataFrame]], max_steps: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(states, history, spans) of runs (run_id), each until it is done or has made ``max_steps`` steps.
 
     A step is a few jobs over all runs that go on: ``policy`` gives (run_id, type, params)
@@ -113,5 +117,8 @@ def run_all(runs: DataFrame, policy: Callable[[DataFrame], DataFrame], executors
     name = F.explode(F.array(*map(F.lit, STEP_SPANS)))
     id_ = lambda name: F.concat_ws("-", F.col("run_id").cast("string"), F.col("step").cast("string"), name)
     root = states.select("run_id", F.col("run_id").cast("string").alias("span_id"), text.alias("parent"), F.lit("agent.run").alias("name"), F.lit(None).cast("int").alias("step"))
-    steps = whole.select("run_id", "step", name.alias("name")).select("run_id", id_(F.col("name")).alias("span_id"), F.when(F.col("name") == "agent.step", F.col("run_id").cast("string")).otherwise(id_(F.lit("agent.step"))).alias("parent"), "name", "step")
+    steps = whole.select("run_id", "step", name.alias("name")).select(
+        "run_id", id_(F.col("name")).alias("span_id"),
+        F.when(F.col("name") == "agent.step", F.col("run_id").cast("string")).otherwise(id_(F.lit("agent.step"))).alias("parent"), "name", "step"
+    )
     return states, whole, root.unionByName(steps)

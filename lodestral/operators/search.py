@@ -44,7 +44,10 @@ def bm25(docs: DataFrame, query: str, limit: int, key: str = "doc_id", text: str
     validate(query, limit)
     spark = docs.sparkSession
     terms = sorted({r for r in spark.range(1).select(F.explode(tokens(F.lit(query))).alias("t")).toPandas()["t"]})
-    t = F.transform(F.array(tokens(F.col(text))), lambda w: F.struct(F.size(w).alias("n"), *(F.size(F.filter(w, _equals(term))).alias(f"tf{i}") for i, term in enumerate(terms))))[0]
+    t = F.transform(
+        F.array(tokens(F.col(text))),
+        lambda w: F.struct(F.size(w).alias("n"), *(F.size(F.filter(w, _equals(term))).alias(f"tf{i}") for i, term in enumerate(terms)))
+    )[0]
     counted = docs.select(key, t.alias("c")).select(key, "c.*")
     stats = counted.agg(F.count("*").alias("corpus"), F.avg("n").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
 

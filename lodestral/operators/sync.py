@@ -33,10 +33,14 @@ def decide_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("case", case).select(
         *pages.columns, "case", F.when(keeps, "keep").otherwise("write").alias("action"),
         F.when(keeps, F.col("existing_status")).when(F.col("case") == "active", "active").when(F.col("case") == "failed", kept_status).otherwise("inactive").alias("new_status"),
-        F.when(F.col("case") == "disallowed", "robots_disallowed").when((F.col("case") == "failed"), kept_reason).when(F.col("case") == "missing", missing).when(F.col("case") == "redirected", "redirect_outside_source_scope").alias("reason"),
+        F.when(F.col("case") == "disallowed", "robots_disallowed").when((F.col("case") == "failed"), kept_reason).when(F.col("case") == "missing", missing).when(
+            F.col("case") == "redirected", "redirect_outside_source_scope"
+        ).alias("reason"),
         F.when(F.col("case") == "deferred", "robots_deferred").when(F.col("case") == "failed", error).when(F.col("case") == "missing", missing).alias("failure"),
         F.when(F.col("case") == "active", F.coalesce("title", "existing_title")).alias("new_title"),
-        F.when(F.col("case") == "active", published_at(F.col("fetched_at"), F.col("published_at"), F.col("discovered_at"), F.col("existing_published_at"))).alias("new_published_at"),
+        F.when(
+            F.col("case") == "active", published_at(F.col("fetched_at"), F.col("published_at"), F.col("discovered_at"), F.col("existing_published_at"))
+        ).alias("new_published_at"),
     )
 
 
@@ -68,4 +72,6 @@ def summary(documents: DataFrame, failures: DataFrame) -> DataFrame:
     """Per source and in total (source_id null): documents, active with date, failures."""
     d = documents.select("source_id", F.lit(1).alias("d"), ((F.col("status") == "active") & F.col("published_at").isNotNull()).cast("int").alias("a"), F.lit(0).alias("f"))
     f = failures.select("source_id", F.lit(0).alias("d"), F.lit(0).alias("a"), F.lit(1).alias("f"))
-    return d.union(f).rollup("source_id").agg(F.sum("d").alias("documents"), F.sum("a").alias("active_dated"), F.sum("f").alias("failures"), F.grouping("source_id").cast("int").alias("is_total"))
+    return d.union(f).rollup("source_id").agg(
+        F.sum("d").alias("documents"), F.sum("a").alias("active_dated"), F.sum("f").alias("failures"), F.grouping("source_id").cast("int").alias("is_total")
+    )

@@ -32,7 +32,11 @@ class Tracer:
     @contextmanager
     def span(self, name: str, input=None, **attributes) -> Iterator[dict]:
         self._n += 1
-        row = {"trace_id": self.trace_id, "span_id": f"{self.trace_id}-{self._n:06d}", "parent_span_id": _OPEN.get(), "name": name, "started_at": datetime.now(UTC), "status": "ok", "input": plain(input), "output": None, "attributes": {k: str(v) for k, v in attributes.items()}, "error": None}
+        row = {
+            "trace_id": self.trace_id, "span_id": f"{self.trace_id}-{self._n:06d}", "parent_span_id": _OPEN.get(), "name": name,
+            "started_at": datetime.now(UTC), "status": "ok", "input": plain(input), "output": None, "attributes": {k: str(v) for k, v in attributes.items()},
+            "error": None
+        }
         token, began = _OPEN.set(row["span_id"]), time.perf_counter()
         held: dict = {}
         try:
@@ -51,7 +55,10 @@ class Tracer:
 
 def completed_steps(spans: DataFrame) -> DataFrame:
     """Successful agent steps with both parts of their output, by step."""
-    found = spans.filter("name = 'agent.step' and status = 'ok'").select("trace_id", F.get_json_object("output", "$.action").alias("action"), F.get_json_object("output", "$.observation").alias("observation"), F.col("attributes")["step_index"].cast("int").alias("step_index"))
+    found = spans.filter("name = 'agent.step' and status = 'ok'").select(
+        "trace_id", F.get_json_object("output", "$.action").alias("action"), F.get_json_object("output", "$.observation").alias("observation"),
+        F.col("attributes")["step_index"].cast("int").alias("step_index")
+    )
     return found.filter("action is not null and observation is not null").orderBy("trace_id", "step_index")
 
 
@@ -70,6 +77,8 @@ def depth(spans: DataFrame) -> DataFrame:
         if up.filter("up is not null").isEmpty():
             break
         above = up.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        open_ = up.filter("up is not null").join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        open_ = up.filter("up is not null").join(above, ["trace_id", "up"]).select(
+            "trace_id", "span_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")
+        )
         up = checkpoint(up.filter("up is null").unionByName(open_))
     return up.filter("up is null").select("trace_id", "span_id", "depth")

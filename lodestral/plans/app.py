@@ -27,7 +27,15 @@ def sync_corpus(sources: DataFrame, snapshot: DataFrame, endpoint_state: DataFra
     fetched is checkpointed, so nothing is fetched twice by a retry further down.
     """
     on = registry.enabled(sources)
-    ends = on.select(F.col("id").alias("source_id"), F.explode(F.concat(F.transform("feeds", lambda u: F.struct(u.alias("url"), F.lit("feed").alias("kind"))), F.transform("sitemaps", lambda u: F.struct(u.alias("url"), F.lit("sitemap").alias("kind"))))).alias("e")).select("source_id", "e.*")
+    ends = on.select(
+        F.col("id").alias("source_id"),
+        F.explode(
+            F.concat(
+                F.transform("feeds", lambda u: F.struct(u.alias("url"), F.lit("feed").alias("kind"))),
+                F.transform("sitemaps", lambda u: F.struct(u.alias("url"), F.lit("sitemap").alias("kind")))
+            )
+        ).alias("e")
+    ).select("source_id", "e.*")
     scope = on.select(F.col("id").alias("source_id"), "allowed_domains", "allowed_path_prefixes")
 
     failures = ends.select("source_id", "url", F.lit("").alias("reason")).limit(0)
@@ -44,7 +52,11 @@ def sync_corpus(sources: DataFrame, snapshot: DataFrame, endpoint_state: DataFra
         found = checkpoint(parsed.join(level.select("source_id", F.col("url").alias("endpoint_url")).distinct(), "endpoint_url"))
         bad = found.filter("error is not null")
         failures = failures.union(responses.filter("error is not null").select("source_id", "url", "error")).union(bad.select("source_id", "endpoint_url", "error"))
-        saved = saved.union(good.join(bad.select(F.col("endpoint_url").alias("url")).distinct(), "url", "left_anti").select("url", "etag", "last_modified", "content").dropDuplicates(["url"]))
+        saved = saved.union(
+            good.join(
+                bad.select(F.col("endpoint_url").alias("url")).distinct(), "url", "left_anti"
+            ).select("url", "etag", "last_modified", "content").dropDuplicates(["url"])
+        )
         depth += 1
         if depth % 8 == 0:  # keep the plans of deep sitemaps short
             failures, saved = checkpoint(failures), checkpoint(saved)
@@ -57,24 +69,48 @@ def sync_corpus(sources: DataFrame, snapshot: DataFrame, endpoint_state: DataFra
         content = content.union(listed.select("source_id", "url", F.lit(None).cast("timestamp"), F.lit(1 << 30)))  # after all feeds
     pages = discovery.merge(content, "source_id").join(scope, "source_id")
     pages = pages.filter(registry.in_scope(F.col("url"), F.col("allowed_domains"), F.col("allowed_path_prefixes")))
-    origins = pages.select(robots.origin_key(F.col("url")).alias("origin"), F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")), F.lit("/robots.txt")).alias("url")).dropDuplicates(["origin"])
+    origins = pages.select(
+        robots.origin_key(F.col("url")).alias("origin"),
+        F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.netloc(F.col("url")), F.lit("/robots.txt")).alias("url")
+    ).dropDuplicates(["origin"])
     nothing = endpoint_state.limit(0)
     answers = checkpoint(fetch.fetch(fetch.conditional_requests(origins, nothing), client))
     files = origins.join(answers, "url").select("origin", "status", F.decode("body", "UTF-8").alias("body"))
     decided = checkpoint(robots.decide(pages.select("source_id", "url", "normalized_url", "published_at"), files, robots.rules(files, agent), ["source_id", "url"]))
-    existing = snapshot.select("canonical_url", F.col("status").alias("existing_status"), F.col("title").alias("existing_title"), F.col("published_at").alias("existing_published_at"), "etag", "last_modified")
+    existing = snapshot.select(
+        "canonical_url", F.col("status").alias("existing_status"), F.col("title").alias("existing_title"), F.col("published_at").alias("existing_published_at"),
+        "etag", "last_modified"
+    )
     allowed = decided.filter("decision = 'allowed'")
-    validators = allowed.join(existing, F.col("normalized_url") == F.col("canonical_url"), "left").select("url", "etag", "last_modified", F.lit(None).cast("binary").alias("content"))
+    validators = allowed.join(existing, F.col("normalized_url") == F.col("canonical_url"), "left").select(
+        "url", "etag", "last_modified", F.lit(None).cast("binary").alias("content")
+    )
     bodies = checkpoint(fetch.fetch(fetch.conditional_requests(allowed, validators), client))
-    body = html.parse_documents(bodies.filter("status between 200 and 299").select("url", fetch.media_type(F.col("content_type")).alias("media_type"), F.coalesce("body", F.lit(b"")).alias("content")), "url")
+    body = html.parse_documents(
+        bodies.filter("status between 200 and 299").select(
+            "url", fetch.media_type(F.col("content_type")).alias("media_type"), F.coalesce("body", F.lit(b"")).alias("content")
+        ),
+        "url"
+    )
     body = checkpoint(body).select("url", "title", "text", F.col("published_at").alias("page_date"), F.col("error").alias("parse_error"))
     at = F.lit(as_of).cast("timestamp")
-    rows = decided.join(bodies.select("url", "status", "final_url", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_modified"), "content_type", "transport_error"), "url", "left").join(body, "url", "left").join(scope, "source_id").join(existing.drop("etag", "last_modified"), F.col("normalized_url") == F.col("canonical_url"), "left")
-    http = F.when(F.col("transport_error").isNotNull(), "transport").when(~(F.col("status").between(200, 299) | (F.col("status") == 304)), F.concat(F.lit("http_status "), F.col("status").cast("string")))
+    rows = decided.join(
+        bodies.select(
+            "url", "status", "final_url", F.col("etag").alias("new_etag"), F.col("last_modified").alias("new_modified"), "content_type", "transport_error"
+        ),
+        "url", "left"
+    ).join(body, "url", "left").join(scope, "source_id").join(existing.drop("etag", "last_modified"), F.col("normalized_url") == F.col("canonical_url"), "left")
+    http = F.when(F.col("transport_error").isNotNull(), "transport").when(
+        ~(F.col("status").between(200, 299) | (F.col("status") == 304)), F.concat(F.lit("http_status "), F.col("status").cast("string"))
+    )
     error = F.coalesce(http, F.when(F.col("parse_error") != "no_extractable_text", F.col("parse_error")))
     inside = registry.in_scope(F.col("final_url"), F.col("allowed_domains"), F.col("allowed_path_prefixes"))
     decisions = sync.decide_pages(
-        rows.select("source_id", "url", "normalized_url", F.col("decision").alias("robots"), "status", error.alias("error"), inside.alias("in_scope"), "text", "title", "existing_status", "existing_title", at.alias("fetched_at"), F.col("page_date"), F.col("published_at").alias("discovered_at"), "existing_published_at", "new_etag", "new_modified", "content_type").withColumn("published_at", F.col("page_date"))
+        rows.select(
+            "source_id", "url", "normalized_url", F.col("decision").alias("robots"), "status", error.alias("error"), inside.alias("in_scope"), "text", "title",
+            "existing_status", "existing_title", at.alias("fetched_at"), F.col("page_date"), F.col("published_at").alias("discovered_at"),
+            "existing_published_at", "new_etag", "new_modified", "content_type"
+        ).withColumn("published_at", F.col("page_date"))
     )
     decisions = checkpoint(decisions)
     active = F.col("new_status") == "active"
@@ -96,7 +132,9 @@ def reindex(snapshot: DataFrame, index: DataFrame | None = None, embedder=None,
     return reused.unionByName(plan.filter("vector is null").withColumn("vector", make))
 
 
-def search_corpus(index: DataFrame, snapshot: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, embedder=None, dimensions: int = 64, terms: str | None = None) -> DataFrame:
+def search_corpus(
+    index: DataFrame, snapshot: DataFrame, query: str, mode: str = "hybrid", limit: int = 10, embedder=None, dimensions: int = 64, terms: str | None = None
+) -> DataFrame:
     """Ranked current chunks with title, url, snippet and metadata.
 
     ``terms`` is the folder of the index' full-text tables (``write_index``); without it texts are scanned.
@@ -115,7 +153,9 @@ def search_corpus(index: DataFrame, snapshot: DataFrame, query: str, mode: str =
     current = search.current_hits(ranked.select("id", "document_id", "source_id", "content_hash", "rank", "score", "text"), snapshot)
     docs = snapshot.select(F.col("id").alias("document_id"), "title", "url", "published_at")
     current = retrieval.search_metadata(current, mode)
-    return current.join(docs, "document_id").select("rank", F.coalesce("title", "url").alias("title"), "url", F.col("text").alias("snippet"), "published_at", "metadata").orderBy("rank")
+    return current.join(docs, "document_id").select(
+        "rank", F.coalesce("title", "url").alias("title"), "url", F.col("text").alias("snippet"), "published_at", "metadata"
+    ).orderBy("rank")
 
 
 def documents_or_pages(snapshot: DataFrame, client: Callable[[dict], dict], delay: float = 0.1) -> Callable[[DataFrame], DataFrame]:
@@ -123,19 +163,36 @@ def documents_or_pages(snapshot: DataFrame, client: Callable[[dict], dict], dela
 
     def get(asked: DataFrame) -> DataFrame:
         hits, misses = fetch.documents_or_fetch(asked.withColumn("title", F.lit(None).cast("string")), snapshot)
-        none = misses.select("url", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("binary").alias("content")).limit(0)
+        none = misses.select(
+            "url", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("binary").alias("content")
+        ).limit(0)
         answers = checkpoint(fetch.fetch(fetch.conditional_requests(misses, none), client, delay=delay))
-        parsed = html.parse_documents(answers.filter("status between 200 and 299").select("url", fetch.media_type(F.col("content_type")).alias("media_type"), F.coalesce("body", F.lit(b"")).alias("content")), "url")
+        parsed = html.parse_documents(
+            answers.filter("status between 200 and 299").select(
+                "url", fetch.media_type(F.col("content_type")).alias("media_type"), F.coalesce("body", F.lit(b"")).alias("content")
+            ),
+            "url"
+        )
         failed = F.when(F.col("transport_error").isNotNull(), "transport").when(~F.col("status").between(200, 299), F.concat(F.lit("http_status "), F.col("status").cast("string")))
-        pages = misses.select("run_id", "ord", "url").join(answers.select("url", "final_url", failed.alias("failed"), F.col("attempt_count").alias("attempts")), "url").join(parsed.select("url", "text", "error"), "url", "left")
-        pages = pages.select("run_id", "ord", "final_url", "text", F.coalesce("failed", "error").alias("reason"), "attempts").withColumn("origin", F.when(F.col("reason").isNull(), "web"))
-        stored = hits.select("run_id", "ord", F.col("url").alias("final_url"), "text", F.lit(None).cast("string").alias("reason"), F.lit(1).alias("attempts"), F.lit("stored").alias("origin"))
+        pages = misses.select("run_id", "ord", "url").join(
+            answers.select("url", "final_url", failed.alias("failed"), F.col("attempt_count").alias("attempts")), "url"
+        ).join(parsed.select("url", "text", "error"), "url", "left")
+        pages = pages.select(
+            "run_id", "ord", "final_url", "text", F.coalesce("failed", "error").alias("reason"), "attempts"
+        ).withColumn("origin", F.when(F.col("reason").isNull(), "web"))
+        stored = hits.select(
+            "run_id", "ord", F.col("url").alias("final_url"), "text", F.lit(None).cast("string").alias("reason"), F.lit(1).alias("attempts"),
+            F.lit("stored").alias("origin")
+        )
         return pages.unionByName(stored)
 
     return get
 
 
-def research_round(results: DataFrame, index: DataFrame, snapshot: DataFrame, client: Callable[[dict], dict], model: Callable[[list[str]], list[str]], max_results: int = 10, limit: int = 4, delay: float = 0.1, documents: DataFrame | None = None) -> DataFrame:
+def research_round(
+    results: DataFrame, index: DataFrame, snapshot: DataFrame, client: Callable[[dict], dict], model: Callable[[list[str]], list[str]], max_results: int = 10,
+    limit: int = 4, delay: float = 0.1, documents: DataFrame | None = None
+) -> DataFrame:
     """One research step for each request: (run_id, ord, url, document, origin, attempts, lifecycle, n_evidence, reason).
 
     Results (request_id, ord, title, url) are filtered and merged with the run's URL index.

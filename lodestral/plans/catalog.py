@@ -44,11 +44,16 @@ SOURCES = [
     (3, "delta", "Delta", "research", True, ["tionsh.example.net", "ththon.example.com"], ["/"]),
 ]
 DOMAINS = [("www.tionsh.example.net", "news"), ("blog.tionble.example.com", "blog"), ("ththon.example.com", "research"), ("m.tiontion.example.com", "official")]
-RULES = [("tionsh.example.net", "/en/*", False), ("tionsh.example.net", "/en/1", True), ("tionsh.example.net", "/fr", False), ("tionsh.example.net", "/*?page=2", True), ("blog.tionble.example.com", "/", False), ("blog.tionble.example.com", "/en/*$", True)]
+RULES = [
+    ("tionsh.example.net", "/en/*", False), ("tionsh.example.net", "/en/1", True), ("tionsh.example.net", "/fr", False),
+    ("tionsh.example.net", "/*?page=2", True), ("blog.tionble.example.com", "/", False), ("blog.tionble.example.com", "/en/*$", True)
+]
 
 
 def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "ord int, id string, name string, source_type string, enabled boolean, allowed_domains array<string>, allowed_path_prefixes array<string>")
+    return spark.createDataFrame(
+        SOURCES, "ord int, id string, name string, source_type string, enabled boolean, allowed_domains array<string>, allowed_path_prefixes array<string>"
+    )
 
 
 def _domains(spark: SparkSession) -> DataFrame:
@@ -76,7 +81,9 @@ def bm25_topk(spark, d):
     return search.bm25(_texts(spark, d, "documents", "doc_id", "text"), TERMS, 10)
 
 
-@query(f"SELECT doc_id, term, count(*) AS tf, max(length) AS length FROM (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)) GROUP BY doc_id, term")
+@query(
+    f"SELECT doc_id, term, count(*) AS tf, max(length) AS length FROM (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)) GROUP BY doc_id, term"
+)
 def bm25_postings(spark, d):
     return search.postings(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "term", "tf", F.col("length").cast("long"))
 
@@ -129,7 +136,9 @@ def vector_reuse_plan(spark, d):
     return plan.agg(F.count("*").alias("chunks"), F.count("vector").alias("reused"), F.count_if(F.col("vector").isNull()).alias("to_embed"))
 
 
-@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings")
+@query(
+    "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings"
+)
 def vector_validation(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", values.valid_vector(F.col("embedding"), 64).alias("valid"))
 
@@ -162,7 +171,11 @@ def publisher(spark, d):
 _EXTRA = [(-1, " ", "http://x.org/"), (-2, "t", ""), (-3, "t", "mailto:a@b.org"), (-4, "t", "ftp://x.org/f"), (-5, "t", "https://user:pw@x.org/"), (-6, "t", "https://x.org./a")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {u in ('http://x.org/',) or u.startswith('https:')}, {u == 'http://x.org/'})" for i, _, u in _EXTRA) + f") v(page_id, fetchable, strict_http) UNION ALL SELECT page_id, true, true FROM pages")
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, {u in ('http://x.org/',) or u.startswith('https:')}, {u == 'http://x.org/'})" for i, _, u in _EXTRA
+    ) + f") v(page_id, fetchable, strict_http) UNION ALL SELECT page_id, true, true FROM pages"
+)
 def url_predicates(spark, d):
     extra = spark.createDataFrame([(i, u) for i, _, u in _EXTRA], "page_id long, url string")
     rows = _t(spark, d, "pages").select("page_id", "url").union(extra)
@@ -189,7 +202,15 @@ def retrieval_filter(spark, d):
     return retrieval.filter_results(_results(spark, d), 20).select("request_id", "ord", "reason")
 
 
-@query("SELECT request_id, count(*) AS input_count, count(*) FILTER (WHERE reason IS NULL) AS output_count, " + ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS {n}" for r, n in (("empty_title", "dropped_empty_title"), ("empty_url", "dropped_empty_url"), ("invalid_url", "dropped_invalid_url"), ("duplicate_url", "dropped_duplicate_url"), ("truncated", "truncated"))) + f" FROM {_FILTERED} GROUP BY request_id")
+@query(
+    "SELECT request_id, count(*) AS input_count, count(*) FILTER (WHERE reason IS NULL) AS output_count, " + ", ".join(
+        f"count(*) FILTER (WHERE reason = '{r}') AS {n}" for r,
+        n in (
+            ("empty_title", "dropped_empty_title"), ("empty_url", "dropped_empty_url"), ("invalid_url", "dropped_invalid_url"),
+            ("duplicate_url", "dropped_duplicate_url"), ("truncated", "truncated")
+        )
+    ) + f" FROM {_FILTERED} GROUP BY request_id"
+)
 def retrieval_filter_report(spark, d):
     return retrieval.filter_report(retrieval.filter_results(_results(spark, d), 20))
 
@@ -209,7 +230,9 @@ def source_classification(spark, d):
     return _classified(spark, d).select("page_id", "domain", "source_type", "classification_source")
 
 
-@query(f"SELECT count(*) AS input_count, count(*) FILTER (WHERE classification_source <> 'unknown') AS recognized_count, count(*) FILTER (WHERE classification_source = 'unknown') AS unknown_count FROM {_CLASSIFIED}")
+@query(
+    f"SELECT count(*) AS input_count, count(*) FILTER (WHERE classification_source <> 'unknown') AS recognized_count, count(*) FILTER (WHERE classification_source = 'unknown') AS unknown_count FROM {_CLASSIFIED}"
+)
 def classification_report(spark, d):
     return retrieval.classification_report(_classified(spark, d))
 
@@ -235,7 +258,9 @@ def result_merge_report(spark, d):
     return retrieval.merge_report(retrieval.merge_results(pages, index))
 
 
-@query("SELECT run_id, ord FROM (SELECT page_id % 3 AS run_id, page_id AS ord, coalesce(sum(CASE WHEN page_id % 4 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id % 3 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM pages) WHERE used < 4")
+@query(
+    "SELECT run_id, ord FROM (SELECT page_id % 3 AS run_id, page_id AS ord, coalesce(sum(CASE WHEN page_id % 4 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id % 3 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM pages) WHERE used < 4"
+)
 def fetch_budget(spark, d):
     outcomes = _t(spark, d, "pages").select((F.col("page_id") % 3).alias("run_id"), F.col("page_id").alias("ord"), (F.col("page_id") % 4 > 0).alias("is_new"))
     return retrieval.fetch_budget(outcomes, 4).select("run_id", "ord")
@@ -290,7 +315,10 @@ def _merged(spark, d):
     """Every document is in both states; some lie elsewhere in one of them, and some come from another source."""
     docs, i = _t(spark, d, "documents"), F.col("doc_id")
     old = _snapshot(docs, "2024-01-01 00:00:00", F.when(i % 3 == 0, "old").otherwise("d"))
-    new = _snapshot(docs.withColumn("text", F.concat("text", F.lit("!"))).withColumn("source", F.when(i % 10 == 0, "other").otherwise(F.col("source"))), "2024-02-01 00:00:00", F.when(i % 2 == 1, "new").otherwise("d"))
+    new = _snapshot(
+        docs.withColumn("text", F.concat("text", F.lit("!"))).withColumn("source", F.when(i % 10 == 0, "other").otherwise(F.col("source"))),
+        "2024-02-01 00:00:00", F.when(i % 2 == 1, "new").otherwise("d")
+    )
     return store.upsert(old, new, "2024-02-01 00:00:00")
 
 
@@ -306,7 +334,10 @@ SELECT u AS canonical_url, coalesce(os, ns) AS source_id, CASE WHEN taken THEN n
 CASE WHEN stored THEN '2024-01-01' ELSE '2024-02-01' END AS created, CASE WHEN taken THEN '2024-02-01' ELSE '2024-01-01' END AS updated FROM j""")
 def latest_version_upsert(spark, d):
     snapshot, _ = _merged(spark, d)
-    return snapshot.select("canonical_url", "source_id", "content_hash", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+    return snapshot.select(
+        "canonical_url", "source_id", "content_hash", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated")
+    )
 
 
 @query(f"WITH {_BOTH} SELECT u AS canonical_url, ns AS source_id, 'source conflict' AS error FROM j WHERE stored AND ns IS NOT NULL AND NOT taken")
@@ -321,8 +352,14 @@ FULL JOIN (SELECT CASE WHEN page_id % 2 = 1 THEN 'n' ELSE '' END || page_id AS u
 def endpoint_upsert(spark, d):
     p, i = _t(spark, d, "pages"), F.col("page_id")
     url = lambda odd, prefix: F.concat(F.when(odd, prefix).otherwise(""), i.cast("string")).alias("url")
-    old = p.select(url(i % 3 == 0, "o"), F.concat(F.lit("a"), "page_id").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.encode("html", "UTF-8").alias("content"))
-    new = p.select(url(i % 2 == 1, "n"), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("b"), "page_id")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(F.col("page_id") % 5 != 0, F.encode(F.lit("new"), "UTF-8")).alias("content"))
+    old = p.select(
+        url(i % 3 == 0, "o"), F.concat(F.lit("a"), "page_id").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.encode("html", "UTF-8").alias("content")
+    )
+    new = p.select(
+        url(i % 2 == 1, "n"), F.when(F.col("page_id") % 4 != 0, F.concat(F.lit("b"), "page_id")).alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"), F.when(F.col("page_id") % 5 != 0, F.encode(F.lit("new"), "UTF-8")).alias("content")
+    )
     out = store.upsert_endpoints(old, new)
     return out.select("url", "etag", F.length(F.decode("content", "UTF-8")).cast("long").alias("n_chars"))
 
@@ -351,7 +388,10 @@ def discovery_merge(spark, d):
     p = _t(spark, d, "pages").select("page_id", "url")
     date = F.when(F.col("page_id") % 3 > 0, F.expr("timestamp'2024-01-01' + make_dt_interval(cast(page_id as int))"))
     first = p.select((F.col("page_id") % 2).alias("src"), "url", F.col("page_id").alias("ord"), date.alias("published_at"))
-    again = p.select((F.col("page_id") % 2).alias("src"), F.concat("url", F.lit("#x")).alias("url"), (F.col("page_id") + 1000000).alias("ord"), F.expr("timestamp'2025-01-01'").alias("published_at"))
+    again = p.select(
+        (F.col("page_id") % 2).alias("src"), F.concat("url", F.lit("#x")).alias("url"), (F.col("page_id") + 1000000).alias("ord"),
+        F.expr("timestamp'2025-01-01'").alias("published_at")
+    )
     return discovery.merge(first.union(again), "src").select("src", "normalized_url", "ord", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
 
 
@@ -371,9 +411,15 @@ SELECT doc_id, row_number() OVER (ORDER BY r) AS rank FROM k WHERE n = 1""")
 def current_chunk_filter(spark, d):
     docs = _t(spark, d, "documents")
     hash_ = values.content_hash(F.col("text"))
-    stored = docs.filter("source <> 'src1'").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), hash_.alias("content_hash"), hash_.alias("canonical_url"), F.when(F.col("doc_id") % 7 == 0, "inactive").otherwise("active").alias("status"))
+    stored = docs.filter("source <> 'src1'").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), hash_.alias("content_hash"), hash_.alias("canonical_url"),
+        F.when(F.col("doc_id") % 7 == 0, "inactive").otherwise("active").alias("status")
+    )
     top = docs.select("doc_id", "source", "n_chars", hash_.alias("content_hash")).orderBy(F.desc("n_chars"), "doc_id").limit(200)
-    hits = top.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), "content_hash", F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    hits = top.select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), "content_hash",
+        F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).alias("rank")
+    )
     return search.current_hits(hits, stored).select(F.col("document_id").alias("doc_id"), F.col("rank").cast("long"))
 
 
@@ -402,7 +448,9 @@ def paragraph_chunks(spark, d):
 def byte_budget_chunks(spark, d):
     docs = _texts(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
     chunks = chunking.byte_chunks(docs, 4096, None)
-    joined = chunks.groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("position", "chunk"))).alias("c"), F.bool_and(F.octet_length("chunk") <= 4096).alias("bounded"))
+    joined = chunks.groupBy(F.col("id").alias("doc_id")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "chunk"))).alias("c"), F.bool_and(F.octet_length("chunk") <= 4096).alias("bounded")
+    )
     return joined.select("doc_id", F.sha2(F.array_join(F.transform("c", lambda x: x["chunk"]), ""), 256).alias("whole"), "bounded")
 
 
@@ -417,7 +465,10 @@ SELECT page_id, {_FLAT.format(_ENTITIES.format('title'))} AS title, sha256({_FLA
 def html_extract(spark, d):
     pages = _texts(spark, d, "pages", "page_id", "html").select("page_id", F.lit("text/html").alias("media_type"), F.encode("html", "UTF-8").alias("content"))
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return html.parse_documents(pages, "page_id").select("page_id", flat(F.col("title")).alias("title"), F.sha2(flat(F.col("text")), 256).alias("words"), "strategy", F.col("published_at").cast("string").alias("published_at"), "error")
+    return html.parse_documents(pages, "page_id").select(
+        "page_id", flat(F.col("title")).alias("title"), F.sha2(flat(F.col("text")), 256).alias("words"), "strategy",
+        F.col("published_at").cast("string").alias("published_at"), "error"
+    )
 
 
 # ---------------------------------------------------------------- research runs
@@ -427,7 +478,10 @@ _STATE = "CASE WHEN toxic = 1 THEN 'unusable' WHEN quality = 1 THEN 'active' ELS
 
 def _run_documents(spark, d):
     state = F.when(F.col("toxic") == 1, "unusable").when(F.col("quality") == 1, "active").otherwise("shelved")
-    return _t(spark, d, "labels").select((F.col("doc_id") % 10).alias("run_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("ord"), state.alias("lifecycle"), (F.col("doc_id") % 4).alias("n_evidence"))
+    return _t(spark, d, "labels").select(
+        (F.col("doc_id") % 10).alias("run_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("ord"), state.alias("lifecycle"),
+        (F.col("doc_id") % 4).alias("n_evidence")
+    )
 
 
 @query(f"""
@@ -443,7 +497,10 @@ WITH r AS (SELECT doc_id % 10 AS run_id, count(*) FILTER (WHERE s = 'active') AS
 SELECT run_id, array_to_string(list_filter([CASE WHEN 12 - run_id - 2 > 1 AND 3 - run_id % 4 > 0 THEN 'research' END, CASE WHEN 12 - run_id - 2 > 1 AND a + h > 0 THEN 'curate_evidence' END, CASE WHEN a BETWEEN 1 AND 40 THEN 'finish' END, 'stop'], lambda x: x IS NOT NULL), ',') AS actions FROM r""")
 def available_actions(spark, d):
     counts = research.lifecycle_counts(_run_documents(spark, d))
-    state = counts.select("run_id", "active", "shelved", F.lit(12).alias("max_steps"), (F.col("run_id") + 2).alias("current_step"), F.lit(3).alias("max_researches"), (F.col("run_id") % 4).alias("researches"), F.lit(40).alias("max_active_documents"))
+    state = counts.select(
+        "run_id", "active", "shelved", F.lit(12).alias("max_steps"), (F.col("run_id") + 2).alias("current_step"), F.lit(3).alias("max_researches"),
+        (F.col("run_id") % 4).alias("researches"), F.lit(40).alias("max_active_documents")
+    )
     return research.available_actions(research.budgets(state)).select("run_id", F.array_join("actions", ",").alias("actions"))
 
 
@@ -465,7 +522,13 @@ def state_latest(spark, d):
 _OUTCOME = "CASE event_type WHEN 'click' THEN 'retrieved' WHEN 'error' THEN 'fetch_failure' WHEN 'purchase' THEN 'fetch_success' WHEN 'signup' THEN 'new' ELSE 'selected' END"
 
 
-@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE k = '{k}') AS {k}" for k in ("retrieved", "new", "reused", "selected", "fetch_success", "fetch_failure", "extraction_success", "extraction_failure")) + f" FROM (SELECT user_id, {_OUTCOME} AS k FROM events) GROUP BY user_id")
+@query(
+    "SELECT user_id, " + ", ".join(
+        f"count(*) FILTER (WHERE k = '{k}') AS {k}" for k in (
+            "retrieved", "new", "reused", "selected", "fetch_success", "fetch_failure", "extraction_success", "extraction_failure"
+        )
+    ) + f" FROM (SELECT user_id, {_OUTCOME} AS k FROM events) GROUP BY user_id"
+)
 def research_history(spark, d):
     return research.research_history(_t(spark, d, "events").withColumn("kind", F.expr(_OUTCOME)), ["user_id"])
 
@@ -477,7 +540,10 @@ arg_max(CASE WHEN event = 'shelve' THEN 'shelved' ELSE 'active' END, step) FILTE
 SELECT run_id, document_id, CASE WHEN moved IS NOT NULL AND born = 'active' THEN moved ELSE born END AS lifecycle, CASE WHEN moved IS NOT NULL AND born = 'active' THEN moved_at ELSE born_at END AS updated_at_step FROM b""")
 def lifecycle_reducer(spark, d):
     kind = F.when(F.col("event_type").isin("click", "signup"), "evidence").when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "shelve").otherwise("reactivate")
-    e = _t(spark, d, "events").select((F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 15).alias("document_id"), F.col("event_id").alias("step"), kind.alias("event"), (F.col("event_id") % 3).alias("n_evidence"), F.lit(None).cast("string").alias("reason"))
+    e = _t(spark, d, "events").select(
+        (F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 15).alias("document_id"), F.col("event_id").alias("step"), kind.alias("event"),
+        (F.col("event_id") % 3).alias("n_evidence"), F.lit(None).cast("string").alias("reason")
+    )
     return research.lifecycle(e).select("run_id", "document_id", "lifecycle", "updated_at_step")
 
 
@@ -505,7 +571,10 @@ def citation_resolve(spark, d):
 
 @query("SELECT event_type AS action_type, round(sum(value), 4) AS seconds, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1")
 def action_durations(spark, d):
-    spans = _t(spark, d, "events").select(F.col("event_type").alias("action_type"), F.col("value").alias("seconds"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))
+    spans = _t(spark, d, "events").select(
+        F.col("event_type").alias("action_type"), F.col("value").alias("seconds"),
+        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status")
+    )
     return evaluation.action_durations(spans).withColumn("seconds", F.round("seconds", 4))
 
 
@@ -514,7 +583,10 @@ SELECT user_id, count(*) AS spans, min(event_id) AS first_id, array_to_string(li
 def span_tree_stats(spark, d):
     e = _t(spark, d, "events").withColumn("nth", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
     first = F.collect_list(F.when(F.col("nth") <= 5, F.struct("nth", "event_type")))
-    return e.groupBy("user_id").agg(F.count("*").alias("spans"), F.min("event_id").alias("first_id"), F.array_join(F.transform(F.array_sort(first), lambda x: x["event_type"]), ",").alias("first_types"))
+    return e.groupBy("user_id").agg(
+        F.count("*").alias("spans"), F.min("event_id").alias("first_id"),
+        F.array_join(F.transform(F.array_sort(first), lambda x: x["event_type"]), ",").alias("first_types")
+    )
 
 
 # ---------------------------------------------------------------- evaluation
@@ -535,7 +607,9 @@ def manifest_counts(spark, d):
     return evaluation.manifest(_t(spark, d, "documents"), ["lang", "source"])
 
 
-@query("SELECT 'missing' AS side, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
+@query(
+    "SELECT 'missing' AS side, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)"
+)
 def asset_id_diff(spark, d):
     return evaluation.id_difference(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id")
 
@@ -559,7 +633,11 @@ def case_results(spark, d):
     return _cases(spark, d).select("doc_id", "passed_minimums")
 
 
-_AVERAGED = {"retrieved_results": "doc_id % 10", "filtered_results": "doc_id % 9", "classified_results": "doc_id % 9 + 1", "recognized_sources": "doc_id % 5", "unknown_sources": "doc_id % 5 + 1", "documents": "doc_id % 7", "active_documents": "doc_id % 5", "unusable_documents": "doc_id % 2", "evidence": "doc_id % 8", "active_evidence": "doc_id % 6", "action_seconds": "(doc_id % 17) / 4.0"}
+_AVERAGED = {
+    "retrieved_results": "doc_id % 10", "filtered_results": "doc_id % 9", "classified_results": "doc_id % 9 + 1", "recognized_sources": "doc_id % 5",
+    "unknown_sources": "doc_id % 5 + 1", "documents": "doc_id % 7", "active_documents": "doc_id % 5", "unusable_documents": "doc_id % 2",
+    "evidence": "doc_id % 8", "active_evidence": "doc_id % 6", "action_seconds": "(doc_id % 17) / 4.0"
+}
 
 
 @query(
@@ -578,7 +656,9 @@ def failure_histogram(spark, d):
     return evaluation.histogram(_cases(spark, d), "retrieval_failure_reasons")
 
 
-@query("SELECT user_id, array_to_string(list(event_type ORDER BY o), ',') AS types FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY user_id")
+@query(
+    "SELECT user_id, array_to_string(list(event_type ORDER BY o), ',') AS types FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY user_id"
+)
 def ordered_distinct(spark, d):
     return evaluation.ordered_distinct(_t(spark, d, "events"), "user_id", "event_type", "event_id").select("user_id", F.array_join("values", ",").alias("types"))
 
@@ -594,7 +674,10 @@ SELECT source AS source_id, sum(d)::BIGINT AS documents, sum(a)::BIGINT AS activ
 FROM (SELECT source, 1 AS d, CASE WHEN doc_id % 3 > 0 AND doc_id % 2 = 0 THEN 1 ELSE 0 END AS a, 0 AS f FROM documents UNION ALL SELECT source, 0, 0, 1 FROM documents WHERE doc_id % 9 = 0) GROUP BY ROLLUP (source))""")
 def sync_summary(spark, d):
     docs = _t(spark, d, "documents")
-    rows = docs.select(F.col("source").alias("source_id"), F.when(F.col("doc_id") % 3 > 0, "active").otherwise("inactive").alias("status"), F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01")).alias("published_at"))
+    rows = docs.select(
+        F.col("source").alias("source_id"), F.when(F.col("doc_id") % 3 > 0, "active").otherwise("inactive").alias("status"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01")).alias("published_at")
+    )
     return sync.summary(rows, docs.filter("doc_id % 9 = 0").select(F.col("source").alias("source_id")))
 
 

@@ -52,7 +52,10 @@ def registry_load(spark, d):
     whole = _hosts(spark, d).agg(F.sort_array(F.collect_list(source)).alias("sources"))  # one file, as registries are
     whole.select(F.to_json(F.struct(F.lit(2).alias("schema_version"), "sources"))).coalesce(1).write.text(path)
     found = registry.load(spark, path)
-    return found.select("ord", "id", "source_type", "enabled", F.array_join("allowed_domains", ",").alias("domains"), F.array_join("allowed_path_prefixes", ",").alias("prefixes"), (F.size("feeds") + F.size("sitemaps")).alias("endpoints"))
+    return found.select(
+        "ord", "id", "source_type", "enabled", F.array_join("allowed_domains", ",").alias("domains"),
+        F.array_join("allowed_path_prefixes", ",").alias("prefixes"), (F.size("feeds") + F.size("sitemaps")).alias("endpoints")
+    )
 
 
 @query(f"""SELECT CASE WHEN k = 0 THEN 'Bad ' || h ELSE h END AS id, ['bad id', 'bad source type', 'no domain', 'bad domain', 'bad path prefix', 'endpoint outside domains', 'endpoint with fragment', 'duplicate entries', 'domain of two sources'][k + 1] AS rule
@@ -78,7 +81,9 @@ def case_lines(spark, d):
     return files.read_cases(spark, path, "item_id long, text string", "item_id").select("item_id", F.sha2("text", 256).alias("text_hash"))
 
 
-@query("SELECT conv_id, turn, conv_id % 3 AS part, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn)::BIGINT AS number, row_number() OVER (ORDER BY conv_id % 3, conv_id, turn) - 1 AS ord FROM conversations")
+@query(
+    "SELECT conv_id, turn, conv_id % 3 AS part, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn)::BIGINT AS number, row_number() OVER (ORDER BY conv_id % 3, conv_id, turn) - 1 AS ord FROM conversations"
+)
 def line_numbers(spark, d):
     """Lines of three files, read in byte ranges of a few kilobytes, with their numbers in the file and in all."""
     path, part = _folder(spark, "lines"), F.col("conv_id") % 3
@@ -94,10 +99,16 @@ def line_numbers(spark, d):
     return found.select(case, "number", "ord").select("c.*", (F.col("c.conv_id") % 3).alias("part"), "number", "ord")
 
 
-@query("SELECT item_id AS id, sha256(text) AS question_hash, CASE WHEN item_id % 2 = 0 THEN 'item' ELSE 'set' END AS answer_type, 'open' AS question_type, item_id % 3 AS topic FROM benchmark")
+@query(
+    "SELECT item_id AS id, sha256(text) AS question_hash, CASE WHEN item_id % 2 = 0 THEN 'item' ELSE 'set' END AS answer_type, 'open' AS question_type, item_id % 3 AS topic FROM benchmark"
+)
 def prepared_questions(spark, d):
     """Encrypted questions decrypted, written as JSON lines and read again."""
-    raw = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), files.encrypt(F.col("text"), F.lit("secret")).alias("question"), F.when(F.col("item_id") % 2 == 0, "ITEM").otherwise("Set").alias("answer_type"), F.lit("OPEN").alias("question_type"), (F.col("item_id") % 3).alias("topic"))
+    raw = _t(spark, d, "benchmark").select(
+        F.col("item_id").alias("id"), files.encrypt(F.col("text"), F.lit("secret")).alias("question"),
+        F.when(F.col("item_id") % 2 == 0, "ITEM").otherwise("Set").alias("answer_type"), F.lit("OPEN").alias("question_type"),
+        (F.col("item_id") % 3).alias("topic")
+    )
     path = _folder(spark, "questions")
     files.write_lines(files.prepare_questions(raw, "secret"), path)
     back = spark.read.schema("id long, question string, answer_type string, question_type string, topic long").json(path)
@@ -113,7 +124,10 @@ def document_lookup(spark, d):
 
 @query("SELECT doc_id::VARCHAR AS id, doc_id AS ord, quality::VARCHAR AS payload FROM labels")
 def artifact_log(spark, d):
-    put = lambda t, kind, payload: t.select(F.lit(kind).alias("artifact_type"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ord"), F.col(payload).cast("string").alias("payload"))
+    put = lambda t, kind, payload: t.select(
+        F.lit(kind).alias("artifact_type"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ord"),
+        F.col(payload).cast("string").alias("payload")
+    )
     log = files.put_artifacts(put(_t(spark, d, "documents"), "document", "lang"), put(_t(spark, d, "labels"), "label", "quality"))
     return files.list_artifacts(log, "label").select("id", "ord", "payload")
 
@@ -144,7 +158,9 @@ def value_shapes(spark, d):
     i, status = F.col("event_id"), F.col("event_id") % 600
     kind = values.error_kind(F.when(i % 5 != 0, status))
     return _t(spark, d, "events").select(
-        "event_id", values.media_type(F.lit(" Text/HTML ; charset=x")).alias("media_type"), values.blank_to_null(F.when(i % 3 == 0, " \t").otherwise(F.concat(F.lit(" "), "event_type"))).alias("label"), values.ratio(i, (i % 4) * 1000).alias("ratio"),
+        "event_id", values.media_type(F.lit(" Text/HTML ; charset=x")).alias("media_type"), values.blank_to_null(
+            F.when(i % 3 == 0, " \t").otherwise(F.concat(F.lit(" "), "event_type"))
+        ).alias("label"), values.ratio(i, (i % 4) * 1000).alias("ratio"),
         values.retryable_status(status).alias("retry_status"), kind.alias("kind"), values.retryable(kind, status).alias("retryable"), values.numbered("D", i).alias("ref"),
     )
 
@@ -153,7 +169,9 @@ def value_shapes(spark, d):
 def fenced_answers(spark, d):
     """Claim previews, and texts that come back out of thoughts and fences."""
     answer = F.concat(F.lit(" <think>a\nb</think>```json\n"), "text", F.lit("\n```\n"))
-    return _t(spark, d, "documents").select("doc_id", values.preview(F.col("text")).alias("preview"), F.md5(values.unfence(values.without_thoughts(answer)).cast("binary")).alias("body"))
+    return _t(spark, d, "documents").select(
+        "doc_id", values.preview(F.col("text")).alias("preview"), F.md5(values.unfence(values.without_thoughts(answer)).cast("binary")).alias("body")
+    )
 
 
 @query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN epoch(date_trunc('day', ts)) WHEN 1 THEN epoch(date_trunc('second', ts)) WHEN 2 THEN epoch(date_trunc('second', ts)) - 7200 WHEN 3 THEN epoch(date_trunc('second', ts))
@@ -163,8 +181,12 @@ def date_forms(spark, d):
     ts, form = F.col("ts").cast("timestamp"), F.col("event_id") % 8
     as_ = lambda f: F.date_format(ts, f)
     written = (
-        F.when(form == 0, as_("yyyy-MM-dd")).when(form == 1, F.concat(as_("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(form == 2, F.concat(as_("yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")))
-        .when(form == 3, F.concat(F.lit("Mon, "), as_("dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(form == 4, F.concat(as_("d MMM yyyy HH:mm"), F.lit(" EST"))).when(form == 5, as_("yyyy-MM-dd'T'HH:mm:ss"))
+        F.when(form == 0, as_("yyyy-MM-dd")).when(form == 1, F.concat(as_("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(
+            form == 2, F.concat(as_("yyyy-MM-dd HH:mm:ss"), F.lit("+02:00"))
+        )
+        .when(
+            form == 3, F.concat(F.lit("Mon, "), as_("dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+        ).when(form == 4, F.concat(as_("d MMM yyyy HH:mm"), F.lit(" EST"))).when(form == 5, as_("yyyy-MM-dd'T'HH:mm:ss"))
         .when(form == 6, F.concat(as_("dd MMM yyyy HH:mm:ss"), F.lit(" -0000"))).otherwise(F.lit("Mon, 10 Aug 99999999999999999999 08:00:00 GMT"))
     )
     return _t(spark, d, "events").select("event_id", F.unix_timestamp(times.external(written)).alias("seconds"))
@@ -180,13 +202,20 @@ def html_variants(spark, d):
     """Roots, noise, blocks and dates of pages of five shapes."""
     i = F.col("doc_id")
     s = i.cast("string")
-    core = F.concat(F.lit("<nav>n</nav><h2>head</h2><aside><p>no</p></aside><p>first <i>&lt;b&gt;</i> "), s, F.lit("</p><form><p>f</p></form><ul><li>item</li></ul><script>x</script>"))
+    core = F.concat(
+        F.lit("<nav>n</nav><h2>head</h2><aside><p>no</p></aside><p>first <i>&lt;b&gt;</i> "), s,
+        F.lit("</p><form><p>f</p></form><ul><li>item</li></ul><script>x</script>")
+    )
     body = (
-        F.when(i % 5 == 0, F.concat(F.lit("<article><p>other</p></article><main>"), core, F.lit("</main>"))).when(i % 5 == 1, F.concat(F.lit("<p>out</p><div role='main'>"), core, F.lit("</div>")))
+        F.when(
+            i % 5 == 0, F.concat(F.lit("<article><p>other</p></article><main>"), core, F.lit("</main>"))
+        ).when(i % 5 == 1, F.concat(F.lit("<p>out</p><div role='main'>"), core, F.lit("</div>")))
         .when(i % 5 == 2, F.concat(F.lit("<article><p>short</p></article><article><p>longer "), s, F.lit("</p><blockquote>quoted</blockquote></article>")))
         .when(i % 5 == 3, F.concat(F.lit("<header><p>h</p></header>"), core, F.lit("<footer><p>f</p></footer>"))).otherwise(F.lit("<dialog><p>d</p></dialog>"))
     )
-    date = F.when(i % 3 == 0, F.lit('<script type="application/ld+json">[{"datePublished": "soon"}, {"a": [{"datePublished": "2024-02-03"}]}]</script>')).when(i % 3 == 1, F.lit('<meta property="article:published_time" content="2024-05-06T07:08:09+01:00">')).otherwise("")
+    date = F.when(
+        i % 3 == 0, F.lit('<script type="application/ld+json">[{"datePublished": "soon"}, {"a": [{"datePublished": "2024-02-03"}]}]</script>')
+    ).when(i % 3 == 1, F.lit('<meta property="article:published_time" content="2024-05-06T07:08:09+01:00">')).otherwise("")
     page = F.concat(F.lit("<html><head><title> T"), s, F.lit(" </title>"), date, F.lit("</head><body>"), body, F.lit("</body></html>"))
     rows = _t(spark, d, "labels").select("doc_id", F.lit("text/html").alias("media_type"), F.encode(page, "UTF-8").alias("content"))
     return html.parse_documents(rows, "doc_id").withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
@@ -198,11 +227,17 @@ def pdf_extract(spark, d):
     """Small PDF files by rule: with text, damaged, without text, of another type."""
     s = F.col("item_id").cast("string")
     file = lambda a, b: F.concat(
-        F.lit("%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R 5 0 R]>> endobj\n3 0 obj <</Type /Page /Contents 4 0 R>> endobj\n4 0 obj <<>> stream\n"), a,
-        F.lit("\nendstream endobj\n5 0 obj <</Type /Page /Contents 6 0 R>> endobj\n6 0 obj <<>> stream\n"), b, F.lit("\nendstream endobj\n7 0 obj <</Title (Item "), s, F.lit(")>> endobj\ntrailer <</Info 7 0 R>>\n"),
+        F.lit(
+            "%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R 5 0 R]>> endobj\n3 0 obj <</Type /Page /Contents 4 0 R>> endobj\n4 0 obj <<>> stream\n"
+        ), a,
+        F.lit(
+            "\nendstream endobj\n5 0 obj <</Type /Page /Contents 6 0 R>> endobj\n6 0 obj <<>> stream\n"
+        ), b, F.lit("\nendstream endobj\n7 0 obj <</Title (Item "), s, F.lit(")>> endobj\ntrailer <</Info 7 0 R>>\n"),
     )
     k = F.col("item_id") % 4
-    body = F.when(k == 0, file(F.concat(F.lit("BT (one "), s, F.lit(") Tj 0 -9 Td (two) Tj ET")), F.lit("BT [(thr) 5 (ee)] TJ ET"))).when(k == 1, "%PDF-1.4 broken").otherwise(file(F.lit("BT ET"), F.lit("BT ET")))
+    body = F.when(
+        k == 0, file(F.concat(F.lit("BT (one "), s, F.lit(") Tj 0 -9 Td (two) Tj ET")), F.lit("BT [(thr) 5 (ee)] TJ ET"))
+    ).when(k == 1, "%PDF-1.4 broken").otherwise(file(F.lit("BT ET"), F.lit("BT ET")))
     rows = _t(spark, d, "benchmark").select("item_id", F.when(k == 3, "image/png").otherwise("application/pdf").alias("media_type"), F.encode(body, "UTF-8").alias("content"))
     return html.parse_documents(rows, "item_id").select("item_id", "title", "text", "error")
 
@@ -213,20 +248,47 @@ def feed_entries(spark, d):
     """RSS, Atom and RDF entries; entities, malformed XML and other roots fail."""
     i, s = F.col("page_id"), F.col("page_id").cast("string")
     xml = (
-        F.when(i % 6 == 0, F.concat(F.lit("<rss><channel><link>no</link><item><link> /n/"), s, F.lit("?x=1&amp;y=2 </link><pubDate>Tue, 02 Jan 2024 03:04:05 +0100</pubDate></item></channel></rss>")))
-        .when(i % 6 == 1, F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><link rel='self' href='s'/><link href='e"), s, F.lit("'/><published>2024-03-04T00:00:00Z</published></entry></feed>")))
-        .when(i % 6 == 2, F.concat(F.lit("<r:RDF xmlns:r='http://r' xmlns:dc='http://d'><item><link>https://b.test/r"), s, F.lit("</link><dc:date>2024-01-05</dc:date></item></r:RDF>")))
+        F.when(
+            i % 6 == 0,
+            F.concat(
+                F.lit("<rss><channel><link>no</link><item><link> /n/"), s,
+                F.lit("?x=1&amp;y=2 </link><pubDate>Tue, 02 Jan 2024 03:04:05 +0100</pubDate></item></channel></rss>")
+            )
+        )
+        .when(
+            i % 6 == 1,
+            F.concat(
+                F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><entry><link rel='self' href='s'/><link href='e"), s,
+                F.lit("'/><published>2024-03-04T00:00:00Z</published></entry></feed>")
+            )
+        )
+        .when(
+            i % 6 == 2,
+            F.concat(
+                F.lit("<r:RDF xmlns:r='http://r' xmlns:dc='http://d'><item><link>https://b.test/r"), s,
+                F.lit("</link><dc:date>2024-01-05</dc:date></item></r:RDF>")
+            )
+        )
         .when(i % 6 == 3, F.lit("<!doctype x [<!ENTITY a 'b'>]><rss/>")).when(i % 6 == 4, F.lit("<rss><item>")).otherwise(F.lit("<html/>"))
     )
-    rows = _t(spark, d, "pages").select(F.concat(F.lit("https://a.test/feeds/"), s, F.lit(".xml")).alias("endpoint_url"), F.lit("feed").alias("kind"), F.encode(xml, "UTF-8").alias("content"))
+    rows = _t(spark, d, "pages").select(
+        F.concat(F.lit("https://a.test/feeds/"), s, F.lit(".xml")).alias("endpoint_url"), F.lit("feed").alias("kind"), F.encode(xml, "UTF-8").alias("content")
+    )
     found = discovery.parse_endpoints(rows)
-    return found.select(F.regexp_extract("endpoint_url", r"(\d+)\.xml", 1).cast("long").alias("page_id"), "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.col("error").isNotNull().alias("failed"))
+    return found.select(
+        F.regexp_extract("endpoint_url", r"(\d+)\.xml", 1).cast("long").alias("page_id"), "url",
+        F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.col("error").isNotNull().alias("failed")
+    )
 
 
-@query("SELECT page_id, 'sitemap' AS kind, 'https://a.test/m' || page_id AS url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'content', 'https://a.test/maps/p' || page_id FROM pages WHERE page_id % 2 = 1")
+@query(
+    "SELECT page_id, 'sitemap' AS kind, 'https://a.test/m' || page_id AS url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'content', 'https://a.test/maps/p' || page_id FROM pages WHERE page_id % 2 = 1"
+)
 def sitemap_entries(spark, d):
     i, s = F.col("page_id"), F.col("page_id").cast("string")
-    xml = F.when(i % 2 == 0, F.concat(F.lit("<sitemapindex xmlns='http://s'><sitemap><loc>/m"), s, F.lit("</loc></sitemap></sitemapindex>"))).otherwise(F.concat(F.lit("<urlset><url><loc>p"), s, F.lit("</loc><lastmod>2024-01-01</lastmod></url><url/></urlset>")))
+    xml = F.when(
+        i % 2 == 0, F.concat(F.lit("<sitemapindex xmlns='http://s'><sitemap><loc>/m"), s, F.lit("</loc></sitemap></sitemapindex>"))
+    ).otherwise(F.concat(F.lit("<urlset><url><loc>p"), s, F.lit("</loc><lastmod>2024-01-01</lastmod></url><url/></urlset>")))
     rows = _t(spark, d, "pages").select(F.concat(F.lit("https://a.test/maps/"), s).alias("endpoint_url"), F.lit("sitemap").alias("kind"), F.encode(xml, "UTF-8").alias("content"))
     return discovery.parse_endpoints(rows).select(F.element_at(F.split("endpoint_url", "/"), -1).cast("long").alias("page_id"), "kind", "url")
 
@@ -255,12 +317,18 @@ CASE page_id % 5 WHEN 2 THEN 'http_status 503' WHEN 3 THEN 'transport' WHEN 4 TH
 def conditional_fetch(spark, d):
     """Conditional requests with retries, and the state of endpoints after them."""
     ends = _t(spark, d, "pages").select("page_id", F.concat(F.lit("https://h"), F.col("page_id") % 9, F.lit(".test/"), "page_id").alias("url"))
-    state = ends.select("url", F.when(F.col("page_id") % 2 == 0, "old").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.encode(F.lit("kept"), "UTF-8").alias("content"))
+    state = ends.select(
+        "url", F.when(F.col("page_id") % 2 == 0, "old").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.encode(F.lit("kept"), "UTF-8").alias("content")
+    )
     responses = checkpoint(fetch.fetch(fetch.conditional_requests(ends, state), _by_number, delay=0))
     after = fetch.response_state(responses, state)
     joined = ends.join(responses.select("url", "status", "attempt_count"), "url").join(after, "url")
     good = F.col("error").isNull()
-    return joined.select("page_id", "status", F.col("attempt_count").alias("attempts"), F.when(good, F.col("etag")).alias("etag"), F.when(good, F.decode("content", "UTF-8")).alias("body"), "error")
+    return joined.select(
+        "page_id", "status", F.col("attempt_count").alias("attempts"), F.when(good, F.col("etag")).alias("etag"),
+        F.when(good, F.decode("content", "UTF-8")).alias("body"), "error"
+    )
 
 
 @query("""SELECT page_id, r AS rank, CASE r WHEN 1 THEN 'https://s.test/' || page_id WHEN 3 THEN 'https://s.test/x' END AS url, CASE r WHEN 1 THEN page_id / 4.0 END AS score, CASE WHEN page_id % 4 = 3 THEN 'invalid_response' END AS error
@@ -268,7 +336,10 @@ FROM (SELECT page_id, unnest(CASE WHEN page_id % 4 = 3 THEN [NULL] ELSE [1, 3] E
 def web_search(spark, d):
     """Items of search responses keep their ranks; responses without results are errors."""
     s = F.col("page_id").cast("string")
-    good = F.concat(F.lit('{"results": [{"title": "a", "url": "https://s.test/'), s, F.lit('", "score": '), (F.col("page_id") / 4).cast("string"), F.lit('}, {"title": "no url"}, {"title": "b", "url": "https://s.test/x"}, 5]}'))
+    good = F.concat(
+        F.lit('{"results": [{"title": "a", "url": "https://s.test/'), s, F.lit('", "score": '), (F.col("page_id") / 4).cast("string"),
+        F.lit('}, {"title": "no url"}, {"title": "b", "url": "https://s.test/x"}, 5]}')
+    )
     rows = _t(spark, d, "pages").select(F.col("page_id").alias("request_id"), F.when(F.col("page_id") % 4 == 3, "[1]").otherwise(good).alias("response"))
     return fetch.parse_search(rows).select(F.col("request_id").alias("page_id"), "rank", "url", "score", "error")
 
@@ -288,7 +359,9 @@ def search_request(spark, d):
     )
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fetch' ELSE 'stored' END AS route, CASE WHEN doc_id % 3 > 0 THEN coalesce(lang, 'asked') ELSE 'asked' END AS title FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fetch' ELSE 'stored' END AS route, CASE WHEN doc_id % 3 > 0 THEN coalesce(lang, 'asked') ELSE 'asked' END AS title FROM documents"
+)
 def document_source(spark, d):
     """Requested URLs whose active document is stored, and those to fetch."""
     docs = _t(spark, d, "documents")
@@ -353,7 +426,15 @@ def corpus_sync(spark, d):
     url = F.concat(F.lit("https://farm.test/n/"), k)
     item = F.concat(F.lit("<item><link>/n/"), k, F.lit("</link><pubDate>Fri, "), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit(" Mar 2024 00:00:00 GMT</pubDate></item>"))
     feeds = pages.groupBy(F.concat(F.lit("https://farm.test/feed/"), F.floor(k / 100)).alias("url")).agg(F.concat_ws("", F.collect_list(item)).alias("items"))
-    state = feeds.select("url", F.lit("f").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.encode(F.concat(F.lit("<rss><channel>"), "items", F.lit("<item><link>https://else.test/n/2</link></item><item><link>/out/1</link></item></channel></rss>")), "UTF-8").alias("content"))
+    state = feeds.select(
+        "url", F.lit("f").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.encode(
+            F.concat(
+                F.lit("<rss><channel>"), "items", F.lit("<item><link>https://else.test/n/2</link></item><item><link>/out/1</link></item></channel></rss>")
+            ),
+            "UTF-8"
+        ).alias("content")
+    )
     text = lambda c: F.lit(c).alias
     sources = feeds.agg(F.sort_array(F.collect_list("url")).alias("feeds")).select(
         F.lit(0).alias("ord"), text("farm")("id"), text("Farm")("name"), text("news")("source_type"), F.lit(True).alias("enabled"), F.array(F.lit("farm.test")).alias("allowed_domains"), F.array(F.lit("/n")).alias("allowed_path_prefixes"), "feeds", F.array().cast("array<string>").alias("sitemaps"),
@@ -366,7 +447,10 @@ def corpus_sync(spark, d):
     )
     snapshot, _, _ = app.sync_corpus(sources, stored, state, _farm, "bot", "2024-04-01 00:00:00")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return snapshot.select("url", "status", F.col("failure_reason").alias("reason"), "title", "content_hash", day("published_at").alias("published"), day("created_at").alias("created"))
+    return snapshot.select(
+        "url", "status", F.col("failure_reason").alias("reason"), "title", "content_hash", day("published_at").alias("published"),
+        day("created_at").alias("created")
+    )
 
 
 _BENCH_BM25 = f"""
@@ -393,13 +477,19 @@ def local_search(spark, d):
     index = app.read_index(spark, path, "hashing", 8)
     assert app.reindex(snapshot, index, dimensions=8).filter("vector is null").isEmpty()
     hits = app.search_corpus(index, snapshot, TERMS, "bm25", 8, dimensions=8, terms=f"{path}/terms")
-    return hits.select(F.col("rank").cast("long").alias("rank"), "title", "url", F.sha2("snippet", 256).alias("snippet_hash"), F.col("metadata")["corpus_search_mode"].alias("mode"), F.col("metadata")["corpus_chunk_id"].alias("chunk"))
+    return hits.select(
+        F.col("rank").cast("long").alias("rank"), "title", "url", F.sha2("snippet", 256).alias("snippet_hash"),
+        F.col("metadata")["corpus_search_mode"].alias("mode"), F.col("metadata")["corpus_chunk_id"].alias("chunk")
+    )
 
 
 def _indexed(spark, d) -> str:
     """An index of the documents that was made of older ones: some had other texts, some were not there, some are gone."""
     docs, i, path = _t(spark, d, "documents").select("doc_id", "text"), F.col("doc_id"), _folder(spark, "inverted")
-    older = docs.select(F.when(i % 4 == 0, i + 10_000_000).otherwise(i).alias("doc_id"), F.when(i % 3 == 0, F.concat(F.lit("older words of the "), "text")).otherwise(F.col("text")).alias("text"))
+    older = docs.select(
+        F.when(i % 4 == 0, i + 10_000_000).otherwise(i).alias("doc_id"),
+        F.when(i % 3 == 0, F.concat(F.lit("older words of the "), "text")).otherwise(F.col("text")).alias("text")
+    )
     inverted.add(older, path, complete=True)
     inverted.add(docs, path, complete=True)
     return path
@@ -442,11 +532,16 @@ def embedding_batches(spark, d):
     return made.select("item_id", *(F.col("v")[k].cast("double").alias(c) for k, c in enumerate("abc")))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'duplicate canonical URL' WHEN doc_id % 5 = 1 THEN 'active without text' WHEN doc_id % 5 = 2 THEN 'unknown status' END AS rule FROM labels WHERE doc_id % 5 < 3")
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'duplicate canonical URL' WHEN doc_id % 5 = 1 THEN 'active without text' WHEN doc_id % 5 = 2 THEN 'unknown status' END AS rule FROM labels WHERE doc_id % 5 < 3"
+)
 def snapshot_violations(spark, d):
     """Rules that stored rows must keep; every label is a row, some of them break one."""
     i = F.col("doc_id")
-    rows = _t(spark, d, "labels").select("doc_id", F.concat(F.lit("id"), i).alias("id"), F.when(i % 5 == 2, "lost").otherwise("active").alias("status"), F.when(i % 5 == 1, " \n").otherwise("x").alias("text"), F.concat(F.lit("https://x.org/"), i).alias("canonical_url"))
+    rows = _t(spark, d, "labels").select(
+        "doc_id", F.concat(F.lit("id"), i).alias("id"), F.when(i % 5 == 2, "lost").otherwise("active").alias("status"),
+        F.when(i % 5 == 1, " \n").otherwise("x").alias("text"), F.concat(F.lit("https://x.org/"), i).alias("canonical_url")
+    )
     twice = rows.filter(i % 5 == 0).withColumn("id", F.concat(F.lit("z"), F.col("id")))
     found = store.violations(rows.union(twice))
     return found.select(F.regexp_extract("id", r"\d+", 0).cast("long").alias("doc_id"), "rule")
@@ -462,7 +557,9 @@ def evidence_items(spark, d):
     i = F.col("doc_id")
     seven = "[" + ", ".join(f'{{"claim": "c{k}"}}' for k in range(7)) + "]"
     answer = (
-        F.when(i % 5 == 0, F.concat(F.lit('```json\n[{"claim": " a'), i.cast("string"), F.lit(' ", "confidence": true}, {"claim": "b", "confidence": 0.5}]\n```'))).when(i % 5 == 1, "oops").when(i % 5 == 2, '{"claims": [{"claim": "c"}]}').when(i % 5 == 3, seven).otherwise('[{"claim": 3}]')
+        F.when(
+            i % 5 == 0, F.concat(F.lit('```json\n[{"claim": " a'), i.cast("string"), F.lit(' ", "confidence": true}, {"claim": "b", "confidence": 0.5}]\n```'))
+        ).when(i % 5 == 1, "oops").when(i % 5 == 2, '{"claims": [{"claim": "c"}]}').when(i % 5 == 3, seven).otherwise('[{"claim": 3}]')
     )
     rows = _t(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("position"), answer.alias("response"), F.lit(None).cast("string").alias("error"))
     found, failed = agents.evidence(rows)
@@ -471,7 +568,9 @@ def evidence_items(spark, d):
     return joined.select(F.col("document_id").alias("doc_id"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "first_claim", "confidence", "reason")
 
 
-@query("SELECT run_id, 'C' || n AS ref, page_id FROM (SELECT page_id % 5 AS run_id, page_id, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id DESC) AS n FROM pages) WHERE n <= 2")
+@query(
+    "SELECT run_id, 'C' || n AS ref, page_id FROM (SELECT page_id % 5 AS run_id, page_id, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id DESC) AS n FROM pages) WHERE n <= 2"
+)
 def candidate_selection(spark, d):
     """Candidates numbered per run; those that a model's answer names."""
     pages = _t(spark, d, "pages").select((F.col("page_id") % 5).alias("run_id"), (-F.col("page_id")).alias("ord"), F.col("page_id").alias("result_id"))
@@ -485,7 +584,10 @@ CASE doc_id % 6 WHEN 1 THEN 'action not available' WHEN 2 THEN 'invalid action'
 def policy_actions(spark, d):
     """Actions that a model's answers ask for, checked against what is available; and those of the rule."""
     i = F.col("doc_id")
-    answers = ['<think>x</think>{"type": "research", "params": {"query": "q"}}', '{"type": "finish"}', "no", '{"type": "research", "params": {"query": " "}}', '{"type": "research", "params": {"query": "q", "source_domains": ["a.test", "x"]}}', '{"type": "stop"}']
+    answers = [
+        '<think>x</think>{"type": "research", "params": {"query": "q"}}', '{"type": "finish"}', "no", '{"type": "research", "params": {"query": " "}}',
+        '{"type": "research", "params": {"query": "q", "source_domains": ["a.test", "x"]}}', '{"type": "stop"}'
+    ]
     answer = F.get(F.array(*map(F.lit, answers)), (i % 6).cast("int"))
     rows = _t(spark, d, "labels")
     found = agents.actions(rows.select(i.alias("run_id"), answer.alias("response")), rows.select(i.alias("run_id"), F.array(F.lit("research"), F.lit("stop")).alias("actions")))
@@ -496,12 +598,25 @@ def policy_actions(spark, d):
 FROM (SELECT doc_id, doc_id % 10 AS run_id, {_STATE} AS s FROM labels) WHERE s <> 'unusable'""")
 def agent_context(spark, d):
     """Documents with a lifecycle, numbered, with their first evidence, cut claims and research references."""
-    rows = _t(spark, d, "labels").select((F.col("doc_id") % 10).alias("run_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("ord"), F.when(F.col("toxic") == 1, None).when(F.col("quality") == 1, "active").otherwise("shelved").alias("lifecycle"))
+    rows = _t(spark, d, "labels").select(
+        (F.col("doc_id") % 10).alias("run_id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("ord"),
+        F.when(F.col("toxic") == 1, None).when(F.col("quality") == 1, "active").otherwise("shelved").alias("lifecycle")
+    )
     items = F.sequence(F.lit(0), F.when(F.col("document_id") % 2 == 0, 11).otherwise(-1))
-    evidence = rows.select("run_id", "document_id", F.explode(F.when(F.col("document_id") % 2 == 0, items).otherwise(F.array().cast("array<int>"))).alias("ord")).select("*", F.concat(F.lit("e"), "ord").alias("evidence_id"), F.repeat(F.lit("x"), 400).alias("claim"))
-    links = rows.select("run_id", "document_id", F.explode(F.when(F.col("document_id") % 2 == 0, F.array(F.lit(1), F.lit(0), F.lit(1))).otherwise(F.array((F.col("document_id") % 3).cast("int")))).alias("research_index"))
+    evidence = rows.select(
+        "run_id", "document_id", F.explode(F.when(F.col("document_id") % 2 == 0, items).otherwise(F.array().cast("array<int>"))).alias("ord")
+    ).select("*", F.concat(F.lit("e"), "ord").alias("evidence_id"), F.repeat(F.lit("x"), 400).alias("claim"))
+    links = rows.select(
+        "run_id", "document_id",
+        F.explode(
+            F.when(F.col("document_id") % 2 == 0, F.array(F.lit(1), F.lit(0), F.lit(1))).otherwise(F.array((F.col("document_id") % 3).cast("int")))
+        ).alias("research_index")
+    )
     found = research.context(rows, evidence).join(research.research_refs(links), ["run_id", "document_id"])
-    return found.select("run_id", F.col("document_id").alias("doc_id"), "ref", "lifecycle", F.when(F.col("evidence").isNotNull(), F.size("evidence")).alias("n"), F.length(F.get("evidence", F.lit(0))["claim"]).alias("chars"), F.array_join("research_refs", ",").alias("refs"))
+    return found.select(
+        "run_id", F.col("document_id").alias("doc_id"), "ref", "lifecycle", F.when(F.col("evidence").isNotNull(), F.size("evidence")).alias("n"),
+        F.length(F.get("evidence", F.lit(0))["claim"]).alias("chars"), F.array_join("research_refs", ",").alias("refs")
+    )
 
 
 @query("SELECT page_id % 5 AS run_id, count(DISTINCT regexp_replace(lower(regexp_extract(url, '^[^/?#]*//([^/?#:]*)', 1)), '^www\\.', '')) AS source_domains FROM pages GROUP BY 1")
@@ -519,27 +634,39 @@ def candidates_left(spark, d):
     return left.select("run_id", F.col("result_id").alias("page_id"), F.lit("left").alias("kind")).union(chosen.select("run_id", "result_id", F.lit("chosen")))
 
 
-@query("SELECT run_id, document_id, min(event_id) AS ord FROM (SELECT user_id % 20 AS run_id, event_id % 40 AS document_id, event_id FROM events WHERE event_type <> 'error') WHERE document_id % 3 > 0 GROUP BY 1, 2")
+@query(
+    "SELECT run_id, document_id, min(event_id) AS ord FROM (SELECT user_id % 20 AS run_id, event_id % 40 AS document_id, event_id FROM events WHERE event_type <> 'error') WHERE document_id % 3 > 0 GROUP BY 1, 2"
+)
 def extraction_queue(spark, d):
     """Documents fetched with success, each once in order, that a run doesn't know yet."""
-    e = _t(spark, d, "events").select((F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 40).alias("document_id"), F.col("event_id").alias("ord"), (F.col("event_type") != "error").alias("success"))
+    e = _t(spark, d, "events").select(
+        (F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 40).alias("document_id"), F.col("event_id").alias("ord"),
+        (F.col("event_type") != "error").alias("success")
+    )
     known = e.select("run_id", "document_id").distinct().filter("document_id % 3 = 0")
     return retrieval.documents_to_extract(e, known).select("run_id", "document_id", "ord")
 
 
 @query("SELECT page_id % 3 AS run_id, page_id % 2 = 0 AS is_old, count(*) AS n FROM pages GROUP BY 1, 2")
 def url_index(spark, d):
-    rows = _t(spark, d, "pages").select((F.col("page_id") % 3).alias("run_id"), F.concat(F.lit("https://u.test/"), "page_id").alias("normalized_url"), F.col("page_id").alias("result_id"))
+    rows = _t(spark, d, "pages").select(
+        (F.col("page_id") % 3).alias("run_id"), F.concat(F.lit("https://u.test/"), "page_id").alias("normalized_url"), F.col("page_id").alias("result_id")
+    )
     whole = retrieval.extend_index(rows.filter("result_id % 2 = 0"), rows.filter("result_id % 2 = 1"))
     return whole.groupBy("run_id", (F.col("result_id") % 2 == 0).alias("is_old")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, nth, event_id, floor(log2(nth))::INTEGER AS depth FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events)")
+@query(
+    "SELECT user_id, nth, event_id, floor(log2(nth))::INTEGER AS depth FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events)"
+)
 def span_depths(spark, d):
     """Depth of spans in trees, where the parent of a user's n-th span is the n/2-th."""
     nth = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     e = checkpoint(_t(spark, d, "events").select("user_id", "event_id", nth.alias("nth")))
-    spans = e.select(F.col("user_id").cast("string").alias("trace_id"), F.col("nth").cast("string").alias("span_id"), F.when(F.col("nth") > 1, F.floor(F.col("nth") / 2).cast("string")).alias("parent_span_id"))
+    spans = e.select(
+        F.col("user_id").cast("string").alias("trace_id"), F.col("nth").cast("string").alias("span_id"),
+        F.when(F.col("nth") > 1, F.floor(F.col("nth") / 2).cast("string")).alias("parent_span_id")
+    )
     found = traces.depth(spans).select(F.col("trace_id").cast("long").alias("user_id"), F.col("span_id").cast("int").alias("nth"), "depth")
     return e.join(found, ["user_id", "nth"]).select("user_id", F.col("nth").cast("long").alias("nth"), "event_id", "depth")
 
@@ -572,7 +699,9 @@ def run_loop(spark, d):
     """Runs of all conversations side by side: a turn is a step, the last one finishes; three steps at most."""
     turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), "turn", "role")
     runs = turns.groupBy("run_id").agg(F.count("*").alias("n"))
-    policy = lambda states: states.join(runs, "run_id").select("run_id", F.when(F.col("step") == F.col("n") - 1, "finish").otherwise("research").alias("type"), F.lit("{}").alias("params"))
+    policy = lambda states: states.join(runs, "run_id").select(
+        "run_id", F.when(F.col("step") == F.col("n") - 1, "finish").otherwise("research").alias("type"), F.lit("{}").alias("params")
+    )
 
     def research(actions):
         at = (F.col("r") == F.col("run_id")) & (F.col("turn") == F.col("step"))
@@ -585,15 +714,22 @@ def run_loop(spark, d):
     states, history, spans = runtime.run_all(runs.select("run_id"), policy, {"research": research, "finish": finish}, 3)
     held = spans.groupBy("run_id").agg(F.count("*").alias("spans"))
     stop = F.when(F.col("done"), "finished").otherwise("max_steps")
-    return history.join(states.select("run_id", stop.alias("stop")), "run_id").join(held, "run_id").select(F.col("run_id").alias("conv_id"), "step", F.col("type").alias("action"), "answer", "stop", "spans")
+    return history.join(states.select("run_id", stop.alias("stop")), "run_id").join(held, "run_id").select(
+        F.col("run_id").alias("conv_id"), "step", F.col("type").alias("action"), "answer", "stop", "spans"
+    )
 
 
-@query("SELECT conv_id, sha256('Question: q' || conv_id || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[S' || (turn + 1) || ']' || chr(10) || '- ' || role || chr(10) || '- ' || text, chr(10) || chr(10) ORDER BY turn)) AS prompt_hash FROM conversations GROUP BY conv_id")
+@query(
+    "SELECT conv_id, sha256('Question: q' || conv_id || chr(10) || chr(10) || 'Sources:' || chr(10) || string_agg('[S' || (turn + 1) || ']' || chr(10) || '- ' || role || chr(10) || '- ' || text, chr(10) || chr(10) ORDER BY turn)) AS prompt_hash FROM conversations GROUP BY conv_id"
+)
 def synthesis_prompts(spark, d):
     """Prompts with each source's claims under its reference."""
     c = _t(spark, d, "conversations")
     item = lambda k, text: F.struct(F.lit(k).alias("ord"), text.alias("claim"))
-    groups = c.select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("position"), values.numbered("S", F.col("turn") + 1).alias("ref"), F.array(item(0, F.col("role")), item(1, F.col("text"))).alias("items"))
+    groups = c.select(
+        F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("position"), values.numbered("S", F.col("turn") + 1).alias("ref"),
+        F.array(item(0, F.col("role")), item(1, F.col("text"))).alias("items")
+    )
     queries = c.select(F.col("conv_id").alias("run_id")).distinct().select("run_id", F.concat(F.lit("q"), "run_id").alias("query"))
     return agents.synthesis_prompt(groups, queries).select(F.col("run_id").alias("conv_id"), F.sha2("prompt", 256).alias("prompt_hash"))
 
@@ -628,9 +764,16 @@ def research_round(spark, d):
     url = F.concat(F.lit("https://shop.test/"), F.col("page_id"))
     run = F.col("page_id") % 5
     results = pages.select(run.alias("request_id"), F.col("page_id").alias("ord"), F.lit("t").alias("title"), url.alias("url"))
-    snapshot = pages.select(F.concat(F.lit("d"), "page_id").alias("id"), url.alias("url"), urls.normalize(url).alias("canonical_url"), F.when(F.col("page_id") % 2 == 0, "active").otherwise("inactive").alias("status"), F.lit("s").alias("title"), F.lit("known fact").alias("text"), F.lit(None).cast("timestamp").alias("published_at"))
+    snapshot = pages.select(
+        F.concat(F.lit("d"), "page_id").alias("id"), url.alias("url"), urls.normalize(url).alias("canonical_url"),
+        F.when(F.col("page_id") % 2 == 0, "active").otherwise("inactive").alias("status"), F.lit("s").alias("title"), F.lit("known fact").alias("text"),
+        F.lit(None).cast("timestamp").alias("published_at")
+    )
     index = spark.createDataFrame([], "run_id long, normalized_url string")
-    held = pages.select(run.alias("run_id"), F.when(F.col("page_id") % 6 == 0, urls.normalize(url)).otherwise(F.concat(F.lit("https://other.test/"), "page_id")).alias("normalized_url"))
+    held = pages.select(
+        run.alias("run_id"),
+        F.when(F.col("page_id") % 6 == 0, urls.normalize(url)).otherwise(F.concat(F.lit("https://other.test/"), "page_id")).alias("normalized_url")
+    )
     found = app.research_round(results, index, snapshot, _shop, _extractor, max_results=12, limit=4, delay=0, documents=held)
     return found.select("run_id", F.col("ord").alias("page_id"), "document", "origin", "attempts", "lifecycle", F.col("n_evidence").cast("int").alias("n_evidence"), "reason")
 
@@ -642,7 +785,10 @@ def research_round(spark, d):
 def trace_scan(spark, d):
     """Spans of all traces in a sink of JSON lines; those of one trace in order of start and id."""
     e = _t(spark, d, "events")
-    spans = e.select(F.col("user_id").cast("string").alias("trace_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("span_id"), F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("started_at"), F.col("value").alias("duration_seconds"))
+    spans = e.select(
+        F.col("user_id").cast("string").alias("trace_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("span_id"),
+        F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("started_at"), F.col("value").alias("duration_seconds")
+    )
     path = _folder(spark, "spans")
     files.write_lines(spans, path)
     found = files.trace(spark.read.schema("trace_id string, span_id string, name string, started_at timestamp, duration_seconds double").json(path), "8")
@@ -656,7 +802,10 @@ FROM (SELECT coalesce(source, '-') AS source, 1 AS d, CASE WHEN n_chars % 2 = 0
 def sync_report_lines(spark, d):
     """The report of a sync as JSON lines with its exit code."""
     docs = _t(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit("-")))
-    stored = docs.select(F.col("source").alias("source_id"), F.lit("active").alias("status"), F.when(F.col("n_chars") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("published_at"))
+    stored = docs.select(
+        F.col("source").alias("source_id"), F.lit("active").alias("status"),
+        F.when(F.col("n_chars") % 2 == 0, F.lit("2024-01-01").cast("timestamp")).alias("published_at")
+    )
     failures = docs.join(_t(spark, d, "labels").filter("toxic = 1"), "doc_id").select(F.col("source").alias("source_id"))
     report, code = app.sync_report(stored, failures)
     item = F.from_json("value", "source_id string, documents long, active_dated long, failures long, is_total int").alias("r")
@@ -673,16 +822,26 @@ def source_stats(spark, d):
     """Domains and types of the search results that each run holds; a fifth of the ids have no stored result."""
     p, i, h = _t(spark, d, "pages"), F.col("page_id"), urls.host(F.col("url"))
     state = p.select((i % 7).alias("run_id"), i.alias("result_id"), i.alias("ord"))
-    results = p.filter(i % 5 > 0).select(i.alias("result_id"), F.when(i % 13 == 0, "").otherwise(h).alias("domain"), F.element_at(F.array(F.lit("news"), F.lit("blog"), F.lit("official"), F.lit(None)), F.length(h) % 4 + 1).alias("source_type"))
-    preferred = p.select((i % 7).alias("run_id")).distinct().select("run_id", F.array(F.when(F.col("run_id") % 2 == 0, "news").otherwise("social"), F.lit("aggregator")).alias("source_types"))
+    results = p.filter(i % 5 > 0).select(
+        i.alias("result_id"), F.when(i % 13 == 0, "").otherwise(h).alias("domain"),
+        F.element_at(F.array(F.lit("news"), F.lit("blog"), F.lit("official"), F.lit(None)), F.length(h) % 4 + 1).alias("source_type")
+    )
+    preferred = p.select((i % 7).alias("run_id")).distinct().select(
+        "run_id", F.array(F.when(F.col("run_id") % 2 == 0, "news").otherwise("social"), F.lit("aggregator")).alias("source_types")
+    )
     found = evaluation.source_stats(state, results, preferred)
-    return found.select("run_id", F.array_join("domains", ",").alias("domains"), F.array_join("source_types", ",").alias("source_types"), F.col("preferred_source_type_match").alias("preferred"))
+    return found.select(
+        "run_id", F.array_join("domains", ",").alias("domains"), F.array_join("source_types", ",").alias("source_types"),
+        F.col("preferred_source_type_match").alias("preferred")
+    )
 
 
 _SAID = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> ''))"
 
 
-@query(f"SELECT role, sum({_SAID})::BIGINT AS prompt_tokens, count(*) * 2 AS completion_tokens, sum({_SAID})::BIGINT + count(*) * 2 AS total_tokens, count(*) AS calls FROM conversations GROUP BY role")
+@query(
+    f"SELECT role, sum({_SAID})::BIGINT AS prompt_tokens, count(*) * 2 AS completion_tokens, sum({_SAID})::BIGINT + count(*) * 2 AS total_tokens, count(*) AS calls FROM conversations GROUP BY role"
+)
 def model_usage(spark, d):
     """Tokens of calls to a model that says the same to every prompt, by role."""
     calls = checkpoint(_t(spark, d, "conversations").select("role", agents.generate(F.col("text"), agents.fake_model("two words")).alias("r")))
@@ -693,7 +852,9 @@ def model_usage(spark, d):
 def fake_extraction(spark, d):
     """A smoke run of extraction with models that say the same to every prompt: a claim, or an answer of no use."""
     c = _t(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("document_id"), "text", F.col("text").contains("a").alias("good"))
-    say = lambda rows, answer: rows.select("document_id", F.lit(0).alias("position"), agents.generate(F.col("text"), agents.fake_model(answer)).alias("r")).select("document_id", "position", "r.response", "r.error")
+    say = lambda rows, answer: rows.select(
+        "document_id", F.lit(0).alias("position"), agents.generate(F.col("text"), agents.fake_model(answer)).alias("r")
+    ).select("document_id", "position", "r.response", "r.error")
     answers = checkpoint(say(c.filter("good"), '[{"claim": "a claim"}]').union(say(c.filter("not good"), '{"a": 1}')))
     found, bad = agents.evidence(answers)
     return c.join(found.select("document_id", "claim"), "document_id", "left").join(bad.select("document_id", "reason"), "document_id", "left").select("conv_id", "turn", "claim", "reason")
@@ -719,7 +880,9 @@ def stream_first_seen(spark, d):
     return runs.drain(runs.first_seen(seen, "3650 days"), f"first_seen_{uuid.uuid4().hex}").select("normalized_url")
 
 
-@query("""SELECT 'https://x.org/' || doc_id // 2 AS canonical_url, arg_max(source, doc_id) AS source_id, sha256(arg_max(text, doc_id)) AS content_hash, max(doc_id) AS version FROM (SELECT doc_id, 's' AS source, text FROM documents) GROUP BY 1""")
+@query(
+    """SELECT 'https://x.org/' || doc_id // 2 AS canonical_url, arg_max(source, doc_id) AS source_id, sha256(arg_max(text, doc_id)) AS content_hash, max(doc_id) AS version FROM (SELECT doc_id, 's' AS source, text FROM documents) GROUP BY 1"""
+)
 def stream_upsert(spark, d):
     """Documents as a stream of fetched versions, two for each URL: the later one of each is stored."""
     docs = runs.read_events(spark, f"{d}/documents.parque[t]", _t(spark, d, "documents").schema, 1000)
@@ -742,14 +905,19 @@ def stream_lifecycle(spark, d):
     """Document lifecycle and curation as keyed state of a stream: what the batch reducer gives."""
     events = runs.read_events(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema, 1000)
     kind = F.when(F.col("event_type").isin("click", "signup"), "evidence").when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "shelve").otherwise("reactivate")
-    outcomes = events.select((F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 15).alias("document_id"), F.col("event_id").alias("step"), kind.alias("event"), (F.col("event_id") % 3).alias("n_evidence"), F.lit(None).cast("string").alias("reason"), F.col("ts").cast("timestamp").alias("ts"))
+    outcomes = events.select(
+        (F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 15).alias("document_id"), F.col("event_id").alias("step"), kind.alias("event"),
+        (F.col("event_id") % 3).alias("n_evidence"), F.lit(None).cast("string").alias("reason"), F.col("ts").cast("timestamp").alias("ts")
+    )
     with runs.rocksdb(spark):
         out = runs.drain(runs.lifecycle(outcomes, "3650 days"), f"lifecycle_{uuid.uuid4().hex}", "update")
     newest = out.groupBy("run_id", "document_id").agg(F.max_by(F.struct("lifecycle", "updated_at_step"), "version").alias("s"))
     return newest.select("run_id", "document_id", "s.lifecycle", "s.updated_at_step")
 
 
-@query("""SELECT user_id % 6 AS run_id, count(DISTINCT source) AS sources, count(DISTINCT doc_id) AS documents, true AS near FROM (SELECT d.doc_id, d.source, d.doc_id % 30 AS user_id FROM documents d) GROUP BY 1""")
+@query(
+    """SELECT user_id % 6 AS run_id, count(DISTINCT source) AS sources, count(DISTINCT doc_id) AS documents, true AS near FROM (SELECT d.doc_id, d.source, d.doc_id % 30 AS user_id FROM documents d) GROUP BY 1"""
+)
 def merged_sketches(spark, d):
     """Distinct documents of groups of runs: exact counts, and whether the estimate of the runs' merged sketches is within three standard errors."""
     docs = _t(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 30).alias("run"))
@@ -773,7 +941,9 @@ def robots_many_rules(spark, d):
     t = F.regexp_extract("url", "^[^/?#]*//[^/?#]*([^#]*)", 1)
     pages, k = _t(spark, d, "pages").select("page_id", t.alias("t")), F.col("page_id") % 5
     one = pages.select("page_id", F.concat(F.lit("https://one.test"), "t").alias("url"))
-    pattern = F.when(k == 0, F.col("t")).when(k == 1, F.concat(F.left("t", F.lit(5)), F.lit("*"), F.right("t", F.lit(2)))).when(k == 2, F.left("t", F.lit(6))).when(k == 3, F.concat("t", F.lit("$"))).otherwise(F.concat(F.left("t", F.lit(4)), F.lit("*=")))
+    pattern = F.when(k == 0, F.col("t")).when(
+        k == 1, F.concat(F.left("t", F.lit(5)), F.lit("*"), F.right("t", F.lit(2)))
+    ).when(k == 2, F.left("t", F.lit(6))).when(k == 3, F.concat("t", F.lit("$"))).otherwise(F.concat(F.left("t", F.lit(4)), F.lit("*=")))
     lines = pages.select(F.concat(F.when(k > 1, "Allow: ").otherwise("Disallow: "), pattern).alias("line")).distinct()
     body = lines.agg(F.concat_ws("\n", F.lit("User-agent: *"), F.concat_ws("\n", F.collect_list("line"))).alias("body"))  # a host has one file
     site = body.select(F.lit("https://one.test:443").alias("origin"), F.lit(200).alias("status"), "body")
@@ -806,7 +976,10 @@ def stream_endpoints(spark, d):
         stream = endpoints.stream(spark, _feeds(version), feeds, name)
         stream.writeStream.format("parquet").option("path", f"{path}/read").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     read = spark.read.schema(endpoints.SCHEMA).parquet(f"{path}/read")
-    return read.groupBy("url").agg(F.nullif(F.array_join(F.array_sort(F.collect_list("etag")), ","), F.lit("")).alias("versions"), F.max("error").alias("error"), F.count("*").alias("reads"), F.max(F.split_part(F.decode("content", "UTF-8"), F.lit(" "), F.lit(2))).alias("last"))
+    return read.groupBy("url").agg(
+        F.nullif(F.array_join(F.array_sort(F.collect_list("etag")), ","), F.lit("")).alias("versions"), F.max("error").alias("error"),
+        F.count("*").alias("reads"), F.max(F.split_part(F.decode("content", "UTF-8"), F.lit(" "), F.lit(2))).alias("last")
+    )
 
 
 def _engine(request: dict) -> dict:

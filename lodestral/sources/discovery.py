@@ -89,4 +89,7 @@ def parse_endpoints(endpoints: DataFrame) -> DataFrame:
 def merge(discovered: DataFrame, *keys: str) -> DataFrame:
     """First place of each normalised URL; the date is the first that is known."""
     valid = discovered.filter(urls.strict_http(F.col("url"))).withColumn("normalized_url", urls.normalize(F.col("url")))
-    return valid.groupBy(*keys, "normalized_url").agg(F.min("ord").alias("ord"), F.min_by("url", "ord").alias("url"), F.min_by("published_at", F.when(F.col("published_at").isNotNull(), F.col("ord"))).alias("published_at"))
+    return valid.groupBy(*keys, "normalized_url").agg(
+        F.min("ord").alias("ord"), F.min_by("url", "ord").alias("url"),
+        F.min_by("published_at", F.when(F.col("published_at").isNotNull(), F.col("ord"))).alias("published_at")
+    )

@@ -66,7 +66,10 @@ class _Share:
         self.room.release()
 
 
-def fetch(requests: DataFrame, client: Callable[[dict], dict], concurrency: int = 4, attempts: int = 2, delay: float = 0.1, tasks: int | None = None, host_tasks: int = 1, rate: float | None = None) -> DataFrame:
+def fetch(
+    requests: DataFrame, client: Callable[[dict], dict], concurrency: int = 4, attempts: int = 2, delay: float = 0.1, tasks: int | None = None,
+    host_tasks: int = 1, rate: float | None = None
+) -> DataFrame:
     """Responses of (url, if_none_match, if_modified_since).
 
     A host sees ``concurrency`` requests at a time at most, and ``rate`` a second where one is
@@ -112,9 +115,14 @@ def response_state(responses: DataFrame, state: DataFrame) -> DataFrame:
     """Validators and content after a fetch: 304 keeps them, 2xx replaces them, null included."""
     saved = state.select("url", F.col("etag").alias("o_etag"), F.col("last_modified").alias("o_lm"), F.col("content").alias("o_content"))
     j, same = responses.join(saved, "url", "left"), F.col("status") == 304
-    error = F.when(F.col("transport_error").isNotNull(), "transport").when(same & F.col("o_content").isNull(), "304 without content").when(~(same | F.col("status").between(200, 299)), F.concat(F.lit("http_status "), F.col("status").cast("string")))
+    error = F.when(F.col("transport_error").isNotNull(), "transport").when(same & F.col("o_content").isNull(), "304 without content").when(
+        ~(same | F.col("status").between(200, 299)), F.concat(F.lit("http_status "), F.col("status").cast("string"))
+    )
     pick = lambda new, old: F.when(same, F.col(old)).otherwise(F.col(new)).alias(new)
-    return j.select("url", "final_url", pick("etag", "o_etag"), pick("last_modified", "o_lm"), F.when(same, F.col("o_content")).otherwise(F.col("body")).alias("content"), media_type(F.col("content_type")).alias("media_type"), error.alias("error"))
+    return j.select(
+        "url", "final_url", pick("etag", "o_etag"), pick("last_modified", "o_lm"), F.when(same, F.col("o_content")).otherwise(F.col("body")).alias("content"),
+        media_type(F.col("content_type")).alias("media_type"), error.alias("error")
+    )
 
 
 def documents_or_fetch(requests: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,5 +155,8 @@ def parse_search(responses: DataFrame) -> DataFrame:
     items = F.try_variant_get(body, "$.results", "array<variant>")
     rows = responses.select("request_id", F.posexplode_outer(items).alias("at", "item"), items.isNull().alias("bad"))
     text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("item", path, "variant")) == "STRING", F.try_variant_get("item", path, "string"))
-    out = rows.select("request_id", (F.col("at") + 1).alias("rank"), text("$.title").alias("title"), text("$.url").alias("url"), text("$.content").alias("content"), F.try_variant_get("item", "$.score", "double").alias("score"), F.when(F.col("bad"), "invalid_response").alias("error"))
+    out = rows.select(
+        "request_id", (F.col("at") + 1).alias("rank"), text("$.title").alias("title"), text("$.url").alias("url"), text("$.content").alias("content"),
+        F.try_variant_get("item", "$.score", "double").alias("score"), F.when(F.col("bad"), "invalid_response").alias("error")
+    )
     return out.filter("error is not null or (title is not null and url is not null)")

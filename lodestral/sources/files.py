@@ -18,7 +18,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     that table, a row for each range, is joined.  Files come in the order of their paths.
     """
     meta = F.col("_metadata")
-    read = spark.read.text(path).select(F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_block_start"].alias("begin"), F.monotonically_increasing_id().alias("id"))
+    read = spark.read.text(path).select(
+        F.col("value").alias("line"), meta["file_path"].alias("file"), meta["file_block_start"].alias("begin"), F.monotonically_increasing_id().alias("id")
+    )
     ranges = read.groupBy("file", "begin").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
     before = lambda *by: F.coalesce(F.sum("lines").over(W.partitionBy(*by).orderBy("file", "begin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # The files' ranges in a row are as many as tasks.
@@ -73,7 +75,10 @@ def encrypt(text: Column, secret: Column) -> Column:
 
 def prepare_questions(raw: DataFrame, secret: str) -> DataFrame:
     """Decrypted questions with lower-case enumerations."""
-    return raw.select("id", decrypt(F.col("question"), F.lit(secret)).alias("question"), F.lower("answer_type").alias("answer_type"), F.lower("question_type").alias("question_type"), "topic")
+    return raw.select(
+        "id", decrypt(F.col("question"), F.lit(secret)).alias("question"), F.lower("answer_type").alias("answer_type"),
+        F.lower("question_type").alias("question_type"), "topic"
+    )
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -48,7 +48,9 @@ def violations(sources: DataFrame) -> DataFrame:
     bad_prefix = F.exists("allowed_path_prefixes", lambda p: ~p.startswith("/") | p.rlike("[?#]"))
     outside = F.exists(ends, lambda u: ~urls.strict_http(u) | ~F.array_contains(F.col("allowed_domains"), urls.host(u)))
     rules = F.array_compact(F.array(
-        F.when(~F.coalesce(F.col("id").rlike("^[a-z0-9][a-z0-9_-]*$"), F.lit(False)), "bad id"), F.when(~F.coalesce(F.col("source_type").isin(*TYPES), F.lit(False)), "bad source type"),
+        F.when(
+            ~F.coalesce(F.col("id").rlike("^[a-z0-9][a-z0-9_-]*$"), F.lit(False)), "bad id"
+        ), F.when(~F.coalesce(F.col("source_type").isin(*TYPES), F.lit(False)), "bad source type"),
         F.when(F.coalesce(F.size("allowed_domains"), F.lit(0)) < 1, "no domain"), F.when(F.exists("allowed_domains", lambda d: ~urls.bare_domain(d)), "bad domain"),
         F.when(bad_prefix, "bad path prefix"), F.when(outside, "endpoint outside domains"), F.when(F.exists(ends, lambda u: u.contains("#")), "endpoint with fragment"),
         F.when(unlike(F.col("allowed_domains")) | unlike(F.col("allowed_path_prefixes")) | unlike(ends), "duplicate entries"),
@@ -76,7 +78,11 @@ def match(rows: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
 
     An equi-join on the host; Spark broadcasts the registry by its own size limit.
     """
-    by_host = sources.filter("enabled").select(F.col("ord").alias("s_ord"), F.col("id").alias("source_id"), "allowed_domains", "allowed_path_prefixes", F.explode("allowed_domains").alias("domain"))
-    hit = rows.select(*key, "url", urls.host(F.col("url")).alias("h")).join(by_host, F.col("h") == F.col("domain")).filter(in_scope(F.col("url"), F.col("allowed_domains"), F.col("allowed_path_prefixes")))
+    by_host = sources.filter("enabled").select(
+        F.col("ord").alias("s_ord"), F.col("id").alias("source_id"), "allowed_domains", "allowed_path_prefixes", F.explode("allowed_domains").alias("domain")
+    )
+    hit = rows.select(*key, "url", urls.host(F.col("url")).alias("h")).join(by_host, F.col("h") == F.col("domain")).filter(
+        in_scope(F.col("url"), F.col("allowed_domains"), F.col("allowed_path_prefixes"))
+    )
     first = hit.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("s_ord"))).filter("n = 1").select(*key, "source_id")
     return rows.join(first, key, "left")

@@ -92,5 +92,7 @@ def decide(rows: DataFrame, robots: DataFrame, rule_table: DataFrame, key: list[
     best = hits.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(F.length("pattern").desc(), F.col("allow").desc()))).filter("n = 1").select(*key, "allow")
     joined = base.join(robots.select("origin", "status").dropDuplicates(["origin"]), "origin", "left").join(best, key, "left")
     ok = F.col("status").between(200, 299)
-    decision = F.when(~urls.robots_target(F.col("url")), "disallowed").when(ok & F.col("allow").isNotNull(), F.when(F.col("allow"), "allowed").otherwise("disallowed")).otherwise(status_decision(F.col("status")))
+    decision = F.when(~urls.robots_target(F.col("url")), "disallowed").when(
+        ok & F.col("allow").isNotNull(), F.when(F.col("allow"), "allowed").otherwise("disallowed")
+    ).otherwise(status_decision(F.col("status")))
     return joined.withColumn("decision", decision).drop("status", "allow", "origin")
