@@ -108,6 +108,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """.replace("\\\\", "\\")
 
+#: Windows are told apart by their MD5; positions count bytes, two hexadecimal digits each.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, x, length(x) // 2 AS n FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)),
+g AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+p AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS first FROM f),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM p) GROUP BY doc_id, span),
+l AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN la IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(la) + 1), lambda j: substr(x, 2 * coalesce(lb[j], 0) + 1, 2 * (coalesce(la[j + 1], n) - coalesce(lb[j], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
 
 QUERIES = {"op1_token_store": op1_token_store, "op2_substring_dedup": op2_substring_dedup, "op3_bpe": op3_bpe, "op4_webp": op4_webp, "op5_pseudo_likelihood": op5_pseudo_likelihood, "op6_simhash": op6_simhash, "op7_pages": op7_pages, "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment, "op12_suffix_array": op12_suffix_array}
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op7_pages": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op7_pages": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_licenses": licenses.oracle(), "op12_suffix_array": OP12_SQL}
