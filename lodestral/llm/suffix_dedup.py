@@ -326,7 +326,7 @@ def _apply(window: int):
     return run
 
 
-def dedup(docs: DataFrame, window: int = 100, size: int = 32, most: int = 20_000, share: float = 1 / 1000, fraction: float = 0.02, shard: int = SHARD) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 100, size: int = 32, most: int = 5_000, share: float = 1 / 1000, fraction: float = 0.02, shard: int = SHARD) -> DataFrame:
     """All columns of docs (doc_id and text among them), with __kept (bytes), __n_bytes, __n_removed and __n_spans.
 
     ``size`` is that of minimizers, ``most`` the most distinct segments of one that a shard takes.
