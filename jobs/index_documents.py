@@ -11,6 +11,9 @@ that was broken off is repeated whole.  With ``merge_to`` the index is written a
 batch of another folder.
 
 ``search`` gives the best documents for a query from the index alone.
+
+Defined cases: rows without a key are left out, a null text is an empty one, and of rows
+with one key that of the least content hash counts; an empty table makes an empty index.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def run(spark: SparkSession, documents: str, out: str, key: str = "doc_id", text
     if merge_to:
         inverted.merge(spark, out, merge_to)
         LOG.info("index %s written as one batch to %s", out, merge_to)
-    return inverted.postings(spark, merge_to or out).withColumnRenamed("key", key)
+    return inverted.postings(spark, merge_to or out, table.schema[key].dataType.simpleString()).withColumnRenamed("key", key)
 
 
 def search(spark: SparkSession, out: str, query: str, limit: int = 10, key: str = "doc_id") -> DataFrame:

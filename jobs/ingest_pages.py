@@ -15,7 +15,7 @@ same rows.
 Defined cases: pages without a fetchable URL are written with the error ``invalid_url``
 and are current nowhere; a null page is an empty one (``no_extractable_text``); pages of one
 URL in one batch are compared with the stored version, not with one another; of pages with
-one URL and one id the one of least hash is current.
+one URL and one id the one of greatest hash is current; an empty folder ingests nothing.
 """
 
 from __future__ import annotations

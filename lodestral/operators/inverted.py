@@ -151,12 +151,18 @@ def _replaced(spark: SparkSession, path: str, key: str, below: int) -> DataFrame
 
 
 def key_type(spark: SparkSession, path: str) -> str:
-    return spark.read.parquet(f"{path}/documents").schema["key"].dataType.simpleString()
+    """Type of the keys; string where nothing is written yet."""
+    try:
+        return spark.read.parquet(f"{path}/documents").schema["key"].dataType.simpleString()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return "string"
 
 
-def postings(spark: SparkSession, path: str) -> DataFrame:
-    """(key, term, tf, length) of all documents as they stand."""
-    kind, below = key_type(spark, path), batches(spark, path) + 1
+def postings(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(key, term, tf, length) of all documents as they stand; ``kind`` is the keys' type where nothing may be written yet."""
+    kind, below = kind or key_type(spark, path), batches(spark, path) + 1
     return _valid(_postings(spark, path, kind, below), _replaced(spark, path, kind, below)).select("key", "term", "tf", "length")
 
 

@@ -111,6 +111,18 @@ def test_index_grows(spark, data, tmp_path):
         assert rows(index_documents.search(spark, where, "the of quite", 8)) == rows(search.bm25(later, "the of quite", 8))
 
 
+def test_nothing_there(spark, tmp_path):
+    """Empty inputs make empty outputs, before and after there is something."""
+    pages, out, checkpoint, table, index = (str(tmp_path / x) for x in ("pages", "out", "checkpoint", "documents", "index"))
+    spark.createDataFrame([], ingest_pages.INPUT).write.parquet(pages)
+    assert ingest_pages.run(spark, pages, out, checkpoint).collect() == []
+    for rows_, n in (([], 0), ([(1, "one two")], 2), ([], 0)):
+        spark.createDataFrame(rows_, "doc_id long, text string").write.mode("overwrite").parquet(table)
+        found = index_documents.run(spark, table, index)
+        assert found.count() == n and found.schema["doc_id"].dataType.simpleString() == "bigint"
+        assert index_documents.search(spark, index, "one", 3).count() == n // 2
+
+
 def test_command_lines(spark, data, tmp_path):
     """Both jobs from a shell, each twice, with their config files."""
     env = os.environ | {"PYTHONPATH": f"{ROOT}:{os.environ.get('PYTHONPATH', '')}", "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=2 pyspark-shell"}
