@@ -867,7 +867,8 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n F
 def stream_sessions(spark, d):
     """Sessions of users with gaps of half an hour, from a stream of events."""
     events = runs.read_events(spark, f"{d}/events.parque[t]", _t(spark, d, "events").schema)
-    out = runs.drain(runs.sessions(events, late="3650 days"), f"sessions_{uuid.uuid4().hex}", "complete")
+    with runs.rocksdb(spark):  # nearly as many sessions as events
+        out = runs.drain(runs.sessions(events, late="3650 days"), f"sessions_{uuid.uuid4().hex}", "complete")
     return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestral.functions import urls
+from lodestral.functions.session import checkpoint_dir
 from lodestral.operators import store
 
 
@@ -202,8 +205,22 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there now; the rows it gave, from an in-memory table (for small results)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    """Run a stream over all that is there now; the rows it gave, read back from a new folder of that name below ``spark.checkpoint.dir``.
+
+    In complete mode each batch replaces the one before it.  The rows never pass through the driver.
+    """
+    spark = stream.sparkSession
+    out = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{0 if mode == 'complete' else batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{out}/*")
+    except AnalysisException as e:  # no batch was run
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)

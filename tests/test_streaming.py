@@ -113,3 +113,19 @@ def test_endpoints(spark, tmp_path):
     assert read({"a": "1", "b": "1"}) == [("a", "1", None), ("b", "1", None), ("c", None, "transport")]
     assert read({"a": "1", "b": "1"}) == []
     assert read({"a": "1", "b": "2", "c": "1"}) == [("b", "2", None), ("c", "1", None)]
+
+
+def test_drain_passes_the_driver_by(spark, data, tmp_path):
+    """The rows of a stream come back from files, not from a table in the driver's memory; the same name may be used again."""
+    events = spark.read.parquet(f"{data}/events.parquet")
+    for k in range(2):
+        events.filter(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: runs.read_events(spark, str(tmp_path / "in"), events.schema)
+    for _ in range(2):
+        every = runs.drain(read(), "drain_test")
+        assert "LocalTableScan" not in every._jdf.queryExecution().toString() and "memory" not in every._jdf.queryExecution().toString()
+        assert sorted(map(tuple, every.collect())) == sorted(map(tuple, events.collect())) and len(every.inputFiles()) == 2
+    counted = runs.drain(read().groupBy("event_type").count(), "drain_test", "complete")  # of the last batch alone
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, events.groupBy("event_type").count().collect()))
+    (tmp_path / "none").mkdir()
+    assert runs.drain(runs.read_events(spark, str(tmp_path / "none"), events.schema), "drain_test").count() == 0
