@@ -138,19 +138,18 @@ class Lifecycle(StatefulProcessor):
         self.until = handle.getValueState("until", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        touched, latest = set(), 0
+        """A batch's rows are reduced to one entry a document before the state is read and written, once a document."""
+        new, latest = {}, 0
         for part in rows:
             latest = max(latest, int(part["ts"].max().value // 1_000_000))
-            for r in part.sort_values("step").itertuples():
-                born_step, born, born_reason, moved_step, moved, moved_reason, version = self._entry(r.document_id)
-                if r.event in ("evidence", "failure") and (born_step is None or r.step < born_step):
-                    born_step, born, born_reason = r.step, "active" if r.event == "evidence" and r.n_evidence > 0 else "unusable", r.reason
-                elif r.event in ("shelve", "reactivate") and (moved_step is None or r.step > moved_step):
-                    moved_step, moved, moved_reason = r.step, "shelved" if r.event == "shelve" else "active", r.reason
-                self.documents.updateValue((int(r.document_id),), (born_step, born, born_reason, moved_step, moved, moved_reason, version + 1))
-                touched.add(int(r.document_id))
+            for document, entry in self._reduced(part):
+                new[document] = self._merged(new[document], entry) if document in new else entry
         self._wait(latest)
-        out = [self._row(key[0], d) for d in sorted(touched)]
+        out = []
+        for document, entry in sorted(new.items()):
+            entry = self._merged(self._entry(document), entry)
+            self.documents.updateValue((document,), entry)
+            out.append(self._row(key[0], document, entry))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LIFECYCLE.split(", ")]).astype({"updated_at_step": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -162,8 +161,28 @@ class Lifecycle(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _entry(self, document_id) -> tuple:
-        at = (int(document_id),)
+    @staticmethod
+    def _reduced(part: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+        """(document, entry) of one portion of rows; of several rows of one step the first counts."""
+        born = part[part["event"].isin(("evidence", "failure"))].sort_values("step", kind="stable").drop_duplicates("document_id")
+        moved = part[part["event"].isin(("shelve", "reactivate"))].sort_values("step", ascending=False, kind="stable").drop_duplicates("document_id")
+        first = {
+            int(r.document_id): (int(r.step), "active" if r.event == "evidence" and r.n_evidence > 0 else "unusable", r.reason) for r in born.itertuples()
+        }
+        last = {int(r.document_id): (int(r.step), "shelved" if r.event == "shelve" else "active", r.reason) for r in moved.itertuples()}
+        none = (None, None, None)
+        for document, n in part["document_id"].value_counts().items():
+            yield int(document), (*first.get(int(document), none), *last.get(int(document), none), int(n))
+
+    @staticmethod
+    def _merged(old: tuple, new: tuple) -> tuple:
+        """The earliest extraction and the latest curation of two entries, the older one where they are of one step."""
+        born = new[:3] if new[0] is not None and (old[0] is None or new[0] < old[0]) else old[:3]
+        moved = new[3:6] if new[3] is not None and (old[3] is None or new[3] > old[3]) else old[3:6]
+        return (*born, *moved, old[6] + new[6])
+
+    def _entry(self, document_id: int) -> tuple:
+        at = (document_id,)
         return tuple(self.documents.getValue(at)) if self.documents.containsKey(at) else (None, None, None, None, None, None, 0)
 
     def _wait(self, latest: int) -> None:
@@ -175,8 +194,9 @@ class Lifecycle(StatefulProcessor):
             self.handle.registerTimer(new)
             self.until.update((new,))
 
-    def _row(self, run, document_id: int) -> tuple:
-        born_step, born, born_reason, moved_step, moved, moved_reason, version = self._entry(document_id)
+    @staticmethod
+    def _row(run, document_id: int, entry: tuple) -> tuple:
+        born_step, born, born_reason, moved_step, moved, moved_reason, version = entry
         if moved is not None and born == "active":
             return run, document_id, moved, moved_reason, moved_step, version
         return run, document_id, born, born_reason, born_step, version

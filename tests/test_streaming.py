@@ -129,3 +129,60 @@ def test_drain_passes_the_driver_by(spark, data, tmp_path):
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, events.groupBy("event_type").count().collect()))
     (tmp_path / "none").mkdir()
     assert runs.drain(runs.read_events(spark, str(tmp_path / "none"), events.schema), "drain_test").count() == 0
+
+
+def test_lifecycle_state_once_a_document():
+    """However many rows a batch has, and in however many portions, each document's state is read and written once."""
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.v, self.calls = {}, 0
+
+        def getValue(self, k):
+            self.calls += 1
+            return self.v[k]
+
+        def containsKey(self, k):
+            return k in self.v
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self.v[k] = v
+
+        def get(self):
+            return self.v[0]
+
+        def exists(self):
+            return 0 in self.v
+
+        def update(self, v):
+            self.v[0] = v
+
+    class Handle:
+        def getMapState(self, *_):
+            return Value()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, _):
+            pass
+
+        deleteTimer = registerTimer
+
+    rows = pd.DataFrame({"document_id": [k % 3 for k in range(3000)], "step": [k * 7919 % 3001 for k in range(3000)], "event": [("evidence", "failure", "shelve", "reactivate")[k % 4] for k in range(3000)]})
+    rows = rows.assign(n_evidence=rows["step"] % 3, reason=rows["step"].astype(str), ts=pd.Timestamp("2024-01-01"))
+    keyed = runs.Lifecycle(1000)
+    keyed.init(Handle())
+    for batch in (rows[:2000], rows[2000:]):
+        keyed.documents.calls = 0
+        out = next(iter(keyed.handleInputRows((1,), iter([batch[:700], batch[700:]]), None)))
+        assert keyed.documents.calls <= 6
+    for r in out.itertuples():
+        mine = rows[rows["document_id"] == r.document_id]
+        born, moved = (mine[mine["event"].isin(e)].sort_values("step") for e in (("evidence", "failure"), ("shelve", "reactivate")))
+        active = born.iloc[0]["event"] == "evidence" and born.iloc[0]["n_evidence"] > 0
+        want = moved.iloc[-1] if active else born.iloc[0]
+        assert (r.version, r.updated_at_step, r.reason) == (1000, want["step"], want["reason"])
+        assert r.lifecycle == ({"shelve": "shelved", "reactivate": "active"}[want["event"]] if active else "unusable")
