@@ -10,6 +10,8 @@ partition for each batch and bucket of URLs.  A batch that is repeated after a f
 compares with the batches before it and replaces its own partitions, so a rerun gives the
 same rows.
 
+With ``closed``, character references without their semicolon stay as they are written.
+
 ``current`` reads the newest page of each URL with its text; the order of arrival doesn't matter.
 
 Defined cases: pages without a fetchable URL are written with the error ``invalid_url``
@@ -49,13 +51,13 @@ def versions(spark: SparkSession, out: str, below: int | None = None) -> DataFra
     return found if below is None else found.filter(F.col("batch") < below)
 
 
-def parsed(pages: DataFrame, ignored: Iterable[str], buckets: int) -> DataFrame:
+def parsed(pages: DataFrame, ignored: Iterable[str], buckets: int, closed: bool = False) -> DataFrame:
     """Pages as rows of the store, but for ``change``."""
     rows = pages.select(
         "page_id", "url", F.struct("page_id", "url").alias("page"), F.lit("text/html").alias("media_type"),
         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content")
     )
-    text = html.parse_documents(rows, "page").select("page.*", "title", "text", "published_at", "error")
+    text = html.parse_documents(rows, "page", closed).select("page.*", "title", "text", "published_at", "error")
     canonical = F.when(urls.fetchable(F.col("url")), urls.normalize(F.col("url"), ignored))
     made = text.withColumn("canonical_url", canonical).withColumn("error", F.when(F.col("canonical_url").isNull(), "invalid_url").otherwise(F.col("error")))
     said = F.to_json(F.struct("title", "text", "published_at", "error"))
@@ -91,13 +93,13 @@ def _pattern(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]" if path[-1] not in "]*}" else path
 
 
-def run(spark: SparkSession, pages: str, out: str, checkpoint: str, ignored: Iterable[str] = urls.TRACKING_KEYS, buckets: int = 16, max_files: int = 1000) -> DataFrame:
+def run(spark: SparkSession, pages: str, out: str, checkpoint: str, ignored: Iterable[str] = urls.TRACKING_KEYS, buckets: int = 16, max_files: int = 1000, closed: bool = False) -> DataFrame:
     """Ingest what is new and wait for it; gives ``current``."""
     ignored = list(ignored)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        rows = compared(parsed(batch, ignored, buckets), versions(session, out, batch_id)).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows = compared(parsed(batch, ignored, buckets, closed), versions(session, out, batch_id)).withColumn("batch", F.lit(batch_id).cast("long"))
         # Buckets bound the files a batch writes; a bucket of many rows is cut by the writer.
         dealt = rows.repartition("bucket", F.pmod("page_id", F.lit(8)))
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 200_000).partitionBy("batch", "bucket").parquet(out)

@@ -286,7 +286,7 @@ def test_open_references():
     assert [html.parse_html(page, closed=True)[c] for c in ("title", "text")] == ["a&b&amp", "<x&gt &am &ampx; '&#39 © R&D"]
 
 
-@pytest.mark.parametrize("name", ["html_extract"])
+@pytest.mark.parametrize("name", ["html_extract", "job1_ingest_pages"])
 def test_cut_references_as_in_sql(spark, tmp_path, name):
     import duckdb
 
