@@ -17,6 +17,25 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def term_counts(text: Column) -> Column:
+    """Struct of a text's length in tokens, its terms in order, and how often each occurs, counted inside the row.
+
+    The tokens are sorted; a term's count is the distance of its first place from that of the next term.
+    """
+
+    def counted(w: Column) -> Column:
+        first = F.array_compact(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)))
+        tfs = _let(first, lambda f: F.transform(f, lambda a, i: F.coalesce(F.get(f, i + 1), F.size(w)) - a))
+        return F.struct(F.size(w).alias("length"), F.array_distinct(w).alias("terms"), tfs.alias("tfs"))
+
+    return _let(F.sort_array(tokens(text)), counted)
+
+
 def validate(query: str, limit: int) -> None:
     if not query.strip():
         raise ValueError("query must not be blank")

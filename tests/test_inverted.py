@@ -85,3 +85,31 @@ def test_odd_rows(spark, tmp_path):
     assert rows(inverted.postings(spark, path)) == [(1, "b", 1, 2), (1, "c", 1, 2)]
     empty = str(tmp_path / "empty")
     assert inverted.add(df.limit(0), empty)["batch"] == 0
+
+
+def test_areas_hold_alike_documents(spark, tmp_path, monkeypatch):
+    """A class of length is dealt to as many areas as its own documents fill, so blocks are few and full."""
+    monkeypatch.setattr(inverted, "AREA", 50)
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, F.lit("salt")).otherwise(F.concat(F.lit("salt "), F.repeat(F.lit("water "), 40))).alias("text"))
+    inverted.add(docs, str(tmp_path / "index"))
+    blocks = spark.read.parquet(str(tmp_path / "index/postings")).filter("term = 'salt'")
+    assert blocks.count() == 1 + 960 // 50 and blocks.agg(F.sum(F.size("keys"))).first()[0] == 1000
+
+
+def test_postings_by_document(spark, states, tmp_path):
+    """Void versions are left out by document: neither blocks nor a row for each posting are joined."""
+    path = str(tmp_path / "index")
+    inverted.add(states[0], path)
+    found = inverted.postings(spark, path)
+    assert all("/contents/" in f or "/replaced/" in f for f in found.inputFiles())
+
+
+def test_broken_run_leaves_nothing(spark, states, tmp_path):
+    """What a broken run wrote is gone even where its repetition has no rows for that table."""
+    path = str(tmp_path / "index")
+    inverted.add(states[0], path)
+    inverted._write(spark.createDataFrame([("zzz", "0-0", [1], [1], [1], 1, 1)], "term string, area string, keys array<bigint>, tfs array<int>, lengths array<int>, most int, least int"), path, "postings", 2)
+    fewer = states[0].filter("doc_id % 5 <> 1")
+    assert inverted.add(fewer, path, complete=True)["new"] == 0
+    assert spark.read.parquet(f"{path}/postings").filter("term = 'zzz'").count() == 0 and inverted.Search(spark, path, "zzz", 5).top.count() == 0
+    assert rows(inverted.postings(spark, path)) == scan(fewer)
