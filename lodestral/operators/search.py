@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Partitions of a written index over which one term's postings are dealt.
+SPLIT = 16
 
 
 def tokens(text: Column) -> Column:
@@ -127,14 +129,17 @@ def current_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
 def write_postings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
     """Inverted index below ``path``: postings in order of (term, key), and corpus statistics.
 
-    Range partitions split the postings of a frequent term, and the order lets a query's
-    term filter skip row groups.
+    Terms are counted inside each document's row, and a row for each of them is exchanged once,
+    without a sample of the input; a frequent term's postings are dealt over ``SPLIT`` partitions.
+    The order lets a query's term filter skip row groups.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lengths = docs.select(F.size(tokens(F.col(text))).alias("n"))
     lengths.agg(F.count("*").alias("corpus"), F.avg("n").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    made = postings(docs, key, text).select("term", F.col(key).alias("key"), "tf", "length")
-    made.repartitionByRange(n, "term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
+    counted = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), term_counts(F.col(text)).alias("c")).select("key", "c.*")
+    made = counted.select("key", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("i")).select(F.col("i.terms").alias("term"), "key", F.col("i.tfs").cast("long").alias("tf"), "length")
+    dealt = made.repartition(n, "term", F.pmod(F.xxhash64("key"), F.lit(SPLIT)))
+    dealt.sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def bm25_indexed(spark, path: str, query: str, limit: int, key: str = "doc_id") -> DataFrame:

@@ -191,3 +191,18 @@ def test_context(spark):
     evidence = spark.createDataFrame([(1, "a", i, f"e{i}", "x" * 400) for i in range(12)], "run_id long, document_id string, ord long, evidence_id string, claim string")
     got = {r["document_id"]: (r["ref"], None if r["evidence"] is None else (len(r["evidence"]), len(r["evidence"][0]["claim"]))) for r in research.context(docs, evidence).collect()}
     assert got == {"a": ("D2", (10, 300)), "b": ("D1", None)}
+
+
+def test_written_postings_are_exchanged_once(spark, tmp_path):
+    """A term that all documents have is dealt over several files, and each distinct term of a document is one row."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("salt salt "), F.col("id")).alias("text")).union(spark.createDataFrame([(400, None), (401, "")], "doc_id long, text string"))
+    search.write_postings(docs, str(tmp_path / "index"), partitions=4)
+    made = spark.read.parquet(str(tmp_path / "index/postings"))
+    assert made.count() == 800 and made.filter("term = 'salt' and tf = 2 and length = 3").count() == 400
+    assert made.filter("term = 'salt'").select(F.input_file_name()).distinct().count() > 1
+    assert spark.read.parquet(str(tmp_path / "index/stats")).first()["corpus"] == 402
+
+
+def test_term_counts(spark):
+    got = spark.createDataFrame([("b a B, c-a b",), ("",), ("!",)], "t string").select(search.term_counts(F.col("t")).alias("c")).select("c.*").collect()
+    assert [tuple(r) for r in got] == [(6, ["a", "b", "c"], [2, 3, 1]), (0, [], []), (0, [], [])]
